@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from . import chat, licenses, secrets
+from .fingerprints import op9_fingerprint
 from .language import op10_language_id
 from .quality import op2_quality
 
-QUERIES = {"op2_quality": op2_quality, "op10_language_id": op10_language_id}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op2_quality": op2_quality,
+    "op3_license_scan": licenses.op3_license_scan,
+    "op6_secret_scan": secrets.op6_secret_scan,
+    "op7_chat_format": chat.op7_chat_format,
+    "op9_fingerprint": op9_fingerprint,
+    "op10_language_id": op10_language_id,
+}
+ORACLES: dict[str, str] = {"op3_license_scan": licenses.ORACLE, "op6_secret_scan": secrets.ORACLE, "op7_chat_format": chat.ORACLE}
