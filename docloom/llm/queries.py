@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from . import chat, licenses, secrets
+from .decontaminate import op5_decontamination
 from .fingerprints import op9_fingerprint
 from .language import op10_language_id
+from .pieces import op4_piece_encoding
 from .quality import op2_quality
 
 QUERIES = {
     "op2_quality": op2_quality,
     "op3_license_scan": licenses.op3_license_scan,
+    "op4_piece_encoding": op4_piece_encoding,
+    "op5_decontamination": op5_decontamination,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_chat_format": chat.op7_chat_format,
     "op9_fingerprint": op9_fingerprint,

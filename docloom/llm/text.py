@@ -45,12 +45,10 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         size = 1 << max(16, int(n).bit_length())
         have = np.empty(size, np.uint64)
         have[0] = 1
-        done, step = 1, U64(base)
+        done = 1
         while done < size:
-            more = min(done, size - done)
-            have[done : done + more] = have[:more] * step
-            done += more
-            step = step * step
+            have[done : 2 * done] = have[:done] * U64(pow(int(base), done, 2**64))
+            done *= 2
         _powers[int(base)] = have
     return have[:n]
 
