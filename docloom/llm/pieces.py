@@ -25,7 +25,11 @@ from .arrow import with_arrays
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+DECODED_AT_ONCE = 1 << 19
+CELLS_AT_ONCE = 1_000_000
+#: The length to which chunks of each length up to 64 are padded.
+PADDED = [next(p for p in (4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64) if n <= p) for n in range(65)]
 BUCKET_BITS = 20
 #: Chunks whose ids a Python worker remembers, in about 40 bytes each; beyond that it starts afresh.
 KEPT_CHUNKS = 3_000_000
@@ -170,14 +174,16 @@ def may_follow(m: PieceModel, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ok
 
 
-def viterbi(m: PieceModel, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pieces, number of pieces) of equally long chunks, rows of characters; pieces are padded with NONE.
+def viterbi(m: PieceModel, chars: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces, number of pieces) of chunks, rows of characters padded at the end to one length.
 
-    A row whose number is 0 has no admissible path.
+    The pieces stand at the end of their row, after NONE. The best path to a position depends on what
+    is before it alone, so each row's path is read from its own length. A row whose number is 0 has no
+    admissible path.
     """
     n, size = chars.shape
     sums, inverse = _hash_chars(chars), tx.powers(tx.BASE_INVERSE, size + 1)
-    best = np.full((n, size + 1), NONE, np.int64)
+    best = np.full((n, size + 1), NONE, np.int32)
     for i in range(1, size + 1):
         for k in range(1, min(i, m.longest) + 1):
             piece = m.find((sums[:, i] - sums[:, i - k]) * inverse[i - k])
@@ -187,9 +193,8 @@ def viterbi(m: PieceModel, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if i > k and len(can):
                 can = can[may_follow(m, best[can, i - k], piece[can])]
             best[can, i] = piece[can]
-    out, at, count = np.full((n, size), NONE, np.int64), np.full(n, size), np.zeros(n, np.int64)
-    alive = best[:, size] != NONE
-    rows = np.flatnonzero(alive)
+    out, at, count = np.full((n, size), NONE, np.int32), sizes.copy(), np.zeros(n, np.int64)
+    rows = np.flatnonzero(best[np.arange(n), sizes] != NONE)
     slot = size - 1
     while len(rows):
         piece = best[rows, at[rows]]
@@ -209,15 +214,15 @@ def encode_chunks(m: PieceModel, chunks: list[str]) -> list[np.ndarray]:
         if BLANK * 2 in c:
             odd.append(k)
         else:
-            by_size.setdefault(len(c), []).append(k)
+            by_size.setdefault(PADDED[len(c)] if len(c) < len(PADDED) else 1 << len(c).bit_length(), []).append(k)
     for size, own in by_size.items():
-        step = max(1, 2_000_000 // (size + 1))
+        step = max(1, CELLS_AT_ONCE // (size + 1))
         for s in range(0, len(own), step):
             some = own[s : s + step]
-            chars = np.frombuffer("".join(chunks[k] for k in some).encode("utf-32-le"), np.uint32).reshape(len(some), size)
-            found, count = viterbi(m, chars)
+            sizes = np.array([len(chunks[k]) for k in some])
+            chars = np.frombuffer("".join(chunks[k].ljust(size, "\0") for k in some).encode("utf-32-le"), np.uint32).reshape(len(some), size)
+            found, count = viterbi(m, chars, sizes)
             unknown = (found == m.unknown).any(axis=1).tolist()
-            found = found.astype(np.int32)
             for r, (k, c) in enumerate(zip(some, count.tolist(), strict=True)):
                 if not c:
                     odd.append(k)
@@ -279,55 +284,66 @@ class Memo:
 _memos: dict[int, Memo] = {}
 
 
+def _cut(m: PieceModel, data: np.ndarray, off: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A slice of texts, each with a blank before it, and its chunks: (bytes, starts, ends, hashes, first chunk of each text)."""
+    raw = data.tobytes()
+    if BLANK.encode() in raw:  # stands for a blank, as in the pieces
+        texts = [raw[a:b].replace(BLANK.encode(), b" ") for a, b in zip(off[:-1], off[1:], strict=True)]
+        raw, off = b"".join(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    some = np.flatnonzero(np.diff(off))
+    flat = np.insert(np.frombuffer(raw, np.uint8), off[:-1][some], 0x20)
+    begin = off[:-1][some] + np.arange(len(some))
+    blank = flat == 0x20
+    cut = blank.copy()
+    cut[1:] &= ~blank[:-1]
+    cut[begin] = True
+    cut[1:] |= m.alone[flat[1:]] | m.alone[flat[:-1]]
+    starts = np.flatnonzero(cut)
+    ends = np.append(starts[1:], len(flat))[: len(starts)]
+    first = np.zeros(len(off), np.int64)
+    first[some + 1] = np.diff(np.append(np.searchsorted(starts, begin), len(starts)))
+    return flat.tobytes(), starts, ends, tx.span_hashes(flat, starts, ends), np.cumsum(first)
+
+
 def encode(m: PieceModel, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, offsets) of a column; null and empty texts have no ids."""
     data, off = tx.buffers(column)
-    values, sizes = [np.zeros(0, np.int32)], []
     memo = _memos.setdefault(id(m), Memo())
+    if len(memo.keys) > KEPT_CHUNKS:
+        memo.__init__()
+    met, new, cuts = np.zeros(0, np.uint64), [], []
     for i, j in tx.slices(off, CHUNK_BYTES):
-        raw = data[off[i] : off[j]].tobytes()
-        if BLANK.encode() in raw:  # stands for a blank, as in the pieces
-            texts = [raw[a - off[i] : b - off[i]].replace(BLANK.encode(), b" ") for a, b in zip(off[i:j], off[i + 1 : j + 1], strict=True)]
-            raw = b"".join(texts)
-            own = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        else:
-            own = off[i : j + 1] - off[i]
-        some = np.flatnonzero(np.diff(own))
-        flat = np.insert(np.frombuffer(raw, np.uint8), own[:-1][some], 0x20)
-        begin = own[:-1][some] + np.arange(len(some))
-        blank = flat == 0x20
-        cut = blank.copy()
-        cut[1:] &= ~blank[:-1]
-        cut[begin] = True
-        cut[1:] |= m.alone[flat[1:]] | m.alone[flat[:-1]]
-        starts = np.flatnonzero(cut)
-        ends = np.append(starts[1:], len(flat))
-        hashes, first, which = np.unique(tx.span_hashes(flat, starts, ends), return_index=True, return_inverse=True)
-        whole = flat.tobytes()
+        whole, starts, ends, hashes, first = _cut(m, data[off[i] : off[j]], off[i : j + 1] - off[i])
+        own, at = np.unique(hashes, return_index=True)
+        fresh = memo.places(own) == NONE
+        own, at = own[fresh], at[fresh]
+        fresh = ~np.isin(own, met, assume_unique=True)
+        own, at = own[fresh], at[fresh]
+        new += [whole[a:b].decode().replace(" ", BLANK) for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        met = np.concatenate([met, own])
+        cuts.append((hashes, first))
+    order = np.argsort(met)
+    memo.add(met[order], encode_chunks(m, [new[k] for k in order.tolist()]))
+    values, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for hashes, first in cuts:
         place = memo.places(hashes)
-        new = np.flatnonzero(place == NONE)
-        found = encode_chunks(m, [whole[a:b].decode().replace(" ", BLANK) for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-        memo.add(hashes[new], found)
-        place = memo.places(hashes)
-        at, counts, pool = memo.at[place], memo.counts[place], memo.pool
-        n = counts[which]
-        done = np.cumsum(n)
-        if len(memo.keys) > KEPT_CHUNKS:
-            memo.__init__()
-        values.append(pool[np.repeat(at[which] - (done - n), n) + np.arange(done[-1] if len(done) else 0)])
-        total = np.zeros(j - i, np.int64)
-        total[some] = np.diff(np.concatenate([[0], done])[np.append(np.searchsorted(starts, begin), len(starts))])
-        sizes.append(total)
-    return np.concatenate(values), np.concatenate([[0], np.cumsum(np.concatenate(sizes) if sizes else [])]).astype(np.int64)
+        n = memo.counts[place]
+        done = np.concatenate([[0], np.cumsum(n)])
+        values.append(memo.pool[np.repeat(memo.at[place] - done[:-1], n) + np.arange(done[-1])])
+        sizes.append(np.diff(done[first]))
+    return np.concatenate(values), np.cumsum(np.concatenate(sizes))
 
 
 def decode(m: PieceModel, ids: np.ndarray, off: np.ndarray) -> list[str]:
     """The texts of runs of ids; the blank that stands before every text is taken off, bad bytes replaced."""
-    n = np.diff(m.surface_at)[ids]
-    done = np.cumsum(n)
-    flat = m.surface[np.repeat(m.surface_at[ids] - (done - n), n) + np.arange(done[-1] if len(done) else 0)]
-    at = np.concatenate([[0], done])[off]
-    texts = [flat[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    texts = []
+    for i, j in tx.slices(off, DECODED_AT_ONCE):
+        own = ids[off[i] : off[j]]
+        n = np.diff(m.surface_at)[own]
+        done = np.cumsum(n)
+        flat = m.surface[np.repeat(m.surface_at[own] - (done - n), n) + np.arange(done[-1] if len(done) else 0)]
+        at = np.concatenate([[0], done])[off[i : j + 1] - off[i]]
+        texts += [flat[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
     return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
