@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
-def with_arrays(df: DataFrame, fields: list[T.StructField], compute: Callable[[pa.RecordBatch], list]) -> DataFrame:
-    """`df` with the columns `fields`, which `compute` makes of each batch.
+def with_arrays(df: DataFrame, fields: list[T.StructField], compute: Callable[[pa.RecordBatch], list], keep: list[str] | None = None) -> DataFrame:
+    """`df` (or its columns `keep`) with the columns `fields`, which `compute` makes of each batch.
 
     An input column of the same name (in any case) is visible to `compute` and replaced in the result.
     """
     new = {f.name.lower() for f in fields}
-    kept = [f for f in df.schema.fields if f.name.lower() not in new]
+    kept = [f for f in df.schema.fields if f.name.lower() not in new and (keep is None or f.name in keep)]
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from . import chat, licenses, secrets
 from .decontaminate import op5_decontamination
 from .fingerprints import op9_fingerprint
+from .jaccard import op1_jaccard_join
 from .language import op10_language_id
 from .pieces import op4_piece_encoding
 from .quality import op2_quality
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_quality": op2_quality,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_piece_encoding": op4_piece_encoding,
