@@ -9,6 +9,7 @@ from .jaccard import op1_jaccard_join
 from .language import op10_language_id
 from .pieces import op4_piece_encoding
 from .quality import op2_quality
+from .substrings import op8_substring_dedup
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_chat_format": chat.op7_chat_format,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_fingerprint": op9_fingerprint,
     "op10_language_id": op10_language_id,
 }
