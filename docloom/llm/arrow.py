@@ -9,6 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about BATCH_BYTES, so that what is made of one stays small."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * BATCH_BYTES / max(batch.nbytes, 1)))
+        for k in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(k, rows)
+
+
 def with_arrays(df: DataFrame, fields: list[T.StructField], compute: Callable[[pa.RecordBatch], list], keep: list[str] | None = None) -> DataFrame:
     """`df` (or its columns `keep`) with the columns `fields`, which `compute` makes of each batch.
 
@@ -19,7 +30,7 @@ def with_arrays(df: DataFrame, fields: list[T.StructField], compute: Callable[[p
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             made = compute(batch)
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + made, names + [f.name for f in fields])
 

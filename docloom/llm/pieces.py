@@ -25,14 +25,14 @@ from .arrow import with_arrays
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 DECODED_AT_ONCE = 1 << 19
-CELLS_AT_ONCE = 1_000_000
+CELLS_AT_ONCE = 500_000
 #: The length to which chunks of each length up to 64 are padded.
 PADDED = [next(p for p in (4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64) if n <= p) for n in range(65)]
 BUCKET_BITS = 20
 #: Chunks whose ids a Python worker remembers, in about 40 bytes each; beyond that it starts afresh.
-KEPT_CHUNKS = 3_000_000
+KEPT_CHUNKS = 1_000_000
 NONE = -1
 
 
