@@ -1,25 +1,62 @@
-"""The corpus pipeline: language ID, near copies, benchmark passages, secrets, then token ids."""
+"""The corpus pipeline: from documents to token ids, in five stages.
+
+Each stage takes all that its predecessor kept. All but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import language
+from docloom.llm import decontaminate, jaccard, language, pieces, secrets
+from docloom.llm.shared import saved
+
+
+def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; those that the language ID rejects go."""
+    marked = language.identify(docs, language.fit(docs), out="_language")
+    return marked.where(~F.col("_language_rejected")).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard.keep_one(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents into which no benchmark item leaks."""
+    marked = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out="_leaks")
+    return marked.where(F.size("_leaks") == 0).select(*docs.columns)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of each secret; n_chars follows the text."""
+    clean = secrets.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
 
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, n_chars, n_pieces, piece_ids) of each document."""
+    encoded = pieces.encode_column(docs)
+    return encoded.select("doc_id", "lang", "source", "n_chars", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids")
 
-def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; the language ID's rejects go."""
-    names = docs.columns
-    return language.identify(docs, language.fit(docs), out="_language").where(~F.col("_language_rejected")).select(*names)
 
+STAGES = [
+    ("language", known_languages),
+    ("near_copies", one_of_each),
+    ("benchmark", without_benchmark),
+    ("secrets", without_secrets),
+    ("tokens", token_ids),
+]
 
-STAGES = [("language", keep_known_languages)]
+#: SQL can't express the language ID, so the pipeline is tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on `documents`; what a stage keeps is written before the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        docs = saved(docs) if k < len(STAGES) - 1 else docs
     return docs

@@ -49,8 +49,8 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
 
     A row for each anchor of each text; window starts count from the text's first byte.
     """
-    starts = len(data) - length + 1
-    if starts <= 0:
+    size = np.diff(off)
+    if not len(size) or size.max() < length:
         none = np.zeros(0, np.int64)
         return none, none.view(np.uint64), none.view(np.uint64), none, none, none
     grams = tx.byte_windows(data, gram)
@@ -58,9 +58,9 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     keys = (grams & ~place) | np.arange(len(grams), dtype=np.uint64)
     at = (_smallest(keys, length - gram + 1) & place).astype(np.int64)
     # a window start counts if the window ends in its text
-    size = np.diff(off)
-    text = np.repeat(np.arange(len(size)), np.maximum(size - length + 1, 0))
-    inside = np.arange(len(text)) - np.repeat(np.cumsum(np.maximum(size - length + 1, 0)) - np.maximum(size - length + 1, 0), np.maximum(size - length + 1, 0))
+    count = np.maximum(size - length + 1, 0)
+    text = np.repeat(np.arange(len(size)), count)
+    inside = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
     p = off[text] + inside
     a = at[p]
     new = np.ones(len(p), bool)
