@@ -48,6 +48,7 @@ def _hash_chars(chars: np.ndarray) -> np.ndarray:
 class PieceModel:
     """Ids are the model's; one more id, `unknown`, is a character without a piece."""
 
+    path: str
     texts: list[str]  # of all ids
     byte_ids: np.ndarray  # of the 256 bytes
     keys: np.ndarray  # sorted hashes of the usable pieces
@@ -145,7 +146,7 @@ def load(path: str = MODEL) -> PieceModel:
     alone = np.zeros(256, bool)
     alone[:128] = True
     alone[[ord(c) for c in set("".join(texts[i] for i in plain)) if ord(c) < 128] + [0x20]] = False
-    return PieceModel(texts, byte_ids, keys, np.array(usable)[order], bucket, int(np.bincount(slot).max()), alone, length, rank, left, right, raw, int(length[usable].max()), np.frombuffer(b"".join(surfaces), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in surfaces])]))
+    return PieceModel(path, texts, byte_ids, keys, np.array(usable)[order], bucket, int(np.bincount(slot).max()), alone, length, rank, left, right, raw, int(length[usable].max()), np.frombuffer(b"".join(surfaces), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in surfaces])]))
 
 
 def _parts(text: str) -> set[str]:
@@ -281,7 +282,7 @@ class Memo:
         self.used = end
 
 
-_memos: dict[int, Memo] = {}
+_memos: dict[str, Memo] = {}
 
 
 def _cut(m: PieceModel, data: np.ndarray, off: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -308,9 +309,10 @@ def _cut(m: PieceModel, data: np.ndarray, off: np.ndarray) -> tuple[bytes, np.nd
 def encode(m: PieceModel, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, offsets) of a column; null and empty texts have no ids."""
     data, off = tx.buffers(column)
-    memo = _memos.setdefault(id(m), Memo())
-    if len(memo.keys) > KEPT_CHUNKS:
-        memo.__init__()
+    if m.path not in _memos or len(_memos[m.path].keys) > KEPT_CHUNKS:
+        _memos.clear()
+        _memos[m.path] = Memo()
+    memo = _memos[m.path]
     met, new, cuts = np.zeros(0, np.uint64), [], []
     for i, j in tx.slices(off, CHUNK_BYTES):
         whole, starts, ends, hashes, first = _cut(m, data[off[i] : off[j]], off[i : j + 1] - off[i])
