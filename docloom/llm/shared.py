@@ -24,31 +24,49 @@ def folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """`df` as a written table: later steps start from it, also after executors are lost."""
+def saved(df: DataFrame, rows: int | None = None, each: int = 100_000) -> DataFrame:
+    """`df` as a written table: later steps start from it, also after executors are lost.
+
+    Where the number of rows is known to be about `rows`, the last step gets a task for `each` of them.
+    """
+    if rows is not None:
+        df = df.coalesce(max(6, -(-rows // each)))
     path = f"{folder(df.sparkSession)}/docloom/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables of so many narrow rows, some tens of MB, are broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 2_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`df`, a written table, to be broadcast if it has no more than so many narrow rows, else left to a shuffled join."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of `edges` (a, b): the smallest node that each can reach.
 
     Each round hooks every node to its smallest neighbour, shortens the pointers and contracts the
     edges, until none is left; the tables shrink from round to round.
     """
-    left = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    labels = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
-    while not left.isEmpty():
+    n = edges.count()
+    left = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), n)
+    labels: DataFrame | None = None
+    while n := left.count():
         ends = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = ends.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("x"), F.least("a", "b").alias("p"))
-        hook = saved(hook)
-        for _ in range(3):
-            up = hook.select(F.col("x").alias("p"), F.col("p").alias("q"))
-            hook = hook.join(up, "p", "left").select("x", F.coalesce("q", "p").alias("p"))
-        hook = saved(hook)
-        labels = saved(labels.join(hook, labels["component"] == hook["x"], "left").select("node", F.coalesce("p", "component").alias("component")))
-        a, b = hook.select(F.col("x").alias("a"), F.col("p").alias("pa")), hook.select(F.col("x").alias("b"), F.col("p").alias("pb"))
+        hook = saved(ends.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("x"), F.least("a", "b").alias("p")), 2 * n)
+        up = small(hook)
+        for _ in range(2):
+            hook = hook.join(up.select(F.col("x").alias("p"), F.col("p").alias("q")), "p", "left").select("x", F.coalesce("q", "p").alias("p"))
+        hook = saved(hook, 2 * n)
+        near = small(hook)
+        if labels is None:
+            labels = hook.select(F.col("x").alias("node"), F.col("p").alias("component"))
+        else:
+            labels = saved(labels.join(near, labels["component"] == near["x"], "left").select("node", F.coalesce("p", "component").alias("component")))
+        a, b = near.select(F.col("x").alias("a"), F.col("p").alias("pa")), near.select(F.col("x").alias("b"), F.col("p").alias("pb"))
         moved = left.join(a, "a").join(b, "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
-        left = saved(moved.where("a <> b").distinct())
-    return labels
+        left = saved(moved.where("a <> b").distinct(), n)
+    return left.select(F.col("a").alias("node"), F.col("b").alias("component")) if labels is None else labels
