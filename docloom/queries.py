@@ -2,5 +2,207 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.tables import column_types, parse_embedded_blocks, table_cells
+from .functions.text import slug
+from .operators import structure as st
+from .operators.render import render
+from .sources import compact, interchange, lines, notebooks, prose
+from .sources.registry import REGISTRY
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("doc"), "text")
+
+
+def _prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prose.read_prose(_docs(spark, sf_dir))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prose.read_pages(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc"), "html"))
+
+
+def _plain(blocks: DataFrame) -> DataFrame:
+    """Without maps, and without the cells of tables, which have queries of their own."""
+    return blocks.select(
+        "doc", "kind", "element_type", F.when(F.col("element_type") != "table", F.col("content")).alias("content"), "level", "encoding", "element_order",
+        st.attribute("heading_level").alias("heading_level"), st.attribute("id").alias("id"), st.attribute("role").alias("role"), st.attribute("key").alias("key"),
+    )
+
+
+_SLUG = "coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '[^\\p{{L}}\\p{{N}}_\\-. \\t\\r\\n]+', '', 'g'), '\\s+', '-', 'g'), '^[^\\p{{L}}]+', ''), ''), 'section')"
+_LINES = """l as (select doc_id as doc, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as n from documents where text is not null),
+w as (select *, len(string_split_regex(trim(line), ' +')) as words, contains(line, ' | ') as barred from l where trim(line) <> '')"""
+_PROSE = f"""{_LINES},
+b as (select doc, 'block' as kind, case when barred then 'table' when words <= 3 then 'heading' else 'paragraph' end as element_type, case when not barred then trim(line) end as content, 1 as level,
+  case when barred then 'json' else 'text' end as encoding, (row_number() over (partition by doc order by n) - 1)::int as element_order, case when words <= 3 and not barred then words::varchar end as heading_level,
+  case when words <= 3 and not barred then {_SLUG.format("line")} end as id, null::varchar as role, null::varchar as key from w)"""
+_TOKEN = prose._TOKEN.replace("'", "''")
+_NAMES = "|".join(prose.SECTIONS)
+_PAGES = f"""t as (select page_id as doc, unnest(range(len(x))) as n, unnest(x) as token from (select page_id, regexp_extract_all(html, '{_TOKEN}', 1) as x from pages)),
+g as (select *, lower(regexp_extract(token, '^<(/?[A-Za-z][A-Za-z0-9]*)', 1)) as tag from t),
+d as (select *, sum(case when regexp_matches(tag, '^({_NAMES})$') then 1 when regexp_matches(tag, '^/({_NAMES})$') then -1 else 0 end) over (partition by doc order by n) as depth,
+  last_value(case when regexp_matches(tag, '^/?(h[1-6]|li|p|title|div|article|nav|footer|header|aside|main|td|th|ul|ol|head|body)$') then tag end ignore nulls) over (partition by doc order by n rows between unbounded preceding and current row) as block,
+  trim(regexp_replace(token, '\\s+', ' ', 'g')) as body, regexp_matches(tag, '^({_NAMES})$') as opens from g),
+k as (select *, not starts_with(token, '<') and body <> '' as is_text, coalesce(regexp_matches(block, '^h[1-6]$'), false) as head from d),
+m as (select *, case when opens then 'section' when block = 'title' then 'title' when head then 'heading' when block = 'li' then 'list_item' else 'paragraph' end as what from k where is_text or opens),
+b as (select doc, case when what = 'title' then 'value' else 'block' end as kind, case when what = 'title' then 'string' else what end as element_type, case when is_text then body end as content,
+  (case when what = 'title' then 1 else greatest(case when opens then depth else depth + 1 end, 1) end)::int as level, 'text' as encoding, (row_number() over (partition by doc order by what = 'title', n) - 1)::int as element_order,
+  case when head and is_text then block[2] end as heading_level, case when head and is_text then {_SLUG.format("body")} end as id, case when opens then tag end as role, case when what = 'title' then 'title' end as key from m)"""
+_COLUMNS = "doc, kind, element_type, content, level, encoding, element_order, heading_level, id, role, key"
+
+# Letters and blanks alone, so that no line is markup in any format.
+_LETTERS = r"[^\p{L} ]"
+_MARKS = {
+    "org": lambda t, w: F.concat(F.repeat(F.lit("*"), w), F.lit(" "), t),
+    "rst": lambda t, w: F.concat(t, F.lit("\n"), F.repeat(F.element_at(F.array(F.lit("="), F.lit("-"), F.lit("~")), w), F.greatest(F.length(t), F.lit(3)))),
+    "mediawiki": lambda t, w: F.concat(F.repeat(F.lit("="), w), F.lit(" "), t, F.lit(" "), F.repeat(F.lit("="), w)),
+    "textile": lambda t, w: F.concat(F.lit("h"), w.cast("string"), F.lit(". "), t),
+    "latex": lambda t, w: F.concat(F.lit("\\"), F.repeat(F.lit("sub"), w - 1), F.lit("section{"), t, F.lit("}")),
+}
+_LETTER_LINES = f"""l as (select doc_id as doc, unnest(string_split(text, chr(10))) as raw, unnest(range(len(string_split(text, chr(10))))) as n from documents where text is not null),
+c as (select doc, n, trim(regexp_replace(raw, '{_LETTERS}', '', 'g')) as line from l),
+w as (select *, len(string_split_regex(line, ' +')) as words from c where line <> '')"""
+_MARKED = f"with {_LETTER_LINES} select doc, case when words <= 3 then 'heading' else 'paragraph' end as element_type, line as content, (row_number() over (partition by doc order by n) - 1)::int as element_order, case when words <= 3 then words::varchar end as heading_level from w"
+
+
+def _letter_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir).select("doc", F.posexplode(F.split("text", "\n")).alias("n", "raw"))
+    rows = rows.select("doc", "n", F.trim(F.regexp_replace("raw", _LETTERS, "")).alias("line")).where("line <> ''")
+    return rows.withColumn("words", F.size(F.split("line", " +")))
+
+
+def _marked(spark: SparkSession, sf_dir: str, format: str) -> DataFrame:
+    """Documents in a markup format."""
+    line = F.when(F.col("words") <= 3, _MARKS[format](F.col("line"), F.col("words"))).otherwise(F.col("line"))
+    rows = _letter_lines(spark, sf_dir).select("doc", F.struct("n", line.alias("line")).alias("x"))
+    return rows.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n\n").alias("text"))
+
+
+def _read_marked(format: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = lines.read_lines(_marked(spark, sf_dir, format), format).select("doc", "element_type", "content", "element_order", st.attribute("heading_level").alias("heading_level"))
+        return out.drop("heading_level") if format == "rst" else out
+
+    return query
+
+
+def _toc(spark, sf_dir):
+    return st.toc(_prose(spark, sf_dir))
+
+
+def _round_trip_interchange(spark, sf_dir):
+    blocks = lines.read_lines(_marked(spark, sf_dir, "org"), "org")
+    back = interchange.read_interchange(interchange.write_interchange(blocks))
+    return back.select("doc", "element_type", "content", "element_order", st.attribute("heading_level").alias("heading_level"))
+
+
+def _round_trip_compact(spark, sf_dir):
+    return _plain(compact.read_compact(compact.write_compact(_prose(spark, sf_dir))))
+
+
+def _notebooks(spark, sf_dir):
+    docs = _docs(spark, sf_dir).where("text is not null")
+    cells = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.when(i % 2 == 0, "markdown").otherwise("code").alias("cell_type"), x.alias("source"), F.array().cast("array<string>").alias("outputs")))
+    made = docs.select("doc", F.to_json(F.struct(cells.alias("cells"), F.struct(F.struct(F.lit("python").alias("language")).alias("kernelspec")).alias("metadata"))).alias("text"))
+    return notebooks.read_notebooks(made).select("doc", "element_type", "content", "encoding", "element_order", st.attribute("language").alias("language"))
+
+
+def _embedded(spark, sf_dir):
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    line = F.struct("n_nationkey", F.concat_ws(",", F.col("n_nationkey").cast("string"), F.concat(F.lit('"'), "n_name", F.lit('"'))).alias("line"))
+    text = F.concat(F.lit("key,name\n"), F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n"))
+    blocks = nation.groupBy(F.col("n_regionkey").alias("doc")).agg(text.alias("content")).select(
+        "doc", F.lit("block").alias("kind"), F.lit("code").alias("element_type"), "content", F.lit(1).alias("level"), F.lit("text").alias("encoding"), F.create_map(F.lit("language"), F.lit("csv")).alias("attributes"), F.lit(0).alias("element_order")
+    )
+    return table_cells(parse_embedded_blocks(blocks)).select("doc", "row", "name", "value")
+
+
+def _body_sql(source: str) -> str:
+    """A row is metadata if some root before it has had no row of its level or above since."""
+    return f"""{source}, r as (select *, kind = 'value' or element_type = 'metadata' as root from b),
+body as (select {_COLUMNS} from r x where not exists (select 1 from r m where m.doc = x.doc and m.root and m.element_order <= x.element_order
+  and not exists (select 1 from r y where y.doc = x.doc and y.element_order > m.element_order and y.element_order <= x.element_order and y.level <= m.level)))"""
+
+
+def _section_sql(hit: str, exact: bool) -> str:
+    return f"""with {_PROSE}, h as (select doc, element_order as o, heading_level::int as lvl, row_number() over (partition by doc order by element_order) as rn from b where element_type = 'heading' and ({hit})),
+s as (select h.doc, h.o, min(n.element_order) as e from h left join b n on n.doc = h.doc and n.element_type = 'heading' and n.element_order > h.o and n.heading_level::int <= h.lvl {"where rn = 1" if exact else ""} group by h.doc, h.o)
+select {_COLUMNS} from b where exists (select 1 from s where s.doc = b.doc and b.element_order >= s.o and (s.e is null or b.element_order < s.e))"""
+
+
+def _flat_cells(blocks: DataFrame) -> DataFrame:
+    return table_cells(blocks).select("doc", "element_order", "row", "name", "value")
+
+
+_CELLS = f"""with {_LINES}, o as (select *, (row_number() over (partition by doc order by n) - 1)::int as element_order from w),
+c as (select doc, element_order, unnest(string_split(line, '|')) as cell, unnest(range(len(string_split(line, '|')))) as k from o where barred)"""
+_FORMS = "case when bool_and(v = '' or regexp_matches(v, '^(0|-?[1-9][0-9]{0,17})$')) and bool_or(v <> '') then 'bigint' else 'string' end"
+
+_BLOCKS_IN_READING = f"""with {_PAGES}, s as (select doc, element_order as o, level as lv, role from b where element_type = 'section' and role in ('main', 'article', 'header', 'nav', 'aside', 'footer')),
+p as (select s.*, coalesce((select min(element_order) from b where b.doc = s.doc and b.element_order > s.o and b.level <= s.lv), 1000000000) as e from s),
+chrome as (select * from p where role in ('nav', 'aside') or (role in ('header', 'footer') and not exists (select 1 from p a where a.doc = p.doc and a.role = 'article' and p.o > a.o and p.o < a.e))),
+keep as (select * from p where role = 'main' or (role = 'article' and not exists (select 1 from p m where m.doc = p.doc and m.role = 'main')))
+select {_COLUMNS} from b where case when kind = 'value' then key in ('title', 'author', 'description') else
+  (not exists (select 1 from keep where keep.doc = b.doc) or exists (select 1 from keep where keep.doc = b.doc and b.element_order >= o and b.element_order < e))
+  and not exists (select 1 from chrome where chrome.doc = b.doc and b.element_order >= o and b.element_order < e) end"""
+
+QUERIES = {
+    "read_prose": lambda s, d: _plain(_prose(s, d)),
+    "read_pages": lambda s, d: _plain(_pages(s, d)),
+    **{f"read_{f}": _read_marked(f) for f in _MARKS},
+    "read_notebooks": _notebooks,
+    "doc_toc": _toc,
+    "doc_section_exact": lambda s, d: _plain(st.section(_prose(s, d), "Of.")),
+    "doc_section_contains": lambda s, d: _plain(st.section(_prose(s, d), "th%on", "contains")),
+    "doc_section_glob": lambda s, d: _plain(st.section(_prose(s, d), "a?e*.", "glob")),
+    "doc_search_sections": lambda s, d: _plain(st.search_sections(_prose(s, d), "licensed under")),
+    "doc_container": lambda s, d: _plain(st.container(_pages(s, d).withColumn("attributes", F.when(st.attribute("role") == "article", F.map_concat("attributes", F.create_map(F.lit("id"), F.lit("art")))).otherwise(F.col("attributes"))), "art")).drop("id"),
+    "doc_reading": lambda s, d: _plain(st.reading(_pages(s, d))),
+    "doc_body": lambda s, d: _plain(st.body(_pages(s, d))),
+    "doc_render_text": lambda s, d: render(_pages(s, d), "text"),
+    "doc_renumber": lambda s, d: _plain(st.renumber(_pages(s, d).where("kind = 'block' and element_type <> 'section'"), 5)),
+    "doc_collect_explode": lambda s, d: _plain(st.exploded(st.collected(_pages(s, d)))),
+    "doc_repair": lambda s, d: _plain(st.repair(_pages(s, d))),
+    "slug": lambda s, d: _docs(s, d).select("doc", slug(F.col("text")).alias("slug")),
+    "table_cells": lambda s, d: _flat_cells(_prose(s, d)),
+    "column_types": lambda s, d: column_types(_prose(s, d)).select("doc", "element_order", "name", "type"),
+    "embedded_tables": _embedded,
+    "interchange_round_trip": _round_trip_interchange,
+    "compact_round_trip": _round_trip_compact,
+    "reader_registry": lambda s, d: REGISTRY.table(s),
+}
+
+ORACLES: dict[str, str] = {
+    "read_prose": f"with {_PROSE} select {_COLUMNS} from b",
+    "read_pages": f"with {_PAGES} select {_COLUMNS} from b",
+    **{f"read_{f}": _MARKED if f != "rst" else f"select doc, element_type, content, element_order from ({_MARKED})" for f in _MARKS},
+    "read_notebooks": """select doc_id as doc, case when n % 2 = 0 then 'raw' else 'code' end as element_type, line as content, case when n % 2 = 0 then 'markdown' else 'text' end as encoding, n::int as element_order,
+  case when n % 2 = 1 then 'python' end as language from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as n from documents where text is not null)""",
+    "doc_toc": f"with {_PROSE} select doc, heading_level::int as level, content as title, id, heading_level::int - min(heading_level::int) over (partition by doc) as indent, element_order from b where element_type = 'heading'",
+    "doc_section_exact": _section_sql("content = 'Of.' or id = 'Of.'", True),
+    "doc_section_contains": _section_sql("content ilike '%th%on%' escape '\\' or id = 'th%on'", False),
+    "doc_section_glob": _section_sql("content ilike '%a_e%.%' escape '\\' or id = 'a?e*.'", False),
+    "doc_search_sections": f"""with {_PROSE}, t as (select *, max(case when element_type = 'heading' then element_order end) over (partition by doc order by element_order) as seg from b),
+g as (select doc, seg, coalesce(string_agg(content, ' ' order by element_order) filter (content <> ''), '') as txt from t group by doc, seg),
+m as (select doc, seg from g where txt ilike '%licensed under%')
+select {_COLUMNS} from t where exists (select 1 from m where m.doc = t.doc and m.seg is not distinct from t.seg)""",
+    "doc_container": f"""with {_PAGES}, h as (select doc, min(element_order) as o, min_by(level, element_order) as lv from b where role = 'article' group by doc),
+e as (select h.doc, o, min(b.element_order) as e from h left join b on b.doc = h.doc and b.element_order > o and b.level <= lv group by h.doc, o)
+select {_COLUMNS.replace(" id,", "")} from b where exists (select 1 from e where e.doc = b.doc and b.element_order >= o and (e is null or b.element_order < e))""",
+    "doc_reading": _BLOCKS_IN_READING,
+    "doc_body": f"with {_body_sql(_PAGES)} select {_COLUMNS} from body",
+    "doc_render_text": f"""with {_PAGES} select doc, ltrim(coalesce(string_agg(case when element_type = 'list_item' then chr(10) else chr(10) || chr(10) end || content, '' order by element_order) filter (coalesce(content, '') <> ''), ''), chr(10)) as rendered
+from b where kind <> 'value' group by doc""",
+    "doc_renumber": f"with {_PAGES} select {_COLUMNS.replace('element_order', '(row_number() over (partition by doc order by element_order) + 4)::int as element_order')} from b where kind = 'block' and element_type <> 'section'",
+    "doc_collect_explode": f"with {_PAGES} select {_COLUMNS} from b",
+    "slug": f"select doc_id as doc, case when text is null then 'section' else {_SLUG.format('text')} end as slug from documents",
+    "table_cells": _CELLS + " select doc, element_order, 0 as row, 'column_' || (k + 1) as name, trim(cell) as value from c",
+    "column_types": _CELLS + f" select doc, element_order, 'column_' || (k + 1) as name, {_FORMS.replace('v', 'trim(cell)')} as type from c group by doc, element_order, k".replace("trim(cell)alue", "value"),
+    "embedded_tables": """select n_regionkey as doc, (row_number() over (partition by n_regionkey order by n_nationkey) - 1)::int as row, unnest(['key', 'name']) as name, unnest([n_nationkey::varchar, n_name]) as value from nation""",
+    "interchange_round_trip": _MARKED,
+    "compact_round_trip": f"with {_PROSE} select {_COLUMNS} from b",
+}
