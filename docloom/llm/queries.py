@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, secrets
+from . import chat, jaccard, licenses, secrets
 from .decontaminate import op5_decontamination
 from .fingerprints import op9_fingerprint
-from .jaccard import op1_jaccard_join
 from .language import op10_language_id
 from .pieces import op4_piece_encoding
 from .quality import op2_quality
 from .substrings import op8_substring_dedup
 
 QUERIES = {
-    "op1_jaccard_join": op1_jaccard_join,
+    "op1_jaccard_join": jaccard.op1_jaccard_join,
     "op2_quality": op2_quality,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_piece_encoding": op4_piece_encoding,
@@ -23,4 +22,4 @@ QUERIES = {
     "op9_fingerprint": op9_fingerprint,
     "op10_language_id": op10_language_id,
 }
-ORACLES: dict[str, str] = {"op3_license_scan": licenses.ORACLE, "op6_secret_scan": secrets.ORACLE, "op7_chat_format": chat.ORACLE}
+ORACLES: dict[str, str] = {"op1_jaccard_join": jaccard.ORACLE, "op3_license_scan": licenses.ORACLE, "op6_secret_scan": secrets.ORACLE, "op7_chat_format": chat.ORACLE}
