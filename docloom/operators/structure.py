@@ -192,3 +192,20 @@ def collected(blocks: DataFrame, by: str = "doc") -> DataFrame:
 def exploded(documents: DataFrame, by: str = "doc") -> DataFrame:
     """The block rows of documents held as arrays; the inverse of `collected`."""
     return documents.select(by, F.inline("blocks"))
+
+
+def expand_embedded(blocks: DataFrame, by: str = "doc") -> DataFrame:
+    """Raw markdown blocks, such as a notebook's cells, replaced by the blocks that they hold.
+
+    The new rows stand where the raw one stood, their levels count from its level, and each document is
+    numbered anew from its smallest element_order.
+    """
+    from ..sources.lines import MARKDOWN, read_lines
+
+    is_raw = F.coalesce((F.col("kind") == "block") & (F.col("element_type") == "raw") & (F.coalesce(attribute("format"), F.lit("")) == "markdown"), F.lit(False))
+    raw = blocks.where(is_raw).select(F.struct(F.col(by).alias("doc"), F.col("element_order").alias("at"), F.coalesce("level", F.lit(1)).alias("host")).alias("_key"), F.col("content").alias("text"))
+    inner = read_lines(raw, MARKDOWN, "_key").select(F.col("_key.doc").alias(by), "kind", "element_type", "content", (F.col("level") + F.col("_key.host") - 1).cast("int").alias("level"), "encoding", "attributes", F.col("_key.at").alias("element_order"), F.col("element_order").alias("_sub"))
+    both = blocks.where(~is_raw).withColumn("_sub", F.lit(0)).select(*inner.columns).unionByName(inner)
+    place, whole = Window.partitionBy(by).orderBy("element_order", "_sub"), Window.partitionBy(by)
+    order = F.row_number().over(place) - 1 + F.min("element_order").over(whole)
+    return both.withColumn("element_order", order.cast("int")).select(*blocks.columns)

@@ -95,7 +95,11 @@ def read_archives(docs: DataFrame, format: str, by: str = "doc", content: str =
     def parts(column: pd.Series) -> pd.Series:
         return column.map(lambda x: paragraphs(x, format))
 
-    rows = docs.select(by, F.posexplode(parts(content)).alias("n", "p")).select(by, "n", "p.*")
+    return paragraph_blocks(docs.select(by, F.posexplode(parts(content)).alias("n", "p")).select(by, "n", "p.*"), by)
+
+
+def paragraph_blocks(rows: DataFrame, by: str = "doc") -> DataFrame:
+    """The block table of paragraphs (doc, n, what, rank, text); metadata follows the body."""
     meta = F.col("what").startswith("meta:")
     place = Window.partitionBy(by).orderBy(meta, "n")
     heading = F.col("what") == "heading"

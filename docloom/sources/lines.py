@@ -94,7 +94,16 @@ LATEX = LineFormat(
     cell="&",
     inlines=(("bold", r"\\textbf\{([^{}]*)\}", 1), ("italic", r"\\(?:textit|emph)\{([^{}]*)\}", 1), ("code", r"\\texttt\{([^{}]*)\}", 1), ("link", r"\\href\{[^{}]*\}\{([^{}]*)\}", 1), ("underline", r"\\underline\{([^{}]*)\}", 1), ("math", r"\$([^$]+)\$", 1)),
 )
-FORMATS = {f.name: f for f in (ORG, RST, MEDIAWIKI, TEXTILE, LATEX)}
+MARKDOWN = LineFormat(
+    "markdown",
+    (
+        LineRule("heading", r"^(#{1,6})\s+(.*?)\s*#*\s*$", 2, depth=1), LineRule("hr", r"^\s*(?:-{3,}|\*{3,}|_{3,})\s*$", 0), LineRule("item", r"^(\s*)[-*+]\s+(.*)$", 2, depth=1), LineRule("item", r"^(\s*)\d+[.)]\s+(.*)$", 2, depth=1, ordered=True), LineRule("quote", r"^>\s?(.*)$"),
+        LineRule("bar", r"^\s*\|?\s*:?-{2,}:?\s*(?:\|\s*:?-{2,}:?\s*)+\|?\s*$"), LineRule("table", r"^\s*\|(.*?)\|?\s*$"),
+    ),
+    ((r"^```(\w*).*$", r"^```\s*$"),),
+    inlines=(("code", r"`([^`]+)`", 1), ("link", r"\[([^\]]+)\]\([^)]*\)", 1), ("bold", r"\*\*([^*]+)\*\*", 1), ("italic", r"\*([^*\s][^*]*)\*", 1)),
+)
+FORMATS = {f.name: f for f in (ORG, RST, MEDIAWIKI, TEXTILE, LATEX, MARKDOWN)}
 
 ADORNMENT = r"^([=\-~^\"'#*+`:.<>_])\1{2,}\s*$"
 _MERGED = ("para", "quote", "table", "code")
@@ -173,8 +182,11 @@ def classify(docs: DataFrame, fmt: LineFormat, by: str = "doc", text: str = "tex
     rows = rows.withColumn("language", F.lit(None).cast("string")).withColumn("fence", F.lit(0).cast("long"))
     if fmt.fences:
         opening, closing = fmt.fences[0]
-        opens, closes = F.when(line.rlike(opening), 1).otherwise(0), F.when(line.rlike(closing), 1).otherwise(0)
         so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        opens, closes = F.when(line.rlike(opening), 1).otherwise(0), F.when(line.rlike(closing), 1).otherwise(0)
+        if fmt.name == "markdown":  # the same mark opens and closes in turn
+            rows = rows.withColumn("_turn", F.sum(opens).over(so_far))
+            opens, closes = F.when((opens == 1) & (F.col("_turn") % 2 == 1), 1).otherwise(0), F.when((opens == 1) & (F.col("_turn") % 2 == 0), 1).otherwise(0)
         rows = rows.withColumn("_open", F.sum(opens).over(so_far)).withColumn("_closed", F.sum(closes).over(so_far))
         rows = rows.withColumn("language", F.last(F.when(opens == 1, F.regexp_extract("line", opening, 1)), ignorenulls=True).over(so_far)).withColumn("fence", F.col("_open"))
         edge = (opens == 1) | (closes == 1)
@@ -183,6 +195,14 @@ def classify(docs: DataFrame, fmt: LineFormat, by: str = "doc", text: str = "tex
     return rows
 
 
+def latex_tokens(docs: DataFrame, by: str = "doc", text: str = "text") -> DataFrame:
+    """(doc, n, kind, token) of LaTeX texts: command, escape, special, comment, blank and text."""
+    tokens = F.regexp_extract_all(F.col(text), F.lit(r"(?s)(\\[A-Za-z]+\*?|\\.|%[^\n]*|[{}\[\]$&#^_~]|\s+|[^\\%{}\[\]$&#^_~\s]+|.)"), F.lit(1))
+    token = F.col("token")
+    kind = F.when(token.rlike(r"^\\[A-Za-z]"), "command").when(token.rlike(r"^\\"), "escape").when(token.startswith("%"), "comment").when(token.rlike(r"^\s"), "blank").when(token.rlike(r"^[{}\[\]$&#^_~]"), "special").otherwise("text")
+    return docs.select(by, F.posexplode(tokens).alias("n", "token")).select(by, "n", kind.alias("kind"), "token")
+
+
 def read_lines(docs: DataFrame, fmt: LineFormat | str, by: str = "doc", text: str = "text") -> DataFrame:
     """The block table of documents (doc, text) in one of the line formats; a null text has no blocks."""
     fmt = FORMATS[fmt] if isinstance(fmt, str) else fmt
@@ -199,7 +219,7 @@ def read_lines(docs: DataFrame, fmt: LineFormat | str, by: str = "doc", text: st
     runs = runs.withColumn("_opens", opens_list)
     text_of = F.array_join("lines", fmt.wraps)
     depth = F.when(F.col("rank") > 0, F.col("rank")).otherwise(0)
-    depth = F.floor(depth / 2) if fmt.name in ("org", "rst", "latex") else F.greatest(depth - 1, F.lit(0))
+    depth = F.floor(depth / 2) if fmt.name in ("org", "rst", "latex", "markdown") else F.greatest(depth - 1, F.lit(0))
     kind = F.when(F.col("ordered"), "ordered").otherwise("bullet")
     list_attributes = _attributes(list_type=kind, ordered=F.col("ordered"), start=F.when(F.col("ordered"), "1"), number_style=F.when(F.col("ordered"), "Decimal"), number_delim=F.when(F.col("ordered"), "Period"))
     cells = F.transform("lines", lambda x: F.transform(F.split(x, fmt.cell), lambda c: F.trim(c)))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import BLOCK_COLUMNS
-from . import archives, compact, interchange, lines, notebooks, prose
+from . import archives, compact, interchange, lines, notebooks, prose, rtf
 
 Reader = Callable[..., DataFrame]
 ALLOW, ENABLED, DISABLED = "spark.docloom.allowRegistration", "spark.docloom.enabledReaders", "spark.docloom.disabledReaders"
@@ -38,11 +38,11 @@ def _verbatim(encoding: str, docs: DataFrame, by: str = "doc", text: str = "text
 
 def _builtin() -> list[Entry]:
     text = {
-        "org": ["org"], "rst": ["rst", "rest"], "mediawiki": ["wiki", "mediawiki"], "textile": ["textile"], "latex": ["tex", "latex"],
+        "org": ["org"], "rst": ["rst", "rest"], "mediawiki": ["wiki", "mediawiki"], "textile": ["textile"], "latex": ["tex", "latex"], "markdown": ["md", "markdown"],
     }
     out = [Entry(e, f, "doc", "builtin", partial(lines.read_lines, fmt=f)) for f, some in text.items() for e in some]
     out += [Entry("ipynb", "ipynb", "doc", "builtin", notebooks.read_notebooks), Entry("dblocks", "dblocks", "doc", "builtin", _compact), Entry("", "pandoc", "doc", "builtin", interchange.read_interchange)]
-    out += [Entry(e, "html", "doc", "builtin", partial(prose.read_pages, html="text")) for e in ("html", "htm")] + [Entry("txt", "prose", "doc", "builtin", prose.read_prose)]
+    out += [Entry(e, "html", "doc", "builtin", partial(prose.read_pages, html="text")) for e in ("html", "htm")] + [Entry("txt", "prose", "doc", "builtin", prose.read_prose), Entry("rtf", "rtf", "doc", "builtin", rtf.read_rtf)]
     out += [Entry(e, k, "doc", "builtin", partial(_verbatim, k)) for e, k in (("toml", "toml"), ("yaml", "yaml"), ("yml", "yaml"))]
     out += [Entry(e, e, "doc", "builtin", partial(archives.read_archives, format=e), True) for e in archives.FORMATS]
     return out + [Entry(e, "data", "table", "builtin", None) for e in ("csv", "tsv", "parquet", "arrow", "json", "jsonl", "ndjson", "xlsx")] + [Entry("zim", "zim", "doc", "builtin", None)]

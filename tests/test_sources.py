@@ -232,3 +232,29 @@ def test_stream(spark, tmp_path):
     query = write_blocks(stream_documents(spark, str(tmp_path / "in")), "org", str(tmp_path / "out"), str(tmp_path / "cp"))
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows(spark, ORG, "org"))
+
+
+def test_markdown_and_expansion(spark):
+    md = "# Head\n\ntext with `code`\n\n- a\n- b\n\n```py\nx = 1\n```\n\n| a | b |\n|---|---|\n| 1 | 2 |\n"
+    got = rows(spark, md, "markdown")
+    assert got[0] == ("block", "heading", "Head", 1) and ("block", "code", "x = 1", 1) in got and ("block", "table", '{"headers":["a","b"],"rows":[["1","2"]]}', 1) in got and ("inline", "code", "code", 2) in got
+    nb = {"cells": [{"cell_type": "markdown", "source": ["# Top\n", "\n", "words"]}, {"cell_type": "code", "source": "x", "outputs": [{"output_type": "stream", "text": ["o\n", "p"]}]}, {"cell_type": "raw", "source": "r"}], "metadata": {"title": "N", "kernelspec": {"language": "python"}}}
+    read = notebooks.read_notebooks(spark.createDataFrame([(1, json.dumps(nb)), (2, "no json")], "doc long, text string"))
+    assert [(r.element_type, r.content) for r in read.orderBy("element_order").collect()] == [("raw", "# Top\n\nwords"), ("code", "x"), ("code", "o\np"), ("raw", "r"), ("inlines", None), ("text", "N")]
+    out = st.expand_embedded(read).orderBy("element_order").collect()
+    assert [(r.element_type, r.element_order) for r in out] == [("heading", 0), ("paragraph", 1), ("code", 2), ("code", 3), ("raw", 4), ("inlines", 5), ("text", 6)]
+    assert st.toc(st.expand_embedded(read)).first().title == "Top"
+
+
+def test_rtf(spark):
+    from docloom.sources.rtf import read_rtf, rtf_paragraphs
+
+    text = r"{\rtf1{\fonttbl{\f0 Arial;}}\pard\outlinelevel0 Head\par\pard caf\'e9 \u233? \{x\}\par {\*\junk no}end}"
+    got = [(r.element_type, r.content) for r in read_rtf(spark.createDataFrame([("d", text), ("n", None)], "doc string, text string")).orderBy("element_order").collect()]
+    assert got == [("heading", "Head"), ("paragraph", "café é {x}"), ("paragraph", "end")]
+    assert rtf_paragraphs("}}}{\\par") == []
+
+
+def test_latex_tokens(spark):
+    got = lines.latex_tokens(spark.createDataFrame([(1, "\\a{b} \\% c % d")], "doc long, text string")).orderBy("n").collect()
+    assert [r.kind for r in got] == ["command", "special", "text", "special", "blank", "escape", "blank", "text", "blank", "comment"] and "".join(r.token for r in got) == "\\a{b} \\% c % d"
