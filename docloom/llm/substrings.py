@@ -8,7 +8,8 @@ things make this a Spark job of bounded size.
   smallest hash in it (the leftmost of equals). Equal windows have equal anchors at the same offset, so
   the buckets of anchors, about 1 in 85 suffixes, hold all matches.
 * The first refinement is by one identifier: that of all bytes in the windows of an anchor, before and
-  after it. Anchors equal in that too are repeats as a whole and leave the recursion with it.
+  after it. Anchors equal in that too are repeats as a whole and leave the recursion with it. Those that
+  meet in one task travel as one row, so a passage in a third of all texts makes no hot key.
 * Only where a bucket holds different surroundings, one member of each kind is refined further, by the
   identifiers of the windows at every offset.
 """
@@ -23,13 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .arrow import small_batches
 from .shared import saved
 
 LENGTH = 200
 GRAM = 32
 _AT = 26  # bits for a place in a slice; the others of a key are the hash's
 
-ANCHORS = "doc_id {0}, copy int, gram bigint, around bigint, first int, last int, before int"
+ANCHORS = "gram bigint, around bigint, before int, places array<struct<doc_id:{0},copy:int,first:int,last:int>>"
 FOUND = "doc_id {0}, copy int, gram bigint, first int, last int, before int, whole boolean, open boolean"
 
 
@@ -73,14 +75,26 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
 
 
 def _find_anchors(length: int, gram: int):
+    """Anchors by q-gram and surroundings, with all the places that a part of a batch has of each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             data, off = tx.buffers(batch.column(2))
+            found = []
             for i, j in tx.slices(off):
-                text, grams, around, first, last, before = anchors(data[off[i] : off[j]], off[i : j + 1] - off[i], length, gram)
-                rows = pa.array(text + i)
-                ints = lambda x: pa.array(x.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(grams.view(np.int64)), pa.array(around.view(np.int64)), ints(first), ints(last), ints(before)], ["doc_id", "copy", "gram", "around", "first", "last", "before"])
+                text, *rest = anchors(data[off[i] : off[j]], off[i : j + 1] - off[i], length, gram)
+                found.append((text + i, *rest))
+            if not found:
+                continue
+            text, grams, around, first, last, before = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((around, grams))
+            grams, around, rows = grams[order], around[order], pa.array(text[order])
+            new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (around[1:] != around[:-1])])[: len(grams)]
+            begin = np.flatnonzero(new)
+            ints = lambda x: pa.array(x.astype(np.int32))
+            places = pa.StructArray.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), ints(first[order]), ints(last[order])], ["doc_id", "copy", "first", "last"])
+            lists = pa.ListArray.from_arrays(ints(np.append(begin, len(grams))), places)
+            yield pa.RecordBatch.from_arrays([pa.array(grams[begin].view(np.int64)), pa.array(around[begin].view(np.int64)), ints(before[order][begin]), lists], ["gram", "around", "before", "places"])
 
     return run
 
@@ -110,16 +124,20 @@ def _refine_by_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
     """
     for batch in _by_bucket(batches):
         gram, around = batch.column("gram").to_numpy(), batch.column("around").to_numpy()
-        n = len(gram)
         new_bucket = np.concatenate([[True], gram[1:] != gram[:-1]])
         new_kind = new_bucket | np.concatenate([[True], around[1:] != around[:-1]])
         bucket, kind = np.cumsum(new_bucket) - 1, np.cumsum(new_kind) - 1
-        whole = np.bincount(kind)[kind] > 1
-        kinds = np.bincount(bucket[new_kind])
-        opened = new_kind & (kinds[bucket] > 1)
-        rows = np.flatnonzero(whole | opened) if n else np.zeros(0, np.int64)
-        kept = batch.take(pa.array(rows))
-        yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in ("doc_id", "copy", "gram", "first", "last", "before")), pa.array(whole[rows]), pa.array(opened[rows])], ["doc_id", "copy", "gram", "first", "last", "before", "whole", "open"])
+        count = batch.column("places").value_lengths().to_numpy()
+        whole = np.bincount(kind, weights=count)[kind] > 1
+        opened = new_kind & (np.bincount(bucket[new_kind])[bucket] > 1)
+        row = np.repeat(np.arange(len(gram)), count)
+        first_place = np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]
+        is_open = opened[row] & first_place
+        kept = np.flatnonzero(whole[row] | is_open)
+        places = batch.column("places").flatten().take(pa.array(kept))
+        row = row[kept]
+        names = ["doc_id", "copy", "gram", "first", "last", "before", "whole", "open"]
+        yield pa.RecordBatch.from_arrays([places.field("doc_id"), places.field("copy"), pa.array(gram[row]), places.field("first"), places.field("last"), pa.array(batch.column("before").to_numpy()[row]), pa.array(whole[row]), pa.array(is_open[kept])], names)
 
 
 def _refine_by_windows(length: int):
