@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-
 BATCH_BYTES = 8 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow with batches of about BATCH_BYTES at most, however long the texts are.
+
+    The limit is one of the session and stays set.
+    """
+    conf = df.sparkSession.conf
+    if int(re.match(r"\d+", conf.get(_LIMIT, str(1 << 40)))[0]) > BATCH_BYTES:
+        conf.set(_LIMIT, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
 
 
 def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,4 +46,4 @@ def with_arrays(df: DataFrame, fields: list[T.StructField], compute: Callable[[p
             made = compute(batch)
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + made, names + [f.name for f in fields])
 
-    return df.mapInArrow(run, T.StructType(kept + list(fields)))
+    return mapped(df, run, T.StructType(kept + list(fields)))

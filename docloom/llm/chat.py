@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrow import mapped
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 # The marks of the template.
@@ -128,7 +130,7 @@ def format_chats(df: DataFrame, tokenizer: str = TOKENIZER, learned: str = "assi
         if held:
             yield pa.RecordBatch.from_pylist(held, schema)
 
-    return sorted_rows.mapInArrow(run, FORMATTED)
+    return mapped(sorted_rows, run, FORMATTED)
 
 
 def _digest(parts: list[str]) -> str:
@@ -153,7 +155,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]))
 
     formatted = format_chats(chats.unionByName(own)).select("conv_id", "formatted", "loss_runs")
-    return formatted.mapInArrow(summary, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return mapped(formatted, summary, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 def unescape_runs(text: str, runs: list[dict]) -> list[str]:

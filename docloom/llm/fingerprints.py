@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .arrow import with_arrays
+from .arrow import mapped, with_arrays
 
 FRACTION = 1 / 8
 
@@ -145,4 +145,4 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return with_next(docs, parts).mapInArrow(neighbours, RESULT)
+    return mapped(with_next(docs, parts), neighbours, RESULT)

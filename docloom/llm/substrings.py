@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .arrow import small_batches
+from .arrow import mapped, small_batches
 from .shared import saved
 
 LENGTH = 200
@@ -174,12 +174,12 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     `docs` has doc_id, copy and text; doc_id and copy together name a text.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.mapInArrow(_find_anchors(length, gram), ANCHORS.format(kind)).repartition("gram").sortWithinPartitions("gram", "around")
-    found = saved(found.mapInArrow(_refine_by_surroundings, FOUND.format(kind)))
+    found = mapped(docs, _find_anchors(length, gram), ANCHORS.format(kind)).repartition("gram").sortWithinPartitions("gram", "around")
+    found = saved(mapped(found, _refine_by_surroundings, FOUND.format(kind)))
     same = F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("d.copy") == F.col("o.copy"))
     body = F.substring(F.col("text").cast("binary"), F.col("first") + 1, F.col("last") - F.col("first") + length)
     opened = docs.alias("d").join(found.where("open").alias("o"), same).select("o.doc_id", "o.copy", "gram", "first", "last", "before", "whole", body.alias("bytes"))
-    parts = opened.repartition("gram").sortWithinPartitions("gram").mapInArrow(_refine_by_windows(length), f"doc_id {kind}, copy int, first int, last int")
+    parts = mapped(opened.repartition("gram").sortWithinPartitions("gram"), _refine_by_windows(length), f"doc_id {kind}, copy int, first int, last int")
     return found.where("whole").select("doc_id", "copy", "first", "last").unionByName(saved(parts))
 
 
@@ -222,7 +222,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     runs = repeated_windows(docs, length, gram).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     same = F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.copy") == F.col("r.copy"))
     both = docs.alias("d").join(runs.alias("r"), same, "left").select("d.doc_id", "text", "runs")
-    return both.mapInArrow(_remove(length), RESULT.format(docs.schema["doc_id"].dataType.simpleString()))
+    return mapped(both, _remove(length), RESULT.format(docs.schema["doc_id"].dataType.simpleString()))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
