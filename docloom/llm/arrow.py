@@ -19,7 +19,7 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     The limit is one of the session and stays set.
     """
     conf = df.sparkSession.conf
-    if int(re.match(r"\d+", conf.get(_LIMIT, str(1 << 40)))[0]) > BATCH_BYTES:
+    if int(re.match(r"\d+", conf.get(_LIMIT, str(1 << 30)))[0]) > BATCH_BYTES:
         conf.set(_LIMIT, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
