@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import catalog
 from .functions.tables import column_types, parse_embedded_blocks, table_cells
 from .functions.text import slug
 from .operators import structure as st
 from .operators.render import render
-from .sources import compact, interchange, lines, notebooks, prose
+from .sources import compact, elements, interchange, lines, notebooks, prose
 from .sources.registry import REGISTRY
 
 
@@ -121,6 +122,14 @@ def _embedded(spark, sf_dir):
     return table_cells(parse_embedded_blocks(blocks)).select("doc", "row", "name", "value")
 
 
+def _page_elements(spark, sf_dir):
+    """The lines of documents as page elements, ten a page, headings in sizes by their number of words."""
+    rows = _letter_lines(spark, sf_dir)
+    kind = F.when(F.col("words") <= 3, "heading").otherwise("text")
+    made = rows.select("doc", (F.floor(F.col("n") / 10) + 1).cast("int").alias("page_number"), (F.col("n") % 10).alias("element_idx"), kind.alias("element_type"), F.col("line").alias("text"), (24.0 - F.col("words")).alias("font_size"))
+    return elements.read_elements(made).select("doc", "element_type", "content", "element_order", st.attribute("heading_level").alias("heading_level"), st.attribute("page_number").alias("page_number"))
+
+
 def _body_sql(source: str) -> str:
     """A row is metadata if some root before it has had no row of its level or above since."""
     return f"""{source}, r as (select *, kind = 'value' or element_type = 'metadata' as root from b),
@@ -173,7 +182,11 @@ QUERIES = {
     "embedded_tables": _embedded,
     "interchange_round_trip": _round_trip_interchange,
     "compact_round_trip": _round_trip_compact,
+    "latex_tokens": lambda s, d: lines.latex_tokens(_docs(s, d)),
+    "page_elements": _page_elements,
     "reader_registry": lambda s, d: REGISTRY.table(s),
+    "supported_formats": lambda s, d: catalog.supported_formats(s),
+    "interchange_map": lambda s, d: catalog.interchange_map(s),
 }
 
 ORACLES: dict[str, str] = {
@@ -202,6 +215,14 @@ from b where kind <> 'value' group by doc""",
     "slug": f"select doc_id as doc, case when text is null then 'section' else {_SLUG.format('text')} end as slug from documents",
     "table_cells": _CELLS + " select doc, element_order, 0 as row, 'column_' || (k + 1) as name, trim(cell) as value from c",
     "column_types": _CELLS + f" select doc, element_order, 'column_' || (k + 1) as name, {_FORMS.replace('v', 'trim(cell)')} as type from c group by doc, element_order, k".replace("trim(cell)alue", "value"),
+    "latex_tokens": """with t as (select doc_id as doc, regexp_extract_all(text, '(?s)(\\\\[A-Za-z]+\\*?|\\\\.|%[^\\n]*|[{}\\[\\]$&#^_~]|\\s+|[^\\\\%{}\\[\\]$&#^_~\\s]+|.)', 1) as x from documents where text is not null),
+u as (select doc, unnest(range(len(x)))::int as n, unnest(x) as token from t)
+select doc, n, case when regexp_matches(token, '^\\\\[A-Za-z]') then 'command' when starts_with(token, chr(92)) then 'escape' when starts_with(token, '%') then 'comment' when regexp_matches(token, '^\\s') then 'blank'
+  when regexp_matches(token, '^[{}\\[\\]$&#^_~]') then 'special' else 'text' end as kind, token from u""",
+    "page_elements": f"""with {_LETTER_LINES}, r as (select doc, (n // 10 + 1)::int as page, n % 10 as idx, case when words <= 3 then 'heading' else 'paragraph' end as element_type, line as content,
+  case when words <= 3 then dense_rank() over (partition by doc, words <= 3 order by words)::varchar end as heading_level, null::varchar as page_number from w),
+a as (select * from r union all select distinct doc, page, -1, 'page_break', null, null, page::varchar from r)
+select doc, element_type, content, (row_number() over (partition by doc order by page, idx) - 1)::int as element_order, heading_level, page_number from a""",
     "embedded_tables": """select n_regionkey as doc, (row_number() over (partition by n_regionkey order by n_nationkey) - 1)::int as row, unnest(['key', 'name']) as name, unnest([n_nationkey::varchar, n_name]) as value from nation""",
     "interchange_round_trip": _MARKED,
     "compact_round_trip": f"with {_PROSE} select {_COLUMNS} from b",

@@ -258,3 +258,29 @@ def test_rtf(spark):
 def test_latex_tokens(spark):
     got = lines.latex_tokens(spark.createDataFrame([(1, "\\a{b} \\% c % d")], "doc long, text string")).orderBy("n").collect()
     assert [r.kind for r in got] == ["command", "special", "text", "special", "blank", "escape", "blank", "text", "blank", "comment"] and "".join(r.token for r in got) == "\\a{b} \\% c % d"
+
+
+def test_page_elements(spark):
+    from docloom.sources.elements import page_range, read_elements
+
+    made = [(1, 1, 0, "heading", "Big", 20.0), (1, 1, 1, "text", "words", 10.0), (1, 2, 0, "heading", "Small", 12.0), (1, 2, 1, "list_item", "1. one", 10.0), (1, 2, 2, "list_item", " • two", 10.0), (2, 1, 0, "heading", "Own", 8.0)]
+    pages = spark.createDataFrame(made, "doc long, page_number int, element_idx int, element_type string, text string, font_size double")
+    got = [(r.doc, r.element_type, r.content, r.attributes) for r in read_elements(pages).orderBy("doc", "element_order").collect()]
+    assert got[0] == (1, "page_break", None, {"page_number": "1"}) and got[1] == (1, "heading", "Big", {"heading_level": "1"})
+    assert got[4:7] == [(1, "heading", "Small", {"heading_level": "2"}), (1, "list_item", "one", {"list_type": "ordered"}), (1, "list_item", "two", {"list_type": "bullet"})] and got[-1][3] == {"heading_level": "1"}
+    second = read_elements(pages.where("doc = 1"), "2").orderBy("element_order").collect()
+    assert [r.content for r in second] == [None, "Small", "one", "two"] and second[1].attributes == {"heading_level": "2"}
+    assert page_range("3-7") == (3, 7)
+    for bad in (None, "x", "1-"):
+        with pytest.raises(ValueError, match="N or N-M"):
+            page_range(bad)
+
+
+def test_catalog(spark):
+    from docloom.functions import catalog
+    from docloom.schema import BLOCK_TYPES, INLINE_TYPES
+
+    rows = catalog.interchange_map(spark).collect()
+    assert len(rows) == 34 and all(r.element_type in (BLOCK_TYPES if r.kind == "block" else INLINE_TYPES) for r in rows)
+    formats = {r.format: r.extensions for r in catalog.supported_formats(spark).collect()}
+    assert formats["html"] == ["htm", "html"] and catalog.spec_at_least(1, 3) and not catalog.spec_at_least(2, 0)
