@@ -52,6 +52,13 @@ def test_groups_equal_brute_force(spark):
     assert sorted(((r.id, r.n, r.component) for r in found.collect()), key=str) == brute_groups(rows)
 
 
+def test_null_ids_lose_no_link(spark):
+    words = [f"w{k}" for k in range(100)]
+    rows = [(None, " ".join(words)), (None, " ".join([*words[:-2], "x", "y"])), (5, " ".join([*words[:-1], "z"])), (5, "other words " * 9), (7, " ".join(["a", *words[1:]]))]
+    found = jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r.id, r.n, r.component) for r in found.collect()), key=str) == brute_groups(rows)
+
+
 def test_groups_bear_odd_rows(spark):
     found = jaccard.groups(docs(spark))
     assert sorted(((r.id, r.n, r.component) for r in found.collect()), key=str) == brute_groups([r[:2] for r in ODD])
