@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from . import text as tx
 from .arrow import mapped, with_arrays
 
-FRACTION = 1 / 8
+FRACTION = 3 / 4  # high, since a text of ten shingles has to be estimated as well
 
 
 def thin(hashes: np.ndarray, fraction: float = FRACTION) -> np.ndarray:

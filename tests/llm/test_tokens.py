@@ -74,6 +74,29 @@ def test_resemblance_is_close(spark):
     assert sum(wrong) / len(wrong) < 0.08
 
 
+def test_resemblance_is_close_on_all_lengths(spark):
+    rnd = random.Random(5)
+    texts, before = [], []
+    for k in range(900):
+        n = (rnd.randint(5, 23), rnd.randint(24, 43), rnd.randint(44, 300))[k // 300]
+        shared = before[: rnd.choice([0, n // 2, n])]  # so that near_next is not always 0
+        before = shared + [f"w{rnd.randrange(10**6)}" for _ in range(n - len(shared))]
+        texts.append(" ".join(before))
+    source = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = fingerprints.with_next(source, 3).mapInArrow(fingerprints.neighbours, fingerprints.RESULT).collect()
+    wrong, lost = {}, 0
+    for r in rows:
+        t, following = texts[r.doc_id], texts[(r.doc_id + 1) % len(texts)]
+        own, length = shingles(t), r.doc_id // 300
+        for name, got, other in (("edited", r.near_edited, fingerprints.edited(t, following)), ("next", r.near_next, following)):
+            true = len(own & shingles(other)) / len(own | shingles(other))
+            wrong.setdefault((name, length), []).append(abs(got - true))
+            lost += true > 0.3 and got == 0
+    assert len(rows) == 900 and len(wrong) == 6
+    assert all(sum(w) / len(w) < 0.07 for w in wrong.values()), {k: sum(w) / len(w) for k, w in wrong.items()}
+    assert lost < 9
+
+
 def test_sketches_merge():
     a, b = (fingerprints.tx.mix(np.arange(s, s + 5000, dtype=np.uint64)) for s in (0, 2500))
     whole = fingerprints.thin(np.union1d(a, b))
