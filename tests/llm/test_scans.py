@@ -68,6 +68,40 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_licenses_in_full(spark):
+    import textwrap
+
+    known = licenses.known_licenses()
+    first = lambda k: next(t for at, t in known if at == k)
+    mit, bsd = first("MIT"), first("BSD-3-Clause")
+    whole = {p.stem: p.read_text(encoding="utf-8") for p in licenses._TEXTS.glob("*.txt")} | {k: max((t for at, t in known if at == k), key=len) for k in ("Zlib", "BSL-1.0", "AGPL-3.0")}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0", "Zlib", "BSL-1.0"} <= set(whole)
+    want = [(k, t) for k, t in whole.items()]
+    for width in (40, 63, 72, 79):  # however lines are broken, and behind comment marks
+        rewrapped = {k: "\n".join(textwrap.fill(" ".join(x.split()), width, break_long_words=False, break_on_hyphens=False) for x in t.split("\n\n")) for k, t in whole.items() if k not in ("GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "Apache-2.0", "OFL-1.1")}
+        want += [(k, "\n".join("# " + x for x in t.split("\n"))) for k, t in rewrapped.items()]
+        want += [("MIT", "// Copyright (C) Foo\n" + textwrap.fill(mit, width)), ("BSD-3-Clause", "/*\n * Copyright 2020 Foo\n * All rights reserved.\n" + textwrap.fill(bsd, width))]
+    for head in ("Copyright (c) Foo", "# Copyright 2020 Foo", "Copyright Foo Inc.", "/* © 2019 Foo. All rights reserved. */", "Portions Copyright 2020 Foo", "Copyright (c) <year> <holder>"):
+        want.append(("MIT", f"MIT License\n\n{head}\n\n{mit}"))
+    one_line = " ".join(mit.split())
+    want += [("MIT", f"Copyright 2020 {x} {one_line}") for x in ("Foo", "J. R. Foo, Inc.", "Foo. All rights reserved.")]
+    want += [("MIT", "SPDX-License-Identifier: MIT"), ("GPL-2.0", "// SPDX-License-Identifier: GPL-2.0-or-later"), (None, "Copyright 2020 Foo"), (None, "copyright law governs this"), (None, "a text")]
+    gnu = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n\nYou should have received a copy of the GNU General Public License\nalong with this program.  If not, see <https://www.gnu.org/licenses/>."
+    want += [("GPL-3.0", "# Copyright (C) 2020  Foo\n#\n" + "\n".join("# " + x for x in gnu.split("\n")))]
+    rows = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(want)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(rows).collect()}
+    assert [(k, at, got[k], t[:80]) for k, (at, t) in enumerate(want) if got[k] != at] == []
+    lines = spark.createDataFrame([(1, 'x\n# Licensed under the Apache License, Version 2.0 (the "License");\ny\n/* SPDX-License-Identifier: BSD-3-Clause */')], "doc_id long, text string")
+    assert [(r.license, r.line_licenses, r.n_license_lines) for r in licenses.scan(lines).collect()] == [(None, "Apache-2.0,BSD-3-Clause", 2)]
+
+
+def test_licenses_of_a_given_table(spark):
+    own = spark.createDataFrame([("House-1", "You may  look at this,\nno more."), ("Our-MIT", "Released under the MIT License."), ("None", "Copyright 2020 Foo"), ("Null", None)], "license string, text string")
+    rows = spark.createDataFrame([(1, "you may look at this; no more"), (2, "Released under the MIT Licence"), (3, "All rights reserved."), (4, ""), (5, "a\nYou may look at this, no more.")], "doc_id long, text string")
+    got = {r.doc_id: (r.license, r.line_licenses) for r in licenses.scan(rows, known=own).collect()}
+    assert got == {1: ("House-1", "House-1"), 2: ("Our-MIT", "Our-MIT"), 3: ("Proprietary", "Proprietary"), 4: (None, ""), 5: (None, "House-1")}
+
+
 def normal(text):
     return [w for w in re.split(r"[\x20\x09-\x0d]+", re.sub(r"[\x00-\x08\x0e-\x1f!-/:-@\[-`{-\x7f]", "", text or "").lower()) if w]
 
