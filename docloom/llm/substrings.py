@@ -29,7 +29,8 @@ from .shared import saved
 
 LENGTH = 200
 GRAM = 32
-_AT = 26  # bits for a place in a slice; the others of a key are the hash's
+_AT = 26  # bits for a place in a part; the others of a key are the hash's
+PART_BYTES = 4 << 20  # a longer text is anchored in parts, so that places fit and the working arrays stay small
 
 ANCHORS = "gram bigint, around bigint, before int, places array<struct<doc_id:{0},copy:int,first:int,last:int>>"
 FOUND = "doc_id {0}, copy int, gram bigint, first int, last int, before int, whole boolean, open boolean"
@@ -52,6 +53,8 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     A row for each anchor of each text; window starts count from the text's first byte.
     """
     size = np.diff(off)
+    if len(data) > 1 << _AT:
+        raise ValueError(f"{len(data)} bytes at once; places have {_AT} bits")
     if not len(size) or size.max() < length:
         none = np.zeros(0, np.int64)
         return none, none.view(np.uint64), none.view(np.uint64), none, none, none
@@ -74,6 +77,20 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     return text, grams[anchor], around, first - off[text], last - off[text], anchor - first
 
 
+def _parts(off: np.ndarray, length: int):
+    """(i, j, start, end) for tx.slices, and for one text above PART_BYTES its parts.
+
+    Parts overlap by length - 1 bytes, so that each window stands in one of them and in no other.
+    """
+    for i, j in tx.slices(off):
+        a, b = int(off[i]), int(off[j])
+        if j - i > 1 or b - a <= PART_BYTES:
+            yield i, j, a, b
+            continue
+        for start in range(a, b - length + 1, PART_BYTES):
+            yield i, j, start, min(start + PART_BYTES + length - 1, b)
+
+
 def _find_anchors(length: int, gram: int):
     """Anchors by q-gram and surroundings, with all the places that a part of a batch has of each."""
 
@@ -81,9 +98,11 @@ def _find_anchors(length: int, gram: int):
         for batch in small_batches(batches):
             data, off = tx.buffers(batch.column(2))
             found = []
-            for i, j in tx.slices(off):
-                text, *rest = anchors(data[off[i] : off[j]], off[i : j + 1] - off[i], length, gram)
-                found.append((text + i, *rest))
+            for i, j, start, end in _parts(off, length):
+                inner = off[i : j + 1] - off[i] if end - start == off[j] - off[i] else np.array([0, end - start])
+                text, grams, around, first, last, before = anchors(data[start:end], inner, length, gram)
+                at = start - off[i]  # of a part in its text
+                found.append((text + i, grams, around, first + at, last + at, before))
             if not found:
                 continue
             text, grams, around, first, last, before = (np.concatenate(x) for x in zip(*found, strict=True))

@@ -111,6 +111,28 @@ def test_repeats_equal_brute_force(spark):
         assert sorted(((*r[:4], bytes(r[4])) for r in got), key=str) == brute_repeats(rows, length)
 
 
+def test_places_of_long_texts_do_not_wrap(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(substrings, "_AT", 20)  # a text of 3 MB is then too long for its places, as one of 64 MiB is otherwise
+    monkeypatch.setattr(substrings, "PART_BYTES", 1 << 19, raising=False)
+    rnd = random.Random(7)
+    text, passage = bytearray(rnd.choices(b"abcdefgh ", k=3 << 20)), bytes(rnd.choices(b"stuvwxyz", k=1000))
+    starts = [100, (1 << 19) - 500, (1 << 20) + 77, 2_900_000]
+    for at in starts:
+        text[at : at + 1000] = passage
+    rows = [(1, 0, "short"), (2, 0, text.decode()), (3, 0, "x" * 150), (4, 0, "y" + passage.decode())]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.string()), strict=True)], ["doc_id", "copy", "text"])
+    found = [(p["doc_id"], p["first"], p["last"], r["gram"], p["first"] + r["before"]) for b in substrings._find_anchors(200, 32)([batch]) for r in b.to_pylist() for p in r["places"]]
+    windows = {}
+    for doc, first, last, gram, anchor in found:
+        for w in range(first, last + 1):
+            assert windows.setdefault((doc, w), (gram, anchor - w)) == (gram, anchor - w) and w <= anchor <= w + 168
+    assert len(windows) == sum(last - first + 1 for _, first, last, _, _ in found) == len(text) - 199 + 802  # each window once
+    for at in starts:
+        assert [windows[2, at + k] for k in range(801)] == [windows[4, 1 + k] for k in range(801)]
+
+
 def test_repeats_bear_odd_rows(spark):
     assert substrings.remove_repeats(docs(spark)).count() == len(ODD)
     assert substrings.remove_repeats(docs(spark, [])).count() == 0
