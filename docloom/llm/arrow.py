@@ -9,17 +9,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40, "p": 1 << 50}
+
+
+def byte_size(setting: str) -> int:
+    """The bytes that a setting such as 8388608, 64m or 1gb stands for; none or less means no limit."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([bkmgtp]?)b?", setting.strip().lower()).groups()
+    return int(number) * _UNITS[unit] if int(number) > 0 else 1 << 62
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """df.mapInArrow with batches of about BATCH_BYTES at most, however long the texts are.
 
     The limit is one of the session and stays set.
     """
     conf = df.sparkSession.conf
-    if int(re.match(r"\d+", conf.get(_LIMIT, str(1 << 30)))[0]) > BATCH_BYTES:
+    if byte_size(conf.get(_LIMIT, str(1 << 30))) > BATCH_BYTES:
         conf.set(_LIMIT, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 

@@ -8,6 +8,7 @@ cosine and is rejected if even that one is farther away than the training texts
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,13 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .arrow import with_arrays
+from .arrow import mapped, with_arrays
+from .shared import saved
 
 BUCKETS = 4096
 CENTROIDS = 4
 SAMPLE_PER_LANGUAGE = 1500
+MOST_LANGUAGES = 1000  # a model has 64 KB for each
 UNDETERMINED = "und"
-TEXTS_AT_ONCE = 256
+TEXTS_AT_ONCE = 128
 FULL_BYTES = 200
 
 _FOLD = tx.LOWER.copy()
@@ -95,6 +98,51 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return at
 
 
+def sampled(df: DataFrame, text: str, label: str, sample_per_language: int) -> DataFrame | None:
+    """(label, text, h): of each label the distinct texts with letters that have the smallest hashes; None without any.
+
+    Copies count once before anything is cut, so a label whose rows are mostly copies keeps its other texts. The share
+    of the hash range that is looked at follows the estimated number of distinct texts, with half as many again.
+    """
+    rows = df.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text")).where("label is not null").where(F.col("text").rlike(r"\p{L}"))
+    rows = rows.withColumn("h", F.xxhash64("text", F.lit("language")))
+    sizes = rows.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} different labels in {label}")
+    if not sizes:
+        return None
+    shares = df.sparkSession.createDataFrame([(r["label"], min(1.0, 1.5 * sample_per_language / max(r["n"], 1))) for r in sizes], "label string, share double")
+    near = rows.join(F.broadcast(shares), "label").where((F.col("h") / F.lit(float(2**64)) + 0.5) <= F.col("share"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    first = near.select("label", "h", "text").dropDuplicates(["label", "h"]).withColumn("k", place).where(F.col("k") <= sample_per_language)
+    return saved(first.select("label", "text", "h"))
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of texts, and of those with each bucket."""
+    n, total = 0, np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for data, off in _blocks(batch.column(0)):
+            total += (gram_counts(data, off) > 0).sum(axis=0)
+            n += len(off) - 1
+    yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total])], ["n", "total"])
+
+
+def _centroids_of(idf: np.ndarray, centroids: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("h").combine_chunks()
+        x, k = np.empty((len(table), BUCKETS), np.float32), 0
+        for data, off in _blocks(table["text"]):
+            x[k : k + len(off) - 1] = _unit(gram_counts(data, off) * idf)
+            k += len(off) - 1
+        at = _cluster(x, centroids)
+        # half the cosine of nearly the worst training text
+        least = float(np.quantile((x @ at.T).max(axis=1), 0.001)) / 2
+        return pa.table({"label": table["label"][:1].cast(pa.string()), "least": [least], "at": pa.array([at.astype(np.float32).tobytes()], pa.binary())})
+
+    return run
+
+
 def fit(
     df: DataFrame,
     text: str = "text",
@@ -102,37 +150,25 @@ def fit(
     sample_per_language: int = SAMPLE_PER_LANGUAGE,
     centroids: int = CENTROIDS,
 ) -> LanguageModel:
-    """A model of the labelled texts in `df`.
+    """A model of the labelled texts in `df`; every label that has a text with a letter is a language of it.
 
-    It is fitted to at most `sample_per_language` texts a language, those with the smallest hashes. Rows
-    with a null label, a null text or a text without letters teach nothing. Without any usable row the
-    model knows no language and everything is undetermined.
+    It is fitted to at most `sample_per_language` distinct texts a language, those with the smallest hashes.
+    Rows with a null label, a null text or a text without letters teach nothing; rows that repeat teach once.
+    Without any usable row the model knows no language and everything is undetermined. The sample stays on
+    the executors, a language's in one task; the driver gets the counts of buckets and the centroids alone.
+    More than MOST_LANGUAGES labels are an error.
     """
-    rows = df.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text")).where("label is not null and text is not null")
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    sample = sampled(df, text, label, sample_per_language)
+    if sample is None:
         return LanguageModel([], np.zeros(0, int), np.zeros((BUCKETS, 0), np.float32), np.ones(BUCKETS, np.float32), np.zeros(0))
-    rows = rows.withColumn("h", F.xxhash64("text", F.lit("language")))
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col("label") == name, F.lit(min(1.0, 1.5 * sample_per_language / n))).otherwise(share)
-    near = rows.where((F.col("h") / F.lit(float(2**64)) + 0.5) <= share)
-    first = F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))
-    table = near.withColumn("k", first).where(F.col("k") <= sample_per_language).select("label", "text").toArrow()
-    labels = np.array(table["label"].to_pylist(), object)
-    data, off = tx.buffers(table["text"])
-    usable = has_letter(data, off)
-    tf = np.concatenate([gram_counts(d, o) for d, o in _blocks(table["text"])]) if len(labels) else np.zeros((0, BUCKETS), np.float32)
-    labels, tf = labels[usable], tf[usable]
-    idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = _unit(tf * idf)
-    languages = sorted(set(labels.tolist()))
-    at = [_cluster(x[labels == name], centroids) for name in languages]
-    owner = np.repeat(np.arange(len(languages)), [len(a) for a in at])
-    # half the cosine of nearly the worst training text
-    least = [float(np.quantile((x[labels == name] @ a.T).max(axis=1), 0.001)) / 2 for name, a in zip(languages, at, strict=True)]
-    weights = np.concatenate(at).T * idf[:, None] if at else np.zeros((BUCKETS, 0))
-    return LanguageModel(languages, owner, np.ascontiguousarray(weights, np.float32), idf, np.array(least))
+    counts = mapped(sample.select("text"), _frequencies, "n bigint, total array<bigint>").collect()
+    n, having = sum(r["n"] for r in counts), np.sum([r["total"] for r in counts], axis=0)
+    idf = (np.log((1 + n) / (1 + having)) + 1).astype(np.float32)
+    found = sorted(sample.groupBy("label").applyInArrow(_centroids_of(idf, centroids), "label string, least double, at binary").collect(), key=lambda r: r["label"])
+    at = [np.frombuffer(bytes(r["at"]), np.float32).reshape(-1, BUCKETS) for r in found]
+    owner = np.repeat(np.arange(len(found)), [len(a) for a in at])
+    weights = np.concatenate(at).T * idf[:, None]
+    return LanguageModel([r["label"] for r in found], owner, np.ascontiguousarray(weights, np.float32), idf, np.array([r["least"] for r in found]))
 
 
 def score(model: LanguageModel, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

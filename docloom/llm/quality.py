@@ -156,9 +156,9 @@ def probabilities(forest: Forest, x: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Forest:
     """A forest fitted to at most `sample_rows` labelled documents, those whose ids have the smallest hashes.
 
-    Null ids and labels teach nothing; a document with several labels has their mean, rounded. Only the
-    sampled ids are broadcast and only their statistics reach the driver. Without both classes the
-    forest is a constant.
+    Null ids and labels teach nothing; a document with several labels has their mean, rounded, and an id with
+    several texts teaches once, by the smallest of them. Only the sampled ids are broadcast and only the
+    statistics of their texts, one row for each, reach the driver. Without both classes the forest is a constant.
     """
     sample = (
         labels.select(F.col(doc_id).alias("id"), F.col(label).cast("double").alias("y"))
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         .orderBy(F.xxhash64("id"), "id")
         .limit(sample_rows)
     )
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(sample), "id").select("text", "y")
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(sample), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
     made = with_arrays(rows, [T.StructField("x", T.ArrayType(T.FloatType()))], lambda b: [pa.array(list(statistics(b.column("text"))), pa.list_(pa.float32()))]).select("x", "y").toArrow()
     if made.num_rows == 0:
         return boost(np.zeros((0, len(FEATURES)), np.float32), np.zeros(0))

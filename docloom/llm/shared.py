@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,10 +15,12 @@ _own_folder: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, as in tests, one of this process."""
+    """The folder in spark.checkpoint.dir; only where that is unset and Spark is one process, as in tests, one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.fullmatch(r"local(\[[^]]*\])?", master := spark.sparkContext.master):
+        raise ValueError(f"spark.checkpoint.dir is unset: on {master} executors need a folder that they share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="spark-"))
         atexit.register(shutil.rmtree, _own_folder[0], True)
@@ -36,13 +39,36 @@ def saved(df: DataFrame, rows: int | None = None, each: int = 100_000) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Tables of so many narrow rows, some tens of MB, are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Tables of so many cells, 8 MB of numbers, are broadcast; larger ones are shuffled.
+BROADCAST_CELLS = 1_000_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df`, a written table, to be broadcast if it has no more than so many narrow rows, else left to a shuffled join."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame) -> DataFrame:
+    """`df`, a written table of numbers, to be broadcast if it has no more than so many cells, else left to a shuffled join."""
+    return F.broadcast(df) if df.count() * len(df.columns) <= BROADCAST_CELLS else df
+
+
+#: A group with more than one in so many rows is hot; there are fewer hot groups than that, however large the table.
+HOT_PART = 200
+
+
+def joined_by_group(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+    """`rows` joined to `groups`, a written table with a row for each `key` and the number of its rows as `members`.
+
+    The few hot groups are broadcast, so that their rows stay where they are; the others are shuffled.
+    """
+    hot = F.broadcast(groups.where(F.col("members") * HOT_PART > total))
+    others = groups.where(F.col("members") * HOT_PART <= total)
+    rest = rows.join(hot.select(key), key, "left_anti").join(others, key)
+    return rows.join(hot, key).unionByName(rest)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores after it while `df` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def components(edges: DataFrame) -> DataFrame:

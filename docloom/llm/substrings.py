@@ -8,10 +8,11 @@ things make this a Spark job of bounded size.
   smallest hash in it (the leftmost of equals). Equal windows have equal anchors at the same offset, so
   the buckets of anchors, about 1 in 85 suffixes, hold all matches.
 * The first refinement is by one identifier: that of all bytes in the windows of an anchor, before and
-  after it. Anchors equal in that too are repeats as a whole and leave the recursion with it. Those that
-  meet in one task travel as one row, so a passage in a third of all texts makes no hot key.
+  after it. Anchors equal in that too are repeats as a whole and leave the recursion with it. Of those that
+  meet in one task only one travels to its bucket, so a passage in a third of all texts makes no hot key.
 * Only where a bucket holds different surroundings, one member of each kind is refined further, by the
-  identifiers of the windows at every offset.
+  identifiers of the windows at every offset. Members of crowded buckets aren't gathered for that: their
+  windows are counted by partial aggregates.
 """
 
 from __future__ import annotations
@@ -25,14 +26,17 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .arrow import mapped, small_batches
-from .shared import saved
+from .shared import joined_by_group, saved
 
 LENGTH = 200
 GRAM = 32
 _AT = 26  # bits for a place in a part; the others of a key are the hash's
 PART_BYTES = 4 << 20  # a longer text is anchored in parts, so that places fit and the working arrays stay small
 
-ANCHORS = "gram bigint, around bigint, before int, places array<struct<doc_id:{0},copy:int,first:int,last:int>>"
+#: A bucket with more than one in so many of the open members, and with CROWD_LEAST at least, is crowded.
+CROWD_PART, CROWD_LEAST = 2000, 1000
+
+ANCHORS = "route bigint, gram bigint, around bigint, before int, weight int, settled boolean, doc_id {0}, copy int, first int, last int"
 FOUND = "doc_id {0}, copy int, gram bigint, first int, last int, before int, whole boolean, open boolean"
 
 
@@ -92,7 +96,11 @@ def _parts(off: np.ndarray, length: int):
 
 
 def _find_anchors(length: int, gram: int):
-    """Anchors by q-gram and surroundings, with all the places that a part of a batch has of each."""
+    """Anchors by q-gram and surroundings.
+
+    Of the places that a part of a batch has of an anchor, the first goes to its bucket, with their number as
+    `weight`; the others are `settled` as repeats and go anywhere.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -107,56 +115,94 @@ def _find_anchors(length: int, gram: int):
                 continue
             text, grams, around, first, last, before = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((around, grams))
-            grams, around, rows = grams[order], around[order], pa.array(text[order])
-            new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (around[1:] != around[:-1])])[: len(grams)]
-            begin = np.flatnonzero(new)
+            text, grams, around, first, last, before = (x[order] for x in (text, grams, around, first, last, before))
+            begin = np.concatenate([[True], (grams[1:] != grams[:-1]) | (around[1:] != around[:-1])])[: len(grams)]
+            weight = np.diff(np.append(np.flatnonzero(begin), len(grams)))[np.cumsum(begin) - 1]
+            route = np.where(begin, grams, tx.mix(grams + np.arange(len(grams), dtype=np.uint64) + np.uint64(1)))
+            rows = pa.array(text)
             ints = lambda x: pa.array(x.astype(np.int32))
-            places = pa.StructArray.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), ints(first[order]), ints(last[order])], ["doc_id", "copy", "first", "last"])
-            lists = pa.ListArray.from_arrays(ints(np.append(begin, len(grams))), places)
-            yield pa.RecordBatch.from_arrays([pa.array(grams[begin].view(np.int64)), pa.array(around[begin].view(np.int64)), ints(before[order][begin]), lists], ["gram", "around", "before", "places"])
+            columns = [pa.array(route.view(np.int64)), pa.array(grams.view(np.int64)), pa.array(around.view(np.int64)), ints(before), ints(weight), pa.array(~begin), batch.column(0).take(rows), batch.column(1).take(rows), ints(first), ints(last)]
+            yield pa.RecordBatch.from_arrays(columns, ["route", "gram", "around", "before", "weight", "settled", "doc_id", "copy", "first", "last"])
 
     return run
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Regroups batches sorted by `gram` so that no bucket is split between two."""
-    rest: pa.RecordBatch | None = None
+    held: list[pa.RecordBatch] = []  # the bucket that isn't at its end yet
     for batch in batches:
-        if rest is not None and rest.num_rows:
-            batch = pa.concat_batches([rest, batch])
         if not batch.num_rows:
             continue
         grams = batch.column("gram").to_numpy()
         cut = int(np.searchsorted(grams, grams[-1]))
-        rest = batch.slice(cut)
-        if cut:
-            yield batch.slice(0, cut)
-    if rest is not None and rest.num_rows:
-        yield rest
+        if cut or (held and held[-1].column("gram")[-1].as_py() != int(grams[0])):
+            yield pa.concat_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.concat_batches(held)
+
+
+_FOUND = ["doc_id", "copy", "gram", "first", "last", "before", "whole", "open"]
 
 
 def _refine_by_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From anchors sorted by q-gram and surroundings: those of buckets with two or more members.
 
-    `whole`: the same surroundings stand elsewhere. `open`: the bucket has others, and this is the first
-    member with these.
+    `whole`: the same surroundings stand elsewhere. `open`: the bucket has others, and this is the first member with
+    these. Of what is still open only the first member of the last kind is held, whatever the size of a bucket.
     """
-    for batch in _by_bucket(batches):
+
+    def rows(batch: pa.RecordBatch, whole: np.ndarray, opened: np.ndarray) -> pa.RecordBatch:
+        kept = np.flatnonzero(whole | opened)
+        batch = batch.take(pa.array(kept))
+        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in _FOUND[:6]), pa.array(whole[kept]), pa.array(opened[kept])], _FOUND)
+
+    held: pa.RecordBatch | None = None  # one row
+    weight_held, earlier = 0, False  # of its kind so far; whether its bucket has an earlier kind
+    for batch in batches:
+        settled = batch.column("settled").to_numpy(zero_copy_only=False)
+        if settled.any():
+            own = batch.filter(pa.array(settled))
+            yield rows(own, np.ones(own.num_rows, bool), np.zeros(own.num_rows, bool))
+            batch = batch.filter(pa.array(~settled))
+        if not batch.num_rows:
+            continue
+        batch = batch if held is None else pa.concat_batches([held, batch])
         gram, around = batch.column("gram").to_numpy(), batch.column("around").to_numpy()
+        weight = batch.column("weight").to_numpy().astype(np.int64)
+        if held is not None:
+            weight[0] = weight_held
         new_bucket = np.concatenate([[True], gram[1:] != gram[:-1]])
-        new_kind = new_bucket | np.concatenate([[True], around[1:] != around[:-1]])
-        bucket, kind = np.cumsum(new_bucket) - 1, np.cumsum(new_kind) - 1
-        count = batch.column("places").value_lengths().to_numpy()
-        whole = np.bincount(kind, weights=count)[kind] > 1
-        opened = new_kind & (np.bincount(bucket[new_kind])[bucket] > 1)
-        row = np.repeat(np.arange(len(gram)), count)
-        first_place = np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]
-        is_open = opened[row] & first_place
-        kept = np.flatnonzero(whole[row] | is_open)
-        places = batch.column("places").flatten().take(pa.array(kept))
-        row = row[kept]
-        names = ["doc_id", "copy", "gram", "first", "last", "before", "whole", "open"]
-        yield pa.RecordBatch.from_arrays([places.field("doc_id"), places.field("copy"), pa.array(gram[row]), places.field("first"), places.field("last"), pa.array(batch.column("before").to_numpy()[row]), pa.array(whole[row]), pa.array(is_open[kept])], names)
+        begin = np.flatnonzero(new_bucket | np.concatenate([[True], around[1:] != around[:-1]]))
+        count = np.diff(np.append(begin, len(gram)))
+        total = np.add.reduceat(weight, begin)
+        has_earlier = ~new_bucket[begin]
+        has_earlier[0] = held is not None and earlier
+        has_later = np.append(gram[begin[1:]] == gram[begin[:-1]], False)
+        whole = np.repeat(total > 1, count)
+        opened = np.zeros(len(gram), bool)
+        opened[begin] = has_earlier | has_later
+        last = begin[-1]
+        whole[last], opened[last] = False, False  # it is held
+        yield rows(batch, whole, opened)
+        held, weight_held, earlier = batch.slice(last, 1), int(total[-1]), bool(has_earlier[-1])
+    if held is not None:
+        yield rows(held, np.array([weight_held > 1]), np.array([earlier]))
+
+
+def _window_keys(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in its bytes, key) of all windows of members with their bytes; equal windows of a bucket have equal keys."""
+    column = batch.column("bytes").cast(pa.large_binary())
+    off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]]
+    off = off - off[0]
+    count = np.maximum(np.diff(off) - length + 1, 0)
+    row = np.repeat(np.arange(len(count)), count)
+    j = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    hashes = tx.byte_windows(data, length)[off[row] + j] if len(row) else np.zeros(0, np.uint64)
+    offset = (batch.column("before").to_numpy()[row] - j).astype(np.uint64)
+    return row, j, tx.mix(hashes + tx.mix(batch.column("gram").to_numpy()[row].view(np.uint64) + offset))
 
 
 def _refine_by_windows(length: int):
@@ -164,16 +210,7 @@ def _refine_by_windows(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_bucket(batches):
-            column = batch.column("bytes").cast(pa.large_binary())
-            off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-            data = np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]]
-            off = off - off[0]
-            count = np.diff(off) - length + 1
-            row = np.repeat(np.arange(len(count)), count)
-            j = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            hashes = tx.byte_windows(data, length)[off[row] + j] if len(row) else np.zeros(0, np.uint64)
-            offset = (batch.column("before").to_numpy()[row] - j).astype(np.uint64)
-            keys = tx.mix(hashes + tx.mix(batch.column("gram").to_numpy()[row].view(np.uint64) + offset))
+            row, j, keys = _window_keys(batch, length)
             whole = batch.column("whole").to_numpy(zero_copy_only=False)
             _, which = np.unique(keys, return_inverse=True)
             again = np.bincount(which, weights=1 + whole[row])[which] > 1
@@ -187,19 +224,46 @@ def _refine_by_windows(length: int):
     return run
 
 
+def _crowded_windows(opened: DataFrame, length: int) -> DataFrame:
+    """What _refine_by_windows finds, for members whose buckets are too crowded to be gathered."""
+    kind = opened.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            for k in range(0, batch.num_rows, 4096):
+                some = batch.slice(k, 4096)
+                row, j, keys = _window_keys(some, length)
+                rows = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), some.column("whole").take(rows), some.column("doc_id").take(rows), some.column("copy").take(rows), pa.array((some.column("first").to_numpy()[row] + j).astype(np.int32))], ["key", "whole", "doc_id", "copy", "at"])
+
+    windows = saved(mapped(opened, run, f"key bigint, whole boolean, doc_id {kind}, copy int, at int"))
+    counts = windows.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.when(F.col("whole"), 2).otherwise(1)).alias("n")).where("n > 1").drop("n")
+    found = joined_by_group(windows.where("not whole"), saved(counts), "key", windows.count())
+    return found.select("doc_id", "copy", F.col("at").alias("first"), F.col("at").alias("last"))
+
+
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, copy, first, last): runs of starts of windows that start elsewhere too.
 
     `docs` has doc_id, copy and text; doc_id and copy together name a text.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = mapped(docs, _find_anchors(length, gram), ANCHORS.format(kind)).repartition("gram").sortWithinPartitions("gram", "around")
+    found = mapped(docs, _find_anchors(length, gram), ANCHORS.format(kind)).repartition("route").sortWithinPartitions("gram", "around")
     found = saved(mapped(found, _refine_by_surroundings, FOUND.format(kind)))
+    buckets = found.where("open").groupBy("gram").agg(F.count("*").alias("members"))
+    members = found.where("open").count()
+    crowded = saved(buckets.where(F.col("members") > max(CROWD_LEAST, members / CROWD_PART)).select("gram"))  # fewer than CROWD_PART
     same = F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("d.copy") == F.col("o.copy"))
     body = F.substring(F.col("text").cast("binary"), F.col("first") + 1, F.col("last") - F.col("first") + length)
-    opened = docs.alias("d").join(found.where("open").alias("o"), same).select("o.doc_id", "o.copy", "gram", "first", "last", "before", "whole", body.alias("bytes"))
-    parts = mapped(opened.repartition("gram").sortWithinPartitions("gram"), _refine_by_windows(length), f"doc_id {kind}, copy int, first int, last int")
-    return found.where("whole").select("doc_id", "copy", "first", "last").unionByName(saved(parts))
+    some_crowded = crowded.count() > 0
+
+    def with_bytes(rows: DataFrame) -> DataFrame:
+        return docs.alias("d").join(rows.alias("o"), same).select("o.doc_id", "o.copy", "gram", "first", "last", "before", "whole", body.alias("bytes"))
+
+    ordinary = found.where("open").join(F.broadcast(crowded), "gram", "left_anti") if some_crowded else found.where("open")
+    parts = saved(mapped(with_bytes(ordinary).repartition("gram").sortWithinPartitions("gram"), _refine_by_windows(length), f"doc_id {kind}, copy int, first int, last int"))
+    out = found.where("whole").select("doc_id", "copy", "first", "last").unionByName(parts)
+    return out.unionByName(_crowded_windows(with_bytes(found.where("open").join(F.broadcast(crowded), "gram", "left_semi")), length)) if some_crowded else out
 
 
 RESULT = "doc_id {0}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"

@@ -1,6 +1,6 @@
 """Whole-column text work in numpy: word hashes, shingles and rolling hashes over Arrow string buffers.
 
-Texts stay in the UTF-8 buffers that Arrow hands to a task. A batch is cut into slices of a few MB, so
+Texts stay in the UTF-8 buffers that Arrow hands to a task. A batch is cut into slices of 256 KB, so
 the working arrays stay small whatever the size of the batch; one text longer than that is a slice of
 its own. A null text counts as an empty one.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 SHINGLE_WORDS = 5
 
 U64 = np.uint64

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from docloom.llm import jaccard, substrings
 from docloom.llm import text as tx
 from docloom.llm.shared import components
@@ -46,7 +48,12 @@ def near_copies(seed=3):
     return rows
 
 
-def test_groups_equal_brute_force(spark):
+@pytest.mark.parametrize("block, hot", [(512, 1000), (8, 1000), (8, 6)])
+def test_groups_equal_brute_force(spark, monkeypatch, block, hot):
+    """Also with several blocks to a class of sizes, and with lists long enough to be hot."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "HOT_LEAST", hot)
+    monkeypatch.setattr(jaccard, "HOT_PART", 1000)
     rows = near_copies()
     found = jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(((r.id, r.n, r.component) for r in found.collect()), key=str) == brute_groups(rows)
@@ -97,7 +104,10 @@ def brute_repeats(rows, length):
     return sorted(out, key=str)
 
 
-def test_repeats_equal_brute_force(spark):
+@pytest.mark.parametrize("crowd", [1000, 4])
+def test_repeats_equal_brute_force(spark, monkeypatch, crowd):
+    """Also with buckets that count as crowded."""
+    monkeypatch.setattr(substrings, "CROWD_LEAST", crowd)
     rnd = random.Random(5)
     rows = [r[:2] for r in ODD if r[0] != 9]
     for k in range(40):
@@ -123,7 +133,7 @@ def test_places_of_long_texts_do_not_wrap(monkeypatch):
         text[at : at + 1000] = passage
     rows = [(1, 0, "short"), (2, 0, text.decode()), (3, 0, "x" * 150), (4, 0, "y" + passage.decode())]
     batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.string()), strict=True)], ["doc_id", "copy", "text"])
-    found = [(p["doc_id"], p["first"], p["last"], r["gram"], p["first"] + r["before"]) for b in substrings._find_anchors(200, 32)([batch]) for r in b.to_pylist() for p in r["places"]]
+    found = [(r["doc_id"], r["first"], r["last"], r["gram"], r["first"] + r["before"]) for b in substrings._find_anchors(200, 32)([batch]) for r in b.to_pylist()]
     windows = {}
     for doc, first, last, gram, anchor in found:
         for w in range(first, last + 1):
@@ -133,6 +143,29 @@ def test_places_of_long_texts_do_not_wrap(monkeypatch):
         assert [windows[2, at + k] for k in range(801)] == [windows[4, 1 + k] for k in range(801)]
 
 
+def test_buckets_may_span_batches():
+    """However the anchors of a bucket are dealt out to batches, the same members are found."""
+    import pyarrow as pa
+
+    rnd = random.Random(9)
+    rows = sorted((rnd.choice([1, 2, 2, 2, 3, 9]), rnd.randrange(4), rnd.choice([1, 1, 2]), k) for k in range(60))
+    kinds = {}
+    for g, a, w, _ in rows:
+        kinds.setdefault(g, {}).setdefault(a, []).append(w)
+    want = []
+    first_met = set()
+    for g, a, _, k in rows:
+        whole, opened = sum(kinds[g][a]) > 1, len(kinds[g]) > 1 and (g, a) not in first_met
+        first_met.add((g, a))
+        if whole or opened:
+            want.append((k, whole, opened))
+    names = ["gram", "around", "weight", "doc_id", "copy", "first", "last", "before", "settled"]
+    for size in (1, 2, 7, 60):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(names, (g, a, w, k, 0, 0, 0, 0, False), strict=True)) for g, a, w, k in rows[s : s + size]]) for s in range(0, 60, size)]
+        got = [(r["doc_id"], r["whole"], r["open"]) for b in substrings._refine_by_surroundings(iter(batches)) for r in b.to_pylist()]
+        assert sorted(got) == sorted(want), size
+
+
 def test_repeats_bear_odd_rows(spark):
     assert substrings.remove_repeats(docs(spark)).count() == len(ODD)
     assert substrings.remove_repeats(docs(spark, [])).count() == 0
