@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from .text import CELL_FORMS
 
 _CONTENT = "headers array<string>, rows array<array<string>>"
+#: So many empty cells may be added to make rows equally long, or as many as there are.
+MOST_PADDING = 1_000_000
 EMBEDDED_FORMATS = ("csv", "tsv", "json", "jsonl")
 
 
@@ -35,6 +37,9 @@ def _records(objects: list) -> tuple[list[str], list[list[str]]]:
     if not all(isinstance(o, dict) for o in objects):
         raise ValueError("not an array of objects")
     headers = list(dict.fromkeys(k for o in objects for k in o))
+    padded, present = len(headers) * len(objects), sum(map(len, objects))
+    if padded - present > max(MOST_PADDING, present):
+        raise ValueError(f"padding: {padded - present} empty cells beside {present}")
     show = lambda v: "" if v is None else v if isinstance(v, str) else _encode(v)
     return headers, [[show(o.get(h)) for h in headers] for o in objects]
 
@@ -122,11 +127,16 @@ def column_types(blocks: DataFrame, by: str = "doc") -> DataFrame:
 def read_table(blocks: DataFrame, doc, element_order: int, by: str = "doc") -> DataFrame:
     """One table block as a typed relation, a row for each of its rows; an empty cell is null.
 
-    Only the columns' names and types are looked at beforehand; the rows stay distributed.
+    Only the columns' names and types are looked at beforehand; the rows stay distributed. Rows so unequal that most
+    cells would be made up are an error.
     """
     one = blocks.where((F.col(by) == F.lit(doc)) & (F.col("element_order") == element_order))
     found = column_types(one, by).orderBy("column").collect()
     if not found:
         raise ValueError(f"no table at {element_order} of {doc}")
+    size = table_cells(one, by).agg(F.count("*").alias("present"), (F.max("row") + 1).alias("rows")).first()
+    padded = size["rows"] * (found[-1]["column"] + 1) - size["present"]
+    if padded > max(MOST_PADDING, size["present"]):
+        raise ValueError(f"padding: {padded} empty cells beside {size['present']}")
     wide = table_cells(one, by).groupBy("row").agg(*[F.max(F.when(F.col("column") == r["column"], F.nullif("value", F.lit("")))).cast(r["type"]).alias(r["name"]) for r in found])
     return wide.orderBy("row").drop("row")

@@ -19,6 +19,12 @@ def slug(title: Column, separator: str = "-") -> Column:
     return F.when(title.isNull() | (joined == ""), F.lit("section")).otherwise(joined)
 
 
+def class_slug(label: Column) -> Column:
+    """The class name of a source's own label, such as a paragraph style: ASCII signs but `_` become one `-`; '' if none is left."""
+    kept = F.regexp_replace(F.translate(label, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-/:-^`{-\x7f]+", "-")
+    return F.regexp_replace(kept, "^-|-$", "")
+
+
 def glob_pattern(glob: str) -> str:
     """A LIKE pattern for a glob of * and ?; a backslash escapes."""
     out = glob.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")

@@ -1,10 +1,11 @@
 """Structural operators over block tables of any number of documents.
 
 All of them are windows over one order, by document: no joins, and one shuffle by document that
-operators applied one after the other share. The question they have in common is in whose span a row
-stands, where a span goes from its first row to the next row of the same or a higher rank. Among the
-spans of one rank that is the last row so far of that rank or a higher one, a running `last`; there are
-a handful of ranks.
+operators applied one after the other share. Nothing runs before the result is asked for, and the source
+is read once. The question they have in common is in whose span a row stands, where a span goes from its
+first row to the next row of the same or a higher rank. Among the spans of one rank that is the last row
+so far of that rank or a higher one, a running `last`; a document has spans of a handful of ranks, which
+a window over the document lists first.
 """
 
 from __future__ import annotations
@@ -39,20 +40,22 @@ def heading_rank() -> Column:
     return F.coalesce(F.expr("try_cast(attributes['heading_level'] as int)"), F.lit(1))
 
 
-def _ranks(df: DataFrame, where: Column, rank: Column) -> list[int]:
-    """The distinct ranks that spans of this kind have, a handful."""
-    return sorted(r["rank"] for r in df.where(where).select(rank.cast("int").alias("rank")).distinct().collect())
+#: So many different levels can `repair` bear in one document; more are an error.
+MOST_LEVELS = 24
+#: A document whose spans are of more different ranks than this is an error, which says so.
+MOST_RANKS = 9
 
 
-def _within(by: str, rank: Column, ranks: list[int], opens: Column, closes: Column | None = None) -> Column:
-    """Whether a row stands in a span: of one opened by `opens`, up to the next row that closes it.
+def _with_span(df: DataFrame, by: str, out: str, rank: Column, opens: Column, closes: Column | None = None, most: int = MOST_RANKS) -> DataFrame:
+    """`df` with `out`: whether a row stands in a span, from a row with `opens` up to the next one that closes it.
 
     A row closes the spans of its rank and of all lower ones if `closes` holds (for all rows, if not given).
     """
-    over = _running(by)
     closes = F.lit(True) if closes is None else closes
-    inside = [F.coalesce(F.last(F.when(closes & (rank <= r), opens & (rank == r)), ignorenulls=True).over(over), F.lit(False)) for r in ranks]
-    return reduce(lambda a, b: a | b, inside, F.lit(False))
+    listed = df.withColumn("_ranks", F.array_sort(F.collect_set(F.when(opens, rank)).over(_whole(by))))
+    inside = [F.coalesce(F.last(F.when(closes & (rank <= (r := F.get("_ranks", F.lit(k)))), opens & (rank == r)), ignorenulls=True).over(_running(by)), F.lit(False)) for k in range(most)]
+    found = F.when(F.size("_ranks") > most, F.raise_error(F.lit(f"a document has spans of more than {most} ranks"))).otherwise(reduce(lambda a, b: a | b, inside))
+    return listed.withColumn(out, found).drop("_ranks")
 
 
 def is_metadata_root() -> Column:
@@ -61,9 +64,7 @@ def is_metadata_root() -> Column:
 
 def body(blocks: DataFrame, by: str = "doc") -> DataFrame:
     """The rows outside all metadata: value and metadata rows go, with all that is below them."""
-    rank = F.coalesce("level", F.lit(1))
-    ranks = _ranks(blocks, is_metadata_root(), rank)
-    return blocks.withColumn("_meta", _within(by, rank, ranks, is_metadata_root())).where(~F.col("_meta")).drop("_meta")
+    return _with_span(blocks, by, "_meta", F.coalesce("level", F.lit(1)), is_metadata_root()).where(~F.col("_meta")).drop("_meta")
 
 
 def _mode(match: str | None, modes: tuple[str, ...], what: str) -> str:
@@ -101,28 +102,30 @@ def section(blocks: DataFrame, name: str, match: str = "exact", by: str = "doc")
     if mode == "exact":
         first = F.min(F.when(F.col("_hit"), F.col("element_order"))).over(_whole(by))
         rows = rows.withColumn("_hit", F.coalesce(F.col("element_order") == first, F.lit(False)))
-    ranks = _ranks(rows, F.col("_hit"), F.col("_rank"))
-    inside = _within(by, F.col("_rank"), ranks, F.col("_hit"), F.coalesce(F.col("element_type") == "heading", F.lit(False)))
-    return rows.withColumn("_in", inside).where("_in").select(*blocks.columns)
+    heading = F.coalesce(F.col("element_type") == "heading", F.lit(False))
+    return _with_span(rows, by, "_in", F.col("_rank"), F.col("_hit"), heading).where("_in").select(*blocks.columns)
 
 
 def segments(blocks: DataFrame, by: str = "doc") -> DataFrame:
-    """The body with `segment`, the order of the heading above each row (null before the first), and `segment_text`.
+    """The body with `segment`, the order of the heading above each row; null before the first one."""
+    return body(blocks, by).withColumn("segment", F.max(F.when(F.col("element_type") == "heading", F.col("element_order"))).over(_running(by)))
 
-    The text is the content of the segment's rows joined by one blank; rows without content add nothing.
-    """
-    rows = body(blocks, by).withColumn("segment", F.max(F.when(F.col("element_type") == "heading", F.col("element_order"))).over(_running(by)))
-    span = Window.partitionBy(by, "segment").orderBy("element_order").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.withColumn("segment_text", F.array_join(F.collect_list(F.when(F.coalesce("content", F.lit("")) != "", F.col("content"))).over(span), " "))
+
+def segment_text(rows: str = "_rows") -> Column:
+    """The content of a segment's rows (structs) joined by one blank; rows without content add nothing."""
+    said = F.filter(F.transform(rows, lambda r: F.struct(r["element_order"].alias("at"), r["content"].alias("content"))), lambda r: F.coalesce(r["content"], F.lit("")) != "")
+    return F.array_join(F.transform(F.array_sort(said), lambda r: r["content"]), " ")
 
 
 def search_sections(blocks: DataFrame, pattern: str, match: str = "contains", by: str = "doc") -> DataFrame:
     """The segments, from a heading to the next one of any rank, whose whole text has the pattern in any case.
 
-    A phrase may run across rows. An empty pattern is in every segment.
+    A phrase may run across rows. An empty pattern is in every segment. Each segment is put together and looked at
+    once, in the task that has its document, and is held as a whole there.
     """
     mode = _mode(match, ("contains", "glob"), "search_sections")
-    return segments(blocks, by).where(_like(F.col("segment_text"), pattern, mode)).select(*blocks.columns)
+    whole = segments(blocks, by).groupBy(by, "segment").agg(F.collect_list(F.struct(*[c for c in blocks.columns if c != by])).alias("_rows"))
+    return whole.where(_like(segment_text(), pattern, mode)).select(by, F.inline("_rows")).select(*blocks.columns)
 
 
 def container(blocks: DataFrame, id: str, by: str = "doc") -> DataFrame:
@@ -140,13 +143,11 @@ def reading(blocks: DataFrame, by: str = "doc") -> DataFrame:
     """
     role, rank = attribute("role"), F.coalesce("level", F.lit(1))
     is_section = F.coalesce((F.col("kind") == "block") & (F.col("element_type") == "section"), F.lit(False))
-    named = is_section & F.coalesce(role.isin(*NAMED_SECTIONS), F.lit(False))
-    ranks = _ranks(blocks, named, rank)
     is_role = lambda *names: is_section & F.coalesce(role.isin(*names), F.lit(False))
-    rows = blocks.withColumn("_main", _within(by, rank, ranks, is_role("main"))).withColumn("_article", _within(by, rank, ranks, is_role("article")))
+    rows = _with_span(_with_span(blocks, by, "_main", rank, is_role("main")), by, "_article", rank, is_role("article"))
     whole = Window.partitionBy(by)
     edge = is_role("header", "footer") & ~F.col("_article")
-    rows = rows.withColumn("_chrome", _within(by, rank, ranks, is_role("nav", "aside") | edge))
+    rows = _with_span(rows, by, "_chrome", rank, is_role("nav", "aside") | edge)
     rows = rows.withColumn("_has_main", F.max(is_role("main")).over(whole)).withColumn("_has_article", F.max(is_role("article")).over(whole))
     shown = F.when(F.col("_has_main"), F.col("_main")).when(F.col("_has_article"), F.col("_article")).otherwise(True) & ~F.col("_chrome")
     keep = F.when(F.col("kind") == "value", F.coalesce(attribute("key").isin(*KEPT_METADATA), F.lit(False))).otherwise(shown)
@@ -177,9 +178,10 @@ def repair(blocks: DataFrame, by: str = "doc") -> DataFrame:
     place = Window.partitionBy(by).orderBy("element_order", "_first")
     based = both.withColumn("level", F.col("level") - F.min("level").over(Window.partitionBy(by)) + 1).withColumn("element_order", (F.row_number().over(place) - 1).cast("int"))
     # a row's depth is the number of levels, up to its own, of which a row is still open
-    over = _running(by)
-    still = [F.when((F.lit(r) <= F.col("level")) & (F.last(F.when(F.col("level") <= r, F.col("level")), ignorenulls=True).over(over) == r), 1).otherwise(0) for r in _ranks(based, F.lit(True), F.col("level"))]
-    return based.withColumn("level", reduce(lambda a, b: a + b, still, F.lit(0)).cast("int")).select(*blocks.columns)
+    listed = based.withColumn("_levels", F.array_sort(F.collect_set("level").over(_whole(by))))
+    still = [F.when(((r := F.get("_levels", F.lit(k))) <= F.col("level")) & (F.last(F.when(F.col("level") <= r, F.col("level")), ignorenulls=True).over(_running(by)) == r), 1).otherwise(0) for k in range(MOST_LEVELS)]
+    deep = F.when(F.size("_levels") > MOST_LEVELS, F.raise_error(F.lit(f"repair: a document has more than {MOST_LEVELS} levels")))
+    return listed.withColumn("level", F.coalesce(deep, reduce(lambda a, b: a + b, still)).cast("int")).select(*blocks.columns)
 
 
 def collected(blocks: DataFrame, by: str = "doc") -> DataFrame:
@@ -200,11 +202,11 @@ def expand_embedded(blocks: DataFrame, by: str = "doc") -> DataFrame:
     The new rows stand where the raw one stood, their levels count from its level, and each document is
     numbered anew from its smallest element_order.
     """
-    from ..sources.lines import MARKDOWN, read_lines
+    from ..sources.lines import read_lines
 
     is_raw = F.coalesce((F.col("kind") == "block") & (F.col("element_type") == "raw") & (F.coalesce(attribute("format"), F.lit("")) == "markdown"), F.lit(False))
     raw = blocks.where(is_raw).select(F.struct(F.col(by).alias("doc"), F.col("element_order").alias("at"), F.coalesce("level", F.lit(1)).alias("host")).alias("_key"), F.col("content").alias("text"))
-    inner = read_lines(raw, MARKDOWN, "_key").select(F.col("_key.doc").alias(by), "kind", "element_type", "content", (F.col("level") + F.col("_key.host") - 1).cast("int").alias("level"), "encoding", "attributes", F.col("_key.at").alias("element_order"), F.col("element_order").alias("_sub"))
+    inner = read_lines(raw, "markdown", "_key").select(F.col("_key.doc").alias(by), "kind", "element_type", "content", (F.col("level") + F.col("_key.host") - 1).cast("int").alias("level"), "encoding", "attributes", F.col("_key.at").alias("element_order"), F.col("element_order").alias("_sub"))
     both = blocks.where(~is_raw).withColumn("_sub", F.lit(0)).select(*inner.columns).unionByName(inner)
     place, whole = Window.partitionBy(by).orderBy("element_order", "_sub"), Window.partitionBy(by)
     order = F.row_number().over(place) - 1 + F.min("element_order").over(whole)

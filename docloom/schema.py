@@ -30,6 +30,8 @@ INLINE_TYPES = (
     "text", "space", "softbreak", "linebreak", "bold", "italic", "strikethrough", "superscript", "subscript", "smallcaps", "underline", "code", "math", "link", "image", "quoted", "cite", "note", "span", "raw", "generic",
 )
 VALUE_TYPES = ("string", "bool", "list", "map", "inlines", "blocks", "version", "generic")
+#: Roles of sections.
+SECTION_NAMES = ("section", "article", "aside", "nav", "header", "footer", "main")
 ENCODINGS = ("text", "json", "yaml", "html", "xml", "latex", "markdown", "toml")
 SPEC_VERSION = "1.4"
 PANDOC_API_VERSION = (1, 23, 1)

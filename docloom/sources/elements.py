@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import BLOCK_COLUMNS
-from .lines import _attributes
+from .assemble import attributes as _attributes
 
 
 def page_range(pages: str | None) -> tuple[int, int | None]:

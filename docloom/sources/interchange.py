@@ -1,26 +1,32 @@
 """The interchange AST of document converters: JSON to blocks and back.
 
-An AST nests without bound, which from_json can't describe, so one document's tree is flattened by a small
-recursive helper in an Arrow UDF; all that follows is DataFrame code over block rows.
+An AST nests without bound, which from_json can't describe, so one document's tree is flattened, or built, by
+small recursive helpers in Arrow UDFs; all else is DataFrame code over block rows. What is read is written
+back: attributes, tables with their whole tuple, figures, definition lists, notes and metadata.
 """
 
 from __future__ import annotations
 
 import json
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.structure import collected
-from ..schema import BLOCK, BLOCK_COLUMNS, PANDOC_API_VERSION
+from ..schema import BLOCK, BLOCK_COLUMNS, PANDOC_API_VERSION, SECTION_NAMES
 
 DEEPEST = 128
+TEXT_MODES = ("markdown", "text")
 
 # Constructors of the AST and the inline types that they are.
 INLINES = {"Strong": "bold", "Emph": "italic", "Strikeout": "strikethrough", "Superscript": "superscript", "Subscript": "subscript", "SmallCaps": "smallcaps", "Underline": "underline"}
 _CONSTRUCTORS = {v: k for k, v in INLINES.items()}
+_PLAIN = ("Str", "Space", "SoftBreak")
+_NO_ATTR = ["", [], []]
+#: Attributes of a block that say what it is; the others go with it as they are.
+_OWN = {"id", "class", "heading_level", "language", "format", "list_type", "ordered", "start", "number_style", "number_delim", "role", "source_type", "pandoc_ast", "short_caption", "href", "src", "title", "alt", "display", "quote_type", "key", "citations"}
 
 
 def flat_text(inlines: list) -> str:
@@ -46,6 +52,10 @@ def _attr(a: list) -> dict:
     return {k: v for k, v in own.items() if v}
 
 
+def _cells(row: list) -> list[str]:
+    return [" ".join(filter(None, (flat_text(b["c"]) if b["t"] in ("Para", "Plain") else "" for b in cell[4]))) for cell in row[1]]
+
+
 class _Flat:
     """Collects the rows of one document."""
 
@@ -53,189 +63,514 @@ class _Flat:
         self.rows: list[tuple] = []
 
     def row(self, kind, what, content, level, attributes=None, encoding="text") -> None:
-        self.rows.append((kind, what, content or None, level, encoding, {k: str(v) for k, v in (attributes or {}).items()}, len(self.rows)))
+        if level > DEEPEST:
+            raise ValueError(f"nested deeper than {DEEPEST}")
+        self.rows.append((kind, what, content or None, level, encoding, [(k, str(v)) for k, v in (attributes or {}).items()], len(self.rows)))
 
     def text(self, what: str, inlines: list, level: int, attributes=None) -> None:
-        if all(x["t"] in ("Str", "Space", "SoftBreak") for x in inlines):
+        if all(x["t"] in _PLAIN for x in inlines):
             self.row("block", what, flat_text(inlines), level, attributes)
         else:
             self.row("block", what, flat_text(inlines) if what == "heading" else None, level, attributes)
             self.inlines(inlines, level + 1)
 
     def inlines(self, inlines: list, level: int) -> None:
-        if level > DEEPEST:
-            raise ValueError(f"nested deeper than {DEEPEST}")
         said = ""
         for x in [*inlines, {"t": "End"}]:
-            t, c = x["t"], x.get("c")
-            if t in ("Str", "Space", "SoftBreak"):
+            if x["t"] in ("Str", "Space"):
                 said += flat_text([x])
                 continue
             if said:
                 self.row("inline", "text", said, level)
                 said = ""
-            if t in INLINES:
-                simple = all(y["t"] in ("Str", "Space", "SoftBreak") for y in c)
-                self.row("inline", INLINES[t], flat_text(c) if simple else None, level)
-                if not simple:
-                    self.inlines(c, level + 1)
-            elif t in ("Code", "Math", "RawInline"):
-                self.row("inline", {"Code": "code", "Math": "math", "RawInline": "raw"}[t], c[1], level, {"display": "true"} if t == "Math" and c[0]["t"] == "DisplayMath" else {"format": c[0]} if t == "RawInline" else _attr(c[0]) if t == "Code" else {})
-            elif t in ("Link", "Image"):
-                self.row("inline", t.lower(), flat_text(c[1]), level, _attr(c[0]) | {"href" if t == "Link" else "src": c[2][0]} | ({"title": c[2][1]} if c[2][1] else {}))
-            elif t == "LineBreak":
-                self.row("inline", "linebreak", None, level)
-            elif t == "Note":
-                self.row("inline", "note", None, level)
-                self.blocks(c, level + 1)
-            elif t == "Quoted":
-                self.row("inline", "quoted", flat_text(c[1]), level, {"quote_type": c[0]["t"].removesuffix("Quote").lower()})
-            elif t in ("Span", "Cite"):
-                self.row("inline", t.lower(), flat_text(c[1]), level, _attr(c[0]) if t == "Span" else {})
-            elif t != "End":
-                self.row("inline", "generic", json.dumps(x), level, {"source_type": t}, "json")
+            if x["t"] != "End":
+                self.inline(x["t"], x.get("c"), level, x)
+
+    def inline(self, t: str, c, level: int, whole: dict) -> None:
+        if t in ("LineBreak", "SoftBreak"):
+            self.row("inline", t.lower(), None, level)
+        elif t in INLINES:
+            self.holder(INLINES[t], c, level, {})
+        elif t == "Code":
+            self.row("inline", "code", c[1], level, _attr(c[0]))
+        elif t == "Math":
+            self.row("inline", "math", c[1], level, {"display": "block" if c[0]["t"] == "DisplayMath" else "inline"})
+        elif t == "RawInline":
+            self.row("inline", "raw", c[1], level, {"format": c[0]})
+        elif t == "Link":
+            self.holder("link", c[1], level, _attr(c[0]) | {"href": c[2][0]} | ({"title": c[2][1]} if c[2][1] else {}))
+        elif t == "Image":
+            alt = flat_text(c[1])
+            self.row("inline", "image", alt, level, _attr(c[0]) | {"src": c[2][0]} | ({"title": c[2][1]} if c[2][1] else {}) | ({"alt": alt} if alt else {}))
+        elif t == "Quoted":
+            self.holder("quoted", c[1], level, {"quote_type": c[0]["t"].removesuffix("Quote").lower()})
+        elif t == "Cite":
+            self.holder("cite", c[1], level, {"citations": json.dumps(c[0], ensure_ascii=False)})
+        elif t == "Span":
+            self.holder("span", c[1], level, _attr(c[0]))
+        elif t == "Note":
+            self.row("inline", "note", None, level, {"block_count": len(c)} if len(c) > 1 else {})
+            self.blocks(c, level + 1)
+        else:
+            self.row("inline", "generic", json.dumps(whole, ensure_ascii=False), level, {"source_type": t}, "json")
+
+    def holder(self, what: str, inlines: list, level: int, attributes: dict) -> None:
+        """An inline around others: flat if they are text alone."""
+        simple = all(y["t"] in ("Str", "Space") for y in inlines)
+        self.row("inline", what, flat_text(inlines) if simple else None, level, attributes)
+        if not simple:
+            self.inlines(inlines, level + 1)
 
     def blocks(self, blocks: list, level: int) -> None:
-        if level > DEEPEST:
-            raise ValueError(f"nested deeper than {DEEPEST}")
         for b in blocks:
-            t, c = b["t"], b.get("c")
-            if t == "Header":
-                self.text("heading", c[2], level, {"heading_level": c[0]} | _attr(c[1]))
-            elif t in ("Para", "Plain"):
-                self.text("paragraph" if t == "Para" else "plain", c, level)
-            elif t == "CodeBlock":
-                own = _attr(c[0])
-                self.row("block", "code", c[1], level, own | ({"language": c[0][1][0]} if c[0][1] else {}))
-            elif t == "RawBlock":
-                self.row("block", "raw", c[1], level, {"format": c[0]})
-            elif t == "HorizontalRule":
-                self.row("block", "hr", None, level)
-            elif t == "LineBlock":
-                self.row("block", "lineblock", "\n".join(map(flat_text, c)), level)
-            elif t in ("BlockQuote", "Div"):
-                self.row("block", "blockquote" if t == "BlockQuote" else "div", None, level, {} if t == "BlockQuote" else _attr(c[0]))
-                self.blocks(c if t == "BlockQuote" else c[1], level + 1)
-            elif t in ("BulletList", "OrderedList"):
-                ordered = t == "OrderedList"
-                self.row("block", "list", None, level, {"list_type": "ordered" if ordered else "bullet", "ordered": str(ordered).lower()} | ({"start": c[0][0], "number_style": c[0][1]["t"], "number_delim": c[0][2]["t"]} if ordered else {}))
-                for item in c[1] if ordered else c:
-                    lone = item[0]["c"] if len(item) == 1 and item[0]["t"] == "Plain" else None
-                    if lone is not None:
-                        self.text("list_item", lone, level + 1)
-                    else:
-                        self.row("block", "list_item", None, level + 1)
-                        self.blocks(item, level + 2)
-            elif t == "Table":
-                body = [[flat_text([i for p in cell[4] for i in p.get("c", [])]) for cell in r[1]] for part in c[4] for r in part[3]]
-                head = [flat_text([i for p in cell[4] for i in p.get("c", [])]) for r in c[3][1][:1] for cell in r[1]]
-                self.row("block", "table", json.dumps({"headers": head, "rows": body}, ensure_ascii=False, separators=(",", ":")), level, {}, "json")
+            make = getattr(self, f"read_{b['t']}", None)
+            if make is None:
+                self.row("block", "generic", json.dumps(b, ensure_ascii=False), level, {"source_type": b["t"]}, "json")
             else:
-                self.row("block", "generic", json.dumps(b), level, {"source_type": t}, "json")
+                make(b.get("c"), level)
+
+    def read_Null(self, c, level) -> None:
+        """Nothing at all."""
+
+    def read_Header(self, c, level) -> None:
+        self.text("heading", c[2], level, {"heading_level": c[0]} | _attr(c[1]))
+
+    def read_Para(self, c, level) -> None:
+        self.text("paragraph", c, level)
+
+    def read_Plain(self, c, level) -> None:
+        self.text("plain", c, level)
+
+    def read_CodeBlock(self, c, level) -> None:
+        self.row("block", "code", c[1].rstrip("\r\n"), level, ({"language": c[0][1][0]} if c[0][1] else {}) | _attr(c[0]))
+
+    def read_RawBlock(self, c, level) -> None:
+        self.row("block", "raw", c[1], level, {"format": c[0]})
+
+    def read_HorizontalRule(self, c, level) -> None:
+        self.row("block", "hr", None, level)
+
+    def read_LineBlock(self, c, level) -> None:
+        lines = [x for line in c for x in [*line, {"t": "LineBreak"}]][:-1]
+        if all(x["t"] in (*_PLAIN, "LineBreak") for x in lines):
+            self.row("block", "lineblock", "\n".join(map(flat_text, c)), level)
+        else:
+            self.row("block", "lineblock", None, level)
+            self.inlines(lines, level + 1)
+
+    def read_BlockQuote(self, c, level) -> None:
+        self.row("block", "blockquote", None, level)
+        self.blocks(c, level + 1)
+
+    def read_Div(self, c, level) -> None:
+        own = _attr(c[0])
+        named = own.get("role") or next((k for k in c[0][1] if k in SECTION_NAMES or k == "page"), "")
+        what = "section" if named in SECTION_NAMES else "page_break" if named == "page" else "div"
+        self.row("block", what, None, level, own | ({"role": named} if what != "div" else {}))
+        self.blocks(c[1], level + 1)
+
+    def items(self, kind: str, items: list, level: int, attributes: dict) -> None:
+        self.row("block", "list", None, level, {"list_type": kind, "ordered": "true" if kind == "ordered" else "false"} | attributes)
+        for item, own in items:
+            if len(item) == 1 and item[0]["t"] == "Plain":
+                self.text("list_item", item[0]["c"], level + 1, own)
+            else:
+                self.row("block", "list_item", None, level + 1, own)
+                self.blocks(item, level + 2)
+
+    def read_BulletList(self, c, level) -> None:
+        self.items("bullet", [(x, {}) for x in c], level, {})
+
+    def read_OrderedList(self, c, level) -> None:
+        (start, style, delim), items = c
+        self.items("ordered", [(x, {}) for x in items], level, {"start": start, "number_style": style["t"], "number_delim": delim["t"]})
+
+    def read_DefinitionList(self, c, level) -> None:
+        items = [x for term, bodies in c for x in [([{"t": "Plain", "c": term}], {"role": "term"}), *((body, {"role": "definition"}) for body in bodies)]]
+        self.items("definition", items, level, {})
+
+    def read_Table(self, c, level) -> None:
+        head = _cells(c[3][1][0]) if c[3][1] else []
+        body = [_cells(r) for r in c[3][1][1:]] + [_cells(r) for part in c[4] for r in [*part[2], *part[3]]] + [_cells(r) for r in c[5][1]]
+        own = _attr(c[0]) | {"pandoc_ast": json.dumps(c, ensure_ascii=False, separators=(",", ":"))}
+        self.row("block", "table", table_content(head, body), level, own, "json")
+
+    def read_Figure(self, c, level) -> None:
+        attr, (short, caption), inner = c
+        self.row("block", "figure", None, level, _attr(attr))
+        self.blocks(inner, level + 1)
+        if caption or short:
+            self.row("block", "caption", None, level + 1, {"short_caption": flat_text(short)} if short else {})
+            self.blocks(caption, level + 2)
+
+    def value(self, key: str | None, value: dict, level: int) -> None:
+        """A metadata value, named by `key` unless it stands in a list."""
+        t, c = value["t"].removeprefix("Meta"), value.get("c")
+        own = {} if key is None else {"key": key}
+        if t == "Bool":
+            self.row("value", "bool", "true" if c else "false", level, own)
+        elif t == "String":
+            self.row("value", "string", c, level, own)
+        elif t == "Inlines":
+            self.row("value", "inlines", None, level, own)
+            self.inlines(c, level + 1)
+        elif t == "Blocks":
+            self.row("value", "blocks", None, level, own)
+            self.blocks(c, level + 1)
+        elif t in ("List", "Map"):
+            self.row("value", t.lower(), None, level, own)
+            for k, x in c.items() if t == "Map" else ((None, x) for x in c):
+                self.value(k, x, level + 1)
+        else:
+            self.row("value", "generic", json.dumps(value, ensure_ascii=False), level, own, "json")
+
+
+def table_content(headers: list[str], rows: list[list[str]]) -> str:
+    return json.dumps({"headers": headers, "rows": rows}, ensure_ascii=False, separators=(",", ":"))
 
 
 def to_rows(text: str | None) -> list[tuple] | None:
-    """The block rows of one AST; null for null. Metadata that is text follows as value rows."""
+    """The block rows of one AST, or of an array of its blocks; null for null. Metadata follows as value rows."""
     if text is None:
         return None
     ast = json.loads(text)
     flat = _Flat()
     flat.blocks(ast["blocks"] if isinstance(ast, dict) else ast, 1)
     for key, value in (ast.get("meta", {}) if isinstance(ast, dict) else {}).items():
-        flat.row("value", "inlines" if value["t"] == "MetaInlines" else "string", None, 1, {"key": key})
-        flat.row("inline", "text", flat_text(value["c"]) if value["t"] == "MetaInlines" else str(value.get("c")), 2)
+        flat.value(key, value, 1)
     return flat.rows
 
 
-@F.pandas_udf(T.ArrayType(BLOCK))
-def interchange_to_blocks(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if (rows := to_rows(t)) is None else [dict(zip(BLOCK_COLUMNS, r, strict=True)) for r in rows])
+def inline_rows(text: str | None) -> list[tuple] | None:
+    """The inline rows of an array of inlines; null for null."""
+    if text is None:
+        return None
+    flat = _Flat()
+    found = json.loads(text)
+    flat.inlines(found if isinstance(found, list) else [found], 1)
+    return flat.rows
+
+
+_ARROW_BLOCKS = pa.list_(pa.struct([("kind", pa.string()), ("element_type", pa.string()), ("content", pa.string()), ("level", pa.int32()), ("encoding", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), ("element_order", pa.int32())]))
+
+
+def _as_blocks(rows: list[list[tuple] | None]) -> pa.Array:
+    return pa.array([None if r is None else [dict(zip(BLOCK_COLUMNS, x, strict=True)) for x in r] for r in rows], _ARROW_BLOCKS)
+
+
+@F.arrow_udf(T.ArrayType(BLOCK))
+def interchange_to_blocks(text: pa.Array) -> pa.Array:
+    """The blocks of each AST as an array; null for null."""
+    return _as_blocks([to_rows(t) for t in text.to_pylist()])
+
+
+@F.arrow_udf(T.ArrayType(BLOCK))
+def inlines_to_rows(text: pa.Array) -> pa.Array:
+    """The inline rows of each JSON array of inlines; null for null."""
+    return _as_blocks([inline_rows(t) for t in text.to_pylist()])
 
 
 def read_interchange(docs: DataFrame, by: str = "doc", text: str = "text") -> DataFrame:
-    """The block table of documents as ASTs."""
+    """The block table of documents as ASTs; a null text has no blocks. Nesting deeper than DEEPEST is an error."""
     return docs.select(by, F.inline(interchange_to_blocks(text))).select(by, *BLOCK_COLUMNS)
 
 
-def _inline_ast(rows: list[dict]) -> list:
-    out, k = [], 0
+def _subtrees(rows: list[dict]):
+    """(row, rows below it) of the topmost rows, whatever their levels are."""
+    k = 0
     while k < len(rows):
-        r, end = rows[k], k + 1
-        while end < len(rows) and rows[end]["level"] > r["level"]:
+        end = k + 1
+        while end < len(rows) and rows[end]["level"] > rows[k]["level"]:
             end += 1
-        below = _inline_ast(rows[k + 1 : end]) or _words(r["content"])
-        kind, a = r["element_type"], dict(r["attributes"] or {})
+        yield rows[k], rows[k + 1 : end]
+        k = end
+
+
+def _words(text: str | None) -> list:
+    out = []
+    for n, line in enumerate((text or "").split("\n")):
+        out += [{"t": "SoftBreak"}] if n else []
+        for k, w in enumerate(line.split(" ")):
+            out += ([{"t": "Space"}] if k else []) + ([{"t": "Str", "c": w}] if w else [])
+    return out
+
+
+def _attributes(row: dict) -> dict:
+    return dict(row["attributes"] or [])
+
+
+def _ast_attr(a: dict, drop: tuple[str, ...] = ()) -> list:
+    return [a.get("id", ""), a.get("class", "").split(), [[k, v] for k, v in a.items() if k not in _OWN and k not in drop]]
+
+
+def _of_kind(rows: list[dict], kind: str) -> list[dict]:
+    """The topmost rows of this kind with all that is below them."""
+    return [x for r, below in _subtrees(rows) if r["kind"] == kind for x in [r, *below]]
+
+
+def _inline_ast(rows: list[dict]) -> list:
+    out = []
+    for r, below in _subtrees(rows):
+        kind, a, content = r["element_type"], _attributes(r), r["content"]
+        inner = _inline_ast(_of_kind(below, "inline")) or _words(content)
         if kind in _CONSTRUCTORS:
-            out.append({"t": _CONSTRUCTORS[kind], "c": below})
+            out.append({"t": _CONSTRUCTORS[kind], "c": inner})
+        elif kind == "space":
+            out.append({"t": "Space"})
+        elif kind in ("linebreak", "softbreak"):
+            out.append({"t": "LineBreak" if kind == "linebreak" else "SoftBreak"})
         elif kind == "code":
-            out.append({"t": "Code", "c": [["", [], []], r["content"] or ""]})
+            out.append({"t": "Code", "c": [_ast_attr(a), content or ""]})
         elif kind == "math":
-            out.append({"t": "Math", "c": [{"t": "DisplayMath" if a.get("display") else "InlineMath"}, r["content"] or ""]})
-        elif kind in ("link", "image"):
-            out.append({"t": kind.title(), "c": [["", [], []], below, [a.get("href") or a.get("src") or "", a.get("title", "")]]})
-        elif kind == "linebreak":
-            out.append({"t": "LineBreak"})
+            out.append({"t": "Math", "c": [{"t": "DisplayMath" if a.get("display") in ("block", "true") else "InlineMath"}, content or ""]})
+        elif kind == "raw":
+            out.append({"t": "RawInline", "c": [a.get("format", ""), content or ""]})
+        elif kind == "link":
+            out.append({"t": "Link", "c": [_ast_attr(a), inner, [a.get("href", ""), a.get("title", "")]]})
+        elif kind == "image":
+            out.append({"t": "Image", "c": [_ast_attr(a), inner or _words(a.get("alt")), [a.get("src", ""), a.get("title", "")]]})
+        elif kind == "quoted":
+            out.append({"t": "Quoted", "c": [{"t": "SingleQuote" if a.get("quote_type") == "single" else "DoubleQuote"}, inner]})
+        elif kind == "cite":
+            out.append({"t": "Cite", "c": [json.loads(a.get("citations", "[]")), inner]})
+        elif kind == "span":
+            out.append({"t": "Span", "c": [_ast_attr(a), inner]})
+        elif kind == "note":
+            out.append({"t": "Note", "c": _block_ast(below) or [{"t": "Para", "c": inner}]})
+        elif kind == "generic" and r["encoding"] == "json" and content:
+            out.append(json.loads(content))
         else:
-            out += below
-        k = end
+            out += inner
     return out
 
 
-def _words(text: str | None) -> list:
-    out = []
-    for k, w in enumerate((text or "").split(" ")):
-        out += ([{"t": "Space"}] if k else []) + ([{"t": "Str", "c": w}] if w else [])
-    return out
+def _table_ast(row: dict, a: dict) -> dict:
+    if "pandoc_ast" in a:
+        return {"t": "Table", "c": json.loads(a["pandoc_ast"])}
+    try:
+        made = json.loads(row["content"] or "{}")
+        head, rows = made.get("headers") or [], made.get("rows") or []
+    except (ValueError, AttributeError):
+        return {"t": "Div", "c": [_ast_attr(a), []]}  # no table; its text isn't made prose of
+    width = max([len(head), *map(len, rows)], default=0)
+    cell = lambda text: [_NO_ATTR, {"t": "AlignDefault"}, 1, 1, [{"t": "Plain", "c": _words(str(text))}] if text not in (None, "") else []]
+    line = lambda cells: [_NO_ATTR, [cell(x) for x in [*cells, *[""] * (width - len(cells))]]]
+    columns = [[{"t": "AlignDefault"}, {"t": "ColWidthDefault"}]] * width
+    return {"t": "Table", "c": [_ast_attr(a), [None, []], columns, [_NO_ATTR, [line(head)] if head else []], [[_NO_ATTR, 0, [], [line(x) for x in rows]]], [_NO_ATTR, []]]}
 
 
-def _block_ast(rows: list[dict]) -> list:
-    out, k = [], 0
-    while k < len(rows):
-        r, end = rows[k], k + 1
-        while end < len(rows) and rows[end]["level"] > r["level"]:
-            end += 1
-        below, kind, a = rows[k + 1 : end], r["element_type"], dict(r["attributes"] or {})
-        k = end
-        if r["kind"] != "block":
+def _items_ast(below: list[dict]) -> list[tuple[dict, list]]:
+    """(attributes, blocks) of the items of a list."""
+    return [(_attributes(r), _text_and_blocks(r, inner)) for r, inner in _subtrees(below)]
+
+
+def _text_and_blocks(row: dict, below: list[dict]) -> list:
+    """The blocks of a row that holds blocks, text or inlines, text before blocks."""
+    said = _inline_ast(_of_kind(below, "inline")) or _words(row["content"])
+    return ([{"t": "Plain", "c": said}] if said else []) + _block_ast(_of_kind(below, "block"))
+
+
+def _block_ast(rows: list[dict], noted: frozenset[str] = frozenset()) -> list:
+    out = []
+    for r, below in _subtrees(rows):
+        kind, a = r["element_type"], _attributes(r)
+        if r["kind"] != "block" or kind == "metadata":
             continue
-        said = _inline_ast([x for x in below if x["kind"] == "inline"]) or _words(r["content"])
-        attr = [a.get("id", ""), a.get("class", "").split(), []]
+        if kind == "document":
+            out += _block_ast(below, noted)  # a root says nothing itself
+            continue
+        if kind == "div" and a.get("source_type") == "footnote" and a.get("id") in noted:
+            continue  # its note has it
+        said = _inline_ast(_of_kind(below, "inline")) or _words(r["content"])
         if kind == "heading":
-            out.append({"t": "Header", "c": [int(a.get("heading_level", 1)), attr, said]})
+            level = a.get("heading_level", "1")
+            out.append({"t": "Header", "c": [int(level) if level.lstrip("-").isdigit() else 1, _ast_attr(a), said]})
         elif kind == "code":
-            out.append({"t": "CodeBlock", "c": [[a.get("id", ""), [a["language"]] if "language" in a else [], []], r["content"] or ""]})
+            language = [a["language"]] if "language" in a else []
+            classes = a.get("class", "").split()
+            out.append({"t": "CodeBlock", "c": [[a.get("id", ""), classes if language[:1] == classes[:1] else language + classes, _ast_attr(a)[2]], r["content"] or ""]})
         elif kind == "hr":
             out.append({"t": "HorizontalRule"})
         elif kind == "raw":
             out.append({"t": "RawBlock", "c": [a.get("format", ""), r["content"] or ""]})
-        elif kind in ("blockquote", "div", "section"):
-            inner = _block_ast(below)
-            out.append({"t": "BlockQuote", "c": inner} if kind == "blockquote" else {"t": "Div", "c": [attr, inner]})
-        elif kind == "list":
-            items, at = [], 0
-            while at < len(below):
-                stop = at + 1
-                while stop < len(below) and below[stop]["level"] > below[at]["level"]:
-                    stop += 1
-                inner = _block_ast(below[at + 1 : stop])
-                own = _inline_ast([x for x in below[at + 1 : stop] if x["kind"] == "inline"]) or _words(below[at]["content"])
-                items.append(inner or [{"t": "Plain", "c": own}])
-                at = stop
-            style = [int(a.get("start", 1)), {"t": a.get("number_style", "Decimal")}, {"t": a.get("number_delim", "Period")}]
-            out.append({"t": "OrderedList", "c": [style, items]} if a.get("list_type") == "ordered" else {"t": "BulletList", "c": items})
-        elif kind == "generic" and r["encoding"] == "json":
+        elif kind == "table":
+            out.append(_table_ast(r, a))
+        elif kind == "lineblock":
+            lines: list[list] = [[]]
+            for x in _inline_ast(_of_kind(below, "inline")) or [x for n, line in enumerate((r["content"] or "").split("\n")) for x in ([{"t": "LineBreak"}] if n else []) + _words(line)]:
+                if x["t"] == "LineBreak":
+                    lines.append([])
+                else:
+                    lines[-1].append(x)
+            out.append({"t": "LineBlock", "c": lines})
+        elif kind == "blockquote":
+            out.append({"t": "BlockQuote", "c": _as_paragraphs(_text_and_blocks(r, below))})
+        elif kind in ("div", "section", "page_break"):
+            name = {"section": a.get("role", "section"), "page_break": "page"}.get(kind)
+            attr = _ast_attr(a, ("page_number",) if kind == "div" else ())
+            if name and name not in attr[1]:
+                attr = [attr[0], [*attr[1], name], attr[2]]
+            elif not name and a.get("role"):
+                attr[2].append(["role", a["role"]])
+            if kind == "div" and a.get("source_type"):
+                attr = [attr[0], [*attr[1], a["source_type"]] if a["source_type"] not in attr[1] else attr[1], attr[2]]
+            out.append({"t": "Div", "c": [attr, _as_paragraphs(_text_and_blocks(r, below))]})
+        elif kind in ("list", "deflist"):
+            items = _items_ast(below)
+            if kind == "deflist" or a.get("list_type") == "definition":
+                pairs: list[list] = []
+                for own, blocks in items:
+                    if own.get("role") != "definition" or not pairs:
+                        pairs.append([blocks[0]["c"] if blocks and blocks[0]["t"] in ("Plain", "Para") else [], []])
+                    else:
+                        pairs[-1][1].append(blocks)
+                out.append({"t": "DefinitionList", "c": pairs})
+            elif a.get("list_type") == "ordered" or a.get("ordered") == "true":
+                start = a.get("start", "1")
+                style = [int(start) if start.lstrip("-").isdigit() else 1, {"t": a.get("number_style", "Decimal")}, {"t": a.get("number_delim", "Period")}]
+                out.append({"t": "OrderedList", "c": [style, [b for _, b in items]]})
+            else:
+                out.append({"t": "BulletList", "c": [b for _, b in items]})
+        elif kind == "figure":
+            captions = [(x, own) for x, own in _subtrees(below) if x["element_type"] == "caption"]
+            inner = [x for y, own in _subtrees(below) if y["element_type"] != "caption" for x in [y, *own]]
+            short = next((_attributes(x).get("short_caption") for x, _ in captions), None)
+            out.append({"t": "Figure", "c": [_ast_attr(a), [_words(short) if short else None, [b for x, own in captions for b in _text_and_blocks(x, own)]], _text_and_blocks(r, inner)]})
+        elif kind == "image":
+            alt = a.get("alt") or r["content"]
+            out.append({"t": "Para", "c": [{"t": "Image", "c": [_ast_attr(a), _words(alt), [a.get("src", ""), a.get("title", "")]]}]})
+        elif kind == "generic" and r["encoding"] == "json" and r["content"]:
             out.append(json.loads(r["content"]))
+        elif kind in ("list_item", "caption"):
+            wrapped = _text_and_blocks(r, below)  # without its parent
+            out.append({"t": "BulletList", "c": [wrapped]} if kind == "list_item" else {"t": "Figure", "c": [_NO_ATTR, [None, wrapped], []]})
         else:
             out.append({"t": "Plain" if kind == "plain" else "Para", "c": said})
     return out
 
 
-@F.pandas_udf(T.StringType())
-def blocks_to_interchange(blocks: pd.Series) -> pd.Series:
-    """The AST text of each document's array of blocks; null for null."""
-    return blocks.map(lambda b: None if b is None else json.dumps({"pandoc-api-version": list(PANDOC_API_VERSION), "meta": {}, "blocks": _block_ast(list(b))}, ensure_ascii=False))
+def _as_paragraphs(blocks: list) -> list:
+    """Text that a container holds itself is a paragraph of it."""
+    return [{"t": "Para", "c": b["c"]} if k == 0 and b["t"] == "Plain" and len(blocks) == 1 else b for k, b in enumerate(blocks)]
+
+
+def _value_ast(row: dict, below: list[dict]) -> dict:
+    kind = row["element_type"]
+    if kind == "bool":
+        return {"t": "MetaBool", "c": row["content"] == "true"}
+    if kind == "list":
+        return {"t": "MetaList", "c": [_value_ast(r, own) for r, own in _subtrees(below) if r["kind"] == "value"]}
+    if kind == "map":
+        return {"t": "MetaMap", "c": {_attributes(r).get("key", ""): _value_ast(r, own) for r, own in _subtrees(below) if r["kind"] == "value"}}
+    if kind == "blocks":
+        return {"t": "MetaBlocks", "c": _block_ast(below)}
+    if kind == "inlines":
+        return {"t": "MetaInlines", "c": _inline_ast(_of_kind(below, "inline")) or _words(row["content"])}
+    if kind == "generic" and row["encoding"] == "json" and row["content"]:
+        return json.loads(row["content"])
+    return {"t": "MetaString", "c": row["content"] or ""}
+
+
+def ast_parts(rows: list[dict] | None) -> tuple[dict, list] | None:
+    """(meta, blocks) of one document's rows in order; null for null."""
+    if rows is None:
+        return None
+    noted = frozenset(i for r in rows if r["kind"] == "inline" and r["element_type"] == "note" and (i := _attributes(r).get("id")))
+    meta = {_attributes(r).get("key", ""): _value_ast(r, below) for r, below in _subtrees(rows) if r["kind"] == "value" and "key" in _attributes(r)}
+    return meta, _block_ast(rows, noted)
+
+
+def _dumped(value) -> str:
+    return json.dumps(value, ensure_ascii=False)
+
+
+@F.arrow_udf(T.StructType([T.StructField("meta", T.StringType()), T.StructField("blocks", T.StringType())]))
+def _parts(blocks: pa.Array) -> pa.Array:
+    made = [ast_parts(b) for b in blocks.to_pylist()]
+    return pa.array([None if m is None else {"meta": _dumped(m[0]), "blocks": _dumped(m[1])} for m in made], pa.struct([("meta", pa.string()), ("blocks", pa.string())]))
+
+
+def ast_struct(blocks: Column | str) -> Column:
+    """struct<pandoc-api-version, meta, blocks> of each array of blocks, the last two as JSON text; null for null."""
+    version = F.array(*[F.lit(v) for v in PANDOC_API_VERSION])
+    parts = _parts(blocks)
+    return F.when(parts.isNotNull(), F.struct(version.alias("pandoc-api-version"), parts["meta"].alias("meta"), parts["blocks"].alias("blocks")))
+
+
+def ast_blocks(blocks: Column | str) -> Column:
+    """The JSON array of AST blocks of each array of blocks; null for null."""
+    return _parts(blocks)["blocks"]
+
+
+def blocks_to_interchange(blocks: Column | str) -> Column:
+    """The whole AST text of each array of blocks; null for null."""
+    parts = _parts(blocks)
+    return F.when(parts.isNotNull(), F.concat(F.lit(f'{{"pandoc-api-version": {list(PANDOC_API_VERSION)}, "meta": '), parts["meta"], F.lit(', "blocks": '), parts["blocks"], F.lit("}")))
+
+
+@F.arrow_udf(T.StringType())
+def rows_to_inlines(rows: pa.Array) -> pa.Array:
+    """The JSON array of inlines of each array of inline rows; null for null. Flatten nested arrays first."""
+    return pa.array([None if r is None else _dumped(_inline_ast(r)) for r in rows.to_pylist()], pa.string())
+
+
+# The marks around inlines in the markdown mode.
+_MARKS = {"bold": "**", "italic": "*", "strikethrough": "~~", "superscript": "^", "subscript": "~", "code": "`"}
+
+
+def inline_text(rows: list[dict], mode: str) -> str:
+    """The text of inline rows. `markdown` keeps marks, links and hard breaks; `text` has words alone."""
+    out = ""
+    for r, below in _subtrees(rows):
+        kind, a = r["element_type"], _attributes(r)
+        inner = inline_text(below, mode) if below else r["content"] or ""
+        if kind in ("softbreak", "space"):
+            out += " " if mode == "text" or kind == "space" else "\n"
+        elif kind == "linebreak":
+            out += "\n" if mode == "text" else "  \n"
+        elif mode == "text" or kind not in (*_MARKS, "link", "image", "math", "quoted"):
+            quote = {"single": "''", "double": '""'}.get(a.get("quote_type", ""), "  ") if kind == "quoted" else None
+            out += f"{quote[0]}{inner}{quote[1]}" if quote else inner
+        elif kind in _MARKS:
+            out += f"{_MARKS[kind]}{inner}{_MARKS[kind]}"
+        elif kind == "math":
+            out += f"$${inner}$$" if a.get("display") == "block" else f"${inner}$"
+        elif kind == "quoted":
+            out += f"'{inner}'" if a.get("quote_type") == "single" else f'"{inner}"'
+        else:
+            title = f' "{a["title"]}"' if a.get("title") else ""
+            out += f"{'!' if kind == 'image' else ''}[{inner}]({a.get('src' if kind == 'image' else 'href', '')}{title})"
+    return out
+
+
+@F.arrow_udf(T.StringType())
+def _inlines_text(text: pa.Array, mode: pa.Array) -> pa.Array:
+    def one(t, m):
+        if t is None:
+            return None
+        if m not in TEXT_MODES:
+            raise ValueError(f"inlines_to_text: {m} is none of {', '.join(TEXT_MODES)}")
+        return inline_text([dict(zip(BLOCK_COLUMNS, r, strict=True)) for r in inline_rows(t)], m)
+
+    return pa.array([one(t, m) for t, m in zip(text.to_pylist(), mode.to_pylist(), strict=True)], pa.string())
+
+
+def inlines_to_text(text: Column | str, mode: Column | str = "markdown") -> Column:
+    """The text of each JSON array of inlines, in the mode of its own row; null for null."""
+    return _inlines_text(text, F.lit(mode) if isinstance(mode, str) else mode)
 
 
 def write_interchange(blocks: DataFrame, by: str = "doc") -> DataFrame:
     """(doc, text): the AST of each document."""
     return collected(blocks, by).select(by, blocks_to_interchange("blocks").alias("text"))
+
+
+def ast_table(blocks: DataFrame, by: str = "doc") -> DataFrame:
+    """(doc, pandoc-api-version, meta, blocks) with JSON values as variants, a row a document: what JSON sinks take."""
+    made = collected(blocks, by).select(by, ast_struct("blocks").alias("ast"))
+    return made.select(by, F.col("ast.`pandoc-api-version`"), F.parse_json("ast.meta").alias("meta"), F.parse_json("ast.blocks").alias("blocks"))
+
+
+def write_interchange_files(blocks: DataFrame, path: str, by: str = "doc") -> None:
+    """Writes the AST of each document as a text file in a folder of its own, `<by>=<document>`, by the tasks that have it."""
+    write_interchange(blocks, by).write.partitionBy(by).option("lineSep", "\n").text(path)

@@ -1,240 +1,242 @@
-"""Readers of line-based markup as Spark jobs: lines are classified, grouped and flattened into blocks.
+"""Readers of line-based markup as Spark jobs: lines are classified, grouped into records and laid out as blocks.
 
-A document's lines are exploded with their numbers; each format is a list of rules that say what a line
-is. Running windows over the lines of a document find fenced regions and the runs of lines that make one
-block; an aggregate by run puts the block together. Nothing holds more than one block of one document.
+A document's lines are exploded with their numbers; each format is a list of rules that say what a line is. Running
+windows over the lines of a document find fenced regions, the environments that a line stands in and the runs of
+lines that make one block; an aggregate by run puts the record together. Nothing holds more than one block of one
+document. What formats share is here; `markups` has the formats.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import slug
-from ..schema import BLOCK_COLUMNS
+from .assemble import PIECES, assemble, attributes, plain_piece
 
 
 @dataclass(frozen=True)
 class LineRule:
-    """A line that matches `pattern` is of type `what`; `group` has its text, `depth` the marks that count."""
+    """A line that matches `pattern` is of type `what`; the numbers are those of the groups that hold its parts."""
 
-    what: str  # heading item quote table bar hr meta skip para; a bar is a line within a table without cells
+    what: str  # heading item quote table bar hr meta para code raw figure; skip ends a block, gone doesn't
     pattern: str
-    group: int = 1
-    depth: int = 0  # the group whose length is the rank of a heading or the depth of an item
-    digit: int = 0  # the group that holds the rank as a digit
-    rank: int = 1
-    ordered: bool = False
-    key: int = 0  # the group with a metadata field's name
+    text: int = 1
+    length: int = 0  # the group whose length is a heading's rank or an item's depth
+    rank: int = 0  # the group with the rank as a digit
+    fixed: int = 1  # the rank, where no group has it
+    kind: str = "bullet"  # of the list of an item
+    ident: int = 0  # an id, or a metadata field's name
+    css: int = 0
+    start: int = 0  # the number of a list's first item
+    second: int = 0  # the definition of an item whose text is a term
+    extra: tuple[tuple[str, int | str], ...] = ()  # further attributes: a group or a fixed value
+    within: str = ""  # only in this environment
+
+
+@dataclass(frozen=True)
+class Fence:
+    """A region of lines that are taken as they are."""
+
+    what: str
+    opening: str
+    closing: str
+    name: int = 0  # the group of the opening with the language
+    key: str = "language"
+    whole: bool = False  # the marks themselves belong to it
+    more: tuple[tuple[str, str], ...] = ()
+
+
+@dataclass(frozen=True)
+class Inline:
+    """Marked text: group `text` is what is marked; `target` has an attribute called `key`."""
+
+    type: str
+    pattern: str
+    text: int = 1
+    target: int = 0
+    key: str = "href"
+    more: tuple[tuple[str, str], ...] = ()
 
 
 @dataclass(frozen=True)
 class LineFormat:
     name: str
     rules: tuple[LineRule, ...]
-    fences: tuple[tuple[str, str], ...] = ()  # (opening, closing); group 1 of the opening is the language
-    cell: str = r"\|"
-    inlines: tuple[tuple[str, str, int], ...] = ()  # (type, pattern, group with the text)
-    underlined: bool = False  # headings are lines above a line of adornment
+    fences: tuple[Fence, ...] = ()
+    alternating: bool = False  # one mark opens and closes a fence in turn
+    environments: tuple[tuple[str, str, str], ...] = ()  # (name, opening, closing); they nest
+    inlines: tuple[Inline, ...] = ()
+    table: Callable[[Column], Column] | None = None  # from a run's lines, array<struct<n, what, body>>, to its JSON
+    prepared: Callable[[DataFrame, str], DataFrame] | None = None  # classified lines, before they are grouped
+    ranks: Callable[[DataFrame, str], DataFrame] | None = None  # records, before they are laid out
     separator: str = "-"
     comments: str = ""
-    wraps: str = field(default=" ")
-
-
-ORG = LineFormat(
-    "org",
-    (
-        LineRule("meta", r"^#\+(?i:(title|author|date|description|keywords)):\s*(.*)$", 2, key=1), LineRule("skip", r"^#(\+.*|\s.*|)$"), LineRule("heading", r"^(\*+)\s+(?:(?:TODO|DONE)\s+)?(.*?)(?:\s+:[\w@:]+:)?\s*$", 2, depth=1),
-        LineRule("hr", r"^\s*-{5,}\s*$", 0), LineRule("bar", r"^\s*\|[-+|]+\s*$"), LineRule("table", r"^\s*\|(.*?)\|?\s*$"), LineRule("item", r"^(\s*)(?:[-+]|\*(?<=\s\*))\s+(.*)$", 2, depth=1), LineRule("item", r"^(\s*)\d+[.)]\s+(.*)$", 2, depth=1, ordered=True),
-        LineRule("skip", r"^\s*:[\w-]+:.*$"),
-    ),
-    ((r"^\s*#\+(?i:begin_(?:src|example))\s*(\S*).*$", r"^\s*#\+(?i:end_(?:src|example))\s*$"),),
-    inlines=(("link", r"\[\[[^\]\[]+\]\[([^\]\[]+)\]\]", 1), ("bold", r"\*([^*\s][^*]*)\*", 1), ("italic", r"/([^/\s][^/]*)/", 1), ("underline", r"_([^_\s][^_]*)_", 1), ("code", r"[=~]([^=~\s][^=~]*)[=~]", 1), ("strikethrough", r"\+([^+\s][^+]*)\+", 1)),
-)
-RST = LineFormat(
-    "rst",
-    (
-        LineRule("skip", r"^\.\. .*$"), LineRule("table", r"^\s*\|(.*?)\|\s*$"), LineRule("bar", r"^\s*\+[-=+]+\+\s*$"), LineRule("item", r"^(\s*)[-*+]\s+(.*)$", 2, depth=1), LineRule("item", r"^(\s*)(?:\d+|#)[.)]\s+(.*)$", 2, depth=1, ordered=True), LineRule("quote", r"^\s{2,}(\S.*)$"),
-    ),
-    inlines=(("code", r"``([^`]+)``", 1), ("link", r"`([^`<]+?)\s*<[^>`]+>`__?", 1), ("bold", r"\*\*([^*]+)\*\*", 1), ("italic", r"\*([^*\s][^*]*)\*", 1)),
-    underlined=True,
-)
-MEDIAWIKI = LineFormat(
-    "mediawiki",
-    (
-        LineRule("heading", r"^(={1,6})\s*(.*?)\s*\1\s*$", 2, depth=1), LineRule("hr", r"^-{4,}\s*$", 0), LineRule("item", r"^()(\*+)\s*(.*)$", 3, depth=2), LineRule("item", r"^()(#+)\s*(.*)$", 3, depth=2, ordered=True), LineRule("bar", r"^(\{\|.*|\|\}|\|-.*)$"),
-        LineRule("table", r"^[|!](.*)$"), LineRule("quote", r"^:+\s*(.*)$"), LineRule("skip", r"^\[\[(?i:category):.*\]\]$"),
-    ),
-    ((r"^<(?:pre|syntaxhighlight(?:\s+lang=\"?(\w+)\"?)?)[^>]*>\s*$", r"^</(?:pre|syntaxhighlight)>\s*$"),),
-    cell=r"\|\||!!",
-    inlines=(("bold", r"'''([^']+)'''", 1), ("italic", r"''([^']+)''", 1), ("link", r"\[\[(?:[^\]|]+\|)?([^\]|]+)\]\]", 1), ("link", r"\[\S+ ([^\]]+)\]", 1), ("code", r"<code>(.*?)</code>", 1)),
-    separator="_",
-    comments=r"(?s)<!--.*?-->",
-)
-TEXTILE = LineFormat(
-    "textile",
-    (
-        LineRule("heading", r"^h([1-6])(?:\([^)]*\))?\.\s+(.*)$", 2, digit=1), LineRule("quote", r"^bq\.\s+(.*)$"), LineRule("code", r"^bc\.\s+(.*)$"), LineRule("item", r"^(\*+)\s+(.*)$", 2, depth=1), LineRule("item", r"^(#+)\s+(.*)$", 2, depth=1, ordered=True), LineRule("table", r"^\|(.*)\|\s*$"),
-        LineRule("hr", r"^-{3,}\s*$", 0), LineRule("para", r"^p(?:\([^)]*\))?\.\s+(.*)$"),
-    ),
-    ((r"^<pre>()\s*$", r"^</pre>\s*$"),),
-    inlines=(("link", r'"([^"]+)":\S+', 1), ("bold", r"\*([^*\s][^*]*)\*", 1), ("italic", r"_([^_\s][^_]*)_", 1), ("code", r"@([^@]+)@", 1), ("strikethrough", r"(?<![\w-])-([^-\s][^-]*)-(?![\w-])", 1)),
-)
-LATEX = LineFormat(
-    "latex",
-    (
-        LineRule("meta", r"^\\(title|author|date)\{(.*)\}\s*$", 2, key=1), LineRule("heading", r"^\\(?:part|chapter|section)\*?\{(.*)\}.*$", rank=1), LineRule("heading", r"^\\subsection\*?\{(.*)\}.*$", rank=2), LineRule("heading", r"^\\subsubsection\*?\{(.*)\}.*$", rank=3),
-        LineRule("heading", r"^\\paragraph\*?\{(.*)\}.*$", rank=4), LineRule("item", r"^(\s*)\\item(?:\[[^\]]*\])?\s*(.*)$", 2, depth=1), LineRule("hr", r"^\\hrule.*$", 0), LineRule("skip", r"^\s*\\(?:documentclass|usepackage|begin|end|maketitle|tableofcontents|label|newcommand|hline).*$"),
-        LineRule("table", r"^(.*&.*?)(?:\\\\)?\s*$"), LineRule("skip", r"^\s*%.*$"),
-    ),
-    ((r"^\\begin\{(?:verbatim|lstlisting)\}(?:\[language=(\w+)\])?.*$", r"^\\end\{(?:verbatim|lstlisting)\}.*$"),),
-    cell="&",
-    inlines=(("bold", r"\\textbf\{([^{}]*)\}", 1), ("italic", r"\\(?:textit|emph)\{([^{}]*)\}", 1), ("code", r"\\texttt\{([^{}]*)\}", 1), ("link", r"\\href\{[^{}]*\}\{([^{}]*)\}", 1), ("underline", r"\\underline\{([^{}]*)\}", 1), ("math", r"\$([^$]+)\$", 1)),
-)
-MARKDOWN = LineFormat(
-    "markdown",
-    (
-        LineRule("heading", r"^(#{1,6})\s+(.*?)\s*#*\s*$", 2, depth=1), LineRule("hr", r"^\s*(?:-{3,}|\*{3,}|_{3,})\s*$", 0), LineRule("item", r"^(\s*)[-*+]\s+(.*)$", 2, depth=1), LineRule("item", r"^(\s*)\d+[.)]\s+(.*)$", 2, depth=1, ordered=True), LineRule("quote", r"^>\s?(.*)$"),
-        LineRule("bar", r"^\s*\|?\s*:?-{2,}:?\s*(?:\|\s*:?-{2,}:?\s*)+\|?\s*$"), LineRule("table", r"^\s*\|(.*?)\|?\s*$"),
-    ),
-    ((r"^```(\w*).*$", r"^```\s*$"),),
-    inlines=(("code", r"`([^`]+)`", 1), ("link", r"\[([^\]]+)\]\([^)]*\)", 1), ("bold", r"\*\*([^*]+)\*\*", 1), ("italic", r"\*([^*\s][^*]*)\*", 1)),
-)
-FORMATS = {f.name: f for f in (ORG, RST, MEDIAWIKI, TEXTILE, LATEX, MARKDOWN)}
-
-ADORNMENT = r"^([=\-~^\"'#*+`:.<>_])\1{2,}\s*$"
-_MERGED = ("para", "quote", "table", "code")
-
-
-def _inline_pieces(text: Column, fmt: LineFormat) -> Column:
-    """array<struct<type, content>>: the runs of a paragraph's text, in order; one level of markup."""
-    if not fmt.inlines:
-        return F.array(F.struct(F.lit("text").alias("type"), text.alias("content")))
-    marked = "|".join(f"(?:{p})" for _, p, _ in fmt.inlines)
-    raw = F.regexp_extract_all(text, F.lit(f"(?s)({marked}|(?:(?!{marked}).)+)"), F.lit(1))
+    trailing: str = ""  # comments at the ends of lines outside fences
+    shown: Callable[[Column], Column] = lambda text: text  # a text with escapes undone
+    item_depth: Callable[[Column], Column] = lambda marks: F.greatest(marks, F.lit(1))
+    continues: bool = False  # indented lines go on with the item before them
 
-    def piece(run: Column) -> Column:
-        kind, body = F.lit("text"), run
-        for name, pattern, group in reversed(fmt.inlines):
-            is_one = run.rlike(f"(?s)^(?:{pattern})$")
-            kind, body = F.when(is_one, F.lit(name)).otherwise(kind), F.when(is_one, F.regexp_extract(run, f"(?s)^(?:{pattern})$", group)).otherwise(body)
-        return F.struct(kind.alias("type"), body.alias("content"))
 
-    return F.transform(raw, piece)
+MERGED = ("para", "quote", "table", "bar", "code", "raw")
 
 
-def _row(kind, what, content, level, encoding="text", attributes=None) -> Column:
-    text = lambda x: F.lit(x) if isinstance(x, str) else x
-    return F.struct(
-        text(kind).alias("kind"), text(what).alias("element_type"), (F.lit(None).cast("string") if content is None else content).alias("content"), (F.lit(level) if isinstance(level, int) else level).cast("int").alias("level"),
-        F.lit(encoding).alias("encoding"), (F.create_map().cast("map<string,string>") if attributes is None else attributes).alias("attributes"),
+def inline_pieces(text: Column, fmt: LineFormat, nested: bool = True) -> Column:
+    """The pieces of a text: its marked and unmarked runs in order, marks within marks one level down."""
+    show = fmt.shown
+    if not fmt.inlines:
+        return plain_piece(show(text))
+    marked = "|".join(f"(?:{x.pattern})" for x in fmt.inlines)
+    runs = F.regexp_extract_all(text, F.lit(f"(?s)({marked}|(?:(?!{marked}).)+)"), F.lit(1))
+
+    empty = F.create_map().cast("map<string,string>")
+    holders = sorted({x.type for x in fmt.inlines} - {"code", "math", "raw", "image", "note"})
+
+    def piece(run: Column, depth: int) -> Column:
+        made = lambda kind, content, own: F.struct(F.lit(kind).alias("type"), content.alias("content"), own.alias("attributes"), F.lit(depth).alias("depth"))
+        out = made("text", show(run), empty)
+        for x in reversed(fmt.inlines):
+            whole = f"(?s)^(?:{x.pattern})$"
+            body = F.regexp_extract(run, whole, x.text)
+            body = body if x.type in ("code", "math", "raw") or (nested and depth == 0 and x.type in holders) else show(body)
+            own = {k: F.lit(v) for k, v in x.more} | ({x.key: F.nullif(F.regexp_extract(run, whole, x.target), F.lit(""))} if x.target else {})
+            out = F.when(run.rlike(whole), made(x.type, body, attributes(**own) if own else empty)).otherwise(out)
+        return out
+
+    top = F.transform(runs, lambda r: piece(r, 0))
+    if not nested:
+        return top.cast(PIECES)
+    inner = lambda p: F.transform(F.regexp_extract_all(p["content"], F.lit(f"(?s)({marked}|(?:(?!{marked}).)+)"), F.lit(1)), lambda r: piece(r, 1))
+    with_content = lambda p, content: F.struct(p["type"].alias("type"), content.alias("content"), p["attributes"].alias("attributes"), F.lit(0).alias("depth"))
+    is_holder = lambda p: p["type"].isin(*holders) & (p["type"] != "text")
+    deep = F.transform(
+        top,
+        lambda p: F.when(is_holder(p) & p["content"].rlike(f"(?s){marked}"), F.concat(F.array(with_content(p, F.lit(None).cast("string"))), inner(p)).cast(PIECES))
+        .otherwise(F.array(with_content(p, F.when(is_holder(p), show(p["content"])).otherwise(p["content"]))).cast(PIECES)),
     )
+    return F.flatten(deep).cast(PIECES)
 
 
-def _attributes(**values: Column) -> Column:
-    """A map of the values that aren't null."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in values.items()])
-    return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
+def _along(by: str) -> Window:
+    return Window.partitionBy(by).orderBy("n")
 
 
-def _rich(what: Column | str, text: Column, level: Column | int, fmt: LineFormat, attributes: Column | None = None) -> Column:
-    """A block of text: flat if it has no markup, else without content and with its runs below it."""
-    pieces = _inline_pieces(text, fmt)
-    lower = (F.lit(level) if isinstance(level, int) else level) + 1
-    flat = (F.size(pieces) == 1) & (F.element_at(pieces, 1)["type"] == "text")
-    return F.when((text == "") | flat, F.array(_row("block", what, F.nullif(text, F.lit("")), level, attributes=attributes))).otherwise(
-        F.concat(F.array(_row("block", what, None, level, attributes=attributes)), F.transform(pieces, lambda p: _row("inline", p["type"], p["content"], lower)))
-    )
+def _so_far(by: str) -> Window:
+    return _along(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def classify(docs: DataFrame, fmt: LineFormat, by: str = "doc", text: str = "text") -> DataFrame:
-    """(doc, n, what, body, rank, ordered, language, key): what each line is; blank lines end blocks."""
-    source = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), fmt.comments, "") if fmt.comments else F.coalesce(F.col(text), F.lit(""))
-    # a bar belongs to its table and adds nothing to it
-    lines = docs.select(by, F.posexplode(F.split(source, "\r?\n")).alias("n", "line"))
-    order = Window.partitionBy(by).orderBy("n")
+def _fenced(rows: DataFrame, fmt: LineFormat, by: str) -> DataFrame:
+    """With `_fence`: the number of the region that a line stands in, 0 outside; its marks have `_edge`; `_opening`: the region's first line."""
+    if not fmt.fences:
+        return rows.withColumn("_fence", F.lit(0).cast("long")).withColumn("_edge", F.lit(False)).withColumn("_opening", F.lit(None).cast("string"))
     line = F.col("line")
-    what, body, rank, ordered, key = F.when(line.rlike(r"^\s*$"), F.lit("blank")).otherwise(F.lit("para")), F.trim(line), F.lit(1), F.lit(False), F.lit(None).cast("string")
-    for rule in reversed(fmt.rules):
-        is_one = line.rlike(rule.pattern)
-        what = F.when(is_one, F.lit("table" if rule.what == "bar" else rule.what)).otherwise(what)
-        group = min(rule.group, re.compile(rule.pattern).groups)
-        own = F.lit(None).cast("string") if rule.what == "bar" else F.trim(F.regexp_extract(line, rule.pattern, group))
-        body = F.when(is_one, own).otherwise(body)
-        own = F.length(F.regexp_extract(line, rule.pattern, rule.depth)) if rule.depth else F.regexp_extract(line, rule.pattern, rule.digit).cast("int") if rule.digit else F.lit(rule.rank)
-        rank, ordered = F.when(is_one, own).otherwise(rank), F.when(is_one, F.lit(rule.ordered)).otherwise(ordered)
-        if rule.key:
-            key = F.when(is_one, F.lower(F.regexp_extract(line, rule.pattern, rule.key))).otherwise(key)
-    rows = lines.select(by, "n", "line", what.alias("what"), body.alias("body"), rank.alias("rank"), ordered.alias("ordered"), key.alias("key"))
-    if fmt.underlined:
-        below, above = F.lead("line").over(order), F.lag("line").over(order)
-        fits = lambda title, marks: title.rlike(r"\S") & ~title.rlike(ADORNMENT) & marks.rlike(ADORNMENT) & (F.length(F.rtrim(marks)) >= F.length(F.trim(title)))
-        titled = F.coalesce(fits(line, below), F.lit(False))
-        mark = F.when(titled, F.substring(below, 1, 1))
-        rows = rows.withColumn("_mark", mark).withColumn("_under", F.coalesce(line.rlike(ADORNMENT), F.lit(False)) & F.coalesce(above.rlike(r"\S"), F.lit(False)))
-        rows = rows.withColumn("_seen", F.when(F.col("_mark").isNotNull(), F.min("n").over(Window.partitionBy(by, "_mark"))))
-        rows = rows.withColumn("_rank", F.when(F.col("_mark").isNotNull(), F.dense_rank().over(Window.partitionBy(by, F.col("_mark").isNotNull()).orderBy("_seen"))))
-        rows = rows.withColumn("what", F.when(F.col("_mark").isNotNull(), "heading").when(F.col("_under"), "skip").when(line.rlike(ADORNMENT), "hr").otherwise(F.col("what")))
-        rows = rows.withColumn("body", F.when(F.col("_mark").isNotNull(), F.trim(line)).otherwise(F.col("body"))).withColumn("rank", F.coalesce("_rank", "rank")).drop("_mark", "_under", "_seen", "_rank")
-    rows = rows.withColumn("language", F.lit(None).cast("string")).withColumn("fence", F.lit(0).cast("long"))
-    if fmt.fences:
-        opening, closing = fmt.fences[0]
-        so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        opens, closes = F.when(line.rlike(opening), 1).otherwise(0), F.when(line.rlike(closing), 1).otherwise(0)
-        if fmt.name == "markdown":  # the same mark opens and closes in turn
-            rows = rows.withColumn("_turn", F.sum(opens).over(so_far))
-            opens, closes = F.when((opens == 1) & (F.col("_turn") % 2 == 1), 1).otherwise(0), F.when((opens == 1) & (F.col("_turn") % 2 == 0), 1).otherwise(0)
-        rows = rows.withColumn("_open", F.sum(opens).over(so_far)).withColumn("_closed", F.sum(closes).over(so_far))
-        rows = rows.withColumn("language", F.last(F.when(opens == 1, F.regexp_extract("line", opening, 1)), ignorenulls=True).over(so_far)).withColumn("fence", F.col("_open"))
-        edge = (opens == 1) | (closes == 1)
-        inside = F.col("_open") > F.col("_closed")
-        rows = rows.withColumn("what", F.when(edge, "skip").when(inside, "code").otherwise(F.col("what"))).withColumn("body", F.when(inside, F.col("line")).otherwise(F.col("body")))
-    return rows
-
-
-def latex_tokens(docs: DataFrame, by: str = "doc", text: str = "text") -> DataFrame:
-    """(doc, n, kind, token) of LaTeX texts: command, escape, special, comment, blank and text."""
-    tokens = F.regexp_extract_all(F.col(text), F.lit(r"(?s)(\\[A-Za-z]+\*?|\\.|%[^\n]*|[{}\[\]$&#^_~]|\s+|[^\\%{}\[\]$&#^_~\s]+|.)"), F.lit(1))
-    token = F.col("token")
-    kind = F.when(token.rlike(r"^\\[A-Za-z]"), "command").when(token.rlike(r"^\\"), "escape").when(token.startswith("%"), "comment").when(token.rlike(r"^\s"), "blank").when(token.rlike(r"^[{}\[\]$&#^_~]"), "special").otherwise("text")
-    return docs.select(by, F.posexplode(tokens).alias("n", "token")).select(by, "n", kind.alias("kind"), "token")
+    opens = line.rlike("|".join(f"(?:{f.opening})" for f in fmt.fences))
+    closes = line.rlike("|".join(f"(?:{f.closing})" for f in fmt.fences))
+    if fmt.alternating:
+        rows = rows.withColumn("_turn", F.sum(F.when(opens, 1).otherwise(0)).over(_so_far(by)) % 2)
+        opens, closes = opens & (F.col("_turn") == 1), opens & (F.col("_turn") == 0)
+    rows = rows.withColumn("_o", F.sum(F.when(opens, 1).otherwise(0)).over(_so_far(by))).withColumn("_c", F.sum(F.when(closes, 1).otherwise(0)).over(_so_far(by)))
+    # a closing mark too many closes nothing
+    rows = rows.withColumn("_depth", F.col("_o") - F.col("_c")).withColumn("_least", F.least(F.min("_depth").over(_so_far(by)), F.lit(0)))
+    rows = rows.withColumn("_in", (F.col("_depth") - F.col("_least")) > 0).withColumn("_was", F.coalesce(F.lag("_in").over(_along(by)), F.lit(False)))
+    begins = F.col("_in") & ~F.col("_was")
+    rows = rows.withColumn("_region", F.last(F.when(begins, F.struct("n", "line")), ignorenulls=True).over(_so_far(by)))
+    rows = rows.withColumn("_edge", F.col("_in") != F.col("_was")).withColumn("_opening", F.col("_region.line"))
+    rows = rows.withColumn("_fence", F.when(F.col("_in") | F.col("_was"), F.col("_region.n") + 1).otherwise(0).cast("long"))
+    return rows.drop("_o", "_c", "_depth", "_least", "_in", "_was", "_region", "_turn")
+
+
+def classify(docs: DataFrame, fmt: LineFormat, by: str = "doc", text: str = "text") -> DataFrame:
+    """(doc, n, line, what, body, marks, rank, kind, start, ident, more, fence): what each line is; blank lines end blocks."""
+    source = F.coalesce(F.col(text), F.lit(""))
+    source = F.regexp_replace(source, fmt.comments, "") if fmt.comments else source
+    rows = _fenced(docs.select(by, F.posexplode(F.split(source, "\r?\n")).alias("n", "line")), fmt, by)
+    line, outside = F.col("line"), F.col("_fence") == 0
+    if fmt.trailing:
+        rows = rows.withColumn("line", F.when(outside, F.regexp_replace(line, fmt.trailing, "")).otherwise(line))
+    for name, opening, closing in fmt.environments:
+        step = F.when(~outside, 0).when(line.rlike(opening), 1).when(line.rlike(closing), -1).otherwise(0)
+        rows = rows.withColumn(f"_{name}", F.sum(step).over(_so_far(by)))
+    # the first rule that holds is found once; all else is taken out by its number
+    which = F.when(~outside, F.lit(-2)).when(line.rlike(r"^\s*$"), F.lit(-1))
+    for k, rule in enumerate(fmt.rules):
+        which = which.when(line.rlike(rule.pattern) & (F.col(f"_{rule.within}") > 0 if rule.within else F.lit(True)), F.lit(k))
+    rows = rows.withColumn("_rule", which.otherwise(F.lit(len(fmt.rules))))
+
+    def by_rule(part: Callable[[LineRule], Column | None], otherwise: Column) -> Column:
+        out = None
+        for k, rule in enumerate(fmt.rules):
+            value = part(rule)
+            if value is not None:
+                out = F.when(F.col("_rule") == k, value) if out is None else out.when(F.col("_rule") == k, value)
+        return otherwise if out is None else out.otherwise(otherwise)
+
+    group = lambda rule, g: F.regexp_extract(line, rule.pattern, g)
+    null = F.lit(None).cast("string")
+    what = by_rule(lambda r: F.lit(r.what), F.when(F.col("_rule") == -2, "fenced").when(F.col("_rule") == -1, "blank").otherwise("para"))
+    taken = lambda r: group(r, min(r.text, re.compile(r.pattern).groups))
+    body = by_rule(lambda r: line if r.what in ("bar", "skip") else taken(r) if r.what in ("code", "raw") else F.trim(taken(r)), F.when(F.col("_rule") == -2, line).otherwise(F.trim(line)))
+    made = rows.select(
+        by, "n", "line", *[f"_{name}" for name, _, _ in fmt.environments], what.alias("what"), body.alias("body"),
+        by_rule(lambda r: F.length(group(r, r.length)) if r.length else None, F.lit(1)).alias("marks"),
+        by_rule(lambda r: group(r, r.rank).cast("int") if r.rank else F.length(group(r, r.length)) if r.length and r.what == "heading" else F.lit(r.fixed) if r.what == "heading" else None, F.lit(1)).alias("rank"),
+        by_rule(lambda r: F.lit(r.kind) if r.what == "item" else None, null).alias("kind"),
+        by_rule(lambda r: group(r, r.start).cast("int") if r.start else None, F.lit(None).cast("int")).alias("start"),
+        by_rule(lambda r: F.trim(group(r, r.second)) if r.second else None, null).alias("second"),
+        by_rule(lambda r: F.nullif(F.lower(group(r, r.ident)) if r.what == "meta" else group(r, r.ident), F.lit("")) if r.ident else None, null).alias("ident"),
+        by_rule(lambda r: attributes(**({"class": F.nullif(group(r, r.css), F.lit(""))} if r.css else {}), **{k: F.lit(v) if isinstance(v, str) else F.nullif(group(r, v), F.lit("")) for k, v in r.extra}) if r.css or r.extra else None, F.lit(None).cast("map<string,string>")).alias("more"),
+        F.col("_fence").alias("fence"), F.col("_edge").alias("edge"), "_opening",
+    )
+    for f in reversed(fmt.fences):
+        own = (F.col("what") == "fenced") & F.col("_opening").rlike(f.opening)
+        named = {k: F.lit(v) for k, v in f.more} | ({f.key: F.nullif(F.regexp_extract("_opening", f.opening, f.name), F.lit(""))} if f.name else {})
+        made = made.withColumn("more", F.when(own, attributes(**named) if named else F.create_map().cast("map<string,string>")).otherwise(F.col("more")))
+        made = made.withColumn("what", F.when(own & (F.lit(f.whole) | ~F.col("edge")), F.lit(f.what)).when(own, F.lit("edge")).otherwise(F.col("what")))
+    made = made.withColumn("base", F.lit(0)).withColumn("what", F.when(F.col("what") == "fenced", "code").otherwise(F.col("what")))
+    if fmt.continues:
+        indented = (F.col("what") == "para") & line.rlike(r"^\s")
+        anchor = F.last(F.when(~indented, F.col("what")), ignorenulls=True).over(_so_far(by))
+        made = made.withColumn("what", F.when(indented & (anchor == "item"), "cont").otherwise(F.col("what")))
+    return fmt.prepared(made, by) if fmt.prepared else made
+
+
+def records(docs: DataFrame, fmt: LineFormat, by: str = "doc", text: str = "text") -> DataFrame:
+    """The records of documents in one of the line formats."""
+    rows = classify(docs, fmt, by, text).where("what <> 'gone'")
+    order = _along(by)
+    same = lambda c: F.coalesce(F.lag(c).over(order) == F.col(c), F.lit(False))
+    kindred = F.when(F.col("what") == "bar", "table").otherwise(F.col("what"))
+    rows = rows.withColumn("_kin", kindred)
+    goes_on = (F.col("what") == "cont") | (F.col("what").isin(*MERGED) & same("_kin") & same("fence") & same("base"))
+    rows = rows.withColumn("_run", F.sum(F.when(goes_on | F.col("what").isin("blank", "skip", "edge"), 0).otherwise(1)).over(order)).where(~F.col("what").isin("blank", "skip", "edge"))
+    line = F.struct("n", "what", "body")
+    first = lambda c: F.min_by(c, "n").alias(c)
+    runs = rows.groupBy(by, "_run").agg(F.min("n").cast("long").alias("n"), *[first(c) for c in ("_kin", "marks", "rank", "kind", "start", "second", "ident", "more", "base")], F.array_sort(F.collect_list(line)).alias("lines"))
+    runs = runs.withColumnRenamed("_kin", "what")
+    bodies = F.transform("lines", lambda x: x["body"])
+    verbatim = F.col("what").isin("code", "raw", "lineblock")
+    joined = F.when(verbatim, F.regexp_replace(F.array_join(bodies, "\n"), r"\n+$", "")).otherwise(F.trim(F.array_join(bodies, " ")))
+    if fmt.table is not None:
+        joined = F.when(F.col("what") == "table", fmt.table(F.col("lines"))).otherwise(joined)
+    # an item that has its definition with it is two
+    runs = runs.withColumn("_text", joined).withColumn("sub", F.explode(F.when(F.col("second").isNotNull(), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    runs = runs.withColumn("_text", F.when(F.col("what") == "hr", F.lit(None)).when(F.col("sub") == 1, F.col("second")).otherwise(F.col("_text")))
+    role = F.create_map(F.lit("role"), F.when(F.col("sub") == 1, "definition").otherwise("term"))
+    runs = runs.withColumn("more", F.when(F.col("second").isNotNull(), role).otherwise(F.col("more")))
+    taken = verbatim | F.col("what").isin("table", "hr", "div", "image")
+    runs = runs.withColumn("pieces", F.when(taken, plain_piece(F.col("_text"))).otherwise(inline_pieces(F.col("_text"), fmt)))
+    depth = fmt.item_depth(F.col("marks")).cast("int")
+    made = runs.select(by, "n", "sub", "what", "pieces", "base", depth.alias("depth"), "kind", F.least(F.greatest("rank", F.lit(1)), F.lit(6)).alias("rank"), "start", "ident", "more")
+    return fmt.ranks(made, by) if fmt.ranks else made
 
 
 def read_lines(docs: DataFrame, fmt: LineFormat | str, by: str = "doc", text: str = "text") -> DataFrame:
     """The block table of documents (doc, text) in one of the line formats; a null text has no blocks."""
-    fmt = FORMATS[fmt] if isinstance(fmt, str) else fmt
-    rows = classify(docs, fmt, by, text)
-    order = Window.partitionBy(by).orderBy("n")
-    before = F.lag(F.struct("what", "fence")).over(order)
-    goes_on = F.col("what").isin(*_MERGED) & (before["what"] == F.col("what")) & ((F.col("what") != "code") | (before["fence"] == F.col("fence")))
-    rows = rows.withColumn("_run", F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(order)).where(~F.col("what").isin("blank", "skip"))
-    line = F.struct("n", "body")
-    runs = rows.groupBy(by, "_run").agg(F.min("n").alias("n"), F.first("what").alias("what"), F.first("rank").alias("rank"), F.first("ordered").alias("ordered"), F.first("language").alias("language"), F.first("key").alias("key"), F.filter(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["body"]), lambda x: x.isNotNull()).alias("lines")).where(F.size("lines") > 0)
-    along = Window.partitionBy(by).orderBy("n")
-    last = F.lag(F.struct("what", "rank", "ordered")).over(along)
-    opens_list = F.coalesce((last["what"] != "item") | (last["rank"] < F.col("rank")) | ((last["rank"] == F.col("rank")) & (last["ordered"] != F.col("ordered"))), F.lit(True))
-    runs = runs.withColumn("_opens", opens_list)
-    text_of = F.array_join("lines", fmt.wraps)
-    depth = F.when(F.col("rank") > 0, F.col("rank")).otherwise(0)
-    depth = F.floor(depth / 2) if fmt.name in ("org", "rst", "latex", "markdown") else F.greatest(depth - 1, F.lit(0))
-    kind = F.when(F.col("ordered"), "ordered").otherwise("bullet")
-    list_attributes = _attributes(list_type=kind, ordered=F.col("ordered"), start=F.when(F.col("ordered"), "1"), number_style=F.when(F.col("ordered"), "Decimal"), number_delim=F.when(F.col("ordered"), "Period"))
-    cells = F.transform("lines", lambda x: F.transform(F.split(x, fmt.cell), lambda c: F.trim(c)))
-    table = F.to_json(F.struct(F.element_at(cells, 1).alias("headers"), F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(1))).alias("rows")))
-    heading = F.array(_row("block", "heading", text_of, 1, attributes=_attributes(heading_level=F.least(F.col("rank"), F.lit(6)), id=slug(text_of, fmt.separator))))
-    made = (
-        F.when(F.col("what") == "heading", heading)
-        .when(F.col("what") == "item", F.concat(F.when(F.col("_opens"), F.array(_row("block", "list", None, 1 + 2 * depth, attributes=list_attributes))).otherwise(F.array()), _rich("list_item", text_of, 2 + 2 * depth, fmt)))
-        .when(F.col("what") == "quote", F.concat(F.array(_row("block", "blockquote", None, 1)), _rich("paragraph", text_of, 2, fmt)))
-        .when(F.col("what") == "code", F.array(_row("block", "code", F.array_join("lines", "\n"), 1, attributes=_attributes(language=F.nullif(F.col("language"), F.lit(""))))))
-        .when(F.col("what") == "table", F.array(_row("block", "table", table, 1, "json")))
-        .when(F.col("what") == "hr", F.array(_row("block", "hr", None, 1)))
-        .when(F.col("what") == "meta", F.array(_row("value", "inlines", None, 1, attributes=_attributes(key=F.col("key"))), _row("inline", "text", text_of, 2)))
-        .otherwise(_rich("paragraph", text_of, 1, fmt))
-    )
-    flat = runs.select(by, (F.col("what") == "meta").alias("_meta"), "n", F.posexplode(made).alias("_sub", "_block"))
-    place = Window.partitionBy(by).orderBy("_meta", "n", "_sub")  # metadata follows the body
-    return flat.withColumn("element_order", (F.row_number().over(place) - 1).cast("int")).select(by, "_block.*", "element_order").select(by, *BLOCK_COLUMNS)
+    if isinstance(fmt, str):
+        from .markups import FORMATS
+
+        fmt = FORMATS[fmt]
+    return assemble(records(docs, fmt, by, text), by, fmt.separator)

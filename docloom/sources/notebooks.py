@@ -1,4 +1,4 @@
-"""Jupyter notebooks: their JSON is parsed by from_json, cells become blocks."""
+"""Jupyter notebooks: their JSON is parsed by from_json, cells become divs that hold their source and outputs."""
 
 from __future__ import annotations
 
@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import BLOCK_COLUMNS
-from .lines import _attributes, _row
+from .assemble import attributes, row
 
 _NOTEBOOK = (
-    "cells array<struct<cell_type:string,source:string,execution_count:string,outputs:array<struct<output_type:string,text:string,data:map<string,string>>>>>, "
-    "metadata struct<title:string,authors:array<struct<name:string>>,kernelspec:struct<language:string>,language_info:struct<name:string>>"
+    "cells array<struct<cell_type:string,source:string,execution_count:string,outputs:array<struct<output_type:string,text:string,data:map<string,string>,ename:string,evalue:string>>>>, "
+    "metadata struct<title:string,authors:array<struct<name:string>>,kernelspec:struct<language:string,name:string,display_name:string>,language_info:struct<name:string>>"
 )
 
 
@@ -21,26 +21,38 @@ def _text(source: Column) -> Column:
 
 
 def read_notebooks(docs: DataFrame, by: str = "doc", text: str = "text") -> DataFrame:
-    """The block table of notebooks: code cells with their outputs, markdown cells as raw markdown.
+    """The block table of notebooks.
 
-    A text that is no notebook has no blocks. Title and authors are metadata after the body.
+    A cell is a div of its cell_type with its source a level below: code, or raw markdown. An output is a div of its
+    output_type in the cell's, with its plain text, or an error's message, as code below it; outputs without either
+    have the div alone. A text that is no notebook has no blocks. Title, authors and kernel are metadata after the body.
     """
     parsed = docs.select(by, F.from_json(text, _NOTEBOOK).alias("nb"))
     language = F.coalesce("nb.metadata.kernelspec.language", "nb.metadata.language_info.name")
     cells = parsed.select(by, language.alias("language"), F.posexplode("nb.cells").alias("n", "cell"))
-    source = _text(F.col("cell.source"))
-    code = F.array(_row("block", "code", source, 1, attributes=_attributes(language=F.col("language"), execution_count=F.nullif(F.col("cell.execution_count"), F.lit("null")))))
-    shown = F.filter(F.transform(F.coalesce("cell.outputs", F.array()), lambda o: F.coalesce(_text(o["text"]), _text(F.try_element_at(o["data"], F.lit("text/plain"))))), lambda t: t.isNotNull())
-    outputs = F.transform(shown, lambda t: _row("block", "code", t, 2, attributes=_attributes(role=F.lit("output"))))
-    made = (
-        F.when(F.col("cell.cell_type") == "code", F.concat(code, outputs))
-        .when(F.col("cell.cell_type") == "markdown", F.array(_row("block", "raw", source, 1, "markdown", _attributes(format=F.lit("markdown")))))
-        .otherwise(F.array(_row("block", "raw", source, 1, attributes=_attributes(format=F.lit("text")))))
+    source = F.regexp_replace(_text(F.col("cell.source")), r"\n+$", "")
+    kind = F.coalesce("cell.cell_type", F.lit("raw"))
+    count = F.nullif(F.col("cell.execution_count"), F.lit("null"))
+    head = F.array(row("block", "div", None, 1, own=attributes(source_type=kind, execution_count=F.when(kind == "code", count))))
+    body = (
+        F.when(kind == "code", row("block", "code", F.nullif(source, F.lit("")), 2, own=attributes(language=F.col("language"))))
+        .when(kind == "markdown", row("block", "raw", F.nullif(source, F.lit("")), 2, "markdown", attributes(format=F.lit("markdown"))))
+        .otherwise(row("block", "raw", F.nullif(source, F.lit("")), 2, own=attributes(format=F.lit("text"))))
     )
-    body = cells.select(by, F.lit(0).alias("part"), "n", F.posexplode(made).alias("sub", "block"))
+    said = lambda o: F.coalesce(_text(o["text"]), _text(F.try_element_at(o["data"], F.lit("text/plain"))), o["evalue"])
+    outputs = F.flatten(
+        F.transform(
+            F.coalesce("cell.outputs", F.array()),
+            lambda o: F.concat(
+                F.array(row("block", "div", None, 2, own=attributes(source_type=F.coalesce(o["output_type"], F.lit("output"))))),
+                F.when(said(o).isNotNull(), F.array(row("block", "code", F.regexp_replace(said(o), r"\n+$", ""), 3))).otherwise(F.array()),
+            ),
+        )
+    )
+    blocks = cells.select(by, F.lit(0).alias("part"), "n", F.posexplode(F.concat(head, F.array(body), F.when(kind == "code", outputs).otherwise(F.array()))).alias("sub", "block"))
     authors = F.filter(F.transform("nb.metadata.authors", lambda a: a["name"]), lambda a: a.isNotNull())
-    field = lambda key, value: F.array(_row("value", "inlines", None, 1, attributes=_attributes(key=F.lit(key))), _row("inline", "text", value, 2))
-    fields = F.concat(F.when(F.col("nb.metadata.title").isNotNull(), field("title", F.col("nb.metadata.title"))).otherwise(F.array()), F.when(F.size(authors) > 0, field("author", F.array_join(authors, " "))).otherwise(F.array()))
+    field = lambda key, value: F.when(value.isNotNull() & (value != ""), F.array(row("value", "inlines", None, 1, own=attributes(key=F.lit(key))), row("inline", "text", value, 2))).otherwise(F.array())
+    fields = F.concat(field("title", F.col("nb.metadata.title")), field("author", F.array_join(authors, " ")), field("kernel", F.coalesce("nb.metadata.kernelspec.display_name", "nb.metadata.kernelspec.name")))
     meta = parsed.select(by, F.lit(1).alias("part"), F.lit(0).alias("n"), F.posexplode(fields).alias("sub", "block"))
     place = Window.partitionBy(by).orderBy("part", "n", "sub")
-    return body.unionByName(meta).select(by, "block.*", (F.row_number().over(place) - 1).cast("int").alias("element_order")).select(by, *BLOCK_COLUMNS)
+    return blocks.unionByName(meta).select(by, "block.*", (F.row_number().over(place) - 1).cast("int").alias("element_order")).select(by, *BLOCK_COLUMNS)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import slug
 from ..schema import BLOCK_COLUMNS
-from .lines import _attributes
+from .assemble import attributes as _attributes
 
 TITLE_WORDS = 3
 
