@@ -9,6 +9,7 @@ caller gives.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from pathlib import Path
 
@@ -34,6 +35,7 @@ COPYRIGHT_NOTICE = (
 )
 PUNCTUATION = r"[^\p{L}\p{N}]+"
 
+
 # Wordings of well-known licences, and short notices that name one.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -131,7 +133,9 @@ def known_licenses() -> list[tuple[str, str]]:
         head = text.split("END OF TERMS AND CONDITIONS")[0]  # often without the appendix on how to apply it
         out += [(path.stem, text)] + ([(path.stem, head), (path.stem, head + "END OF TERMS AND CONDITIONS")] if head != text else [])
     out += [("Zlib", _ZLIB), ("Zlib", "zlib License\n" + _ZLIB), ("BSL-1.0", _BSL), ("MIT", "The MIT License\n" + _MIT), ("MIT", "The MIT License (MIT)\n" + _MIT), ("ISC", "The ISC License\n" + _ISC)]
-    for k, title, text in (("BSD-2-Clause", "BSD 2-Clause License", _BSD2 + _BSD_END), ("BSD-3-Clause", "BSD 3-Clause License", _BSD2 + _BSD3 + _BSD_END)):
+    bulleted = [(f"BSD-{n}-Clause", f"BSD {n}-Clause License", re.sub(r"\n[1-3]\. ", "\n* ", text) + _BSD_END) for n, text in ((2, _BSD2), (3, _BSD2 + _BSD3))]
+    for k, title, text in (("BSD-2-Clause", "BSD 2-Clause License", _BSD2 + _BSD_END), ("BSD-3-Clause", "BSD 3-Clause License", _BSD2 + _BSD3 + _BSD_END), *bulleted):
+        out += [(k, text)] if "* " in text else []
         out += [(k, "All rights reserved.\n" + text), (k, f"{title}\n{text}"), (k, f"{title}\nAll rights reserved.\n{text}")]
     out += _file_headers()
     for k in [*_names(), *_SPDX]:
@@ -142,7 +146,9 @@ def known_licenses() -> list[tuple[str, str]]:
 
 def _canonical_lines(text: Column) -> Column:
     folded = reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), SPELLINGS, F.lower(text))
-    return F.transform(F.split(folded, "\n"), lambda line: F.trim(F.regexp_replace(F.regexp_replace(line, COPYRIGHT_NOTICE, ""), PUNCTUATION, " ")))
+    # the search for a notice is dear, and nearly all lines lack the words that every notice has
+    bare = lambda line: F.when(line.rlike(r"copyright|\(c\)|©"), F.regexp_replace(line, COPYRIGHT_NOTICE, "")).otherwise(line)
+    return F.transform(F.split(folded, "\n"), lambda line: F.trim(F.regexp_replace(bare(line), PUNCTUATION, " ")))
 
 
 def _whole(lines: Column) -> Column:
@@ -177,17 +183,18 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", known: DataF
         own = _digests(known)
         digests = small(saved(own.unionByName(digests.join(own, "digest", "left_anti"))))
     known = digests
-    lined = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_copy"), _canonical_lines(F.coalesce(F.col(text), F.lit(""))).alias("_lines"))
-    whole = lined.select("doc_id", "_copy", F.md5(_whole(F.col("_lines"))).alias("digest")).join(known, "digest", "left").drop("digest")
-    lines = lined.select("doc_id", "_copy", F.posexplode("_lines").alias("_line", "_form")).where("_form <> ''")
-    found = (
-        lines.select("doc_id", "_copy", "_line", F.md5("_form").alias("digest"))
-        .join(known, "digest")
-        .groupBy("doc_id", "_copy")  # rows that repeat count their lines once
-        .agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"), F.count_distinct("_line").alias("n_license_lines"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    lined = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("_copy"), _canonical_lines(body).alias("_lines"))
+    # place 0 is the whole text, the others are its lines; one pass makes the digests of both
+    forms = F.concat(F.array(F.md5(_whole(F.col("_lines")))), F.transform("_lines", lambda x: F.when(x != "", F.md5(x))))
+    looked_up = lined.select("doc_id", "_copy", F.posexplode(forms).alias("_line", "digest")).where("digest is not null").join(known, "digest", "left")
+    whole, line = F.col("_line") == 0, F.struct("_line", "license")
+    each = looked_up.where(whole | F.col("license").isNotNull()).groupBy("doc_id", "_copy").agg(
+        F.count(F.when(whole, 1)).alias("_rows"), F.max(F.when(whole, F.col("license"))).alias("license"), F.collect_set(F.when(~whole, line)).alias("_found")
     )
-    same = whole["doc_id"].eqNullSafe(found["doc_id"]) & (whole["_copy"] == found["_copy"])
-    return whole.join(found, same, "left").select(whole["doc_id"], "license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"), F.coalesce("n_license_lines", F.lit(0).cast("long")).alias("n_license_lines"))
+    rows = each.withColumn("_row", F.explode(F.array_repeat(F.lit(0), F.col("_rows").cast("int"))))  # rows that repeat count their lines once
+    licenses = F.array_join(F.array_sort(F.array_distinct(F.transform("_found", lambda x: x["license"]))), ",")
+    return rows.select("doc_id", "license", licenses.alias("line_licenses"), F.size("_found").cast("long").alias("n_license_lines"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
