@@ -1,13 +1,15 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import sentencepiece
 
 from docloom.llm import chat, fingerprints, pieces
 
-from .helpers import ODD, docs, shingles
+from .helpers import ODD, docs, shingles, words
 
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
 
@@ -18,6 +20,28 @@ def odd_texts():
     return out + ["".join(rnd.choice("abcdeinrst  ▁漢é\n.,AB") for _ in range(60)) for _ in range(400)]
 
 
+def test_long_chunks_and_runs_of_blanks_equal_the_library():
+    """Chunks over one window, repeated signs that never fall into step, indented lines, and 5 MB of text; in bounded time."""
+    m, rnd = pieces.load(), random.Random(6)
+    texts = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABC0123456789+/") for _ in range(n)) for n in (65, 129, 500, 20_000)]
+    texts += ["a" * n for n in (63, 64, 65, 128, 129, 1000)] + ["ab" * 400, "=" * 3000, "漢字かな" * 300, "x" * 90 + "漢" + "y" * 90, "é" * 500, "the" * 300 + "\x00" + "the" * 300]
+    texts += [" " * n + w for n in (0, 1, 2, 3, 15, 16, 17, 18, 31, 32, 33, 70) for w in ("", "word", "漢", "\n", "1", "(x)", "\t\t  y", "éa")]
+    texts += ["def f(x):\n    if x:\n        return  x  +  1\n" * 50, "a  b   c    d " * 40]
+    texts.append(" ".join("".join(rnd.choice("aeinrst") for _ in range(rnd.randint(1, 90))) for _ in range(110_000)))
+    assert len(texts[-1]) > 4_900_000
+    began = time.time()
+    ids, off = pieces.encode(m, pa.array(texts, pa.string()))
+    took = time.time() - began
+    want = LIBRARY.encode(texts, num_threads=1)
+    for k, (a, b) in enumerate(zip(off[:-1], off[1:], strict=True)):
+        assert ids[a:b].tolist() == want[k], texts[k][:80]
+    assert took < 120
+    began = time.time()
+    pieces._memos.clear()
+    pieces.encode(m, pa.array(["".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABC0123456789+/") for _ in range(20_000))]))
+    assert time.time() - began < 2
+
+
 def test_pieces_equal_the_library():
     m, texts = pieces.load(), odd_texts()
     ids, off = pieces.encode(m, pa.array(texts, pa.string()))
@@ -83,7 +107,7 @@ def test_resemblance_is_close_on_all_lengths(spark):
         before = shared + [f"w{rnd.randrange(10**6)}" for _ in range(n - len(shared))]
         texts.append(" ".join(before))
     source = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = fingerprints.with_next(source, 3).mapInArrow(fingerprints.neighbours, fingerprints.RESULT).collect()
+    rows = fingerprints.compared_with_next(source).collect()
     wrong, lost = {}, 0
     for r in rows:
         t, following = texts[r.doc_id], texts[(r.doc_id + 1) % len(texts)]
@@ -111,8 +135,43 @@ def test_sketches_merge():
 def test_fingerprint_bears_odd_rows(spark):
     assert fingerprints.fingerprint(docs(spark)).count() == len(ODD)
     assert fingerprints.fingerprint(docs(spark, [])).count() == 0
-    assert fingerprints.with_next(docs(spark), 3).mapInArrow(fingerprints.neighbours, fingerprints.RESULT).count() == len(ODD)
-    assert fingerprints.with_next(docs(spark, []), 3).mapInArrow(fingerprints.neighbours, fingerprints.RESULT).count() == 0
+    assert fingerprints.compared_with_next(docs(spark)).count() == len(ODD)
+    assert fingerprints.compared_with_next(docs(spark, [])).count() == 0
+
+
+def by_hand(text):
+    """The sketch of a text, a shingle at a time."""
+    found = words(text)
+    runs = [found[k : k + 5] for k in range(len(found) - 4)] if len(found) >= 5 else [found] if found else []
+    hashes = set()
+    for run in runs:
+        (h,) = fingerprints.tx.text_sets(pa.array([" ".join(run)]))  # the run alone is one shingle
+        short = len(run) < 5
+        hashes.add(int(h[0]))
+        assert len(h) == 1 and (short or len(run) == 5)
+    below = {h for h in hashes if h < int(fingerprints.FRACTION * 2**64)}
+    return below or ({min(hashes)} if hashes else set())
+
+
+@pytest.mark.parametrize("ids", ["long", "string"])
+def test_fingerprints_equal_brute_force(spark, ids):
+    """All columns, with repeated and null ids, many of one id, and ids that aren't numbers."""
+    rnd = random.Random(11)
+    texts = [r[1] for r in ODD] + [" ".join(rnd.choice("abcdefg") for _ in range(rnd.randint(0, 60))) for _ in range(60)]
+    rows = [((rnd.choice([None, 7, 7, 7, 3, k]) if k % 2 else k), t) for k, t in enumerate(texts)]
+    source = spark.createDataFrame([(None if i is None else str(i) if ids == "string" else i, t) for i, t in rows], f"doc_id {ids}, text string")
+    got = fingerprints.compared_with_next(source).collect()
+    ties = {r.text: r.h for r in source.selectExpr("coalesce(text, '') as text", "xxhash64(coalesce(text, '')) as h").collect()}
+    order = sorted(((r.doc_id, r.text or "") for r in source.collect()), key=lambda r: (r[0] is not None, r[0], ties[r[1]], r[1]))
+    want = []
+    for k, (i, t) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        changed = t[: len(t) - len(t) // 4] + following[: len(t) // 4]
+        own, new, other = by_hand(t), by_hand(changed), by_hand(following)
+        near = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+        text = lambda s: "".join(f"{h:016x}" for h in sorted(s))
+        want.append((i, len(t), hashlib.sha256(changed.encode()).hexdigest(), text(own), text(new), near(own, new), near(own, other)))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
 CHATS = [
