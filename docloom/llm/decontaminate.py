@@ -71,17 +71,29 @@ class Seeds:
             self.short.setdefault(self.words[self.first[k] : self.first[k + 1]].tobytes(), []).append(int(k))
 
 
-def best_segment(equal: np.ndarray) -> tuple[int, int, int]:
-    """(equal words, start, end) of the segment with the most equal words of which they are 4 in 5 or more.
+def best_segments(equal: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(alignment, equal words, start, end): in each, the segment with the most equal words, 4 in 5 of it or more.
 
-    `equal` lists, in order, the places with equal words. Of equally good segments the first counts.
+    `equal` lists the places with equal words in order, alignment after alignment; `of` says of which each one is. Of
+    equally good segments the first counts. Alignments without equal words are left out.
     """
+    if not len(equal):
+        return equal, equal, equal, equal
+    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(of))))
+    # a segment from the i-th to the j-th place is good if slack[i] <= slack[j] + 1
     slack = 5 * np.arange(len(equal)) - 4 * equal
-    lowest = np.minimum.accumulate(slack)
-    begin = np.searchsorted(-lowest, -(slack + 1))
+    apart = group * (2 * int(np.abs(slack).max()) + 4)  # so that a search stays within its alignment
+    lowest = np.minimum.accumulate(slack - apart)
+    begin = np.searchsorted(-lowest, apart - slack - 1)
     count = np.arange(len(equal)) - begin + 1
-    k = int(count.argmax())
-    return int(count[k]), int(equal[begin[k]]), int(equal[k]) + 1
+    best = np.maximum.reduceat(count * len(equal) - np.arange(len(equal)), first)
+    at = -best % len(equal)
+    return of[first], count[at], equal[begin[at]], equal[at] + 1
+
+
+#: Words of alignments that are compared at once.
+COMPARED_AT_ONCE = 2_000_000
 
 
 def leaks_of(seeds: Seeds, data: np.ndarray, off: np.ndarray) -> dict[int, list[tuple]]:
@@ -101,13 +113,23 @@ def leaks_of(seeds: Seeds, data: np.ndarray, off: np.ndarray) -> dict[int, list[
         other = place[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         pairs.append(np.stack([text[own], seeds.item[other], own - other], axis=1))
     found: dict[tuple[int, int], tuple] = {}
-    for d, k, shift in np.unique(np.concatenate(pairs), axis=0).tolist() if pairs else []:
-        a, b = int(seeds.first[k]), int(seeds.first[k + 1])
-        begin, end = max(a, int(first[d]) - shift), min(b, int(first[d + 1]) - shift)
-        equal = np.flatnonzero(seeds.words[begin:end] == words[begin + shift : end + shift])
-        count, s, e = best_segment(equal)
-        if count >= min(LEAST_WORDS, b - a) and ((d, k) not in found or count > found[d, k][1]):
-            found[d, k] = (seeds.ids[k], count, e - s, begin + shift + s - int(first[d]))
+    hits = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 3), np.int64)
+    begin = np.maximum(seeds.first[hits[:, 1]], first[hits[:, 0]] - hits[:, 2])
+    length = np.minimum(seeds.first[hits[:, 1] + 1], first[hits[:, 0] + 1] - hits[:, 2]) - begin
+    done = np.cumsum(length)
+    a = 0
+    while a < len(hits):
+        b = max(a + 1, int(np.searchsorted(done, done[a] - length[a] + COMPARED_AT_ONCE, "right")))
+        of = np.repeat(np.arange(a, b), length[a:b])
+        place = begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(length[a:b]) - length[a:b], length[a:b])
+        same = seeds.words[place] == words[place + hits[of, 2]]
+        row, count, start, end = best_segments(place[same], of[same])
+        d, k, shift = hits[row].T
+        leaks = np.flatnonzero(count >= np.minimum(LEAST_WORDS, seeds.first[k + 1] - seeds.first[k]))
+        for d, k, n, s, e, at in zip(*(x[leaks].tolist() for x in (d, k, count, start, end, start + shift - first[d])), strict=True):
+            if (d, k) not in found or n > found[d, k][1]:
+                found[d, k] = (seeds.ids[k], n, e - s, at)
+        a = b
     for d in np.flatnonzero((size > 0) & (size < len(MASKS[0]))) if seeds.short else []:
         for k in seeds.short.get(words[first[d] : first[d + 1]].tobytes(), []):
             found[int(d), k] = (seeds.ids[k], int(size[d]), int(size[d]), 0)
@@ -117,36 +139,39 @@ def leaks_of(seeds: Seeds, data: np.ndarray, off: np.ndarray) -> dict[int, list[
     return out
 
 
-LEAK = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("equal_words", T.LongType()), T.StructField("segment_words", T.LongType()), T.StructField("first_word", T.LongType())])
-_ARROW_LEAK = pa.list_(pa.struct([(f.name, pa.int64()) for f in LEAK.fields]))
+def leak_type(item_id: T.DataType) -> T.StructType:
+    """What a leak is, for item ids of this type."""
+    return T.StructType([T.StructField("item_id", item_id), *(T.StructField(n, T.LongType()) for n in ("equal_words", "segment_words", "first_word"))])
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "leaks", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """`df` with `out`: the benchmark items that leak into each text, array of LEAK by item; often empty.
+    """`df` with `out`: the benchmark items that leak into each text, array of leak_type by item; often empty.
 
-    Null and empty texts and items leak nothing; an item id that repeats is an item each time; a null
-    item id is reported as null. Of several alignments of one item the one with the most equal words
+    Null and empty texts and items leak nothing; item ids are of any type; one that repeats is an item each
+    time; a null item id is reported as null. Of several alignments of one item the one with the most equal words
     counts. A column called `out` is replaced; rows stay one for one.
 
     The items are broadcast in blocks of about `block_words` words, one pass over the texts for each
     block, so memory stays bounded however large the benchmark is.
     """
-    items = benchmark.select(F.col(item_id).cast("bigint").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     words = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
     blocks = max(1, -(-int(words) // block_words))
-    fields = [T.StructField(out, T.ArrayType(LEAK))]
+    leak = leak_type(items.schema["item_id"].dataType)
+    fields = [T.StructField(out, T.ArrayType(leak))]
     df = df.select(*[c for c in df.columns if c.lower() != out.lower()], F.array().cast(fields[0].dataType).alias(out))
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
+        kind = pa.list_(pa.struct([(leak.names[0], block.schema.field("item_id").type), *((n, pa.int64()) for n in leak.names[1:])]))
         shared = SparkSession.active().sparkContext.broadcast(Seeds(block["item_id"].to_pylist(), block["text"].combine_chunks()))
 
-        def compute(batch: pa.RecordBatch, shared=shared) -> list:
+        def compute(batch: pa.RecordBatch, shared=shared, kind=kind) -> list:
             data, off = tx.buffers(batch.column(text))
             rows = batch.column(out).to_pylist()
             for i, j in tx.slices(off):
                 for d, leaks in leaks_of(shared.value, data[off[i] : off[j]], off[i : j + 1] - off[i]).items():
-                    rows[i + d] = (rows[i + d] or []) + [dict(zip(LEAK.names, leak, strict=True)) for leak in leaks]
-            return [pa.array(rows, _ARROW_LEAK)]
+                    rows[i + d] = (rows[i + d] or []) + [dict(zip(leak.names, x, strict=True)) for x in leaks]
+            return [pa.array(rows, kind)]
 
         df = with_arrays(df, fields, compute)
     return df
