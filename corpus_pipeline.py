@@ -12,31 +12,45 @@ from docloom.llm import decontaminate, jaccard, language, pieces, secrets
 from docloom.llm.shared import saved
 
 
+def _out(docs: DataFrame, name: str, *more: str) -> str:
+    """A name for new columns, with these endings too, that no column of `docs` has."""
+    while any((name + end).lower() in {c.lower() for c in docs.columns} for end in ("", *more)):
+        name += "_"
+    return name
+
+
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; those that the language ID rejects go."""
-    marked = language.identify(docs, language.fit(docs), out="_language")
-    return marked.where(~F.col("_language_rejected")).select(*docs.columns)
+    """Documents in a known language; those that the language ID rejects go.
+
+    Null texts and texts without a letter are rejected. Rows that repeat stay or go together.
+    """
+    name = _out(docs, "language", "_score", "_rejected")
+    return language.identify(docs, language.fit(docs), out=name).where(~F.col(f"{name}_rejected")).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that with the smallest id.
+
+    A null id comes after all others; rows that repeat are copies. Null and blank texts, which are near none, all stay.
+    """
     return jaccard.keep_one(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item leaks."""
-    marked = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out="_leaks")
-    return marked.where(F.size("_leaks") == 0).select(*docs.columns)
+    """Documents into which no benchmark item leaks; into null and empty texts none does. Rows that repeat stay or go together."""
+    name = _out(docs, "leaks")
+    marked = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out=name)
+    return marked.where(F.size(name) == 0).select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of each secret; n_chars follows the text."""
+    """All documents, with a mark in place of each secret; n_chars follows the text, a null text stays null."""
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_chars, n_pieces, piece_ids) of each document."""
+    """(doc_id, lang, source, n_chars, n_pieces, piece_ids) of each document, rows that repeat each; null texts have no ids."""
     encoded = pieces.encode_column(docs)
     return encoded.select("doc_id", "lang", "source", "n_chars", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids")
 
