@@ -11,7 +11,7 @@ from .functions.tables import column_types, parse_embedded_blocks, read_table, t
 from .functions.text import slug
 from .operators import structure as st
 from .operators.render import render
-from .sources import archives, compact, elements, interchange, lines, markups, notebooks, prose, rtf
+from .sources import archives, compact, elements, html, interchange, lines, markups, notebooks, prose, rtf
 from .sources.registry import REGISTRY
 
 
@@ -236,6 +236,7 @@ QUERIES = {
     "read_pages": lambda s, d: _plain(_pages(s, d)),
     **{f"read_{f}": _read_text(f) for f in ("org", "rst", "mediawiki", "textile", "latex", "markdown")},
     **{f"read_{f}": _read_file(f) for f in ("docx", "odt", "epub", "rtf")},
+    "read_html": lambda s, d: _sample_columns(html.read_html(samples.sample_texts(_docs(s, d), "html"), html="text")),
     "read_notebooks": _notebooks,
     "expand_embedded": _expanded,
     "doc_toc": _toc,
@@ -270,7 +271,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "read_prose": f"with {_PROSE} select {_COLUMNS} from b",
     "read_pages": f"with {_PAGES} select {_COLUMNS} from b",
-    **{f"read_{f}": samples.sample_sql(f) for f in ("org", "rst", "mediawiki", "textile", "latex", "markdown", "docx", "odt", "epub", "rtf")},
+    **{f"read_{f}": samples.sample_sql(f) for f in ("org", "rst", "mediawiki", "textile", "latex", "markdown", "docx", "odt", "epub", "rtf", "html")},
     "read_notebooks": """with l as (select doc_id as doc, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as n from documents where text is not null),
 r as (select doc, n, 0 as sub, 'div' as element_type, null as content, 1 as level, 'text' as encoding, null as language, case when n % 2 = 0 then 'markdown' else 'code' end as source_type from l
   union all select doc, n, 1, case when n % 2 = 0 then 'raw' else 'code' end, nullif(line, ''), 2, case when n % 2 = 0 then 'markdown' else 'text' end, case when n % 2 = 1 then 'python' end, null from l

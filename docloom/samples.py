@@ -68,6 +68,10 @@ _MARKUP: dict[str, Callable[[Column, Column, Column], dict[int, Column]]] = {
     "markdown": lambda t, raw, rank: {
         HEADING: _text(F.repeat(F.lit("#"), rank), " ", t), ITEM: _text("- ", t), NUMBERED: _text("3. ", t), QUOTE: _text("> ", t), CODE: _text("```python\n", raw, "\n```"), TABLE: _text("| key | text |\n|-----|------|\n| ", _N(), " | ", t, " |"), MARKED: _text("So ", t, " **strong** end"),
     },
+    "html": lambda t, raw, rank: {
+        HEADING: _text("<h", rank.cast("string"), ">", t, "</h", rank.cast("string"), ">"), ITEM: _text("<ul><li>", t, "</li></ul>"), NUMBERED: _text("<ol><li><p>", t, "</p></li></ol>"), QUOTE: _text("<blockquote><p>", t, "</p></blockquote>"),
+        CODE: _text("<pre>", F.replace(F.replace(F.replace(raw, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&#62;")), "</pre>"), TABLE: _text("<table><tr><th>key</th><th>text</th></tr><tr><td>", _N(), "</td><td>", t, "</td></tr></table>"), MARKED: _text("<p>So ", t, " <b>strong</b> end</p>"),
+    },
 }
 
 
@@ -181,7 +185,7 @@ def sample_sql(format: str) -> str:
     more = f", '{MORE_SIGNS[format].replace(chr(39), chr(39) * 2)}', '', 'g')" if format in MORE_SIGNS else ""
     signs = SIGNS.replace("'", "''")
     clean = f"{'regexp_replace(' if more else ''}regexp_replace(raw, '{signs}', '', 'g'){more}"
-    own_lists = format in ("latex", "epub")  # each list is an element of its own
+    own_lists = format in ("latex", "epub", "html")  # each list is an element of its own
     opens = "true" if own_lists else "coalesce(before <> k, true)"
     rank = "dense_rank() over (partition by doc, k = 0 order by first)" if format == "rst" else "rank"
     quote = [("block", "blockquote", "null", 1), ("block", "paragraph", "clean", 2)]
@@ -200,7 +204,7 @@ def sample_sql(format: str) -> str:
         for sub, (kind, what, content, level) in enumerate(rows):
             where = f"k = {k}" + (f" and {opens}" if what == "list" else "")
             list_type = f"'{'ordered' if k == NUMBERED else 'bullet'}'" if what == "list" else "null"
-            language = "'python'" if what == "code" and format not in ("docx", "odt", "epub") else "null"
+            language = "'python'" if what == "code" and format not in ("docx", "odt", "epub", "html") else "null"
             parts.append(f"select doc, n, {sub} as sub, '{kind}' as kind, '{what}' as element_type, {content} as content, {level} as level, {'title_rank::varchar' if what == 'heading' else 'null'} as heading_level, {language} as language, {list_type} as list_type from t where {where}")
     meta = ["string"] if format in ("epub", "rtf") else []
     for what in meta:

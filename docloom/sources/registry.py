@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import BLOCK_COLUMNS
-from . import archives, compact, elements, interchange, lines, notebooks, prose, rtf
+from . import archives, compact, elements, html, interchange, lines, notebooks, prose, rtf
 
 Reader = Callable[..., DataFrame]
 ALLOW, ENABLED, DISABLED = "spark.docloom.allowRegistration", "spark.docloom.enabledReaders", "spark.docloom.disabledReaders"
@@ -78,7 +78,7 @@ _TABLES = {"csv": "spark", "tsv": "spark", "parquet": "spark", "arrow": "pyarrow
 _NOTES = {
     "org": "quote, source and other blocks, drawers, definition items; unknown keywords are raw", "rst": "adornments rank by first appearance; directives are divs, field lists definition lists; no metadata", "mediawiki": "templates and switches are raw, leading blanks are code; no metadata",
     "textile": "markers with classes and ids, html blocks raw; no metadata", "latex": "unknown environments are divs, unknown macros leave their arguments; formulas as they stand", "markdown": "both heading styles, fences, tables; html lines raw",
-    "ipynb": "cells and outputs are divs", "dblocks": "one JSON object a line", "pandoc": "by format name alone, since .json is data", "html": "named sections, headings, text", "prose": "short lines are headings", "rtf": "outline levels and styles, lists, tables, info fields",
+    "ipynb": "cells and outputs are divs", "dblocks": "one JSON object a line", "pandoc": "by format name alone, since .json is data", "html": "sections, headings, lists, quotes, code, tables, links and marks", "prose": "short lines are headings", "rtf": "outline levels and styles, lists, tables, info fields",
     "docx": "styles, lists, tables, notes, images, links", "odt": "styles, lists, tables, notes, images, links", "epub": "spine order, classes of style sheets, tables", "toml": "one metadata block", "yaml": "one metadata block",
     "pdf": "needs a registered decoder that gives page elements", "zim": "an archive of many articles", "zim_article": "needs a registered reader",
 }
@@ -88,7 +88,7 @@ def _builtin() -> list[Entry]:
     made = lambda e, f, reader, binary=False, provider="docloom": Entry(e, f, "doc", "builtin", reader, binary, provider, notes=_NOTES.get(f, ""))
     out = [made(e, f, partial(lines.read_lines, fmt=f)) for f, some in _LINE_FORMATS.items() for e in some]
     out += [made("ipynb", "ipynb", notebooks.read_notebooks), made("dblocks", "dblocks", _compact), made("", "pandoc", interchange.read_interchange), made("txt", "prose", prose.read_prose), made("rtf", "rtf", rtf.read_rtf)]
-    out += [made(e, "html", partial(prose.read_pages, html="text")) for e in ("html", "htm")] + [made(e, k, partial(_verbatim, k)) for e, k in (("toml", "toml"), ("yaml", "yaml"), ("yml", "yaml"))]
+    out += [made(e, "html", partial(html.read_html, html="text")) for e in ("html", "htm")] + [made(e, k, partial(_verbatim, k)) for e, k in (("toml", "toml"), ("yaml", "yaml"), ("yml", "yaml"))]
     out += [made(e, e, partial(archives.read_archives, format=e), True) for e in archives.FORMATS]
     out += [made("pdf", "pdf", None, True, "a decoder"), made("zim", "zim", None, True, "an archive reader"), made("zim://", "zim_article", None, True, "an archive reader")]
     return out + [Entry(e, "data", "table", "builtin", None, provider=p) for e, p in _TABLES.items()]

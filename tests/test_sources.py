@@ -346,6 +346,19 @@ def test_epub(spark):
     assert got[6][4] == {"src": "x/i x.png", "alt": "alt"} and got[17][4] == {"class": "chapter", "role": "section"}
 
 
+def test_html(spark):
+    from docloom.sources import html
+
+    page = "<title>T &amp; U</title><style>x</style><!-- c --><nav><ul><li><a href='/a'>Home</a></li></ul></nav><main id=m><h1 id=one>One &#8217; &eacute;</h1><p>a <b>bold</b> <img src=i.png alt=alt> end</p><ul><li>one<ul><li>n</li></ul></li><li><p>two</p><p>more</p></li></ul><blockquote><p>said</p></blockquote><pre>x\n  y</pre><table><tr><th>h</th><th>i</th></tr><tr><td></td><td><b>2</b> z</td></tr></table><hr>loose<dl><dt>t</dt><dd>d</dd></dl></main><script>no</script>"
+    got = in_order(html.read_html(spark.createDataFrame([("d", page), ("n", None), ("e", "")], "doc string, html string")))
+    assert [g[:4] for g in got] == [
+        ("block", "section", None, 1), ("block", "list", None, 2), ("block", "list_item", None, 3), ("inline", "link", "Home", 4), ("block", "section", None, 1), ("block", "heading", "One ’ é", 2), ("block", "paragraph", None, 2), ("inline", "text", "a ", 3), ("inline", "bold", "bold", 3), ("inline", "text", " ", 3), ("inline", "image", "alt", 3), ("inline", "text", " end", 3),
+        ("block", "list", None, 2), ("block", "list_item", "one", 3), ("block", "list", None, 4), ("block", "list_item", "n", 5), ("block", "list_item", "two", 3), ("block", "paragraph", "more", 4), ("block", "blockquote", None, 2), ("block", "paragraph", "said", 3), ("block", "code", "x\n  y", 2), ("block", "table", '{"headers":["h","i"],"rows":[["","2 z"]]}', 2),
+        ("block", "hr", None, 2), ("block", "paragraph", "loose", 2), ("block", "list", None, 2), ("block", "list_item", "t", 3), ("block", "list_item", "d", 3), ("value", "string", "T & U", 1),
+    ]
+    assert got[0][4] == {"role": "nav"} and got[3][4] == {"href": "/a"} and got[10][4] == {"src": "i.png", "alt": "alt"}
+
+
 def test_damaged_containers():
     for content, what in ((b"no zip", "ZIP"), (zipped({"a": ""}), "missing member"), (zipped({"word/document.xml": "<a"}), "malformed"), (zipped({"word/document.xml": "<!DOCTYPE a [<!ENTITY b 'c'>]><a/>"}), "entities")):
         with pytest.raises(ValueError, match=what):
