@@ -47,17 +47,6 @@ def flat(pieces: Column | str = "pieces") -> Column:
     return F.array_join(said, "")
 
 
-def _rich(what, pieces: Column, level: Column, own: Column, keeps_content: bool = False) -> Column:
-    """A block of text: flat if it has no markup, else without content and with its pieces below it."""
-    text = flat(pieces)
-    bare = F.coalesce(F.size(pieces), F.lit(0)) == 0
-    simple = F.forall(pieces, lambda p: p["type"] == "text")
-    whole = F.array(row("block", what, F.nullif(text, F.lit("")), level, own=own))
-    under = F.transform(pieces, lambda p: row("inline", p["type"], F.nullif(p["content"], F.lit("")), level + 1 + p["depth"], own=p["attributes"]))
-    head = F.array(row("block", what, F.nullif(text, F.lit("")) if keeps_content else None, level, own=own))
-    return F.when(bare | simple, whole).otherwise(F.concat(head, under))
-
-
 def assemble(records: DataFrame, by: str = "doc", separator: str = "-", meta_kind: str = "inlines") -> DataFrame:
     """The block table of records. Metadata (`meta`, with its field in `ident`) follows the body."""
     along = Window.partitionBy(by).orderBy("n", "sub")
@@ -78,17 +67,31 @@ def assemble(records: DataFrame, by: str = "doc", separator: str = "-", meta_kin
     outer = level + 2 * (F.col("depth") - 1)
     own_id = F.map_concat(attributes(id=F.coalesce("ident", more["id"])), F.map_filter(more, lambda k, v: k != "id"))
     heading = F.map_concat(attributes(heading_level=F.col("rank"), id=F.coalesce("ident", more["id"], slug(F.col("_text"), separator))), F.map_filter(more, lambda k, v: ~k.isin("heading_level", "id")))
+    # what a block of marked text is: flat if it has no marks, else without content (a heading keeps it) and its pieces below it
+    is_quote, is_figure, is_heading = what == "quote", what == "figure", what == "heading"
+    element = F.when(is_heading, "heading").when(is_item, "list_item").when(is_figure | (what == "plain"), "plain").otherwise("paragraph")
+    at = F.when(is_item, outer + 1).when(is_quote, level + 1).when(is_figure, level + 2).otherwise(level)
+    own = F.when(is_heading, heading).when(is_item | (what == "plain"), more).when(is_quote | is_figure, none).otherwise(own_id)
+    simple = (F.coalesce(F.size(pieces), F.lit(0)) == 0) | F.forall(pieces, lambda p: p["type"] == "text")
+    under = F.when(~simple, F.transform(pieces, lambda p: row("inline", p["type"], F.nullif(p["content"], F.lit("")), F.col("_at") + 1 + p["depth"], own=p["attributes"]))).otherwise(F.array())
+    marked = F.concat(F.array(row("block", F.col("_element"), F.when(simple | is_heading, text), F.col("_at"), own=F.col("_own"))), under)
+    # and what stands before it
+    shown = F.map_filter(more, lambda k, v: k.isin("src", "alt"))
+    figure = F.array(row("block", "figure", None, level, own=F.map_filter(more, lambda k, v: ~k.isin("src", "alt"))), row("block", "plain", None, level + 1), row("inline", "image", more["alt"], level + 2, own=shown))
+    before_it = (
+        F.when(F.col("_opens"), F.array(row("block", "list", None, outer, own=listed))).when(is_quote, F.array(row("block", "blockquote", None, level, own=more)))
+        .when(is_figure, F.when(text.isNotNull(), F.concat(figure, F.array(row("block", "caption", None, level + 1)))).otherwise(figure)).otherwise(F.array())
+    )
+    is_table, is_raw = what == "table", what == "raw"
+    encoding = F.when(is_table, "json").when(is_raw & more["format"].isin("markdown", "html", "latex"), more["format"]).otherwise("text")
+    field = attributes(key=F.col("ident"))
+    meta = F.array(row("value", "string", text, 1, own=field)) if meta_kind == "string" else F.array(row("value", "inlines", None, 1, own=field), row("inline", "text", text, 2))
     made = (
-        F.when(what == "heading", _rich("heading", pieces, level, heading, keeps_content=True))
-        .when(is_item, F.concat(F.when(F.col("_opens"), F.array(row("block", "list", None, outer, own=listed))).otherwise(F.array()), _rich("list_item", pieces, outer + 1, more)))
-        .when(what == "quote", F.concat(F.array(row("block", "blockquote", None, level, own=more)), _rich("paragraph", pieces, level + 1, none)))
-        .when(what == "figure", F.concat(F.array(row("block", "figure", None, level, own=F.map_filter(more, lambda k, v: ~k.isin("src", "alt")))), F.array(row("block", "plain", None, level + 1), row("inline", "image", more["alt"], level + 2, own=F.map_filter(more, lambda k, v: k.isin("src", "alt")))), F.when(text.isNotNull(), F.concat(F.array(row("block", "caption", None, level + 1)), _rich("plain", pieces, level + 2, none))).otherwise(F.array())))
-        .when(what == "meta", F.when(F.lit(meta_kind == "string"), F.array(row("value", "string", text, 1, own=attributes(key=F.col("ident"))))).otherwise(F.array(row("value", "inlines", None, 1, own=attributes(key=F.col("ident"))), row("inline", "text", text, 2))))
-        .when(what == "table", F.array(row("block", "table", text, level, "json", more)))
-        .when(what.isin("code", "raw", "lineblock", "hr", "image", "page_break", "div", "section", "metadata"), F.array(row("block", what, text, level, F.when(what == "raw", F.when(more["format"].isin("markdown", "html", "latex"), more["format"]).otherwise("text")).otherwise("text"), own_id)))
-        .when(what == "plain", _rich("plain", pieces, level, more))
-        .otherwise(_rich("paragraph", pieces, level, own_id))
-    )
+        F.when(what == "meta", meta)
+        .when(what.isin("table", "code", "raw", "lineblock", "hr", "image", "page_break", "div", "section", "metadata"), F.array(row("block", what, text, level, encoding, F.when(is_table, more).otherwise(own_id))))
+        .when(is_figure & text.isNull(), before_it).otherwise(F.concat(before_it, marked))
+    )
+    rows = rows.withColumns({"_element": element, "_at": at.cast("int"), "_own": own})
     laid = rows.select(by, (what == "meta").alias("_meta"), "n", "sub", F.posexplode(made).alias("_at", "_block"))
     place = Window.partitionBy(by).orderBy("_meta", "n", "sub", "_at")
     return laid.withColumn("element_order", (F.row_number().over(place) - 1).cast("int")).select(by, "_block.*", "element_order").select(by, *BLOCK_COLUMNS)
