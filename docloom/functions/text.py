@@ -13,8 +13,9 @@ def slug(title: Column, separator: str = "-") -> Column:
 
     Letters, digits and `_ - .` stay; what is before the first letter goes; nothing left: `section`.
     """
-    kept = F.regexp_replace(F.lower(F.trim(title)), r"[^\p{L}\p{N}_\-. \t\r\n]+", "")
-    joined = F.regexp_replace(F.regexp_replace(kept, r"\s+", separator), r"^[^\p{L}]+", "")
+    bare = F.regexp_replace(F.lower(title), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    kept = F.regexp_replace(bare, r"[^\p{L}\p{N}_\-.\s\p{Z}]+", "")
+    joined = F.regexp_replace(F.regexp_replace(kept, r"[\s\p{Z}]+", separator), r"^[^\p{L}]+", "")
     joined = F.replace(joined, F.lit("-"), F.lit(separator)) if separator != "-" else joined
     return F.when(title.isNull() | (joined == ""), F.lit("section")).otherwise(joined)
 

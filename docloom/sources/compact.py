@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import BLOCK_COLUMNS, ENCODINGS
@@ -87,4 +87,16 @@ def read_compact(lines: DataFrame, by: str = "doc", line: str = "line", n: str =
     ).select(by, *BLOCK_COLUMNS)
 
 
+def write_compact_files(blocks: DataFrame, path: str, by: str = "doc") -> None:
+    """Writes each document's lines in order to a file in a folder of its own, `<by>=<document>`, by the task that has them."""
+    lines = write_compact(blocks, by)
+    lines.repartition(by).sortWithinPartitions(by, "n").select(by, "line").write.partitionBy(by).text(path)
+
+
+def read_compact_files(spark: SparkSession, path: str) -> DataFrame:
+    """The block table of compact files, each a document named by its path."""
+    texts = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
+    return read_compact(texts)
+
+
 assert "j" not in ENCODINGS

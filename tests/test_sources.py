@@ -568,3 +568,46 @@ def test_table_padding_guard():
     assert parse_embedded('[{"a": 1}, {"b": 2}]', "json")[1] is None
     wide = "\n".join(json.dumps({f"k{i}": 1}) for i in range(1200))
     assert "padding" in parse_embedded(wide, "jsonl")[1]
+
+
+def test_golden_slugs(spark):
+    # Titles and the identifiers that document converters give them.
+    cases = {
+        "Hello World": "hello-world", "  Leading blanks": "leading-blanks", "1. Introduction": "introduction", "123": "section", "!!! ???": "section", "": "section", "snake_case Field guide": "snake_case-field-guide", "a.b.c": "a.b.c", "Dash - dash": "dash---dash",
+        "C++ & Java": "c-java", "ÜBER Größe": "über-größe", "Don't": "dont", "tab\tand  blanks": "tab-and-blanks", "2nd Edition": "nd-edition", "-x-": "x-", "A/B": "ab", "日本 語": "日本-語", "全角\u3000空白\u3000": "全角-空白", "İzmir": "izmir", "Part Ⅻ": "part-ⅻ", "y² and 🦆 z": "y²-and-z", "_private": "private",
+    }
+    got = {r.t: r.s for r in spark.createDataFrame([(c,) for c in cases], "t string").select("t", slug(F.col("t")).alias("s")).collect()}
+    assert got == cases
+    assert spark.createDataFrame([("A-b c",)], "t string").select(slug(F.col("t"), "_")).first()[0] == "a_b_c"
+
+
+def test_inlines(spark):
+    from docloom.sources.interchange import ast_blocks, ast_struct, ast_table, inlines_to_rows, inlines_to_text, rows_to_inlines, write_interchange_files
+
+    made = [{"t": "Str", "c": "a"}, {"t": "Space"}, {"t": "Strong", "c": [{"t": "Str", "c": "b"}, {"t": "Emph", "c": [{"t": "Str", "c": "c"}]}]}, {"t": "SoftBreak"}, {"t": "Link", "c": [["", [], []], [{"t": "Str", "c": "l"}], ["u", "t"]]}, {"t": "LineBreak"}, {"t": "Math", "c": [{"t": "InlineMath"}, "x"]}, {"t": "Quoted", "c": [{"t": "SingleQuote"}, [{"t": "Str", "c": "q"}]]}, {"t": "Code", "c": [["", [], []], "k"]}]
+    df = spark.createDataFrame([(1, json.dumps(made), "markdown"), (2, json.dumps(made), "text"), (3, None, "text"), (4, "[]", "markdown")], "doc long, j string, mode string")
+    got = {r.doc: r for r in df.select("doc", inlines_to_text("j", F.col("mode")).alias("t"), rows_to_inlines(inlines_to_rows("j")).alias("again")).collect()}
+    assert got[1].t == "a **b*c***\n[l](u \"t\")  \n$x$'q'`k`" and got[2].t == "a bc l\nx'q'k" and got[3].t is None and got[4].t == ""
+    assert json.loads(got[1].again) == made and got[3].again is None
+    with pytest.raises(Exception, match="none of"):
+        df.select(inlines_to_text("j", F.lit("odd"))).collect()
+    b = blocks(spark, (1, "block", "heading", "H", 1, {"heading_level": "2"}), (1, "block", "list_item", "alone", 1), (2, "block", "table", '{"headers":["h"],"rows":[["1"],["2","3"]]}', 1), (2, "value", "string", "T", 1, {"key": "title"}))
+    both = st.collected(b).select("doc", ast_struct("blocks").alias("s"), ast_blocks("blocks").alias("b")).orderBy("doc").collect()
+    assert both[0].s["pandoc-api-version"] == [1, 23, 1] and json.loads(both[0].b)[1]["t"] == "BulletList" and json.loads(both[1].s.meta) == {"title": {"t": "MetaString", "c": "T"}}
+    table = json.loads(both[1].b)[0]
+    assert table["t"] == "Table" and len(table["c"][4][0][3]) == 2 and len(table["c"][2]) == 2
+    assert [r.n for r in ast_table(b).selectExpr("doc", "variant_get(blocks, '$[0].t', 'string') as n").orderBy("doc").collect()] == ["Header", "Table"]
+
+
+def test_interchange_files(spark, tmp_path):
+    from docloom.sources.interchange import write_interchange_files
+
+    b = blocks(spark, (1, "block", "paragraph", "x", 1), (2, "block", "hr", None, 1))
+    write_interchange_files(b, str(tmp_path / "out"))
+    texts = spark.read.text(str(tmp_path / "out")).collect()
+    assert sorted(json.loads(r.value)["blocks"][0]["t"] for r in texts) == ["HorizontalRule", "Para"]
+    from docloom.sources.compact import write_compact_files
+
+    write_compact_files(b, str(tmp_path / "lines"))
+    back = compact.read_compact_files(spark, str(tmp_path / "lines"))
+    assert sorted(r.element_type for r in back.collect()) == ["hr", "paragraph"]
