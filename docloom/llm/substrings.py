@@ -11,8 +11,8 @@ things make this a Spark job of bounded size.
   after it. Anchors equal in that too are repeats as a whole and leave the recursion with it. Of those that
   meet in one task only one travels to its bucket, so a passage in a third of all texts makes no hot key.
 * Only where a bucket holds different surroundings, one member of each kind is refined further, by the
-  identifiers of the windows at every offset. Members of crowded buckets aren't gathered for that: their
-  windows are counted by partial aggregates.
+  identifiers of the windows at every offset. Crowded buckets are split before that, by what windows at
+  neighbouring offsets have in common: all but a fifth of a window.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .arrow import mapped, small_batches
-from .shared import joined_by_group, saved
+from .shared import saved
 
 LENGTH = 200
 GRAM = 32
@@ -35,6 +35,8 @@ PART_BYTES = 4 << 20  # a longer text is anchored in parts, so that places fit a
 
 #: A bucket with more than one in so many of the open members, and with CROWD_LEAST at least, is crowded.
 CROWD_PART, CROWD_LEAST = 2000, 1000
+#: Runs of offsets by which a crowded bucket is split.
+SPLITS = 4
 
 ANCHORS = "route bigint, gram bigint, around bigint, before int, weight int, settled boolean, doc_id {0}, copy int, first int, last int"
 FOUND = "doc_id {0}, copy int, gram bigint, first int, last int, before int, whole boolean, open boolean"
@@ -224,22 +226,26 @@ def _refine_by_windows(length: int):
     return run
 
 
-def _crowded_windows(opened: DataFrame, length: int) -> DataFrame:
-    """What _refine_by_windows finds, for members whose buckets are too crowded to be gathered."""
-    kind = opened.schema["doc_id"].dataType.simpleString()
+def _split_buckets(opened: DataFrame, length: int, gram: int) -> DataFrame:
+    """Members with their bytes; those with `crowded` once for each run of offsets that their windows have, in buckets of their own.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            for k in range(0, batch.num_rows, 4096):
-                some = batch.slice(k, 4096)
-                row, j, keys = _window_keys(some, length)
-                rows = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), some.column("whole").take(rows), some.column("doc_id").take(rows), some.column("copy").take(rows), pa.array((some.column("first").to_numpy()[row] + j).astype(np.int32))], ["key", "whole", "doc_id", "copy", "at"])
-
-    windows = saved(mapped(opened, run, f"key bigint, whole boolean, doc_id {kind}, copy int, at int"))
-    counts = windows.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.when(F.col("whole"), 2).otherwise(1)).alias("n")).where("n > 1").drop("n")
-    found = joined_by_group(windows.where("not whole"), saved(counts), "key", windows.count())
-    return found.select("doc_id", "copy", F.col("at").alias("first"), F.col("at").alias("last"))
+    All windows at so many neighbouring offsets have the bytes between the last start and the first end of them in
+    common. A member with one of the windows has these bytes, and members that share a window agree in them.
+    """
+    most = length - gram  # the greatest offset of the q-gram in a window
+    step = -(-(most + 1) // SPLITS)
+    anchor = F.col("first") + F.col("before")
+    parts = []
+    for r in range(SPLITS):
+        low, high = r * step, min((r + 1) * step - 1, most)
+        begin, end = F.greatest("first", anchor - high), F.least("last", anchor - low)
+        common = F.substring(F.col("bytes"), anchor - low - F.col("first") + 1, F.lit(length - (high - low)))
+        own = F.substring(F.col("bytes"), begin - F.col("first") + 1, end - begin + length)
+        bucket = F.xxhash64("gram", F.lit(r), common)
+        parts.append(F.when(begin <= end, F.struct(bucket.alias("gram"), begin.alias("first"), end.alias("last"), (anchor - begin).alias("before"), own.alias("bytes"))))
+    alone = F.array(F.struct("gram", "first", "last", "before", "bytes"))
+    split = opened.select("doc_id", "copy", "whole", F.explode(F.when(F.col("crowded"), F.array_compact(F.array(*parts))).otherwise(alone)).alias("x"))
+    return split.select("doc_id", "copy", "x.gram", "x.first", "x.last", "x.before", "whole", "x.bytes")
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -255,15 +261,13 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     crowded = saved(buckets.where(F.col("members") > max(CROWD_LEAST, members / CROWD_PART)).select("gram"))  # fewer than CROWD_PART
     same = F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("d.copy") == F.col("o.copy"))
     body = F.substring(F.col("text").cast("binary"), F.col("first") + 1, F.col("last") - F.col("first") + length)
-    some_crowded = crowded.count() > 0
-
-    def with_bytes(rows: DataFrame) -> DataFrame:
-        return docs.alias("d").join(rows.alias("o"), same).select("o.doc_id", "o.copy", "gram", "first", "last", "before", "whole", body.alias("bytes"))
-
-    ordinary = found.where("open").join(F.broadcast(crowded), "gram", "left_anti") if some_crowded else found.where("open")
-    parts = saved(mapped(with_bytes(ordinary).repartition("gram").sortWithinPartitions("gram"), _refine_by_windows(length), f"doc_id {kind}, copy int, first int, last int"))
-    out = found.where("whole").select("doc_id", "copy", "first", "last").unionByName(parts)
-    return out.unionByName(_crowded_windows(with_bytes(found.where("open").join(F.broadcast(crowded), "gram", "left_semi")), length)) if some_crowded else out
+    opened = found.where("open").withColumn("crowded", F.lit(False))
+    if crowded.count():
+        opened = found.where("open").join(F.broadcast(crowded.withColumn("crowded", F.lit(True))), "gram", "left")
+    with_bytes = docs.alias("d").join(opened.alias("o"), same).select("o.doc_id", "o.copy", "gram", "first", "last", "before", "whole", "crowded", body.alias("bytes"))
+    opened = _split_buckets(with_bytes, length, gram)
+    parts = saved(mapped(opened.repartition("gram").sortWithinPartitions("gram"), _refine_by_windows(length), f"doc_id {kind}, copy int, first int, last int"))
+    return found.where("whole").select("doc_id", "copy", "first", "last").unionByName(parts)
 
 
 RESULT = "doc_id {0}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"

@@ -48,7 +48,7 @@ def near_copies(seed=3):
     return rows
 
 
-@pytest.mark.parametrize("block, hot", [(512, 1000), (8, 1000), (8, 6)])
+@pytest.mark.parametrize("block, hot", [(512, 1000), (8, 6)])
 def test_groups_equal_brute_force(spark, monkeypatch, block, hot):
     """Also with several blocks to a class of sizes, and with lists long enough to be hot."""
     monkeypatch.setattr(jaccard, "BLOCK", block)
