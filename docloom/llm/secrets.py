@@ -1,9 +1,10 @@
 """Secret scans over a trigram inverted index, in DataFrame operations alone.
 
 Each rule's regular expression yields a Boolean trigram query: a disjunction of conjunctions of
-substrings that every match must hold. The index has, for each trigram of any query, the documents with
-it; intersecting its postings gives the candidates of a rule, and only those are searched with the
-expression. A rule without mandatory trigrams searches every text.
+substrings that every match must hold. A document's postings are looked up in the task that reads it, of each
+conjunction the rarest trigram first and the next only if that is there, so neither texts nor postings are
+shuffled; what they intersect to is a mask of the rules that the document may match. Only those are searched
+with the expression. A rule without mandatory trigrams searches every text.
 """
 
 from __future__ import annotations
@@ -15,22 +16,28 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import free_name
+
 
 @dataclass(frozen=True)
 class Rule:
-    """Leftmost non-overlapping matches of `pattern` count if `group` has `least` characters or more."""
+    """Leftmost non-overlapping matches of `pattern` count if `group` has `least` characters or more.
+
+    `sought`, if given, is an expression that has just the matches that count, so that others aren't listed first.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
+    sought: str = ""
 
 
 # The base rules and further well-known key formats.
 BASE_RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]+", 0, 24),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, r"AKIA[A-Z0-9]{16,}"),
+    Rule("hex", r"[0-9a-f]+", 0, 24, r"[0-9a-f]{24,}"),
 )
 MORE_RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"),
@@ -91,25 +98,28 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     return max(usable, key=lambda q: (min(map(len, q)), -len(q)), default=[])
 
 
-def candidates(df: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, rules): for each document that may match, a bit for each rule with mandatory trigrams.
+#: Letters by how often texts have them; other signs are rarer.
+_OFTEN = "etaoinshrdlcumwfgypbvkjxqz"
 
-    The index's postings are the rows (document, trigram); a document's meet in the task that reads it,
-    so what is shuffled is at most one row a document and alternative.
-    """
-    queries = [(r, q, t, len(qs)) for r, rule in enumerate(rules) for q, qs in enumerate(trigram_query(rule.pattern)) for t in sorted(qs)]
-    wanted = SparkSession.active().createDataFrame(queries, "rule int, alternative int, trigram string, needed int")
-    vocabulary = F.array(*[F.lit(t) for t in sorted({t for *_, t, _ in queries})] or [F.lit("")])
-    folded = df.select(F.col(doc_id).alias("doc_id"), F.lower(text).alias("folded"))
-    postings = folded.select("doc_id", F.explode(F.filter(vocabulary, lambda t: F.contains(F.col("folded"), t))).alias("trigram"))
-    return (
-        postings.join(F.broadcast(wanted), "trigram")  # a few dozen rows, fixed by the rules
-        .groupBy("doc_id", "rule", "alternative", "needed")
-        .agg(F.count("*").alias("found"))
-        .where("found >= needed")  # repeated rows count again: more candidates, never fewer
-        .groupBy("doc_id")
-        .agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
-    )
+
+def _rarity(trigram: str) -> int:
+    return sum(_OFTEN.find(c) if c in _OFTEN else len(_OFTEN) + 4 for c in trigram)
+
+
+def has_posting(folded: Column, trigram: str) -> Column:
+    """Whether a lower-case text is among the postings of a trigram."""
+    return F.contains(folded, F.lit(trigram))
+
+
+def candidate_mask(folded: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """A bit for each rule that a lower-case text may match; rules without a query may match any."""
+    bits = []
+    for r, rule in enumerate(rules):
+        queries = [sorted(q, key=lambda t: (-_rarity(t), t)) for q in trigram_query(rule.pattern)]
+        every = [reduce(lambda a, b: a & b, [has_posting(folded, t) for t in q]) for q in queries]
+        may = reduce(lambda a, b: a | b, every) if every else F.lit(True)
+        bits.append(F.when(may, F.lit(1 << r).cast("long")).otherwise(F.lit(0).cast("long")))
+    return reduce(lambda a, b: a.bitwiseOR(b), bits, F.lit(0).cast("long"))
 
 
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
@@ -118,8 +128,9 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     Splitting at the expression gives the gaps between the matches, so the lengths of gaps and matches
     in turn are the positions.
     """
-    gaps, hits = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    kept = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else hits
+    pattern = rule.sought or rule.pattern
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    kept = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)) if rule.group else hits
     steps = F.zip_with(F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h"))), F.transform(kept, F.length), lambda s, k: F.struct(s["g"].alias("g"), s["h"].alias("h"), k.alias("k")))
     empty = "array<struct<start:int,rank:int,kind:string,end:int>>"
     at = F.struct(F.lit(0).alias("at"), F.array().cast(empty).alias("out"))
@@ -133,26 +144,31 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.aggregate(steps, at, step, lambda acc: acc["out"])
 
 
-def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text", out: str = "secrets") -> DataFrame:
+def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", out: str = "secrets") -> DataFrame:
     """`df` with `out`: all spans of all rules, array<struct<start, rank, kind, end>> by start, then rule.
 
-    A null text counts as empty and has none. Null ids are ids like any other; repeated rows each get
-    their spans. A column called `out` is replaced.
+    A null text counts as empty and has none. Rows stay where they are, repeated ones each with their spans; ids are
+    not looked at. A column called `out` is replaced.
     """
-    found = candidates(df, rules, doc_id, text).withColumnsRenamed({"doc_id": "_scan_id", "rules": "_scan_rules"})
     names = [c for c in df.columns if c.lower() != out.lower()]
-    joined = df.join(found, F.col(doc_id).eqNullSafe(F.col("_scan_id")), "left")
-    body, mask, none = F.coalesce(F.col(text), F.lit("")), F.coalesce("_scan_rules", F.lit(0).cast("long")), F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
+    folded, mask = free_name(df, "folded"), free_name(df, "rule_mask")
+    body, none = F.coalesce(F.col(text), F.lit("")), F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
+    # columns of their own: what is used many times is then made once
+    marked = df.withColumn(folded, F.lower(body)).withColumn(mask, candidate_mask(F.col(folded), rules))
     each = [
-        F.when(mask.bitwiseAND(1 << r) != 0, _spans(body, rule, r)).otherwise(none) if trigram_query(rule.pattern) else _spans(body, rule, r)
+        F.when((F.col(mask).bitwiseAND(1 << r) != 0) & (body.rlike(rule.sought) if rule.sought else F.lit(True)), _spans(body, rule, r)).otherwise(none)
         for r, rule in enumerate(rules)
     ]
-    return joined.select(*names, F.array_sort(F.concat(*each)).alias(out))
+    return marked.select(*names, F.array_sort(F.concat(*each)).alias(out))
+
 
+def redact(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", mark: str = "[secret]") -> DataFrame:
+    """`df` with every secret of `scan` in its text replaced by `mark`; overlapping spans become one mark.
 
-def redact(df: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """`df` with every secret of `scan` in its text replaced by `mark`; overlapping spans become one mark."""
-    spans = F.col("_redact_spans")
+    A null text stays null; rows and other columns stay as they are.
+    """
+    own = free_name(df, "redact_spans")
+    spans = F.col(own)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -162,7 +178,7 @@ def redact(df: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id
 
     rest = lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(F.col(text), acc["at"] + 1, F.length(text)))), "")
     clean = F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(F.col(text))
-    return scan(df, rules, doc_id, text, "_redact_spans").withColumn(text, clean).drop("_redact_spans")
+    return scan(df, rules, text, own).withColumn(text, clean).drop(own)
 
 
 def _digest(spans: Column) -> Column:
