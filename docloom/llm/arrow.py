@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 6 << 20
 _LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

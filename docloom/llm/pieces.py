@@ -6,6 +6,12 @@ substrings that end there are looked up among the sorted hashes of the pieces, a
 piece is kept with its backpointer. For the byte-pair models at hand the best path is that of the
 model's merges, and it is found position by position: a piece may follow another exactly if merging the
 two pieces' characters gives back these two pieces. Characters without a piece become bytes.
+
+Long chunks advance as overlapping windows of one length. A backpointer depends on those of the last few
+positions alone, so once a window's agree with the true ones over the length of the longest piece, all
+later ones do; where they don't, as in a long run of one sign, positions follow one by one until they do.
+Of a run of blanks the last one belongs to the word after it; the others, which merge last, fill the
+longest blank pieces from the left.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ BLANK = "▁"
 CHUNK_BYTES = 1 << 20
 DECODED_AT_ONCE = 1 << 19
 CELLS_AT_ONCE = 500_000
+#: Chunks longer than 64 characters advance in windows of so many, which overlap by this much.
+WINDOW, OVERLAP = 128, 48
 #: The length to which chunks of each length up to 64 are padded.
 PADDED = [next(p for p in (4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64) if n <= p) for n in range(65)]
 BUCKET_BITS = 20
@@ -62,6 +70,7 @@ class PieceModel:
     right: np.ndarray
     raw: np.ndarray  # hashes before mixing, by id
     longest: int
+    blanks: np.ndarray  # the pieces of 1, 2, .. blanks, or NONE
     surface: np.ndarray  # bytes of all pieces, one after the other
     surface_at: np.ndarray
 
@@ -103,6 +112,19 @@ def merge_pieces(text: str, score: dict[str, float]) -> list[str]:
     return [p for p in part if p]
 
 
+def _blank_run(blanks: np.ndarray, n: int) -> list[int]:
+    """The pieces of n blanks: the longest ones from the left."""
+    out, size = [], len(blanks)
+    while n:
+        size = min(size, n)
+        if blanks[size - 1] == NONE:
+            size -= 1
+            continue
+        out += [int(blanks[size - 1])] * (n // size)
+        n %= size
+    return out
+
+
 @lru_cache(2)
 def load(path: str = MODEL) -> PieceModel:
     """Reads a byte-pair model with byte fallback; the file is only read on the driver."""
@@ -115,7 +137,12 @@ def load(path: str = MODEL) -> PieceModel:
     if any(BLANK in texts[i].lstrip(BLANK) for i in plain):
         raise ValueError("a piece of this model reaches across a blank")
     score = {texts[i]: m.get_score(i) for i in plain}
-    # runs of blanks have equal scores; chunks with such runs go through merge_pieces
+    # runs of blanks merge after all else and aren't in the table
+    runs = {len(texts[i]): i for i in plain if not texts[i].strip(BLANK)}
+    blanks = np.array([runs.get(k, NONE) for k in range(1, max(runs) + 1)])
+    merged = [[len(p) for p in merge_pieces(BLANK * k, {BLANK * j: 0.0 for j in runs})] for k in range(1, 3 * len(blanks))]
+    if any(BLANK * 2 in texts[i] and texts[i].strip(BLANK) for i in plain) or any(own != [len(texts[i]) for i in _blank_run(blanks, k)] for k, own in enumerate(merged, 1)):
+        raise ValueError("blanks of this model don't merge into the longest pieces from the left")
     table = [i for i in plain if BLANK * 2 not in texts[i]]
     id_of = {texts[i]: i for i in table}
     in_order = sorted((i for i in table if len(texts[i]) > 1), key=lambda i: -m.get_score(i))
@@ -146,7 +173,7 @@ def load(path: str = MODEL) -> PieceModel:
     alone = np.zeros(256, bool)
     alone[:128] = True
     alone[[ord(c) for c in set("".join(texts[i] for i in plain)) if ord(c) < 128] + [0x20]] = False
-    return PieceModel(path, texts, byte_ids, keys, np.array(usable)[order], bucket, int(np.bincount(slot).max()), alone, length, rank, left, right, raw, int(length[usable].max()), np.frombuffer(b"".join(surfaces), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in surfaces])]))
+    return PieceModel(path, texts, byte_ids, keys, np.array(usable)[order], bucket, int(np.bincount(slot).max()), alone, length, rank, left, right, raw, int(length[usable].max()), blanks, np.frombuffer(b"".join(surfaces), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in surfaces])]))
 
 
 def _parts(text: str) -> set[str]:
@@ -175,13 +202,8 @@ def may_follow(m: PieceModel, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ok
 
 
-def viterbi(m: PieceModel, chars: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pieces, number of pieces) of chunks, rows of characters padded at the end to one length.
-
-    The pieces stand at the end of their row, after NONE. The best path to a position depends on what
-    is before it alone, so each row's path is read from its own length. A row whose number is 0 has no
-    admissible path.
-    """
+def best_pieces(m: PieceModel, chars: np.ndarray) -> np.ndarray:
+    """The last piece on the best path to each position of rows of characters, of one length; NONE without a path."""
     n, size = chars.shape
     sums, inverse = _hash_chars(chars), tx.powers(tx.BASE_INVERSE, size + 1)
     best = np.full((n, size + 1), NONE, np.int32)
@@ -194,6 +216,18 @@ def viterbi(m: PieceModel, chars: np.ndarray, sizes: np.ndarray) -> tuple[np.nda
             if i > k and len(can):
                 can = can[may_follow(m, best[can, i - k], piece[can])]
             best[can, i] = piece[can]
+    return best
+
+
+def viterbi(m: PieceModel, chars: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces, number of pieces) of chunks, rows of characters padded at the end to one length.
+
+    The pieces stand at the end of their row, after NONE. The best path to a position depends on what
+    is before it alone, so each row's path is read from its own length. A row whose number is 0 has no
+    admissible path.
+    """
+    n, size = chars.shape
+    best = best_pieces(m, chars)
     out, at, count = np.full((n, size), NONE, np.int32), sizes.copy(), np.zeros(n, np.int64)
     rows = np.flatnonzero(best[np.arange(n), sizes] != NONE)
     slot = size - 1
@@ -206,48 +240,107 @@ def viterbi(m: PieceModel, chars: np.ndarray, sizes: np.ndarray) -> tuple[np.nda
     return out, count
 
 
+class Stepper:
+    """Best pieces of single positions, for stretches where windows don't fall into step."""
+
+    def __init__(self, m: PieceModel) -> None:
+        self.m = m
+        self.ids = {m.texts[i]: i for i in m.ids.tolist()}
+        self.follows: dict[tuple[int, int], bool] = {}
+
+    def may(self, a: int, b: int) -> bool:
+        known = self.follows.get((a, b))
+        if known is None:
+            if len(self.follows) > KEPT_CHUNKS:
+                self.follows.clear()
+            known = self.follows[a, b] = bool(may_follow(self.m, np.array([a]), np.array([b]))[0])
+        return known
+
+    def step(self, chunk: str, best: np.ndarray, i: int) -> int:
+        for k in range(1, min(i, self.m.longest) + 1):
+            piece = self.ids.get(chunk[i - k : i], self.m.unknown if k == 1 else NONE)
+            before = int(best[i - k])
+            if piece != NONE and (i == k or (before != NONE and self.may(before, piece))):
+                return piece
+        return NONE
+
+
+_steppers: dict[str, Stepper] = {}
+
+
+def long_chunks(m: PieceModel, chunks: list[str]) -> list[np.ndarray]:
+    """The pieces of chunks of more characters than a window's overlap; empty without an admissible path."""
+    if m.path not in _steppers:
+        _steppers.clear()
+        _steppers[m.path] = Stepper(m)
+    stepper, stride = _steppers[m.path], WINDOW - OVERLAP
+    counts = [1 + max(0, -(-(len(c) - WINDOW) // stride)) for c in chunks]
+    flat = np.frombuffer("".join(c + "\0" * WINDOW for c in chunks).encode("utf-32-le"), np.uint32)
+    begins = np.cumsum([0, *(len(c) + WINDOW for c in chunks)])
+    starts = np.concatenate([begins[k] + stride * np.arange(n) for k, n in enumerate(counts)])
+    step = max(1, CELLS_AT_ONCE // (WINDOW + 1))
+    found = np.concatenate([best_pieces(m, flat[starts[s : s + step, None] + np.arange(WINDOW)]) for s in range(0, len(starts), step)])
+    out, row = [], 0
+    for chunk, n in zip(chunks, counts, strict=True):
+        size = len(chunk)
+        best = np.full(size + WINDOW + 1, NONE, np.int32)
+        best[: WINDOW + 1] = found[row]
+        for j in range(1, n):
+            own, s = found[row + j], stride * j
+            at = s + OVERLAP  # up to here the true ones are known
+            same = best[at - m.longest + 1 : at + 1] == own[OVERLAP - m.longest + 1 : OVERLAP + 1]
+            run = len(same) if same.all() else int(same[::-1].argmin())
+            while run < m.longest and at < min(size, s + WINDOW):
+                at += 1
+                best[at] = stepper.step(chunk, best, at)
+                run = run + 1 if best[at] == own[at - s] else 0
+            best[at + 1 : s + WINDOW + 1] = own[at + 1 - s :]
+        row += n
+        path, at = [], size
+        while at > 0 and best[at] != NONE:
+            path.append(int(best[at]))
+            at -= int(m.length[path[-1]])
+        out.append(np.array(path[::-1] if at == 0 else [], np.int32))
+    return out
+
+
 def encode_chunks(m: PieceModel, chunks: list[str]) -> list[np.ndarray]:
-    """The ids of each chunk, without bytes for unknown characters yet: those follow as they are."""
-    done: list[np.ndarray | None] = [None] * len(chunks)
+    """The ids of each chunk: blanks, if any, before characters other than blanks."""
+    words, blanks = [], []
+    for c in chunks:
+        n = len(c) - len(c.lstrip(BLANK))
+        blanks.append(max(0, n - 1))
+        words.append(c[blanks[-1] :])
+    done: list[np.ndarray] = [np.zeros(0, np.int32)] * len(chunks)
     by_size: dict[int, list[int]] = {}
-    odd = []
-    for k, c in enumerate(chunks):
-        if BLANK * 2 in c:
-            odd.append(k)
-        else:
-            by_size.setdefault(PADDED[len(c)] if len(c) < len(PADDED) else 1 << len(c).bit_length(), []).append(k)
+    for k, c in enumerate(words):
+        by_size.setdefault(PADDED[len(c)] if len(c) < len(PADDED) else 0, []).append(k)
     for size, own in by_size.items():
+        if not size:
+            for k, ids in zip(own, long_chunks(m, [words[k] for k in own]), strict=True):
+                done[k] = _with_bytes(m, ids, words[k]) if (ids == m.unknown).any() else ids
+            continue
         step = max(1, CELLS_AT_ONCE // (size + 1))
         for s in range(0, len(own), step):
             some = own[s : s + step]
-            sizes = np.array([len(chunks[k]) for k in some])
-            chars = np.frombuffer("".join(chunks[k].ljust(size, "\0") for k in some).encode("utf-32-le"), np.uint32).reshape(len(some), size)
+            sizes = np.array([len(words[k]) for k in some])
+            chars = np.frombuffer("".join([words[k].ljust(size, "\0") for k in some]).encode("utf-32-le"), np.uint32).reshape(len(some), size)
             found, count = viterbi(m, chars, sizes)
             unknown = (found == m.unknown).any(axis=1).tolist()
-            for r, (k, c) in enumerate(zip(some, count.tolist(), strict=True)):
-                if not c:
-                    odd.append(k)
-                elif unknown[r]:
-                    done[k] = _with_bytes(m, found[r, size - c :], chunks[k])
-                else:
-                    done[k] = found[r, size - c :].copy()
-    if odd:
-        score = {t: -float(m.rank[i]) for i, t in enumerate(m.texts) if m.rank[i]} | {BLANK * k: -1e9 for k in range(2, m.longest + 1) if BLANK * k in _blanks(m)}
-        where = {t: i for i, t in enumerate(m.texts)}
-        for k in odd:
-            done[k] = np.array([i for p in merge_pieces(chunks[k], score) for i in ([where[p]] if p in where else m.byte_ids[list(p.encode())].tolist())])
+            flat = found[np.arange(size) >= size - count[:, None]]
+            for r, (k, end, c) in enumerate(zip(some, np.cumsum(count).tolist(), count.tolist(), strict=True)):
+                done[k] = _with_bytes(m, flat[end - c : end], words[k]) if unknown[r] else flat[end - c : end]
+    lone = int(m.blanks[0])
+    for k in [k for k, n in enumerate(blanks) if n]:
+        # a word that leaves its blank alone leaves it to the run
+        ids, n = done[k], blanks[k]
+        done[k] = np.concatenate([_blank_run(m.blanks, n + 1), ids[1:]] if len(ids) and ids[0] == lone else [_blank_run(m.blanks, n), ids]).astype(np.int32)
+    lost = [c for c, ids in zip(words, done, strict=True) if c and not len(ids)]
+    if lost:
+        raise ValueError(f"the merges of this model don't reach all pieces of {lost[0][:40]!r}")
     return done
 
 
-@lru_cache(2)
-def _blank_runs(texts: tuple[str, ...]) -> frozenset[str]:
-    return frozenset(t for t in texts if len(t) > 1 and not t.strip(BLANK))
-
-
-def _blanks(m: PieceModel) -> frozenset[str]:
-    return _blank_runs(tuple(t for t in m.texts if t.startswith(BLANK * 2)))
-
-
 def _with_bytes(m: PieceModel, ids: np.ndarray, chunk: str) -> np.ndarray:
     ends, out = np.cumsum(m.length[ids]), []
     for i, e in zip(ids.tolist(), ends.tolist(), strict=True):
