@@ -6,9 +6,11 @@ from . import chat, jaccard, licenses, secrets
 from .decontaminate import op5_decontamination
 from .fingerprints import op9_fingerprint
 from .language import op10_language_id
+from .periods import op12_periodic_runs
 from .pieces import op4_piece_encoding
 from .quality import op2_quality
 from .substrings import op8_substring_dedup
+from .variants import op11_spelling_variants
 
 QUERIES = {
     "op1_jaccard_join": jaccard.op1_jaccard_join,
@@ -21,5 +23,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_fingerprint": op9_fingerprint,
     "op10_language_id": op10_language_id,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 ORACLES: dict[str, str] = {"op1_jaccard_join": jaccard.ORACLE, "op3_license_scan": licenses.ORACLE, "op6_secret_scan": secrets.ORACLE, "op7_chat_format": chat.ORACLE}
