@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import chat, jaccard, licenses, secrets
 from .decontaminate import op5_decontamination
 from .fingerprints import op9_fingerprint
+from .idfiles import op13_token_files
 from .language import op10_language_id
 from .periods import op12_periodic_runs
 from .pieces import op4_piece_encoding
@@ -25,5 +26,6 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_files": op13_token_files,
 }
 ORACLES: dict[str, str] = {"op1_jaccard_join": jaccard.ORACLE, "op3_license_scan": licenses.ORACLE, "op6_secret_scan": secrets.ORACLE, "op7_chat_format": chat.ORACLE}
