@@ -15,7 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .assemble import PIECES, assemble, attributes, plain_piece
+from .assemble import assemble, attributes
+from .inlines import Marks, with_pieces
 
 
 @dataclass(frozen=True)
@@ -50,18 +51,6 @@ class Fence:
     more: tuple[tuple[str, str], ...] = ()
 
 
-@dataclass(frozen=True)
-class Inline:
-    """Marked text: group `text` is what is marked; `target` has an attribute called `key`."""
-
-    type: str
-    pattern: str
-    text: int = 1
-    target: int = 0
-    key: str = "href"
-    more: tuple[tuple[str, str], ...] = ()
-
-
 @dataclass(frozen=True)
 class LineFormat:
     name: str
@@ -69,7 +58,7 @@ class LineFormat:
     fences: tuple[Fence, ...] = ()
     alternating: bool = False  # one mark opens and closes a fence in turn
     environments: tuple[tuple[str, str, str], ...] = ()  # (name, opening, closing); they nest
-    inlines: tuple[Inline, ...] = ()
+    marks: Marks = Marks()
     table: Callable[[Column], Column] | None = None  # from a run's lines, array<struct<n, what, body>>, to its JSON
     prepared: Callable[[DataFrame, str], DataFrame] | None = None  # classified lines, before they are grouped
     ranks: Callable[[DataFrame, str], DataFrame] | None = None  # records, before they are laid out
@@ -84,42 +73,6 @@ class LineFormat:
 MERGED = ("para", "quote", "table", "bar", "code", "raw")
 
 
-def inline_pieces(text: Column, fmt: LineFormat, nested: bool = True) -> Column:
-    """The pieces of a text: its marked and unmarked runs in order, marks within marks one level down."""
-    show = fmt.shown
-    if not fmt.inlines:
-        return plain_piece(show(text))
-    marked = "|".join(f"(?:{x.pattern})" for x in fmt.inlines)
-    runs = F.regexp_extract_all(text, F.lit(f"(?s)({marked}|(?:(?!{marked}).)+)"), F.lit(1))
-
-    empty = F.create_map().cast("map<string,string>")
-    holders = sorted({x.type for x in fmt.inlines} - {"code", "math", "raw", "image", "note"})
-
-    def piece(run: Column, depth: int) -> Column:
-        made = lambda kind, content, own: F.struct(F.lit(kind).alias("type"), content.alias("content"), own.alias("attributes"), F.lit(depth).alias("depth"))
-        out = made("text", show(run), empty)
-        for x in reversed(fmt.inlines):
-            whole = f"(?s)^(?:{x.pattern})$"
-            body = F.regexp_extract(run, whole, x.text)
-            body = body if x.type in ("code", "math", "raw") or (nested and depth == 0 and x.type in holders) else show(body)
-            own = {k: F.lit(v) for k, v in x.more} | ({x.key: F.nullif(F.regexp_extract(run, whole, x.target), F.lit(""))} if x.target else {})
-            out = F.when(run.rlike(whole), made(x.type, body, attributes(**own) if own else empty)).otherwise(out)
-        return out
-
-    top = F.transform(runs, lambda r: piece(r, 0))
-    if not nested:
-        return top.cast(PIECES)
-    inner = lambda p: F.transform(F.regexp_extract_all(p["content"], F.lit(f"(?s)({marked}|(?:(?!{marked}).)+)"), F.lit(1)), lambda r: piece(r, 1))
-    with_content = lambda p, content: F.struct(p["type"].alias("type"), content.alias("content"), p["attributes"].alias("attributes"), F.lit(0).alias("depth"))
-    is_holder = lambda p: p["type"].isin(*holders) & (p["type"] != "text")
-    deep = F.transform(
-        top,
-        lambda p: F.when(is_holder(p) & p["content"].rlike(f"(?s){marked}"), F.concat(F.array(with_content(p, F.lit(None).cast("string"))), inner(p)).cast(PIECES))
-        .otherwise(F.array(with_content(p, F.when(is_holder(p), show(p["content"])).otherwise(p["content"]))).cast(PIECES)),
-    )
-    return F.flatten(deep).cast(PIECES)
-
-
 def _along(by: str) -> Window:
     return Window.partitionBy(by).orderBy("n")
 
@@ -182,9 +135,9 @@ def classify(docs: DataFrame, fmt: LineFormat, by: str = "doc", text: str = "tex
     made = rows.select(
         by, "n", "line", *[f"_{name}" for name, _, _ in fmt.environments], what.alias("what"), body.alias("body"),
         by_rule(lambda r: F.length(group(r, r.length)) if r.length else None, F.lit(1)).alias("marks"),
-        by_rule(lambda r: group(r, r.rank).cast("int") if r.rank else F.length(group(r, r.length)) if r.length and r.what == "heading" else F.lit(r.fixed) if r.what == "heading" else None, F.lit(1)).alias("rank"),
+        by_rule(lambda r: group(r, r.rank).try_cast("int") if r.rank else F.length(group(r, r.length)) if r.length and r.what == "heading" else F.lit(r.fixed) if r.what == "heading" else None, F.lit(1)).alias("rank"),
         by_rule(lambda r: F.lit(r.kind) if r.what == "item" else None, null).alias("kind"),
-        by_rule(lambda r: group(r, r.start).cast("int") if r.start else None, F.lit(None).cast("int")).alias("start"),
+        by_rule(lambda r: group(r, r.start).try_cast("int") if r.start else None, F.lit(None).cast("int")).alias("start"),
         by_rule(lambda r: F.trim(group(r, r.second)) if r.second else None, null).alias("second"),
         by_rule(lambda r: F.nullif(F.lower(group(r, r.ident)) if r.what == "meta" else group(r, r.ident), F.lit("")) if r.ident else None, null).alias("ident"),
         by_rule(lambda r: attributes(**({"class": F.nullif(group(r, r.css), F.lit(""))} if r.css else {}), **{k: F.lit(v) if isinstance(v, str) else F.nullif(group(r, v), F.lit("")) for k, v in r.extra}) if r.css or r.extra else None, F.lit(None).cast("map<string,string>")).alias("more"),
@@ -227,7 +180,8 @@ def records(docs: DataFrame, fmt: LineFormat, by: str = "doc", text: str = "text
     role = F.create_map(F.lit("role"), F.when(F.col("sub") == 1, "definition").otherwise("term"))
     runs = runs.withColumn("more", F.when(F.col("second").isNotNull(), role).otherwise(F.col("more")))
     taken = verbatim | F.col("what").isin("table", "hr", "div", "image")
-    runs = runs.withColumn("pieces", F.when(taken, plain_piece(F.col("_text"))).otherwise(inline_pieces(F.col("_text"), fmt)))
+    runs = runs.drop("_run", "lines", "second").withColumn("_marked", ~taken)
+    runs = with_pieces(runs, [by, "n", "sub"], fmt.marks, fmt.shown)
     depth = fmt.item_depth(F.col("marks")).cast("int")
     made = runs.select(by, "n", "sub", "what", "pieces", "base", depth.alias("depth"), "kind", F.least(F.greatest("rank", F.lit(1)), F.lit(6)).alias("rank"), "start", "ident", "more")
     return fmt.ranks(made, by) if fmt.ranks else made

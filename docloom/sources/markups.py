@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import class_slug
 from .assemble import attributes
-from .lines import Fence, Inline, LineFormat, LineRule, _along, _so_far
+from ..functions.stacks import NESTS
+from .inlines import FREE, WORD, Inline, Marks, mark
+from .lines import Fence, LineFormat, LineRule, _along, _so_far
 
 # tables: from a run's lines, array<struct<n, what, body>>, to the JSON of headers and rows
 
@@ -70,7 +72,7 @@ def _wiki_rows(lines: Column) -> Column:
 def _textile_rows(lines: Column) -> Column:
     """A row a line; the first is the header if all its cells are marked with _."""
     raw = F.transform(lines, lambda x: F.split(x["body"], r"\|"))
-    mark = r"^\s*(?:[_<>=^~/\\0-9-]|\([^)]*\)|\{[^}]*\})+\.\s"
+    mark = r"^\s*(?:[_<>=^~/\\0-9-]|\([^)]*\)|\{[^}]*\})++\.\s"
     rows = F.transform(raw, lambda r: F.transform(r, lambda c: F.trim(F.regexp_replace(c, mark, ""))))
     return _headed(rows, F.coalesce(F.forall(F.get(raw, F.lit(0)), lambda c: c.rlike(r"^\s*_[^.]*\.\s")), F.lit(False)))
 
@@ -81,7 +83,8 @@ _RULE = r"\\(?:hline|toprule|midrule|bottomrule|cline\{[^}]*\})"
 def _tabular(lines: Column) -> Column:
     """Rows end at a double backslash; the first is the header if rules stand before and after it."""
     text = F.array_join(F.transform(lines, lambda x: x["body"]), " ")
-    headed = text.rlike(rf"^\s*(?:{_RULE}\s*)+(?:(?!\\\\).)*\\\\\s*{_RULE}")
+    head = F.split(text, r"\\\\", 2)
+    headed = F.get(head, F.lit(0)).rlike(rf"^\s*{_RULE}") & F.coalesce(F.get(head, F.lit(1)).rlike(rf"^\s*{_RULE}"), F.lit(False))
     parts = F.filter(F.transform(F.split(F.regexp_replace(text, _RULE, ""), r"\\\\(?:\[[^\]]*\])?"), lambda r: F.trim(r)), lambda r: r != "")
     bare = lambda c: F.trim(_untexed(F.regexp_replace(c, r"\\(?:textbf|textit|emph|texttt|underline|multicolumn\{[^}]*\}\{[^}]*\})\{([^{}]*)\}", "$1")))
     return _headed(F.transform(parts, lambda r: F.transform(F.split(r, r"(?<!\\)&"), bare)), headed)
@@ -119,9 +122,17 @@ ORG = LineFormat(
         Fence("skip", r"^\s*:(?!(?i:end):)[\w-]+:\s*$", r"^\s*:(?i:end):\s*$", whole=True),
     ),
     environments=(("quote", r"^\s*#\+(?i:begin_quote)", r"^\s*#\+(?i:end_quote)"),),
-    inlines=(
-        Inline("link", r"\[\[([^\]\[]+)\]\[([^\]\[]+)\]\]", 2, 1), Inline("link", r"\[\[([^\]\[]+)\]\]", 1, 1), Inline("bold", r"(?<![\w*])\*([^*\s](?:[^*]*[^*\s])?)\*(?!\w)"), Inline("italic", r"(?<![\w/:])/([^/\s](?:[^/]*[^/\s])?)/(?!\w)"),
-        Inline("underline", r"(?<!\w)_([^_\s](?:[^_]*[^_\s])?)_(?!\w)"), Inline("code", r"(?<!\w)[=~]([^=~\s](?:[^=~]*[^=~\s])?)[=~](?!\w)"), Inline("strikethrough", r"(?<!\w)\+([^+\s](?:[^+]*[^+\s])?)\+(?!\w)"),
+    marks=Marks(
+        (
+            Inline("link", r"\[\[([^\]\[]+)\]\]", 1, 1),
+            Inline("code", r"(?<!\w)[=~]([^=~\s](?:[^=~]*[^=~\s])?)[=~](?!\w)"),
+            Inline("link", opening=r"\[\[([^\]\[]+)\]\[", closing=r"\]\]", target=1),
+            mark("bold", r"\*", (r"[\w*]", r"[\s*]", r"[\s*]", r"\w")),
+            mark("italic", "/", (r"[\w/:]", r"[\s/]", r"[\s/]", r"\w")),
+            mark("underline", "_", WORD),
+            mark("strikethrough", r"\+", WORD),
+        ),
+        plain=r"[^\[\]*/_=~+]++",
     ),
     table=_pipes, prepared=_org, continues=True, item_depth=lambda marks: 1 + F.floor(marks / 2),
 )
@@ -130,7 +141,7 @@ ORG = LineFormat(
 # rst
 
 _ADORNMENT = r"^([=\-~^\"'#*+`:.<>_])\1{2,}\s*$"
-_BORDER = r"^=+(?:\s+=+)+\s*$"
+_BORDER = r"^=+\s+=[=\s]*$"
 
 
 def _rst(rows: DataFrame, by: str) -> DataFrame:
@@ -227,10 +238,24 @@ RST = LineFormat(
         LineRule("item", r"^(\s*)[-*+•]\s+(.*)$", 2, length=1), LineRule("item", r"^(\s*)(?:(\d+)|#|[a-zA-Z])[.)]\s+(.*)$", 3, length=1, kind="ordered", start=2),
         LineRule("field", r"^:([^:`]+):(?:\s+(.*))?$", 1, kind="definition", second=2),
     ),
-    inlines=(
-        Inline("code", r"``([^`]+)``"), Inline("link", r"`([^`<]+?)\s*<([^>`]+)>`__?", 1, 2), Inline("superscript", r":sup(?:erscript)?:`([^`]+)`"), Inline("subscript", r":sub(?:script)?:`([^`]+)`"), Inline("math", r":math:`([^`]+)`"),
-        Inline("code", r":(?:code|literal|[\w:+-]+):`([^`]+)`"), Inline("bold", r"\*\*([^*]+)\*\*"), Inline("italic", r"\*([^*\s](?:[^*]*[^*\s])?)\*"), Inline("link", r"`([^`]+)`_", 1), Inline("code", r"`([^`]+)`", more=(("class", "interpreted-text"),)),
-        Inline("note", r"\[([\d#*][^\]\s]*)\]_", 1, 1, "id"), Inline("link", r"(https?://[^\s<>]+[\w/])", 1, 1),
+    marks=Marks(
+        (
+            Inline("code", r"``([^`]+)``"),
+            Inline("link", r"`([^`<]+?)\s*<([^>`]+)>`__?", 1, 2),
+            Inline("superscript", r":sup(?:erscript)?:`([^`]+)`"),
+            Inline("subscript", r":sub(?:script)?:`([^`]+)`"),
+            Inline("math", r":math:`([^`]+)`"),
+            Inline("code", r":(?:code|literal|[\w:+-]+):`([^`]+)`"),
+            Inline("link", r"`([^`]+)`_", 1),
+            Inline("code", r"`([^`]+)`", more=(("class", "interpreted-text"),)),
+            Inline("note", r"\[([\d#*][^\]\s]*)\]_", 1, 1, "id"),
+            Inline("link", r"(https?://[^\s<>]+[\w/])", 1, 1),
+            mark("bold", r"\*\*"),
+            mark("italic", r"\*"),
+        ),
+        plain=r"[^`*\[\\:]+?(?=https?://|[`*\[\\:]|\z)",
+        escapes=r"\\\S",
+        twins=("*", 2, 1),
     ),
     table=_by_columns, prepared=_rst, shown=lambda text: F.regexp_replace(text, r"\\(\S)", "$1"), item_depth=lambda marks: 1 + F.floor(marks / 2),
 )
@@ -253,20 +278,36 @@ MEDIAWIKI = LineFormat(
         LineRule("item", r"^([*#;:]*\*)\s*(.*)$", 2, length=1), LineRule("item", r"^([*#;:]*#)\s*(.*)$", 2, length=1, kind="ordered"),
         LineRule("item", r"^([*#;:]*;)\s*(.*?)\s+:\s+(.*)$", 2, length=1, kind="definition", second=3), LineRule("item", r"^([*#;:]*;)\s*(.*)$", 2, length=1, kind="definition", extra=(("role", "term"),)),
         LineRule("item", r"^([*#;:]*:)\s*(.*)$", 2, length=1, kind="definition", extra=(("role", "definition"),)),
-        LineRule("skip", r"^\[\[(?i:category):.*\]\]\s*$"), LineRule("figure", r"^\[\[(?i:file|image):([^|\]]+)(?:\|(?:thumb|frame|left|right|center|none|upright[^|\]]*|\d+(?:x\d+)?px|alt=[^|\]]*))*(?:\|([^|\]]*))?\]\]\s*$", 2, extra=(("src", 1),)),
+        LineRule("skip", r"^\[\[(?i:category):.*\]\]\s*$"), LineRule("figure", r"^\[\[(?i:file|image):([^|\]]+)(?:\|(?:thumb|frame|left|right|center|none|upright[^|\]]*|\d+(?:x\d+)?px|alt=[^|\]]*)(?=[|\]]))*+(?:\|([^|\]]*))?\]\]\s*$", 2, extra=(("src", 1),)),
         LineRule("raw", r"^(__[A-Z]+__)\s*$", extra=(("format", "mediawiki"), ("source_type", "behavior_switch"))), LineRule("raw", r"^(\{\{\s*([^|{}]+?)\s*(?:\|.*)?\}\})\s*$", extra=(("format", "mediawiki"), ("source_type", "template"), ("template_name", 2))),
         LineRule("code", r"^ (.*\S.*)$"),
     ),
     (
         Fence("code", r"^<(?:pre|syntaxhighlight|source)(?:\s+lang=\"?(\w+)\"?)?[^>]*>\s*$", r"^</(?:pre|syntaxhighlight|source)>\s*$", 1),
-        Fence("raw", r"^\{\{\s*([^|{}]+?)\s*(?:\|(?:(?!\}\}).)*)?$", r"^(?:(?!\{\{).)*\}\}\s*$", 1, "template_name", True, (("format", "mediawiki"), ("source_type", "template"))),
+        Fence("raw", r"^\{\{\s*([^|{}]+?)\s*(?:\|(?!.*\}\}).*)?$", r"^(?!.*\{\{).*\}\}\s*$", 1, "template_name", True, (("format", "mediawiki"), ("source_type", "template"))),
     ),
     environments=(("table", r"^\s*\{\|", r"^\s*\|\}"), ("quote", r"^<blockquote[^>]*>\s*$", r"^</blockquote>\s*$")),
-    inlines=(
-        Inline("text", r"<nowiki>(.*?)</nowiki>"), Inline("note", r"<ref(?:\s+name=\"?([^\">/]+?)\"?)?\s*>(.*?)</ref>", 2, 1, "id"), Inline("raw", r"(\{\{\s*([^|{}]+?)\s*(?:\|[^{}]*)?\}\})", 1, 2, "template_name", (("format", "mediawiki"), ("source_type", "template"))),
-        Inline("bold", r"'''''(.+?)'''''"), Inline("bold", r"'''(.+?)'''(?!')"), Inline("italic", r"''(.+?)''(?!')"), Inline("image", r"\[\[(?i:file|image):([^|\]]+)(?:\|[^|\]]*)*?(?:\|([^|\]]*))?\]\]", 2, 1, "src"),
-        Inline("link", r"\[\[([^\]|]+)\|([^\]|]+)\]\]", 2, 1, more=(("link_type", "wikilink"),)), Inline("link", r"\[\[([^\]|]+)\]\]", 1, 1, more=(("link_type", "wikilink"),)), Inline("link", r"\[(\w+://\S+)\s+([^\]]+)\]", 2, 1), Inline("link", r"\[(\w+://[^\s\]]+)\]", 1, 1),
-        Inline("code", r"<code>(.*?)</code>"), Inline("superscript", r"<sup>(.*?)</sup>"), Inline("subscript", r"<sub>(.*?)</sub>"), Inline("strikethrough", r"<(?:s|del|strike)>(.*?)</(?:s|del|strike)>"), Inline("underline", r"<(?:u|ins)>(.*?)</(?:u|ins)>"), Inline("math", r"<math>(.*?)</math>"),
+    marks=Marks(
+        (
+            Inline("text", r"<nowiki>(.*?)</nowiki>"),
+            Inline("raw", r"(\{\{\s*([^|{}]+?)\s*(?:\|[^{}]*)?\}\})", 1, 2, "template_name", (("format", "mediawiki"), ("source_type", "template"))),
+            Inline("image", r"\[\[(?i:file|image):([^|\]]+)(?:\|[^|\]]*+(?=\|))*+(?:\|([^|\]]*))?\]\]", 2, 1, "src"),
+            Inline("link", r"\[\[([^\]|\[]+)\]\]", 1, 1, more=(("link_type", "wikilink"),)),
+            Inline("link", r"\[(\w+://[^\s\]]+)\]", 1, 1),
+            Inline("code", r"<code>(.*?)</code>"),
+            Inline("math", r"<math>(.*?)</math>"),
+            Inline("note", opening=r"<ref(?:\s+name=\"?([^\">/]+?)\"?)?\s*>", closing="</ref>", target=1, key="id"),
+            Inline("link", opening=r"\[\[([^\]|\[]+)\|", closing=r"\]\]", target=1, more=(("link_type", "wikilink"),), nests=NESTS),
+            Inline("link", opening=r"\[(\w+://[^\s\]]+)\s+", closing=r"\]", target=1),
+            mark("bold", "'''", FREE),
+            mark("italic", "''", FREE),
+            Inline("superscript", opening="<sup>", closing="</sup>", nests=NESTS),
+            Inline("subscript", opening="<sub>", closing="</sub>", nests=NESTS),
+            Inline("strikethrough", opening="<(?:s|del|strike)>", closing="</(?:s|del|strike)>", nests=NESTS),
+            Inline("underline", opening="<(?:u|ins)>", closing="</(?:u|ins)>", nests=NESTS),
+        ),
+        plain=r"[^<\[\]'{}]++",
+        twins=("'", 3, 2),
     ),
     table=_wiki_rows, prepared=_wiki, separator="_", comments=r"(?s)<!--.*?-->",
 )
@@ -274,7 +315,7 @@ MEDIAWIKI = LineFormat(
 
 # textile
 
-_SPEC = r"(?:(?:\(([^)#]*)(?:#([^)]*))?\))|\{[^}]*\}|\[[^\]]*\]|[<>=]+)*"
+_SPEC = r"(?:(?:\(([^)#]*)(?:#([^)]*))?\))|\{[^}]*\}|\[[^\]]*\]|[<>=]+)*+"
 _BLOCK_TAGS = "div|table|section|article|aside|header|footer|nav|script|style|iframe|object|video|details|form|ul|ol|dl|figure|blockquote"
 
 
@@ -305,10 +346,25 @@ TEXTILE = LineFormat(
         LineRule("item", r"^-\s+(.*?)\s*:=\s*(.*?)(?:\s*=:)?$", 1, kind="definition", second=2), LineRule("item", r"^([*#]*\*)\s+(.*)$", 2, length=1), LineRule("item", r"^([*#]*#)\s+(.*)$", 2, length=1, kind="ordered"), LineRule("table", r"^\|(.*)\|\s*$"), LineRule("hr", r"^-{3,}\s*$", 0),
     ),
     (Fence("code", r"^<pre[^>]*>\s*$", r"^</pre>\s*$"), Fence("raw", rf"^<(?:{_BLOCK_TAGS})\b(?!.*</).*$", rf"^.*</(?:{_BLOCK_TAGS})>\s*$", whole=True, more=(("format", "html"),))),
-    inlines=(
-        Inline("image", r"!([^\s!(]+)(?:\(([^)]*)\))?!", 2, 1, "src"), Inline("link", r'"([^"]+)":(\S*[\w/])', 1, 2), Inline("code", r"@([^@]+)@"), Inline("bold", r"\*\*([^*]+)\*\*"), Inline("italic", r"__([^_]+)__"), Inline("cite", r"\?\?([^?]+)\?\?"),
-        Inline("bold", r"(?<!\w)\*([^*\s](?:[^*]*[^*\s])?)\*(?!\w)"), Inline("italic", r"(?<!\w)_([^_\s](?:[^_]*[^_\s])?)_(?!\w)"), Inline("strikethrough", r"(?<![\w-])-([^-\s](?:[^-]*[^-\s])?)-(?![\w-])"), Inline("underline", r"(?<![\w+])\+([^+\s](?:[^+]*[^+\s])?)\+(?![\w+])"),
-        Inline("superscript", r"\^([^^\s]+)\^"), Inline("subscript", r"~([^~\s]+)~"), Inline("span", r"%([^%]+)%"), Inline("note", r"\[(\d+)\]", 1, 1, "id"),
+    marks=Marks(
+        (
+            Inline("image", r"!([^\s!(]+)(?:\(([^)]*)\))?!", 2, 1, "src"),
+            Inline("code", r"@([^@]+)@"),
+            Inline("superscript", r"\^([^^\s]+)\^"),
+            Inline("subscript", r"~([^~\s]+)~"),
+            Inline("note", r"\[(\d+)\]", 1, 1, "id"),
+            Inline("link", opening='"', closing=r'":(\S*[\w/])', target=1, behind=True, nests=NESTS, flank=("", r"\s", "", "")),
+            mark("bold", r"\*\*"),
+            mark("italic", "__"),
+            mark("cite", r"\?\?"),
+            mark("bold", r"\*", WORD),
+            mark("italic", "_", WORD),
+            mark("strikethrough", "-", (r"[\w-]", r"[\s-]", r"[\s-]", r"[\w-]")),
+            mark("underline", r"\+", (r"[\w+]", r"[\s+]", r"[\s+]", r"[\w+]")),
+            mark("span", "%"),
+        ),
+        plain=r"[^!@^~\[\"*_?+%-]++",
+        twins=("*", 2, 1),
     ),
     table=_textile_rows, prepared=_textile,
 )
@@ -324,7 +380,7 @@ _OTHER = rf"(?!(?:{_LISTS}|{_TABULAR}|{_QUOTES}|{_PASSED}|{_DROPPED}|verbatim|ls
 
 def _untexed(text: Column) -> Column:
     """A text without escapes, ligatures, braces and the names of macros that aren't marks."""
-    out = F.regexp_replace(text, r"\\(?:label|index|vspace|hspace|pagestyle|thispagestyle|bibliographystyle|bibliography|setlength|input|include|vskip|hskip|addcontentsline)\*?(?:\[[^\]]*\])?(?:\{[^{}]*\})*", "")
+    out = F.regexp_replace(text, r"\\(?:label|index|vspace|hspace|pagestyle|thispagestyle|bibliographystyle|bibliography|setlength|input|include|vskip|hskip|addcontentsline)\*?(?:\[[^\]]*\])?(?:\{[^{}]*\})*+", "")
     out = F.regexp_replace(out, r"\\(?:hypertarget|textcolor|hyperref)(?:\[[^\]]*\])?\{[^{}]*\}", "")
     out = F.regexp_replace(out, r"\\(?:textbackslash|ldots|dots|TeX|LaTeX)\b(?:\{\})?", "…")
     out = F.regexp_replace(F.regexp_replace(out, r"\\\\(?:\[[^\]]*\])?", " "), r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?\s*", "")
@@ -376,7 +432,7 @@ LATEX = LineFormat(
         LineRule("gone", r"^\s*%.*$"), LineRule("meta", r"^\s*\\(title|author|date)(?:\[[^\]]*\])?\{(.*)\}\s*$", 2, ident=1), LineRule("heading", _HEAD + r"(?:part|chapter|section)\*?(?:\[[^\]]*\])?\{(.*?)\}(?:\s*\}?\s*\\label\{[^}]*\}\s*\}?|\s*\}?)\s*$", fixed=1),
         LineRule("heading", _HEAD + r"subsection\*?(?:\[[^\]]*\])?\{(.*?)\}(?:\s*\}?\s*\\label\{[^}]*\}\s*\}?|\s*\}?)\s*$", fixed=2), LineRule("heading", _HEAD + r"subsubsection\*?(?:\[[^\]]*\])?\{(.*?)\}(?:\s*\}?\s*\\label\{[^}]*\}\s*\}?|\s*\}?)\s*$", fixed=3),
         LineRule("heading", _HEAD + r"(?:paragraph)\*?\{(.*?)\}(?:\s*\\label\{[^}]*\})?\s*$", fixed=4), LineRule("heading", _HEAD + r"subparagraph\*?\{(.*?)\}(?:\s*\\label\{[^}]*\})?\s*$", fixed=5),
-        LineRule("item", r"^\s*\\item\b(?:\s*\[[^\]]*\])?\s*(.*)$", 1), LineRule("rule", rf"^\s*(?:{_RULE}\s*)+$"), LineRule("hr", r"^\s*\\(?:hrule|rule\{.*)\s*.*$", 0), LineRule("div", rf"^\s*\\begin\{{{_OTHER}.*$"),
+        LineRule("item", r"^\s*\\item\b(?:\s*\[[^\]]*\])?\s*(.*)$", 1), LineRule("rule", rf"^\s*(?:{_RULE}\s*)++$"), LineRule("hr", r"^\s*\\(?:hrule|rule\{.*)\s*.*$", 0), LineRule("div", rf"^\s*\\begin\{{{_OTHER}.*$"),
         LineRule("figure", r"^\s*\\includegraphics(?:\[[^\]]*\])?\{([^}]*)\}\s*$", 0, extra=(("src", 1),), within="figure"), LineRule("skip", r"^\s*\\(?:centering|caption)\b.*$", within="figure"),
         LineRule("skip", r"^\s*\\(?:documentclass|usepackage|begin|end|maketitle|tableofcontents|label|newcommand|renewcommand|newpage|clearpage|pagestyle|setcounter|setlength|bibliography\w*|input|include|centering|appendix|frontmatter|mainmatter|backmatter)\b.*$"),
     ),
@@ -388,11 +444,34 @@ LATEX = LineFormat(
         ("list", rf"^\s*\\begin\{{(?:{_LISTS})\}}", rf"^\s*\\end\{{(?:{_LISTS})\}}"), ("table", rf"^\s*\\begin\{{(?:{_TABULAR})\}}", rf"^\s*\\end\{{(?:{_TABULAR})\}}"), ("quote", rf"^\s*\\begin\{{(?:{_QUOTES})\}}", rf"^\s*\\end\{{(?:{_QUOTES})\}}"),
         ("div", rf"^\s*\\begin\{{{_OTHER}", rf"^\s*\\end\{{{_OTHER}"), ("figure", r"^\s*\\begin\{figure\*?\}", r"^\s*\\end\{figure\*?\}"),
     ),
-    inlines=(
-        Inline("math", r"\$\$([^$]+)\$\$", more=(("display", "block"),)), Inline("math", r"(?<!\\)\$([^$]+)\$", more=(("display", "inline"),)), Inline("math", r"\\\((.+?)\\\)", more=(("display", "inline"),)), Inline("math", r"\\\[(.+?)\\\]", more=(("display", "block"),)),
-        Inline("code", r"\\(?:texttt|verb\|)\{?([^{}|]*)[}|]"), Inline("bold", r"\\(?:textbf|textsc)\{((?:[^{}]|\{[^{}]*\})*)\}"), Inline("italic", r"\\(?:textit|emph|textsl)\{((?:[^{}]|\{[^{}]*\})*)\}"), Inline("underline", r"\\underline\{((?:[^{}]|\{[^{}]*\})*)\}"),
-        Inline("strikethrough", r"\\(?:sout|st)\{([^{}]*)\}"), Inline("superscript", r"\\textsuperscript\{([^{}]*)\}"), Inline("subscript", r"\\textsubscript\{([^{}]*)\}"), Inline("link", r"\\href\{([^{}]*)\}\{([^{}]*)\}", 2, 1), Inline("link", r"\\url\{([^{}]*)\}", 1, 1),
-        Inline("image", r"\\includegraphics(?:\[[^\]]*\])?\{([^{}]*)\}", 1, 1, "src"), Inline("note", r"\\footnote\{((?:[^{}]|\{[^{}]*\})*)\}"), Inline("cite", r"\\cite\w*(?:\[[^\]]*\])*\{([^{}]*)\}"),
+    marks=Marks(
+        (
+            Inline("math", r"\$\$([^$]+)\$\$", more=(("display", "block"),)),
+            Inline("math", r"\$([^$]+)\$", more=(("display", "inline"),)),
+            Inline("math", r"\\\((.+?)\\\)", more=(("display", "inline"),)),
+            Inline("math", r"\\\[(.+?)\\\]", more=(("display", "block"),)),
+            Inline("code", r"\\verb\|([^|]*)\|"),
+            Inline("code", r"\\texttt\{([^{}]*)\}"),
+            Inline("link", r"\\url\{([^{}]*)\}", 1, 1),
+            Inline("image", r"\\includegraphics(?:\[[^\]]*\])?\{([^{}]*)\}", 1, 1, "src"),
+            Inline("cite", r"\\cite\w*(?:\[[^\]]*\]){0,2}+\{([^{}]*)\}"),
+            *(
+                Inline(kind, opening=opening, closing=r"\}", family="{", target=target, nests=NESTS)
+                for kind, opening, target in (
+                    ("link", r"\\href\{([^{}]*)\}\s*\{", 1),
+                    ("bold", r"\\(?:textbf|textsc)\s*\{", 0),
+                    ("italic", r"\\(?:textit|emph|textsl)\s*\{", 0),
+                    ("underline", r"\\(?:underline|uline)\s*\{", 0),
+                    ("strikethrough", r"\\(?:sout|st)\s*\{", 0),
+                    ("superscript", r"\\textsuperscript\s*\{", 0),
+                    ("subscript", r"\\textsubscript\s*\{", 0),
+                    ("note", r"\\footnote(?:\[[^\]]*\])?\s*\{", 0),
+                    ("group", r"\{", 0),
+                )
+            ),
+        ),
+        plain=r"[^\\${}]++",
+        escapes=r"\\[^A-Za-z(\[]",
     ),
     table=_tabular, prepared=_latex, trailing=r"(?<!\\)%.*$", shown=_untexed,
 )
@@ -413,14 +492,26 @@ def _markdown(rows: DataFrame, by: str) -> DataFrame:
 MARKDOWN = LineFormat(
     "markdown",
     (
-        LineRule("heading", r"^(#{1,6})\s+(.*?)\s*#*\s*$", 2, length=1), LineRule("hr", r"^\s*(?:(?:-\s*){3,}|(?:\*\s*){3,}|(?:_\s*){3,})\s*$", 0), LineRule("item", r"^(\s*)[-*+]\s+(.*)$", 2, length=1), LineRule("item", r"^(\s*)(\d+)[.)]\s+(.*)$", 3, length=1, kind="ordered", start=2),
-        LineRule("quote", r"^\s*>\s?(.*)$"), LineRule("bar", r"^\s*\|?\s*:?-{2,}:?\s*(?:\|\s*:?-{2,}:?\s*)+\|?\s*$"), LineRule("table", r"^\s*\|(.*?)\|?\s*$"), LineRule("raw", r"^(</?[A-Za-z][^>]*>.*|<!--.*)$", extra=(("format", "html"),)),
+        LineRule("heading", r"^(#{1,6})\s+(.*?)\s*#*\s*$", 2, length=1), LineRule("hr", r"^\s*(?:-\s*-\s*-[-\s]*|\*\s*\*\s*\*[*\s]*|_\s*_\s*_[_\s]*)$", 0), LineRule("item", r"^(\s*)[-*+]\s+(.*)$", 2, length=1), LineRule("item", r"^(\s*)(\d+)[.)]\s+(.*)$", 3, length=1, kind="ordered", start=2),
+        LineRule("quote", r"^\s*>\s?(.*)$"), LineRule("bar", r"^(?=\s*\|?\s*:?-{2,}:?\s*\|\s*:?-{2})[\s|:-]+$"), LineRule("table", r"^\s*\|(.*?)\|?\s*$"), LineRule("raw", r"^(</?[A-Za-z][^>]*>.*|<!--.*)$", extra=(("format", "html"),)),
     ),
     (Fence("code", r"^\s*(?:```+|~~~+)\s*([\w+-]*).*$", r"^\s*(?:```+|~~~+)\s*$", 1),),
     alternating=True,
-    inlines=(
-        Inline("code", r"`([^`]+)`"), Inline("image", r"!\[([^\]]*)\]\(([^)\s]*)[^)]*\)", 1, 2, "src"), Inline("link", r"\[([^\]]+)\]\(([^)\s]*)[^)]*\)", 1, 2), Inline("link", r"<(https?://[^>]+)>", 1, 1), Inline("bold", r"\*\*((?:[^*]|\*[^*]+\*)+)\*\*"), Inline("bold", r"(?<!\w)__([^_]+)__(?!\w)"),
-        Inline("italic", r"\*([^*\s](?:[^*]*[^*\s])?)\*"), Inline("italic", r"(?<!\w)_([^_\s](?:[^_]*[^_\s])?)_(?!\w)"), Inline("strikethrough", r"~~([^~]+)~~"),
+    marks=Marks(
+        (
+            Inline("code", r"`([^`]+)`"),
+            Inline("image", r"!\[([^\]]*)\]\(([^)\s]*)[^)]*\)", 1, 2, "src"),
+            Inline("link", r"<(https?://[^>]+)>", 1, 1),
+            Inline("link", opening=r"\[", closing=r"\]\(([^)\s]*)[^)]*\)", target=1, behind=True, nests=NESTS),
+            mark("bold", r"\*\*"),
+            mark("bold", "__", WORD),
+            mark("italic", r"\*"),
+            mark("italic", "_", WORD),
+            mark("strikethrough", "~~"),
+        ),
+        plain=r"[^`!\[\]<*_~\\]++",
+        escapes=r"\\[\\`*_{}\[\]()#+.!|<>~-]",
+        twins=("*", 2, 1),
     ),
     table=_pipes, prepared=_markdown, continues=True, shown=lambda text: F.regexp_replace(text, r"\\([\\`*_{}\[\]()#+.!|<>~-])", "$1"), item_depth=lambda marks: 1 + F.floor(marks / 2),
 )
@@ -439,7 +530,7 @@ def latex_tokens(docs: DataFrame, by: str = "doc", text: str = "text") -> DataFr
     are one text each, as they stand; in other texts ligatures are single signs. A blank line is a par_break.
     """
     parts = (
-        r"\\begin\{(?:verbatim|lstlisting)\*?\}.*?\\end\{(?:verbatim|lstlisting)\*?\}", r"\$\$[^$]*\$\$", r"\$[^$\n]*\$", r"\\[A-Za-z@]+\*?[ \t]*", r"\\.", r"%[^\n]*(?:\n[ \t]*|$)", r"[{}]", r"[ \t]*\n[ \t]*\n\s*", r"\$\$?", r"(?:(?![\\{}$%]|[ \t]*\n[ \t]*\n).)+", r".",
+        r"\\begin\{(?:verbatim|lstlisting)\*?\}.*?\\end\{(?:verbatim|lstlisting)\*?\}", r"\$\$[^$]*\$\$", r"\$[^$\n]*\$", r"\\[A-Za-z@]+\*?[ \t]*", r"\\.", r"%[^\n]*(?:\n[ \t]*|$)", r"[{}]", r"[ \t]*\n[ \t]*\n\s*", r"\$\$?", r"[^\\{}$%]+?(?=[\\{}$%]|[ \t]*\n[ \t]*\n|\z)", r".",
     )
     raw = docs.select(by, F.posexplode(F.regexp_extract_all(F.col(text), F.lit("(?s)(" + "|".join(parts) + ")"), F.lit(1))).alias("at", "token")).where(~F.col("token").startswith("%"))
     token = F.col("token")
