@@ -10,6 +10,7 @@ with the expression. A rule without mandatory trigrams searches every text.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -122,26 +123,45 @@ def candidate_mask(folded: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), bits, F.lit(0).cast("long"))
 
 
-def _spans(text: Column, rule: Rule, rank: int) -> Column:
-    """The rule's spans in order: struct<start, rank, kind, end> in code points, end exclusive.
+SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
-    Splitting at the expression gives the gaps between the matches, so the lengths of gaps and matches
-    in turn are the positions.
+
+def _groups(values: Column) -> Column:
+    """An array in groups of about the root of its length, so that folds with growing results stay short."""
+    size = F.greatest(F.ceil(F.sqrt(F.size(values))), F.lit(1)).cast("int")
+    return F.when(F.size(values) > 0, F.transform(F.sequence(F.lit(0), F.size(values) - 1, size), lambda i: F.slice(values, i + 1, size)))
+
+
+def _before(groups: Column, of_group: Callable[[Column], Column], joined: Callable[[Column, Column], Column]) -> Column:
+    """For each group what `joined` makes, from 0 on, of the values `of_group` of those before it, and of all at the end."""
+    first = F.array(F.lit(0))
+    return F.aggregate(F.transform(groups, of_group), first, lambda acc, x: F.concat(acc, F.array(joined(F.element_at(acc, -1), x))))
+
+
+def _steps(text: Column, rule: Rule) -> Column:
+    """The lengths of the gaps between the rule's matches and of the matches, in turn: array<struct<g, h, k>>.
+
+    Splitting at the expression gives the gaps; `k` is the length of what is sought in a match.
     """
     pattern = rule.sought or rule.pattern
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     kept = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)) if rule.group else hits
-    steps = F.zip_with(F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h"))), F.transform(kept, F.length), lambda s, k: F.struct(s["g"].alias("g"), s["h"].alias("h"), k.alias("k")))
-    empty = "array<struct<start:int,rank:int,kind:string,end:int>>"
-    at = F.struct(F.lit(0).alias("at"), F.array().cast(empty).alias("out"))
+    return F.zip_with(F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h"))), F.transform(kept, F.length), lambda s, k: F.struct(s["g"].alias("g"), s["h"].alias("h"), k.alias("k")))
+
+
+def _spans(steps: Column, rule: Rule, rank: int) -> Column:
+    """The rule's spans in order, from a column of `_steps`: struct<start, rank, kind, end> in code points, end exclusive."""
+    groups = _groups(steps)
+    of_step = lambda s: s["g"] + F.coalesce(s["h"], F.lit(0))
+    starts = _before(groups, lambda g: F.aggregate(g, F.lit(0), lambda acc, s: acc + of_step(s)), lambda a, b: a + b)
 
     def step(acc: Column, s: Column) -> Column:
-        start = acc["at"] + s["g"]
-        end = start + F.coalesce(s["h"], F.lit(0))
+        start, end = acc["at"] + s["g"], acc["at"] + of_step(s)
         span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(s["k"] >= rule.least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(steps, at, step, lambda acc: acc["out"])
+    fold = lambda g, at: F.aggregate(g, F.struct(at.alias("at"), F.array().cast(SPANS).alias("out")), step, lambda acc: acc["out"])
+    return F.coalesce(F.flatten(F.zip_with(groups, F.slice(starts, 1, F.size(groups)), fold)), F.array().cast(SPANS))
 
 
 def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", out: str = "secrets") -> DataFrame:
@@ -152,13 +172,13 @@ def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", out
     """
     names = [c for c in df.columns if c.lower() != out.lower()]
     folded, mask = free_name(df, "folded"), free_name(df, "rule_mask")
-    body, none = F.coalesce(F.col(text), F.lit("")), F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
+    steps = [free_name(df, f"rule_steps_{r}") for r in range(len(rules))]
+    body = F.coalesce(F.col(text), F.lit(""))
     # columns of their own: what is used many times is then made once
     marked = df.withColumn(folded, F.lower(body)).withColumn(mask, candidate_mask(F.col(folded), rules))
-    each = [
-        F.when((F.col(mask).bitwiseAND(1 << r) != 0) & (body.rlike(rule.sought) if rule.sought else F.lit(True)), _spans(body, rule, r)).otherwise(none)
-        for r, rule in enumerate(rules)
-    ]
+    may = lambda r, rule: (F.col(mask).bitwiseAND(1 << r) != 0) & (body.rlike(rule.sought) if rule.sought else F.lit(True))
+    marked = marked.withColumns({steps[r]: F.when(may(r, rule), _steps(body, rule)) for r, rule in enumerate(rules)})
+    each = [F.when(F.col(steps[r]).isNotNull(), _spans(F.col(steps[r]), rule, r)).otherwise(F.array().cast(SPANS)) for r, rule in enumerate(rules)]
     return marked.select(*names, F.array_sort(F.concat(*each)).alias(out))
 
 
@@ -168,16 +188,24 @@ def redact(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", m
     A null text stays null; rows and other columns stay as they are.
     """
     own = free_name(df, "redact_spans")
-    spans = F.col(own)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        body = F.substring(F.col(text), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        piece = F.when(s["start"] >= acc["at"], F.array(body, F.lit(mark))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
-
-    rest = lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(F.col(text), acc["at"] + 1, F.length(text)))), "")
-    clean = F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(F.col(text))
+    groups, body = _groups(F.col(own)), F.col(text)
+    ends = _before(groups, lambda g: F.array_max(F.transform(g, lambda s: s["end"])), lambda a, b: F.greatest(a, b))
+
+    def step(part: Column) -> Callable[[Column, Column], Column]:
+        def run(acc: Column, s: Column) -> Column:
+            between = F.substring(part["body"], acc["at"] - part["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+            piece = F.when(s["start"] >= acc["at"], F.array(between, F.lit(mark))).otherwise(F.array().cast("array<string>"))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
+
+        return run
+
+    # each group with its own part of the text, from where the groups before it end
+    bounds = F.zip_with(groups, F.zip_with(F.slice(ends, 1, F.size(groups)), F.slice(ends, 2, F.size(groups)), lambda a, b: F.struct(a.alias("at"), b.alias("to"))), lambda g, x: F.struct(g.alias("spans"), x["at"].alias("at"), x["to"].alias("to")))
+    parts = F.transform(bounds, lambda x: F.struct(x["spans"].alias("spans"), x["at"].alias("at"), F.substring(body, x["at"] + 1, x["to"] - x["at"]).alias("body")))
+    start = lambda x: F.struct(x["at"].alias("at"), F.array().cast("array<string>").alias("out"))
+    done = F.transform(parts, lambda x: F.array_join(F.aggregate(x["spans"], start(x), step(x), lambda acc: acc["out"]), ""))
+    rest = F.substring(body, F.element_at(ends, -1) + 1, F.length(body))
+    clean = F.when(F.size(own) > 0, F.concat(F.array_join(done, ""), rest)).otherwise(body)
     return scan(df, rules, text, own).withColumn(text, clean).drop(own)
 
 
