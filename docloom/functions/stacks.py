@@ -4,7 +4,8 @@ Windows can't tell these, since how far they look depends on the rows. Each func
 the rows of a partition in their order and holds no more than what is open, so that it is linear in the rows and as
 large as a document is deep. The rows must come in order: `first`, which says where a new stack begins, has to be
 made by a window over that order, as `is_first` does, and the column be used right on its result. Only numbers go to
-Python; the other columns stay where they are.
+Python; the other columns stay where they are. The functions are declared nondeterministic, since a filter that was
+moved before one would take rows from it.
 """
 
 from __future__ import annotations
@@ -121,3 +122,32 @@ def ranked(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array, pa.Ar
 def ranked_or_equal(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """As `ranked`, but `above` is of the nearest earlier row of a lower or the same rank."""
     yield from _rank_stack(False)(batches)
+
+
+@F.arrow_udf(T.LongType())
+def enclosing(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """enclosing(first, step, value): the `value` of what a row stands in, null if in nothing.
+
+    A row with step 1 opens something, and stands in it; one with step -1 closes what was opened last, if anything.
+    """
+    stack: list[int] = []
+    for first, step, value in batches:
+        first, step, value = _numbers(first.cast(pa.int8())), _numbers(step, 0), _numbers(value, 0)
+        found = np.full(len(step), -1, np.int64)
+        before = 0
+        for k in np.flatnonzero((first == 1) | (step != 0)).tolist():
+            if stack:
+                found[before:k] = stack[-1]
+            if first[k] == 1:
+                stack = []
+            if step[k] > 0:
+                stack.append(int(value[k]))
+            elif step[k] < 0 and stack:
+                stack.pop()
+            before = k
+        if stack:
+            found[before:] = stack[-1]
+        yield pa.array(found, pa.int64(), mask=found < 0)
+
+
+closed_by, ranked, ranked_or_equal, enclosing = (f.asNondeterministic() for f in (closed_by, ranked, ranked_or_equal, enclosing))

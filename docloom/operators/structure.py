@@ -1,20 +1,17 @@
 """Structural operators over block tables of any number of documents.
 
-All of them are windows over one order, by document: no joins, and one shuffle by document that
-operators applied one after the other share. Nothing runs before the result is asked for, and the source
-is read once. The question they have in common is in whose span a row stands, where a span goes from its
-first row to the next row of the same or a higher rank. Among the spans of one rank that is the last row
-so far of that rank or a higher one, a running `last`; a document has spans of a handful of ranks, which
-a window over the document lists first.
+All of them follow one order, by document: no joins, and one shuffle by document that operators applied
+one after the other share. Nothing runs before the result is asked for, and the source is read once. The
+question they have in common is in whose span a row stands, where a span goes from its first row to the next
+row of the same or a higher rank. A stack along the rows tells, at any number of ranks; see `functions.stacks`.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stacks import is_first, ranked
 from ..functions.text import glob_pattern, like_pattern, slug
 
 MODES = ("exact", "contains", "glob")
@@ -40,22 +37,18 @@ def heading_rank() -> Column:
     return F.coalesce(F.expr("try_cast(attributes['heading_level'] as int)"), F.lit(1))
 
 
-#: So many different levels can `repair` bear in one document; more are an error.
-MOST_LEVELS = 24
-#: A document whose spans are of more different ranks than this is an error, which says so.
-MOST_RANKS = 9
-
-
-def _with_span(df: DataFrame, by: str, out: str, rank: Column, opens: Column, closes: Column | None = None, most: int = MOST_RANKS) -> DataFrame:
+def _with_span(df: DataFrame, by: str, out: str, rank: Column, opens: Column, closes: Column | None = None) -> DataFrame:
     """`df` with `out`: whether a row stands in a span, from a row with `opens` up to the next one that closes it.
 
     A row closes the spans of its rank and of all lower ones if `closes` holds (for all rows, if not given).
     """
-    closes = F.lit(True) if closes is None else closes
-    listed = df.withColumn("_ranks", F.array_sort(F.collect_set(F.when(opens, rank)).over(_whole(by))))
-    inside = [F.coalesce(F.last(F.when(closes & (rank <= (r := F.get("_ranks", F.lit(k)))), opens & (rank == r)), ignorenulls=True).over(_running(by)), F.lit(False)) for k in range(most)]
-    found = F.when(F.size("_ranks") > most, F.raise_error(F.lit(f"a document has spans of more than {most} ranks"))).otherwise(reduce(lambda a, b: a | b, inside))
-    return listed.withColumn(out, found).drop("_ranks")
+    no = F.lit(False)
+    closes = F.lit(True) if closes is None else F.coalesce(closes, no)
+    order = Window.partitionBy(by).orderBy("element_order")
+    opens = F.coalesce(opens, no)
+    rows = df.withColumns({"_first": is_first(order), "_span_rank": rank.cast("long"), "_enters": closes | opens, "_opens": opens.cast("long")})
+    rows = rows.withColumn("_open", ranked("_first", "_span_rank", "_enters", F.lit(0).cast("long"), "_opens"))
+    return rows.withColumn(out, F.col("_open.total") > 0).drop("_first", "_span_rank", "_enters", "_opens", "_open")
 
 
 def is_metadata_root() -> Column:
@@ -177,11 +170,10 @@ def repair(blocks: DataFrame, by: str = "doc") -> DataFrame:
     both = lowered.unionByName(implied)
     place = Window.partitionBy(by).orderBy("element_order", "_first")
     based = both.withColumn("level", F.col("level") - F.min("level").over(Window.partitionBy(by)) + 1).withColumn("element_order", (F.row_number().over(place) - 1).cast("int"))
-    # a row's depth is the number of levels, up to its own, of which a row is still open
-    listed = based.withColumn("_levels", F.array_sort(F.collect_set("level").over(_whole(by))))
-    still = [F.when(((r := F.get("_levels", F.lit(k))) <= F.col("level")) & (F.last(F.when(F.col("level") <= r, F.col("level")), ignorenulls=True).over(_running(by)) == r), 1).otherwise(0) for k in range(MOST_LEVELS)]
-    deep = F.when(F.size("_levels") > MOST_LEVELS, F.raise_error(F.lit(f"repair: a document has more than {MOST_LEVELS} levels")))
-    return listed.withColumn("level", F.coalesce(deep, reduce(lambda a, b: a + b, still)).cast("int")).select(*blocks.columns)
+    # a row's depth is the number of rows of ever lower levels that are still open at it
+    rows = based.withColumns({"_top": is_first(order), "_rank": F.col("level").cast("long")})
+    zero = F.lit(0).cast("long")
+    return rows.withColumn("level", ranked("_top", "_rank", F.lit(True), zero, zero)["depth"].cast("int")).select(*blocks.columns)
 
 
 def collected(blocks: DataFrame, by: str = "doc") -> DataFrame:

@@ -10,11 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stacks import is_first, ranked_or_equal
 from ..functions.text import slug
 from ..schema import BLOCK_COLUMNS
 
-#: Items below this level count as of it when lists are told apart.
-MOST_LEVEL = 13
 #: Runs of text: `depth` 1 stands within the piece before it; `attributes` are those of the inline row.
 PIECES = "array<struct<type:string,content:string,attributes:map<string,string>,depth:int>>"
 #: The columns of records beside the document's key. `n` and `sub` are their order; `base` the level of what they
@@ -51,13 +50,14 @@ def assemble(records: DataFrame, by: str = "doc", separator: str = "-", meta_kin
     """The block table of records. Metadata (`meta`, with its field in `ident`) follows the body."""
     along = Window.partitionBy(by).orderBy("n", "sub")
     is_item = F.col("what") == "item"
-    # the last record that isn't within an item says whether the item's list is open already
-    before = along.rowsBetween(Window.unboundedPreceding, -1)
-    near = F.struct("what", "depth", "kind", "base", "ident")  # an item's ident is that of its list, where a format tells lists apart
     at = F.when(is_item, F.col("base") + 2 * F.col("depth")).otherwise(F.col("base") + 1)
-    lasts = F.array(*[F.last(F.when(at <= level, near), ignorenulls=True).over(before) for level in range(2, MOST_LEVEL + 1)])
-    last = F.get(lasts, F.least(F.greatest(at, F.lit(2)), F.lit(MOST_LEVEL)) - 2)
-    opens = is_item & F.coalesce((last["what"] != "item") | (last["depth"] != F.col("depth")) | (last["base"] != F.col("base")) | (last["kind"] != F.col("kind")) | ~last["ident"].eqNullSafe(F.col("ident")), F.lit(True))
+    # an item goes on with a list if the last record that isn't within an item is one of the same list; its ident is
+    # that of its list, where a format tells lists apart
+    own_list = F.when(is_item, F.shiftrightunsigned(F.xxhash64("depth", "kind", "base", "ident"), 1)).otherwise(F.lit(0))
+    records = records.withColumns({"_first": is_first(along), "_rank": at.cast("long"), "_list": own_list})
+    before = ranked_or_equal("_first", "_rank", F.lit(True), "_list", F.lit(0).cast("long"))["above"]
+    records = records.withColumn("_before", before)
+    opens = is_item & ~F.col("_before").eqNullSafe(F.col("_list"))
     rows = records.withColumn("_opens", opens).withColumn("_text", flat())
     level, ordered, what, pieces = F.col("base") + 1, F.col("kind") == "ordered", F.col("what"), F.col("pieces")
     none = F.create_map().cast("map<string,string>")

@@ -11,20 +11,28 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stacks import enclosing, is_first
 from .assemble import PIECES, assemble, attributes
 from .prose import _TOKEN, SECTIONS
 
 # Tags by what they do, and entities by name.
 _MARKS = (("code", "code|kbd|samp|tt"), ("link", "a"), ("bold", "b|strong"), ("italic", "em|i|cite|var"), ("strikethrough", "s|del|strike"), ("underline", "u|ins"), ("superscript", "sup"), ("subscript", "sub"))
+_LISTS = ("ul", "ol", "dl")
 _BLOCKS = "address|p|div|h[1-6]|li|ul|ol|dl|dt|dd|pre|blockquote|table|thead|tbody|tfoot|tr|td|th|caption|hr|br|figure|figcaption|form|fieldset|title|head|body|html|" + "|".join((*SECTIONS, "section"))
 _ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "mdash": "—", "ndash": "–", "hellip": "…", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•", "laquo": "«", "raquo": "»", "euro": "€", "times": "×", "eacute": "é", "uuml": "ü", "ouml": "ö", "auml": "ä", "szlig": "ß"}
 
 
 def unescaped(text: Column) -> Column:
-    """A text with numeric and the usual named entities undone; others stay as they are."""
+    """A text with numeric and the usual named entities undone; others stay. A number that is no character is U+FFFD."""
+    def sign(digits: Column, base: int) -> Column:
+        digits = F.ltrim(digits, F.lit("0"))
+        code = F.when(F.length(digits) <= 7, F.conv(F.concat(F.lit("0"), digits), base, 10).cast("bigint")).otherwise(1 << 30)
+        known = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        return F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
     part = lambda p: (
-        F.when(p.rlike(r"^&#[xX][0-9a-fA-F]{1,6};$"), F.decode(F.unhex(F.lpad(F.regexp_extract(p, r"^&#[xX]([0-9a-fA-F]+);$", 1), 8, "0")), "UTF-32"))
-        .when(p.rlike(r"^&#[0-9]{1,7};$"), F.decode(F.unhex(F.lpad(F.conv(F.regexp_extract(p, r"^&#([0-9]+);$", 1), 10, 16), 8, "0")), "UTF-32"))
+        F.when(p.rlike(r"^&#[xX][0-9a-fA-F]+;$"), sign(F.regexp_extract(p, r"^&#[xX]([0-9a-fA-F]+);$", 1), 16))
+        .when(p.rlike(r"^&#[0-9]+;$"), sign(F.regexp_extract(p, r"^&#([0-9]+);$", 1), 10))
         .otherwise(p)
     )
     numeric = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(?s)(&#[xX]?[0-9a-fA-F]+;|[^&]+|&)"), F.lit(1)), part), "")
@@ -42,7 +50,8 @@ def _attribute(name: str) -> Column:
 
 def _tokens(pages: DataFrame, by: str, html: str) -> DataFrame:
     """The tokens of pages with what each stands in."""
-    so_far = Window.partitionBy(by).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy(by).orderBy("n")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     raw = pages.select(by, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(_TOKEN), F.lit(1))).alias("n", "token"))
     rows = raw.withColumn("tag", F.lower(F.regexp_extract("token", r"^</?([A-Za-z][A-Za-z0-9]*)", 1))).withColumn("closes", F.col("token").startswith("</"))
     tag, closes = F.col("tag"), F.col("closes")
@@ -58,9 +67,12 @@ def _tokens(pages: DataFrame, by: str, html: str) -> DataFrame:
     rows = rows.withColumn("within", last(F.when(tag.rlike(f"^(?:{_BLOCKS})$") & (tag != "br"), F.when(closes, "").otherwise(tag))))
     rows = rows.withColumn("href", last(F.when(tag == "a", _attribute("href")))).withColumn("ident", last(F.when(tag.rlike(f"^(?:{_BLOCKS})$") & ~closes, F.coalesce(_attribute("id"), F.lit("")))))
     rows = rows.withColumn("item", last(F.when(tag.rlike("^(?:li|dt|dd)$") & ~closes, tag))).withColumn("in_th", last(F.when(tag.rlike("^t[hd]$"), (tag == "th") & ~closes)))
-    for d in (1, 2, 3, 4):
-        rows = rows.withColumn(f"list_{d}", last(F.when(tag.rlike("^(?:ul|ol|dl)$") & ~closes & (F.col("in_list") == d), F.struct("tag", "n"))))
-    return rows
+    # the list that a token stands in, as its place and kind
+    is_list = tag.isin(*_LISTS) & ~alone
+    kind = F.array_position(F.array(*map(F.lit, _LISTS)), tag) - 1
+    step = F.when(is_list, F.when(closes, -1).otherwise(1)).otherwise(0)
+    rows = rows.withColumns({"_first": is_first(order), "_step": step, "_value": F.col("n") * len(_LISTS) + kind})
+    return rows.withColumn("in_which", enclosing("_first", "_step", "_value")).drop("_first", "_step", "_value")
 
 
 def read_html(pages: DataFrame, by: str = "doc", html: str = "html") -> DataFrame:
@@ -83,18 +95,20 @@ def read_html(pages: DataFrame, by: str = "doc", html: str = "html") -> DataFram
     piece = lambda t, c, a: F.struct(t.alias("type"), c.alias("content"), a.alias("attributes"), F.lit(0).alias("depth"))
     image = (tag == "img") & ~closes
     made = F.when(image, piece(F.lit("image"), _attribute("alt"), attributes(src=_attribute("src"), alt=_attribute("alt")))).when(tag == "br", piece(F.lit("text"), F.lit(" "), empty)).otherwise(piece(kind, said, F.when(kind == "link", attributes(href=F.col("href"))).otherwise(empty)))
-    depth = F.least(F.greatest("in_list", F.lit(1)), F.lit(4))
-    own_list = F.get(F.array(*[F.col(f"list_{d}") for d in (1, 2, 3, 4)]), depth.cast("int") - 1)
+    number = F.col("in_which") % len(_LISTS)
+    own_list = F.when(F.col("in_which").isNotNull(), F.struct(F.get(F.array(*map(F.lit, _LISTS)), number.cast("int")).alias("tag"), F.floor(F.col("in_which") / len(_LISTS)).alias("n")))
     texts = rows.where((is_text | image | (tag == "br")) & (F.col("in_table") == 0) & ((F.col("in_head") == 0) | (F.col("within") == "title")))
     context = {
         "within": F.col("within"), "in_pre": F.col("in_pre"), "in_list": F.col("in_list"), "in_quote": F.col("in_quote"), "base": F.col("in_part"), "no_li": F.col("no_li"), "item": F.col("item"), "own_list": own_list, "ident": F.nullif(F.col("ident"), F.lit("")),
     }
-    blocks = texts.groupBy(by, "block").agg(F.min("n").cast("long").alias("n"), *[F.min_by(v, "n").alias(k) for k, v in context.items()], F.array_sort(F.collect_list(F.struct("n", F.struct(made["type"].alias("type"), made["content"].alias("content"), F.map_entries(made["attributes"]).alias("entries"), made["depth"].alias("depth")).alias("p")))).alias("texts"))
+    blocks = texts.groupBy(by, "block").agg(F.min("n").cast("long").alias("n"), F.count("*").alias("_count"), *[F.min_by(v, "n").alias(k) for k, v in context.items()], F.array_sort(F.collect_list(F.struct("n", F.struct(made["type"].alias("type"), made["content"].alias("content"), F.map_entries(made["attributes"]).alias("entries"), made["depth"].alias("depth")).alias("p")))).alias("texts"))
     pieces = F.transform("texts", lambda x: F.struct(x["p"]["type"].alias("type"), x["p"]["content"].alias("content"), F.map_from_entries(x["p"]["entries"]).alias("attributes"), x["p"]["depth"].alias("depth")))
-    # blanks at both ends, and before a piece that ends in one, aren't text
-    trimmed = lambda ps: F.filter(F.transform(ps, lambda p, k: F.struct(p["type"].alias("type"), F.when(k == 0, F.ltrim(p["content"])).otherwise(p["content"]).alias("content"), p["attributes"].alias("attributes"), p["depth"].alias("depth"))), lambda p: (p["type"] == "image") | (F.coalesce(p["content"], F.lit("")) != ""))
-    ended = lambda ps: F.transform(ps, lambda p, k: F.struct(p["type"].alias("type"), F.when((k == F.size(ps) - 1) & (p["type"] != "image"), F.rtrim(p["content"])).otherwise(p["content"]).alias("content"), p["attributes"].alias("attributes"), p["depth"].alias("depth")))
-    blocks = blocks.withColumn("pieces", F.when(F.col("in_pre") > 0, pieces).otherwise(trimmed(pieces)).cast(PIECES)).withColumn("pieces", F.when(F.col("in_pre") > 0, F.col("pieces")).otherwise(F.filter(ended("pieces"), lambda p: (p["type"] == "image") | (p["content"] != ""))).cast(PIECES))
+    # blanks at both ends aren't text; the number of texts is a column of the aggregate, since a lambda would count anew for each
+    whole = lambda p, content: F.struct(p["type"].alias("type"), content.alias("content"), p["attributes"].alias("attributes"), p["depth"].alias("depth"))
+    left = lambda p, k: F.when(k == 0, F.ltrim(p["content"])).otherwise(p["content"])
+    trimmed = F.transform(pieces, lambda p, k: whole(p, F.when((k == F.col("_count") - 1) & (p["type"] != "image"), F.rtrim(left(p, k))).otherwise(left(p, k))))
+    trimmed = F.filter(trimmed, lambda p: (p["type"] == "image") | (F.coalesce(p["content"], F.lit("")) != ""))
+    blocks = blocks.withColumn("pieces", F.when(F.col("in_pre") > 0, pieces).otherwise(trimmed).cast(PIECES))
     blocks = blocks.where((F.size("pieces") > 0) & (F.trim(F.array_join(F.transform("pieces", lambda p: F.when(p["type"] == "image", "i").otherwise(p["content"])), "")) != ""))
     first = F.col("n") == F.min("n").over(Window.partitionBy(by, "no_li"))
     listed = (F.col("in_list") > 0) & (F.col("no_li") > 0)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import class_slug
 from .assemble import attributes
-from ..functions.stacks import NESTS
+from ..functions.stacks import NESTS, enclosing, is_first
 from .inlines import FREE, WORD, Inline, Marks, mark
 from .lines import Fence, LineFormat, LineRule, _along, _so_far
 
@@ -95,10 +95,12 @@ def _tabular(lines: Column) -> Column:
 
 def _org(rows: DataFrame, by: str) -> DataFrame:
     """Quote blocks hold quotes; a heading takes its id from the drawer right below it."""
-    below = [F.lead("line", k).over(_along(by)) for k in range(1, 6)]
-    own = F.coalesce(*[F.nullif(F.regexp_extract(x, r"^\s*:(?i:CUSTOM_ID):\s*(\S+)", 1), F.lit("")) for x in below[1:]])
-    custom = F.when((F.col("what") == "heading") & below[0].rlike(r"^\s*:(?i:PROPERTIES):\s*$"), own)
-    rows = rows.withColumn("_custom", custom).withColumn("ident", F.coalesce("_custom", "ident")).drop("_custom")
+    # of a drawer, the number of its region says where it begins
+    custom = F.nullif(F.regexp_extract("line", r"^\s*:(?i:CUSTOM_ID):\s*(\S+)", 1), F.lit(""))
+    in_drawer = (F.col("fence") > 0) & F.col("_opening").rlike(r"^\s*:(?i:PROPERTIES):\s*$") & custom.isNotNull()
+    rows = rows.withColumn("_of", F.when(in_drawer, F.col("fence") - 2).otherwise(F.col("n"))).withColumn("_custom", F.when(in_drawer, custom))
+    named = F.when((F.col("what") == "heading"), F.max("_custom").over(Window.partitionBy(by, "_of")))
+    rows = rows.withColumn("_custom", named).withColumn("ident", F.coalesce("_custom", "ident")).drop("_custom", "_of")
     return rows.withColumn("what", F.when((F.col("_quote") > 0) & (F.col("what") == "para"), "quote").otherwise(F.col("what")))
 
 
@@ -213,7 +215,8 @@ def _rst(rows: DataFrame, by: str) -> DataFrame:
     rows = rows.withColumn("kind", F.when(defines, "definition").otherwise(F.col("kind"))).withColumn("marks", F.when(defines, 0).otherwise(F.col("marks")))
     language = F.when(is_code & (F.col("what") == "code"), attributes(language=F.nullif(F.col("_owner.argument"), F.lit(""))))
     target = lambda pattern: F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))
-    alt = F.coalesce(*[F.nullif(F.regexp_extract(F.lead("line", k).over(order), r"^\s+:alt:\s*(.*)$", 1), F.lit("")) for k in (1, 2, 3)])
+    own_alt = F.when(hangs, F.nullif(F.regexp_extract(line, r"^\s+:alt:\s*(.*)$", 1), F.lit("")))
+    alt = F.min_by(own_alt, F.when(own_alt.isNotNull(), F.col("n"))).over(Window.partitionBy(by, F.col("_owner.n")))
     shown = F.col("what").isin("image", "figure")
     rows = rows.withColumn("_alt", F.when(shown, alt))
     rows = rows.withColumn(
@@ -393,19 +396,21 @@ def _untexed(text: Column) -> Column:
 def _latex(rows: DataFrame, by: str) -> DataFrame:
     """Items belong to the innermost list around them; headings rank by the document's class; unknown environments are divs."""
     line, so_far = F.col("line"), _so_far(by)
-    begin = F.regexp_extract(line, rf"\\begin\{{({_LISTS})\}}", 1)
-    begins = line.rlike(rf"^\s*\\begin\{{(?:{_LISTS})\}}") & (F.col("fence") == 0)
-    for d in (1, 2, 3, 4):
-        rows = rows.withColumn(f"_list_{d}", F.last(F.when(begins & (F.col("_list") == d), F.struct(begin.alias("name"), "n")), ignorenulls=True).over(so_far))
-    own = F.get(F.array(*[F.col(f"_list_{d}") for d in (1, 2, 3, 4)]), F.least(F.greatest(F.col("_list"), F.lit(1)), F.lit(4)).cast("int") - 1)
-    inner = own["name"]
+    named_list = F.regexp_extract(line, rf"^\s*\\(?:begin|end)\{{({_LISTS})\}}", 1)
+    outside = F.col("fence") == 0
+    step = F.when(outside & line.rlike(rf"^\s*\\begin\{{(?:{_LISTS})\}}"), 1).when(outside & line.rlike(rf"^\s*\\end\{{(?:{_LISTS})\}}"), -1).otherwise(0)
+    kinds = _LISTS.split("|")
+    number = F.array_position(F.array(*map(F.lit, kinds)), named_list) - 1
+    rows = rows.withColumns({"_first": is_first(_along(by)), "_step": step, "_value": F.col("n") * len(kinds) + number})
+    rows = rows.withColumn("_which", enclosing("_first", "_step", "_value"))
+    inner = F.get(F.array(*map(F.lit, kinds)), (F.col("_which") % len(kinds)).cast("int"))
     kind = F.when(inner == "enumerate", "ordered").when(inner == "description", "definition").otherwise("bullet")
     is_item = F.col("what") == "item"
     label = F.regexp_extract(line, r"^\s*\\item\s*\[([^\]]*)\]", 1)
     defines = is_item & (kind == "definition") & (label != "")
     body = F.col("body")
     rows = rows.withColumn("kind", F.when(is_item, kind)).withColumn("marks", F.when(is_item, F.greatest("_list", F.lit(1))).otherwise(F.col("marks")))
-    rows = rows.withColumn("ident", F.when(is_item, own["n"].cast("string")).otherwise(F.col("ident")))
+    rows = rows.withColumn("ident", F.when(is_item, F.floor(F.col("_which") / len(kinds)).cast("string")).otherwise(F.col("ident")))
     rows = rows.withColumn("second", F.when(defines, body)).withColumn("body", F.when(defines, label).otherwise(body))
     book = F.max(line.rlike(r"^\s*\\documentclass(?:\[[^\]]*\])?\{(?:book|report|memoir|scrbook|scrreprt)\}").cast("int")).over(Window.partitionBy(by))
     rank = F.when(line.rlike(r"^\s*\\(?:hypertarget\{[^}]*\}\{\s*)?\\?(?:part|chapter)\b"), 1).otherwise(F.col("rank") + book)

@@ -12,6 +12,8 @@ from docloom.functions.text import class_slug, glob_pattern, like_pattern, slug
 from docloom.operators import structure as st
 from docloom.schema import BLOCK
 from docloom.sources import archives, compact, interchange, lines, markups, notebooks, prose
+from docloom.sources.html import read_html
+from docloom.sources.lines import read_lines
 from docloom.sources.registry import REGISTRY, extension_of, read_data, read_documents
 
 ORG = """#+TITLE: My doc
@@ -559,9 +561,89 @@ def test_long_segments_are_linear(spark):
 def test_nested_metadata_and_deep_ranks(spark):
     b = blocks(spark, (1, "value", "list", None, 1, {"key": "a"}), (1, "value", "inlines", None, 2), (1, "inline", "text", "x", 3), (1, "inline", "text", "y", 2), (1, "block", "div", None, 1), (1, "block", "metadata", "m", 40), (1, "block", "paragraph", "in", 41), (1, "block", "paragraph", "out", 40))
     assert [r.content for r in st.body(b).orderBy("element_order").collect()] == [None, "out"]
-    many = blocks(spark, *[(1, "block", "metadata", "m", k) for k in range(1, 12)])
-    with pytest.raises(Exception, match="more than 9 ranks"):
-        st.body(many).collect()
+    # 128 levels down and up again
+    levels = [*range(1, 129), *range(128, 0, -1)]
+    many = blocks(spark, *[(1, "block", "metadata" if k % 2 else "div", str(k), k) for k in levels])
+    assert st.body(many).count() == 0
+    deep = blocks(spark, *[(1, "block", "metadata" if k == 64 else "div", str(k), k) for k in levels])
+    # 65 to 128 and back are in the span of the first metadata row, which the second one closes and opens anew
+    assert [r.level for r in st.body(deep).orderBy("element_order").collect()] == [*range(1, 64), *range(63, 0, -1)]
+    assert [r.level for r in st.repair(many).orderBy("element_order").collect()] == levels
+    assert [r.level for r in st.repair(blocks(spark, *[(1, "block", "div", None, 3 * k) for k in levels])).orderBy("element_order").collect()] == levels
+    heads = blocks(spark, *[(1, "block", "heading", f"h{k}", 1, {"heading_level": str(k)}) for k in levels])
+    assert [r.content for r in st.section(heads, "h100").orderBy("element_order").collect()] == [f"h{k}" for k in [*range(100, 129), *range(128, 100, -1)]]
+    parts = blocks(spark, *[(1, "block", "section", str(k), k, {"role": "nav" if k == 50 else "article"}) for k in levels])
+    assert [r.level for r in st.reading(parts).orderBy("element_order").collect()] == [*range(1, 50), *range(49, 0, -1)]
+    assert st.container(blocks(spark, *[(1, "block", "div", None, k, {"id": str(k)}) for k in levels]), "100").count() == 57
+
+
+@pytest.mark.parametrize(
+    "format, text, inside",
+    [
+        ("org", "a *b /c _d +e+ f_ c/ b* [[u][l *m*]] *un", ["bold", "italic", "underline", "strikethrough"]),
+        ("markdown", "a **b *c ~~d [l `k`](u)~~ c* b** *un", ["bold", "italic", "strikethrough", "link", "code"]),
+        ("markdown", "***x `y`***", ["bold", "italic", "code"]),
+        ("markdown", "*it **bo `y`***", ["italic", "bold", "code"]),
+        ("rst", "a **b *c ``d`` c* b** un*", ["bold", "italic", "code"]),
+        ("mediawiki", "''i '''b [[P|l <sup>s</sup>]]''''' un''", ["italic", "bold", "link", "superscript"]),
+        ("mediawiki", "'''b ''i <s>x</s>'''''", ["bold", "italic", "strikethrough"]),
+        ("textile", 'a *b _c -d "l":http://u- c_ b* said "hi" un*', ["bold", "italic", "strikethrough", "link"]),
+        ("latex", r"\textbf{b \emph{c \underline{d \foo{e} \textbf{f}} c} b} un}", ["bold", "italic", "underline", "bold"]),
+    ],
+)
+def test_marks_at_any_depth(spark, format, text, inside):
+    rows = read_lines(spark.createDataFrame([(1, text)], "doc long, text string"), format).orderBy("element_order").collect()
+    marks = [r for r in rows if r.kind == "inline" and r.element_type != "text"]
+    assert [r.element_type for r in marks][: len(inside)] == inside
+    assert [r.level for r in marks][: len(inside)] == list(range(2, 2 + len(inside)))
+
+
+def test_crossing_marks(spark):
+    """The mark opened first counts; what is left of the other one is text."""
+    rows = read_lines(spark.createDataFrame([(1, "*a /b* c/ *d")], "doc long, text string"), "org").orderBy("element_order").collect()
+    assert [(r.element_type, r.content) for r in rows] == [("paragraph", None), ("bold", "a /b"), ("text", " c/ *d")]
+
+
+HARD = {
+    "strays": "** a * b __ _x ' `q [ ] { } ''' <b \\x \\textbf{ $ % ~ + = / 😀é " * 17_000, "emoji": "a😀" * 200_000, "braces": "\\emph{" * 20_000 + "z" + "}" * 20_000, "dashes": "- " * 500_000, "options": "[[File:a" + "|thumb" * 150_000 + "]]",
+    "numbers": "12345678901234567890. item\n99999999999) it\n#. one\nA. Smith wrote it.\na) b\n", "entities": "&#1114112;&#xD800;&#0;&#99999999999999;&#x41;&#65; " * 1000, "rules": "\\begin{tabular}{l}\n" + "\\hline " * 100_000 + "\n\\end{tabular}",
+}
+
+
+@pytest.mark.parametrize("format", ["org", "rst", "mediawiki", "textile", "latex", "markdown", "html"])
+def test_no_text_is_too_odd(spark, format):
+    """Paragraphs of up to a megabyte of stray marks, signs of two widths, nested braces, numbers and entities that are none."""
+    docs = spark.createDataFrame(list(HARD.items()), "doc string, text string").repartition(4)
+    blocks_ = read_html(docs, html="text") if format == "html" else read_lines(docs, format)
+    assert {r.doc for r in blocks_.select("doc").distinct().collect()} == set(HARD)
+
+
+def test_entities_that_are_no_characters(spark):
+    page = spark.createDataFrame([(1, "<p>&#1114112;|&#xD800;|&#0;|&#99999999999999;|&#x000041;|&#65;|&#x1F389;|&bad;</p>")], "doc long, html string")
+    assert read_html(page).collect()[0].content == "\ufffd|\ufffd|\ufffd|\ufffd|A|A|🎉|&bad;"
+
+
+def test_lists_deeper_than_all_limits(spark):
+    n = 20
+    md = "\n".join("  " * k + f"- i{k}" for k in range(n)) + "\n- last"
+    rows = read_lines(spark.createDataFrame([(1, md)], "doc long, text string"), "markdown").orderBy("element_order").collect()
+    assert [r.level for r in rows if r.element_type == "list_item"] == [*range(2, 2 * n + 1, 2), 2] and sum(r.element_type == "list" for r in rows) == n
+    page = "".join(f"<ul><li>i{k}" if k % 2 else f"<ol><li>i{k}" for k in range(n)) + "".join("</li></ul>" if k % 2 else "</li></ol>" for k in reversed(range(n))) + "<ul><li>last</ul>"
+    rows = read_html(spark.createDataFrame([(1, page)], "doc long, html string")).orderBy("element_order").collect()
+    assert [r.level for r in rows if r.element_type == "list_item"] == [*range(2, 2 * n + 1, 2), 2]
+    assert [r.attributes["list_type"] for r in rows if r.element_type == "list"] == ["ordered", "bullet"] * (n // 2) + ["bullet"]
+    tex = "".join("\\begin{%s}\n\\item i%d\n" % (("enumerate", "itemize")[k % 2], k) for k in range(n)) + "".join("\\end{%s}\n" % ("enumerate", "itemize")[k % 2] for k in reversed(range(n)))
+    rows = read_lines(spark.createDataFrame([(1, tex)], "doc long, text string"), "latex").orderBy("element_order").collect()
+    assert [r.level for r in rows if r.element_type == "list_item"] == list(range(2, 2 * n + 1, 2)) and [r.attributes["list_type"] for r in rows if r.element_type == "list"] == ["ordered", "bullet"] * (n // 2)
+
+
+def test_ids_and_alts_far_below(spark):
+    org = "* Head\n:PROPERTIES:\n" + "".join(f":P{k}: v\n" for k in range(12)) + ":CUSTOM_ID: own\n:END:\n* Next\ntext\n"
+    rows = read_lines(spark.createDataFrame([(1, org)], "doc long, text string"), "org").orderBy("element_order").collect()
+    assert [(r.content, r.attributes.get("id")) for r in rows] == [("Head", "own"), ("Next", "next"), ("text", None)]
+    rst = ".. image:: a.png\n" + "".join(f"   :o{k}: v\n" for k in range(6)) + "   :alt: words\n\n.. image:: b.png\n"
+    rows = read_lines(spark.createDataFrame([(1, rst)], "doc long, text string"), "rst").orderBy("element_order").collect()
+    assert [(r.attributes.get("src"), r.attributes.get("alt")) for r in rows] == [("a.png", "words"), ("b.png", None)]
 
 
 def test_table_padding_guard():
