@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import samples
+from . import file_queries, samples
 from .functions import catalog
 from .functions.tables import column_types, parse_embedded_blocks, read_table, table_cells
 from .functions.text import slug
@@ -319,3 +319,6 @@ select doc, '**' || w[1] || '**' || coalesce(nullif(' ' || array_to_string(w[2:]
     "doc_render_html": _rendered_sql("case when element_type = 'heading' then '<h' || heading_level || '>' || e || '</h' || heading_level || '>' when element_type = 'list_item' then '<li>' || e || '</li>' else '<p>' || e || '</p>' end"),
     "compact_round_trip": f"with {_PROSE} select {_COLUMNS} from b",
 }
+
+QUERIES |= file_queries.QUERIES | {name: lambda s, d, query=query: _plain(query(s, d)) for name, query in file_queries.BLOCKS.items()}
+ORACLES |= file_queries.oracles(ORACLES["read_prose"])

@@ -51,7 +51,7 @@ _MARKUP: dict[str, Callable[[Column, Column, Column], dict[int, Column]]] = {
         TABLE: _text("| key | text |\n|-----+------|\n| ", _N(), " | ", t, " |"), MARKED: _text("So ", t, " *strong* end"),
     },
     "rst": lambda t, raw, rank: {
-        HEADING: _text(t, "\n", F.repeat(F.element_at(F.array(F.lit("="), F.lit("-")), rank), F.greatest(F.length(t), F.lit(4)))), ITEM: _text("* ", t), NUMBERED: _text("3. ", t), QUOTE: _text("It says\n\n    ", t), CODE: _text(".. code-block:: python\n\n    ", raw),
+        HEADING: _text(t, "\n", F.repeat(F.element_at(F.array(F.lit("="), F.lit("-")), rank), F.greatest(F.length(t), F.lit(4)))), ITEM: _text("* ", t), NUMBERED: _text("3. ", t), QUOTE: _text("It says\n\n    ", F.regexp_replace(t, r"^(\w+)([.)]\s)", r"$1\\$2")), CODE: _text(".. code-block:: python\n\n    ", raw),
         TABLE: _text("===  ====\nkey  text\n===  ====\n", _N(), "  ", t, "\n===  ===="), MARKED: _text("So ", t, " **strong** end"),
     },
     "mediawiki": lambda t, raw, rank: {

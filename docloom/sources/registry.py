@@ -157,6 +157,27 @@ class Registry:
             return format
         return self.builtin_format_for(path) or self.format_for(path) or (self.key_for(path) or "").lstrip(".") or None
 
+    def described(self, paths: DataFrame, path: str = "path") -> DataFrame:
+        """`paths` with extension, format, kind, can_read and builtin_format of each path, without a loop over them.
+
+        A path without an extension, or with one that nothing claims, has nulls; a null path has all null but can_read.
+        """
+        p = F.col(path)
+        web = F.when(p.rlike(r"^https?://"), F.get(F.split(p, "[?#]"), F.lit(0))).when(p.startswith("git://"), F.regexp_replace(p, r"(?:\?ref=.*|@[^/]*)$", "")).otherwise(p)
+        name = F.element_at(F.split(web, r"[/\\]"), -1)
+        extension = F.when(p.startswith("zim://"), "zim://").when(F.contains(name, F.lit(".")), F.lower(F.substring_index(name, ".", -1))).otherwise(F.when(p.isNotNull(), F.lit("")))
+        last = {e.extension: e for e in self.entries if e.extension}  # later entries go first
+        table = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+        of = lambda values: F.try_element_at(table(values), F.col("extension"))
+        return paths.withColumn("extension", extension).withColumns(
+            {
+                "format": of({k: e.format for k, e in last.items()}),
+                "kind": of({k: e.kind for k, e in last.items()}),
+                "can_read": F.coalesce(of({k: e.reader is not None for k, e in last.items()}), F.lit(False)),
+                "builtin_format": of(self._native),
+            }
+        )
+
     def supported_paths(self) -> list[str]:
         """Globs of all files that a document reader takes."""
         return sorted({f"*{e.key}" for e in self.entries if e.kind == "doc" and e.reader and e.extension and "://" not in e.extension})
