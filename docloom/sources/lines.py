@@ -60,6 +60,9 @@ class LineFormat:
     environments: tuple[tuple[str, str, str], ...] = ()  # (name, opening, closing); they nest
     marks: Marks = Marks()
     table: Callable[[Column], Column] | None = None  # from a run's lines, array<struct<n, what, body>>, to its JSON
+    source: Callable[[DataFrame, str], DataFrame] | None = None  # texts (doc, text), before they are cut into lines
+    restored: Callable[[Column], Column] | None = None  # what `source` put in the place of signs, undone in contents and attributes
+    resolved: Callable[[DataFrame, str], DataFrame] | None = None  # blocks, at the end
     prepared: Callable[[DataFrame, str], DataFrame] | None = None  # classified lines, before they are grouped
     ranks: Callable[[DataFrame, str], DataFrame] | None = None  # records, before they are laid out
     separator: str = "-"
@@ -106,7 +109,9 @@ def classify(docs: DataFrame, fmt: LineFormat, by: str = "doc", text: str = "tex
     """(doc, n, line, what, body, marks, rank, kind, start, ident, more, fence): what each line is; blank lines end blocks."""
     source = F.coalesce(F.col(text), F.lit(""))
     source = F.regexp_replace(source, fmt.comments, "") if fmt.comments else source
-    rows = _fenced(docs.select(by, F.posexplode(F.split(source, "\r?\n")).alias("n", "line")), fmt, by)
+    texts = docs.select(by, source.alias("_text"))
+    texts = fmt.source(texts, by) if fmt.source else texts
+    rows = _fenced(texts.select(by, F.posexplode(F.split("_text", "\r?\n")).alias("n", "line")), fmt, by)
     line, outside = F.col("line"), F.col("_fence") == 0
     if fmt.trailing:
         rows = rows.withColumn("line", F.when(outside, F.regexp_replace(line, fmt.trailing, "")).otherwise(line))
@@ -193,4 +198,9 @@ def read_lines(docs: DataFrame, fmt: LineFormat | str, by: str = "doc", text: st
         from .markups import FORMATS
 
         fmt = FORMATS[fmt]
-    return assemble(records(docs, fmt, by, text), by, fmt.separator)
+    blocks = assemble(records(docs, fmt, by, text), by, fmt.separator)
+    blocks = fmt.resolved(blocks, by) if fmt.resolved else blocks
+    if fmt.restored is None:
+        return blocks
+    own = F.transform_values("attributes", lambda k, v: F.trim(fmt.restored(v)))
+    return blocks.withColumns({"content": fmt.restored(F.col("content")), "attributes": own})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import class_slug
 from .assemble import attributes
-from ..functions.stacks import NESTS, enclosing, is_first
+from ..functions.stacks import NESTS, closed_by, enclosing, is_first
 from .inlines import FREE, WORD, Inline, Marks, mark
 from .lines import Fence, LineFormat, LineRule, _along, _so_far
 
@@ -234,6 +234,46 @@ def _rst(rows: DataFrame, by: str) -> DataFrame:
     return rows.withColumn("fence", F.when(F.col("what") == "code", F.col("_owner.n") + 1).otherwise(0))
 
 
+def _noted(blocks: DataFrame, by: str) -> DataFrame:
+    """Notes with the text of their footnotes as content; one without a footnote keeps its label.
+
+    Labels # and * are numbered in order, those of references and of footnotes each for themselves, so that the first
+    reference gets the first footnote. A footnote's text is that of all rows under it, a blank between blocks. Of
+    footnotes with one label the first counts.
+    """
+    order = Window.partitionBy(by).orderBy("element_order")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    has = lambda name: F.try_element_at("attributes", F.lit(name))
+    is_ref = (F.col("kind") == "inline") & (F.col("element_type") == "note")
+    is_body = F.coalesce((F.col("element_type") == "div") & (has("source_type") == "footnote"), F.lit(False))
+    rows = blocks.withColumns({"_role": F.when(is_ref, 1).when(is_body, 2), "_label": has("id")})
+    of_label = Window.partitionBy(by, "_role", "_label").orderBy("element_order")
+    auto = F.col("_role").isNotNull() & F.col("_label").isin("#", "*")
+    rows = rows.withColumn("_place", F.row_number().over(of_label)).withColumn("_label", F.when(auto, F.concat("_label", F.col("_place").cast("string"))).otherwise(F.col("_label")))
+    # the footnote that a row stands under, up to the next row that isn't below it
+    rows = rows.withColumn("_div", F.last(F.when(F.col("_role") == 2, F.struct("element_order", "level")), ignorenulls=True).over(so_far))
+    below = (F.col("element_order") == F.col("_div.element_order")) | (F.col("level") > F.col("_div.level"))
+    of_div = Window.partitionBy(by, "_div.element_order").orderBy("element_order")
+    rows = rows.withColumn("_left", F.max(F.coalesce(~below, F.lit(True))).over(of_div.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.withColumn("_block", F.sum(F.when(F.col("kind") == "block", 1).otherwise(0)).over(so_far))
+    said = F.collect_list(F.when(~F.col("_left") & F.col("content").isNotNull(), F.struct("element_order", "_block", "content")))
+    parts = said.over(Window.partitionBy(by, "_div.element_order"))
+    rows = rows.withColumn("_parts", F.when(F.col("_role") == 2, F.array_sort(parts)))
+    gap = lambda k: F.when((k > 0) & (F.get("_parts", k - 1)["_block"] != F.get("_parts", k)["_block"]), " ").otherwise("")
+    text = F.trim(F.array_join(F.transform("_parts", lambda p, k: F.concat(gap(k), p["content"])), ""))
+    rows = rows.withColumn("_body", F.when(F.col("_role") == 2, text))
+    key = F.when(F.col("_role").isNotNull(), F.concat(F.lit("="), F.coalesce("_label", F.lit("")))).otherwise(F.col("element_order").cast("string"))
+    first = F.min_by("_body", F.when(F.col("_role") == 2, F.col("element_order"))).over(Window.partitionBy(by, "_key"))
+    rows = rows.withColumn("_key", key).withColumn("_found", F.nullif(first, F.lit("")))
+    named = F.map_concat(F.map_filter("attributes", lambda k, v: k != "id"), F.create_map(F.lit("id"), F.col("_label")))
+    return rows.withColumns(
+        {
+            "content": F.when(F.col("_role") == 1, F.coalesce("_found", "content")).otherwise(F.col("content")),
+            "attributes": F.when(F.col("_role").isNotNull() & F.col("_label").isNotNull(), named).otherwise(F.col("attributes")),
+        }
+    ).select(*blocks.columns)
+
+
 RST = LineFormat(
     "rst",
     (
@@ -260,13 +300,40 @@ RST = LineFormat(
         escapes=r"\\\S",
         twins=("*", 2, 1),
     ),
-    table=_by_columns, prepared=_rst, shown=lambda text: F.regexp_replace(text, r"\\(\S)", "$1"), item_depth=lambda marks: 1 + F.floor(marks / 2),
+    table=_by_columns, prepared=_rst, resolved=_noted, shown=lambda text: F.regexp_replace(text, r"\\(\S)", "$1"), item_depth=lambda marks: 1 + F.floor(marks / 2),
 )
 
 
 # mediawiki
 
 
+#: Characters that no text has, for braces and line breaks inside a template.
+_STAND_INS = "\ufdd0\ufdd1\ufdd2"
+
+
+def _balanced(texts: DataFrame, by: str, text: str = "_text") -> DataFrame:
+    """Texts with each whole template on one line and without braces inside it; braces that don't pair stay.
+
+    A stack along the pairs of braces of a text finds which close which, at any depth and over any number of lines.
+    """
+    cut = F.when(F.contains(text, F.lit("{{")), F.regexp_extract_all(text, F.lit(r"(?s)(\{\{|\}\}|[^{}]++|.)"), F.lit(1))).otherwise(F.array(text))
+    rows = texts.select(by, F.posexplode(cut).alias("_t", "_token"))
+    order = Window.partitionBy(by).orderBy("_t")
+    zero, none = F.lit(0), F.lit(None).cast("int")
+    rows = rows.withColumns({"_first": is_first(order), "_t": F.col("_t").cast("long"), "_opens": F.when(F.col("_token") == "{{", zero), "_closes": F.when(F.col("_token") == "}}", zero)})
+    rows = rows.withColumn("_opened", closed_by("_first", "_t", "_opens", "_closes", none, F.lit(NESTS)))
+    closer = F.col("_opened").isNotNull()
+    rows = rows.withColumn("_pair", F.coalesce("_opened", F.when(F.col("_opens").isNotNull(), F.col("_t")), -1 - F.col("_t")))
+    rows = rows.withColumn("_pairs", F.max(closer).over(Window.partitionBy(by, "_pair")))
+    opener = F.col("_pairs") & ~closer
+    step = F.when(closer, -1).when(opener, 1).otherwise(0)
+    depth = F.sum(step).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("_inside", depth - F.when(opener, 1).otherwise(0) > 0)
+    token = F.when(F.col("_inside"), F.translate("_token", "{}\n", _STAND_INS)).otherwise(F.col("_token"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_t", token.alias("x")))), lambda x: x["x"]), "")
+    return rows.groupBy(by).agg(whole.alias(text))
+
+
 def _wiki(rows: DataFrame, by: str) -> DataFrame:
     """Other lines in a table go on with a cell; those in a quote are quoted; term and definition lines share a list."""
     what = F.when((F.col("_table") > 0) & F.col("what").isin("para", "code"), "table").when((F.col("_quote") > 0) & (F.col("what") == "para"), "quote").otherwise(F.col("what"))
@@ -282,18 +349,17 @@ MEDIAWIKI = LineFormat(
         LineRule("item", r"^([*#;:]*;)\s*(.*?)\s+:\s+(.*)$", 2, length=1, kind="definition", second=3), LineRule("item", r"^([*#;:]*;)\s*(.*)$", 2, length=1, kind="definition", extra=(("role", "term"),)),
         LineRule("item", r"^([*#;:]*:)\s*(.*)$", 2, length=1, kind="definition", extra=(("role", "definition"),)),
         LineRule("skip", r"^\[\[(?i:category):.*\]\]\s*$"), LineRule("figure", r"^\[\[(?i:file|image):([^|\]]+)(?:\|(?:thumb|frame|left|right|center|none|upright[^|\]]*|\d+(?:x\d+)?px|alt=[^|\]]*)(?=[|\]]))*+(?:\|([^|\]]*))?\]\]\s*$", 2, extra=(("src", 1),)),
-        LineRule("raw", r"^(__[A-Z]+__)\s*$", extra=(("format", "mediawiki"), ("source_type", "behavior_switch"))), LineRule("raw", r"^(\{\{\s*([^|{}]+?)\s*(?:\|.*)?\}\})\s*$", extra=(("format", "mediawiki"), ("source_type", "template"), ("template_name", 2))),
+        LineRule("raw", r"^(__[A-Z]+__)\s*$", extra=(("format", "mediawiki"), ("source_type", "behavior_switch"))), LineRule("raw", r"^(\{\{[\s\uFDD2]*([^|{}]+?)[\s\uFDD2]*(?:\|[^{}]*)?\}\})\s*$", extra=(("format", "mediawiki"), ("source_type", "template"), ("template_name", 2))),
         LineRule("code", r"^ (.*\S.*)$"),
     ),
     (
         Fence("code", r"^<(?:pre|syntaxhighlight|source)(?:\s+lang=\"?(\w+)\"?)?[^>]*>\s*$", r"^</(?:pre|syntaxhighlight|source)>\s*$", 1),
-        Fence("raw", r"^\{\{\s*([^|{}]+?)\s*(?:\|(?!.*\}\}).*)?$", r"^(?!.*\{\{).*\}\}\s*$", 1, "template_name", True, (("format", "mediawiki"), ("source_type", "template"))),
     ),
     environments=(("table", r"^\s*\{\|", r"^\s*\|\}"), ("quote", r"^<blockquote[^>]*>\s*$", r"^</blockquote>\s*$")),
     marks=Marks(
         (
             Inline("text", r"<nowiki>(.*?)</nowiki>"),
-            Inline("raw", r"(\{\{\s*([^|{}]+?)\s*(?:\|[^{}]*)?\}\})", 1, 2, "template_name", (("format", "mediawiki"), ("source_type", "template"))),
+            Inline("raw", r"(\{\{[\s\uFDD2]*([^|{}]+?)[\s\uFDD2]*(?:\|[^{}]*)?\}\})", 1, 2, "template_name", (("format", "mediawiki"), ("source_type", "template"))),
             Inline("image", r"\[\[(?i:file|image):([^|\]]+)(?:\|[^|\]]*+(?=\|))*+(?:\|([^|\]]*))?\]\]", 2, 1, "src"),
             Inline("link", r"\[\[([^\]|\[]+)\]\]", 1, 1, more=(("link_type", "wikilink"),)),
             Inline("link", r"\[(\w+://[^\s\]]+)\]", 1, 1),
@@ -312,7 +378,7 @@ MEDIAWIKI = LineFormat(
         plain=r"[^<\[\]'{}]++",
         twins=("'", 3, 2),
     ),
-    table=_wiki_rows, prepared=_wiki, separator="_", comments=r"(?s)<!--.*?-->",
+    table=_wiki_rows, prepared=_wiki, separator="_", comments=r"(?s)<!--.*?-->", source=_balanced, restored=lambda x: F.translate(x, _STAND_INS, "{}\n"),
 )
 
 

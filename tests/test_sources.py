@@ -598,6 +598,30 @@ def test_marks_at_any_depth(spark, format, text, inside):
     assert [r.level for r in marks][: len(inside)] == list(range(2, 2 + len(inside)))
 
 
+def test_balanced_templates(spark):
+    """Templates in templates, over several lines, within a line, and braces that don't pair."""
+    deep = "{{d|" * 300 + "x" + "}}" * 300
+    text = "{{Box\n| a = {{b|{{{1}}}}}\n| {c}\n}}\n\n}} say {{a|{{b}}|c}} and {{x}} {{open\n\n" + deep
+    rows = read_lines(spark.createDataFrame([(1, text)], "doc long, text string"), "mediawiki").orderBy("element_order").collect()
+    assert [(r.kind, r.element_type, r.content, r.attributes.get("template_name")) for r in rows] == [
+        ("block", "raw", "{{Box\n| a = {{b|{{{1}}}}}\n| {c}\n}}", "Box"), ("block", "paragraph", None, None), ("inline", "text", "}} say ", None), ("inline", "raw", "{{a|{{b}}|c}}", "a"), ("inline", "text", " and ", None),
+        ("inline", "raw", "{{x}}", "x"), ("inline", "text", " {{open", None), ("block", "raw", deep, "d"),
+    ]
+
+
+def test_notes_of_rst_have_their_text(spark):
+    """Numbered, automatic and named labels; a reference without a footnote keeps its label, and so does a citation."""
+    text = (
+        "See [1]_ and [#]_ then [#n]_, [#]_ and [*]_ but [9]_ not.\n\n.. [1] one *body* here\n\n.. [#] two\n\n.. [*] star\n\n"
+        ".. [#n] named\n\n   further down\n\n.. [#] three\n\n.. [1] again\n\nEnd."
+    )
+    rows = read_lines(spark.createDataFrame([(1, text), (2, "plain"), (3, "none [1]_")], "doc long, text string"), "rst").orderBy("doc", "element_order").collect()
+    notes = [(r.doc, r.attributes["id"], r.content) for r in rows if r.element_type == "note"]
+    assert notes[:1] == [(1, "1", "one *body* here")] or notes[:1] == [(1, "1", "one body here")]
+    assert notes[1:] == [(1, "#1", "two"), (1, "#n", "named further down"), (1, "#2", "three"), (1, "*1", "star"), (1, "9", "9"), (3, "1", "1")]
+    assert [r.attributes["id"] for r in rows if r.element_type == "div"] == ["1", "#1", "*1", "#n", "#2", "1"] and rows[-4].content == "plain"
+
+
 def test_crossing_marks(spark):
     """The mark opened first counts; what is left of the other one is text."""
     rows = read_lines(spark.createDataFrame([(1, "*a /b* c/ *d")], "doc long, text string"), "org").orderBy("element_order").collect()
