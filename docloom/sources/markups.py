@@ -231,6 +231,14 @@ def _rst(rows: DataFrame, by: str) -> DataFrame:
     rows = rows.withColumn("what", F.when((F.col("what") == "para") & (F.col("body") == ":"), "skip").otherwise(F.col("what")))
     of_item = hangs & owner.isin("item", "field") & F.col("what").isin("para", "quote")
     rows = rows.withColumn("base", F.when(hangs & is_directive & ~is_code & ~F.col("what").isin("skip", "cont"), 1).when(of_item, 2).otherwise(0))
+    # what stands for another text is put in its place, wherever in the document that is given; the first of a name counts
+    named, said = r"^\.\.\s+\|([^|]+)\|\s+(?:replace|unicode)::\s*(.*?)\s*$", ~F.col("what").isin("code", "blank", "skip")
+    given = F.when(line.rlike(named), F.struct(F.regexp_extract(line, named, 1).alias("name"), F.regexp_extract(line, named, 2).alias("text"), "n"))
+    rows = rows.withColumn("_given", F.collect_list(given).over(Window.partitionBy(by)))
+    wanted = lambda x: F.array_min(F.transform(F.filter("_given", lambda g: F.concat(F.lit("|"), g["name"], F.lit("|")) == x), lambda g: F.struct(g["n"], g["text"])))["text"]
+    parts = F.regexp_extract_all("body", F.lit(r"(?s)(\|[^|\s](?:[^|]*[^|\s])?\|_{0,2}+|[^|]++|.)"), F.lit(1))
+    replaced = F.array_join(F.transform(parts, lambda x: F.coalesce(wanted(F.rtrim(x, F.lit("_"))), x)), "")
+    rows = rows.withColumn("body", F.when(said & (F.size("_given") > 0) & F.contains("body", F.lit("|")), replaced).otherwise(F.col("body"))).drop("_given")
     return rows.withColumn("fence", F.when(F.col("what") == "code", F.col("_owner.n") + 1).otherwise(0))
 
 

@@ -622,6 +622,14 @@ def test_notes_of_rst_have_their_text(spark):
     assert [r.attributes["id"] for r in rows if r.element_type == "div"] == ["1", "#1", "*1", "#n", "#2", "1"] and rows[-4].content == "plain"
 
 
+def test_substitutions_of_rst(spark):
+    text = "A |x| and |the *y*|_ or |z|, | not.\n\n* in |x|\n\n::\n\n  |x|\n\n.. |x| replace:: first **bold**\n.. |the *y*| replace:: second\n.. |x| replace:: again\n"
+    rows = read_lines(spark.createDataFrame([(1, text), (2, "so |x|")], "doc long, text string"), "rst").orderBy("doc", "element_order").collect()
+    assert [(r.element_type, r.content) for r in rows if r.kind == "inline" or r.content] == [
+        ("text", "A first "), ("bold", "bold"), ("text", " and second or |z|, | not."), ("text", "in first "), ("bold", "bold"), ("code", "|x|"), ("paragraph", "so |x|"),
+    ]
+
+
 def test_crossing_marks(spark):
     """The mark opened first counts; what is left of the other one is text."""
     rows = read_lines(spark.createDataFrame([(1, "*a /b* c/ *d")], "doc long, text string"), "org").orderBy("element_order").collect()
