@@ -100,16 +100,42 @@ def chunks(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, np.sort(np.concatenate([start, marks]))
 
 
+#: Lower-case letters up to U+00FF: such a word is one piece to the tokenizer, which only has to merge its bytes.
+_WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Byte-level models write a byte that shows nothing as a sign from U+0100 on, in order.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+# How a tokenizer reads texts for which `chunks` and the way of single words hold.
+_READS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class Encoder:
-    """A tokenizer with the ids of chunks that it has seen; equal texts are encoded once, and so are most words."""
+    """A tokenizer with the ids of chunks that it has seen; equal texts are encoded once, and so are most words.
+
+    Tokenizers that read texts in another way get whole texts.
+    """
 
-    MOST = 500_000
+    MOST = 1_000_000
 
     def __init__(self, model: str) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(model)
+        self.model = self.tokenizer.model
+        told = json.loads(self.tokenizer.to_str())
+        self.by_chunks = all(told[k] == v for k, v in _READS.items()) and all(x["content"][0] == "<" and not re.search(r"\s", x["content"]) for x in told["added_tokens"])
         self.clear()
 
     def clear(self) -> None:
@@ -118,8 +144,10 @@ class Encoder:
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _learn(self, new: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)
-        ids = [e.ids for e in found]
+        bare = [x.rstrip(b" \t\n\r") for x in new]
+        simple = [_WORD.fullmatch(x) is not None for x in bare]
+        others = iter(self.tokenizer.encode_batch_fast([x.decode() for x, y in zip(new, simple, strict=True) if not y], add_special_tokens=False))
+        ids = [[t.id for t in self.model.tokenize(x.decode("latin-1").translate(_BYTE_SIGNS))] if y else next(others).ids for x, y in zip(bare, simple, strict=True)]
         sizes = np.array([len(x) for x in ids], np.int64)
         total, k = int(sizes.sum()), len(self.known)
         while self.used + total > len(self.pool):
@@ -134,6 +162,11 @@ class Encoder:
 
     def encode(self, data: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, an end id after each, and how many each has."""
+        if not self.by_chunks:
+            raw = data.tobytes()
+            found = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], add_special_tokens=False)
+            ids = [[*e.ids, end_id] for e in found]
+            return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
         if len(self.known) > self.MOST:
             self.clear()
         low, start = chunks(data, off)

@@ -29,6 +29,10 @@ def numbers(r):
 
 def test_encoder_equals_library():
     r, own = random.Random(3), idfiles.Encoder(idfiles.MODEL)
+    every = "".join(chr(c) for c in range(0x20, 0x180))
+    words = [f"a{c}b {c}b a{c} {c} {c}{c}" for c in every] + ["naïve straße œuvre ÿ÷ñ été. they're THEY'RE"]
+    ids, counts = own.encode(*tx.buffers(pa.array(words)), idfiles.END_ID)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [ids_of(t) for t in words]
     own.MOST = 500  # it forgets now and then
     for _ in range(150):
         texts = ["".join(r.choice(SIGNS) for _ in range(r.randrange(25))) for _ in range(40)]
@@ -36,6 +40,15 @@ def test_encoder_equals_library():
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [ids_of(t) for t in texts]
 
 
+def test_other_tokenizers_get_whole_texts():
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    library, own = Tokenizer.from_file(path), idfiles.Encoder(path)
+    texts = ["Some words, again.", "", " two  blanks ", "é 漢"]
+    ids, counts = own.encode(*tx.buffers(pa.array(texts)), 50256)
+    assert idfiles.Encoder(idfiles.MODEL).by_chunks and not own.by_chunks
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [[*library.encode(t, add_special_tokens=False).ids, 50256] for t in texts]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 50_000])
 def test_index_is_minimal_and_perfect(n):
     r = np.random.default_rng(n)
