@@ -16,7 +16,7 @@ def as_rows(df, columns):
 @pytest.fixture(scope="module")
 def oracle(tiny):
     con = duckdb.connect()
-    for t in ("documents", "pages", "nation", "orders"):
+    for t in ("documents", "pages", "nation", "orders", "customer"):
         con.execute(f"create view {t} as select * from '{tiny}/{t}.parquet'")
     return con
 
