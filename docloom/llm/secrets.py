@@ -1,10 +1,11 @@
 """Secret scans over a trigram inverted index, in DataFrame operations alone.
 
-Each rule's regular expression yields a Boolean trigram query: a disjunction of conjunctions of
-substrings that every match must hold. A document's postings are looked up in the task that reads it, of each
-conjunction the rarest trigram first and the next only if that is there, so neither texts nor postings are
-shuffled; what they intersect to is a mask of the rules that the document may match. Only those are searched
-with the expression. A rule without mandatory trigrams searches every text.
+Each rule's regular expression yields a Boolean trigram query: a disjunction of conjunctions of trigrams that every
+match must hold. One pass over the texts posts the hash of a text under each trigram of the queries that it has; the
+postings are gathered into lists by trigram and block of hashes, and the lists of a conjunction are intersected, the
+shortest first. What comes out, a mask of rules by hash, is joined to the rows in a second pass, and only the rules of
+the mask are searched with their expressions. A rule without mandatory trigrams searches every text. A hash that two
+texts share gives them each other's rules to search and changes no result.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import free_name
+from . import shared
+from .shared import free_name, saved
 
 
 @dataclass(frozen=True)
@@ -99,28 +101,71 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     return max(usable, key=lambda q: (min(map(len, q)), -len(q)), default=[])
 
 
-#: Letters by how often texts have them; other signs are rarer.
-_OFTEN = "etaoinshrdlcumwfgypbvkjxqz"
+#: A block of the index holds about so many postings; there are as many blocks as that needs.
+POSTINGS_A_BLOCK = 200_000
+#: Masks too many to broadcast are joined under so many numbers, so that copies of one text meet in as many tasks.
+SALTS = 16
 
 
-def _rarity(trigram: str) -> int:
-    return sum(_OFTEN.find(c) if c in _OFTEN else len(_OFTEN) + 4 for c in trigram)
+def _hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def has_posting(folded: Column, trigram: str) -> Column:
-    """Whether a lower-case text is among the postings of a trigram."""
-    return F.contains(folded, F.lit(trigram))
+def index(df: DataFrame, trigrams: list[str], text: str = "text") -> DataFrame:
+    """(block, lists): for each block of text hashes the sorted hashes under each trigram's place in `trigrams`.
 
+    Trigrams are looked for in lower-case texts. Hashes are posted once a task and trigram, so that copies of a text
+    are one posting; a block holds about `POSTINGS_A_BLOCK` of them, however often a trigram occurs.
+    """
+    seen = df.select(_hash(text).alias("key"), F.lower(text).alias("folded"))
+    here = F.array_compact(F.array(*[F.when(F.contains("folded", F.lit(t)), F.lit(k)) for k, t in enumerate(trigrams)]))
+    postings = saved(seen.select("key", F.explode(here).alias("trigram")))
+    blocks = 1 + postings.count() // POSTINGS_A_BLOCK
+    lists = postings.groupBy(F.pmod("key", F.lit(blocks)).alias("block"), "trigram").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    return lists.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "keys"))).alias("lists"))
+
+
+def _matching(query: list[list[int]]) -> Column:
+    """The hashes of a block that a query admits: those in all lists of one of its conjunctions."""
+
+    def every(conjunction: list[int]) -> Column:
+        some = F.array(*[F.coalesce(F.try_element_at("lists", F.lit(k)), F.array().cast("array<bigint>")) for k in conjunction])
+        by_length = F.array_sort(some, lambda a, b: F.size(a) - F.size(b))
+        return F.aggregate(F.slice(by_length, 2, len(conjunction)), F.element_at(by_length, 1), lambda a, b: F.array_intersect(a, b))
+
+    return F.array_distinct(F.flatten(F.array(*map(every, query))))
 
-def candidate_mask(folded: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """A bit for each rule that a lower-case text may match; rules without a query may match any."""
-    bits = []
-    for r, rule in enumerate(rules):
-        queries = [sorted(q, key=lambda t: (-_rarity(t), t)) for q in trigram_query(rule.pattern)]
-        every = [reduce(lambda a, b: a & b, [has_posting(folded, t) for t in q]) for q in queries]
-        may = reduce(lambda a, b: a | b, every) if every else F.lit(True)
-        bits.append(F.when(may, F.lit(1 << r).cast("long")).otherwise(F.lit(0).cast("long")))
-    return reduce(lambda a, b: a.bitwiseOR(b), bits, F.lit(0).cast("long"))
+
+def candidates(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """(key, mask), a written table: for hashes of texts a bit for each rule with a query that the texts may match."""
+    queries = {r: q for r, rule in enumerate(rules) if (q := trigram_query(rule.pattern))}
+    trigrams = sorted({t for q in queries.values() for some in q for t in some})
+    if not trigrams:
+        return df.sparkSession.createDataFrame([], "key bigint, mask bigint")
+    place = {t: k for k, t in enumerate(trigrams)}
+    under = lambda r: lambda key: F.struct(key.alias("key"), F.lit(1 << r).cast("long").alias("mask"))
+    found = [F.transform(_matching([sorted(place[t] for t in some) for some in q]), under(r)) for r, q in queries.items()]
+    hits = index(df, trigrams, text).select(F.inline(F.flatten(F.array(*found))))
+    return saved(hits.groupBy("key").agg(F.bit_or("mask").alias("mask")))
+
+
+def with_mask(df: DataFrame, rules: tuple[Rule, ...], text: str, mask: str) -> DataFrame:
+    """`df` with `mask`: a bit for each rule that the row's text may match.
+
+    A table of masks that is small, which is counted, is broadcast and the rows stay where they are; a larger one is
+    joined by hash and by the number of the row's task, so that copies of one text don't meet in one task.
+    """
+    found = candidates(df, rules, text)
+    key, salt = free_name(df, "text_hash"), free_name(df, "text_salt")
+    named = found.select(F.col("key").alias(key), F.col("mask").alias(mask))
+    always = sum(1 << r for r, rule in enumerate(rules) if not trigram_query(rule.pattern))
+    keyed = df.withColumn(key, _hash(text))
+    if found.count() * len(found.columns) <= shared.BROADCAST_CELLS:
+        joined = keyed.join(F.broadcast(named), key, "left")
+    else:
+        salted = named.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = keyed.withColumn(salt, F.spark_partition_id() % SALTS).join(salted, [key, salt], "left").drop(salt)
+    return joined.withColumn(mask, F.coalesce(mask, F.lit(0).cast("long")).bitwiseOR(F.lit(always).cast("long"))).drop(key)
 
 
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
@@ -168,14 +213,14 @@ def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", out
     """`df` with `out`: all spans of all rules, array<struct<start, rank, kind, end>> by start, then rule.
 
     A null text counts as empty and has none. Rows stay where they are, repeated ones each with their spans; ids are
-    not looked at. A column called `out` is replaced.
+    not looked at. A column called `out` is replaced. The texts are read twice, the first time when this is called, to
+    build the index; they must be the same both times.
     """
     names = [c for c in df.columns if c.lower() != out.lower()]
-    folded, mask = free_name(df, "folded"), free_name(df, "rule_mask")
+    mask = free_name(df, "rule_mask")
     steps = [free_name(df, f"rule_steps_{r}") for r in range(len(rules))]
     body = F.coalesce(F.col(text), F.lit(""))
-    # columns of their own: what is used many times is then made once
-    marked = df.withColumn(folded, F.lower(body)).withColumn(mask, candidate_mask(F.col(folded), rules))
+    marked = with_mask(df, rules, text, mask)
     may = lambda r, rule: (F.col(mask).bitwiseAND(1 << r) != 0) & (body.rlike(rule.sought) if rule.sought else F.lit(True))
     marked = marked.withColumns({steps[r]: F.when(may(r, rule), _steps(body, rule)) for r, rule in enumerate(rules)})
     each = [F.when(F.col(steps[r]).isNotNull(), _spans(F.col(steps[r]), rule, r)).otherwise(F.array().cast(SPANS)) for r, rule in enumerate(rules)]

@@ -36,6 +36,27 @@ def test_every_match_meets_its_trigram_query():
     assert secrets.trigram_query("[0-9a-f]+") == []
 
 
+def test_index_gives_every_text_the_rules_it_may_match(spark, monkeypatch):
+    texts = [*SECRETS, *[f"key {k} secret api_key pass word token" for k in range(60)], None, "", "tok oke", "clean", *[SECRETS[0]] * 30]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+
+    def by_hand(text):
+        may = lambda q: not q or any(all(t in (text or "").lower() for t in some) for some in q)
+        return sum(1 << r for r, rule in enumerate(secrets.RULES) if may(secrets.trigram_query(rule.pattern)))
+
+    want = {k: by_hand(t) for k, t in enumerate(texts)}
+    assert len(set(want.values())) > 5
+    lists = secrets.index(rows, ["tok", "oke", "q#q"]).collect()
+    assert len(lists) == 1 and {k: len(v) for k, v in lists[0]["lists"].items()} == {k: len({t for t in texts if g in (t or "").lower()}) for k, g in enumerate(["tok", "oke"])}
+    for postings, cells in ((200_000, 1_000_000), (7, 1_000_000), (7, 0)):  # one block, many, and masks that aren't broadcast
+        monkeypatch.setattr(secrets, "POSTINGS_A_BLOCK", postings)
+        monkeypatch.setattr(secrets.shared, "BROADCAST_CELLS", cells)
+        got = secrets.with_mask(rows, secrets.RULES, "text", "m")
+        assert got.columns == ["doc_id", "text", "m"] and {r.doc_id: r.m for r in got.collect()} == want
+        spans = {r.doc_id: [tuple(s) for s in r.secrets] for r in secrets.scan(rows).collect()}
+        assert spans == {k: brute_spans(t) for k, t in enumerate(texts)}
+
+
 def test_secrets_bear_odd_rows(spark):
     out = secrets.scan(docs(spark))
     assert out.count() == len(ODD) and out.columns.count("secrets") == 1
