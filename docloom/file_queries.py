@@ -14,7 +14,7 @@ from . import samples
 from .functions.tables import parse_embedded_blocks
 from .operators import structure as st
 from .plans.files import new_folder
-from .sources import compact, interchange, prose
+from .sources import compact, interchange, prose, sinks
 from .sources.registry import REGISTRY, glob_files, read_data, read_documents
 
 BUNDLE = 100
@@ -85,6 +85,14 @@ def compact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact.read_compact_files(spark, folder).withColumn("doc", _number(name="doc"))
 
 
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks written as one compact file a document, under its name, and read back by parts of files."""
+    folder = new_folder(spark)
+    sinks.write_files(compact.write_compact(prose.read_prose(_bundles(spark, sf_dir))), folder, suffix=".dblocks")
+    blocks = compact.read_compact_files(spark, folder)
+    return blocks.withColumn("doc", sinks.document_of(F.col("doc"), ".dblocks").cast("bigint"))
+
+
 def ast_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks written as files of interchange ASTs and read back."""
     folder = new_folder(spark)
@@ -148,7 +156,7 @@ _LOOKUPS = "select doc_id as doc, v.* exclude (k) from documents join (values "
 ) + f") v (k, path, extension, format, kind, can_read, builtin_format) on doc_id % {len(_NAMES)} = v.k"
 
 #: Those whose rows are blocks.
-BLOCKS = {"scan_text_files": scan_text_files, "compact_files": compact_files, "ast_files": ast_files}
+BLOCKS = {"scan_text_files": scan_text_files, "compact_files": compact_files, "document_files": document_files, "ast_files": ast_files}
 QUERIES = {"scan_org_files": scan_org_files, "glob_listing": glob_listing, "data_files": data_files, "embedded_json": embedded_json, "registry_lookups": registry_lookups}
 
 
@@ -160,6 +168,7 @@ def oracles(prose_sql: str) -> dict[str, str]:
         "scan_org_files": _SCAN_ORG,
         "glob_listing": f"select doc_id as doc, 1 as n_files from {BUNDLES} where doc_id % 2 = 1",
         "compact_files": blocks,
+        "document_files": blocks,
         "ast_files": blocks,
         "data_files": "select unnest(['csv', 'tsv', 'jsonl', 'parquet']) as format, c_custkey, c_name, c_nationkey from customer",
         "embedded_json": _EMBEDDED_JSON,

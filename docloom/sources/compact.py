@@ -93,10 +93,36 @@ def write_compact_files(blocks: DataFrame, path: str, by: str = "doc") -> None:
     lines.repartition(by).sortWithinPartitions(by, "n").select(by, "line").write.partitionBy(by).text(path)
 
 
+def _in_order(lines: DataFrame) -> DataFrame:
+    """(doc, n, line) of lines as a scan gives them: by where their part of the file starts, then by their place in the task."""
+    return lines.select("doc", F.struct("start", F.monotonically_increasing_id().alias("at")).alias("n"), "line")
+
+
+def _scanned(files: DataFrame) -> DataFrame:
+    return files.select(F.col("_metadata.file_path").alias("doc"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"))
+
+
 def read_compact_files(spark: SparkSession, path: str) -> DataFrame:
-    """The block table of compact files, each a document named by its path."""
-    texts = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    return read_compact(texts)
+    """The block table of compact files, each a document named by its path.
+
+    Files are read by line and in parts, so that the largest one is spread over tasks; what order lines have in
+    their file follows from where their part starts.
+    """
+    return read_compact(_in_order(_scanned(spark.read.option("recursiveFileLookup", "true").text(path, lineSep="\n"))))
+
+
+def stream_compact_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(doc, start, line) of compact files as they appear in a folder; a file's lines are all in one micro-batch."""
+    return _scanned(spark.readStream.option("lineSep", "\n").format("text").load(path))
+
+
+def write_compact_stream(lines: DataFrame, path: str, checkpoint: str):
+    """A running query that appends the blocks of `stream_compact_lines` to a Parquet table, repeated batches in their own place."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        read_compact(_in_order(batch)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return lines.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 assert "j" not in ENCODINGS
