@@ -3,7 +3,8 @@
 Windows can't tell these, since how far they look depends on the rows. Each function here gives a column that follows
 the rows of a partition in their order and holds no more than what is open, so that it is linear in the rows and as
 large as a document is deep. The rows must come in order: `first`, which says where a new stack begins, has to be
-made by a window over that order, as `is_first` does, and the column be used right on its result. Only numbers go to
+made by a window over that order, as `is_first` does, and the column be used right on its result; no window of a finer
+partitioning may stand right before that one, since Spark swaps the two and the rows come in the other's order. Only numbers go to
 Python; the other columns stay where they are. The functions are declared nondeterministic, since a filter that was
 moved before one would take rows from it.
 """
