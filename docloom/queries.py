@@ -237,6 +237,7 @@ QUERIES = {
     **{f"read_{f}": _read_text(f) for f in ("org", "rst", "mediawiki", "textile", "latex", "markdown")},
     **{f"read_{f}": _read_file(f) for f in ("docx", "odt", "epub", "rtf")},
     "read_html": lambda s, d: _sample_columns(html.read_html(samples.sample_texts(_docs(s, d), "html"), html="text")),
+    "html_round_trip": lambda s, d: _sample_columns(html.read_html(render(html.read_html(samples.sample_texts(_docs(s, d), "html"), html="text"), "html"), html="rendered")),
     "read_notebooks": _notebooks,
     "expand_embedded": _expanded,
     "doc_toc": _toc,
@@ -321,4 +322,5 @@ select doc, '**' || w[1] || '**' || coalesce(nullif(' ' || array_to_string(w[2:]
 }
 
 QUERIES |= file_queries.QUERIES | {name: lambda s, d, query=query: _plain(query(s, d)) for name, query in file_queries.BLOCKS.items()}
+ORACLES["html_round_trip"] = ORACLES["read_html"]
 ORACLES |= file_queries.oracles(ORACLES["read_prose"])
