@@ -67,6 +67,77 @@ def closed_by(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array, pa
         yield pa.array(found, pa.int64(), mask=found < 0)
 
 
+_RUNS = "array<struct<role:int,what:int,depth:int,start:int,size:int,closing:int,inside:int,taken:boolean>>"
+TEXT, OPENER, CLOSER, WHOLE = range(4)
+
+
+def mark_runs(wholes: tuple[int, ...] = (), groups: tuple[int, ...] = ()):
+    """A function of an array<struct<what, opens, closes, twin, nests>>, one for each token of a text: the text's runs.
+
+    What opens and closes is paired as by `closed_by`. A run is an opening or closing mark that has its pair, a token
+    with one of the `wholes`, or neighbouring tokens that are neither; marks of the `groups` are text though they pair.
+    A run has its `role`, `what` its first token is, how deep it stands, its first token's number from 1 on and
+    `size` in tokens; an opening mark that of its `closing` one, and as `inside` the number of tokens that it holds, if
+    they are one text, whose run is then `taken`. A text is looked at by itself, so rows may come in any order.
+    """
+
+    def pairs(opens: list[int], closes: list[int], twin: list[int], nests: list[int], at: list[int]) -> list[tuple[int, int]]:
+        stack: list[tuple[int, int]] = []
+        open_of: dict[int, int] = {}
+        found = []
+        for k, new, own, second, on in zip(at, opens, closes, twin, nests, strict=True):
+            empty = bool(stack) and stack[-1][0] in (own, second) and stack[-1][1] == k - 1
+            if own >= 0 and not empty and (open_of.get(own) or open_of.get(second)):
+                while True:
+                    family, place = stack.pop()
+                    open_of[family] -= 1
+                    if family in (own, second):
+                        break
+                found.append((place, k))
+            elif new >= 0 and (on or not open_of.get(new)):
+                stack.append((new, k))
+                open_of[new] = open_of.get(new, 0) + 1
+        return found
+
+    def run(tokens: pa.Array) -> pa.Array:
+        lengths = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        bounds = np.concatenate([[0], np.cumsum(lengths)])
+        what, opens, closes, twin, nests = (_numbers(x) for x in tokens.flatten().flatten())
+        n = len(what)
+        role, closing = np.zeros(n, np.int8), np.full(n, -1, np.int64)
+        role[np.isin(what, wholes)] = WHOLE
+        marks = np.flatnonzero((opens >= 0) | (closes >= 0))
+        row_of = np.searchsorted(bounds, marks, "right") - 1
+        cuts = np.flatnonzero(np.diff(row_of)) + 1
+        for some in np.split(marks, cuts) if len(marks) > 1 else ():
+            if len(some) > 1:
+                for opener, closer in pairs(*(x[some].tolist() for x in (opens, closes, twin, np.maximum(nests, 0))), some.tolist()):
+                    grouped = what[opener] in groups
+                    role[opener], role[closer] = (TEXT, TEXT) if grouped else (OPENER, CLOSER)
+                    closing[opener] = closer
+        step = (role == OPENER).astype(np.int64) - (role == CLOSER)
+        depth = np.cumsum(step) - (role == OPENER)  # all that is opened in a text is closed in it
+        is_text = role == TEXT
+        starts = np.ones(n, bool)
+        starts[1:] = ~(is_text[1:] & is_text[:-1])
+        starts[bounds[:-1][lengths > 0]] = True
+        at = np.flatnonzero(starts)
+        size = np.diff(np.append(at, n))
+        row = np.searchsorted(bounds, at, "right") - 1
+        held = np.append(role[at], [TEXT, TEXT])
+        same = np.append(row, [-1, -1])
+        alone = (held[:-2] == OPENER) & (held[1:-1] == TEXT) & (held[2:] == CLOSER) & (same[:-2] == same[2:])
+        inside = np.where(alone, np.append(size[1:], 0), 0)
+        taken = np.append([False], alone[:-1]) if len(alone) else alone
+        first = bounds[row]
+        counts = np.bincount(row, minlength=len(lengths)) if len(row) else np.zeros(len(lengths), np.int64)
+        fields = [role[at], what[at], depth[at], at - first + 1, size, np.where(closing[at] >= 0, closing[at] - first + 1, -1), inside]
+        runs = pa.StructArray.from_arrays([*(pa.array(x.astype(np.int32)) for x in fields), pa.array(taken)], ["role", "what", "depth", "start", "size", "closing", "inside", "taken"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), runs)
+
+    return F.arrow_udf(run, _RUNS).asNondeterministic()
+
+
 def _rank_stack(strict: bool):
     """For each row what is open before it: rows of lower ranks, and of the same one unless `strict`."""
 

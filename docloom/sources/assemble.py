@@ -7,6 +7,8 @@ one of another depth or kind.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,8 +48,12 @@ def flat(pieces: Column | str = "pieces") -> Column:
     return F.array_join(said, "")
 
 
-def assemble(records: DataFrame, by: str = "doc", separator: str = "-", meta_kind: str = "inlines") -> DataFrame:
-    """The block table of records. Metadata (`meta`, with its field in `ident`) follows the body."""
+def assemble(records: DataFrame, by: str = "doc", separator: str = "-", meta_kind: str = "inlines", with_pieces: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The block table of records. Metadata (`meta`, with its field in `ident`) follows the body.
+
+    `with_pieces` adds the pieces of records that come without: after the stack along records, for which rows are
+    ordered, so that Spark, which knows no partitioning behind a Python function, doesn't shuffle them in between.
+    """
     along = Window.partitionBy(by).orderBy("n", "sub")
     is_item = F.col("what") == "item"
     at = F.when(is_item, F.col("base") + 2 * F.col("depth")).otherwise(F.col("base") + 1)
@@ -57,6 +63,7 @@ def assemble(records: DataFrame, by: str = "doc", separator: str = "-", meta_kin
     records = records.withColumns({"_first": is_first(along), "_rank": at.cast("long"), "_list": own_list})
     before = ranked_or_equal("_first", "_rank", F.lit(True), "_list", F.lit(0).cast("long"))["above"]
     records = records.withColumn("_before", before)
+    records = with_pieces(records) if with_pieces else records
     opens = is_item & ~F.col("_before").eqNullSafe(F.col("_list"))
     rows = records.withColumn("_opens", opens).withColumn("_text", flat())
     level, ordered, what, pieces = F.col("base") + 1, F.col("kind") == "ordered", F.col("what"), F.col("pieces")

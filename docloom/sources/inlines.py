@@ -1,8 +1,9 @@
 """Marked text: which marks pair, what they hold, and the pieces that come of it, at any depth.
 
 Texts are cut into tokens by one expression without repeated groups, so that no text is too long or too odd for it.
-Tokens are rows; what stands before and after one says whether it may open or close a mark, a stack along the tokens
-pairs them, and running counts give depths. Marks left alone are text.
+What stands before and after a token says whether it may open or close a mark, and a stack along a text's tokens pairs
+them; only numbers go to Python for it. A text's tokens stay in its row: nothing is sorted or shuffled for them. Marks
+left alone are text.
 """
 
 from __future__ import annotations
@@ -11,10 +12,10 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stacks import ONCE, closed_by, is_first
+from ..functions.stacks import CLOSER, ONCE, OPENER, WHOLE, mark_runs
 from .assemble import PIECES, attributes, plain_piece
 
 #: Signs, as expressions for one, that must not stand before and after an opening, before and after a closing.
@@ -83,95 +84,72 @@ def _allowed(sign: Column, never: str) -> Column:
     return ~sign.rlike(f"^{never}$") if never else F.lit(True)
 
 
-def with_pieces(rows: DataFrame, keys: list[str], marks: Marks, shown: Callable[[Column], Column], text: str = "_text", marked: str = "_marked") -> DataFrame:
-    """`rows` with `pieces`: those of `text` where `marked` holds, else the text as it is; `keys` tell rows apart.
+def with_pieces(rows: DataFrame, marks: Marks, shown: Callable[[Column], Column], text: str = "_text", marked: str = "_marked") -> DataFrame:
+    """`rows` with `pieces`: those of `text` where `marked` holds, else the text as it is.
 
     `shown` undoes the escapes of a text. Where marks cross, the one opened first counts.
     """
     inlines = marks.inlines
+    read, source = F.col(marked), F.col(text)
+    plain = plain_piece(F.when(read, shown(source)).otherwise(source))
     if not inlines:
-        return rows.withColumn("pieces", plain_piece(F.when(F.col(marked), shown(F.col(text))).otherwise(F.col(text)))).drop(text, marked)
-    rest = [c for c in rows.columns if c not in (*keys, text, marked)]
-    tokens = F.when(F.col(marked) & F.col(text).isNotNull(), F.regexp_extract_all(F.col(text), F.lit(_token_pattern(marks)), F.lit(1)))
-    tokens = F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.col(text)))
-    # the other columns go along with a row's first token
-    cut = rows.select(*keys, marked, F.struct(*rest).alias("_rest"), F.posexplode(tokens).alias("_t", "_token"))
-    cut = cut.withColumn("_rest", F.when(F.col("_t") == 0, F.col("_rest")))
-    order = Window.partitionBy(*keys).orderBy("_t")
-    token, read = F.col("_token"), F.col(marked)
-    cut = cut.withColumns({"_before": F.coalesce(F.right(F.lag("_token").over(order), F.lit(1)), F.lit("")), "_after": F.coalesce(F.left(F.lead("_token").over(order), F.lit(1)), F.lit("")), "_first": is_first(order)})
-    before, after = F.col("_before"), F.col("_after")
+        return rows.withColumn("pieces", plain).drop(text, marked)
+    tokens = F.when(read & source.isNotNull(), F.regexp_extract_all(source, F.lit(_token_pattern(marks)), F.lit(1)))
     families = list(dict.fromkeys(x.family or x.opening for x in inlines if x.opening))
     own = lambda x: families.index(x.family or x.opening)
-    what = F.lit(None).cast("int")  # the whole or opening that a token is
-    opens = closes = nests = F.lit(None).cast("int")
-    is_token = lambda p: token.rlike(f"(?s)^(?:{p})$")
-    for k, x in reversed(list(enumerate(inlines))):
-        if x.pattern:
-            what = F.when(is_token(x.pattern), F.lit(k)).otherwise(what)
-            continue
-        may_open = is_token(x.opening) & (after != "") & _allowed(before, x.flank[0]) & _allowed(after, x.flank[1])
-        may_close = is_token(x.closing or x.opening) & (before != "") & _allowed(before, x.flank[2]) & _allowed(after, x.flank[3])
-        what, opens, nests = F.when(may_open, F.lit(k)).otherwise(what), F.when(may_open, F.lit(own(x))).otherwise(opens), F.when(may_open, F.lit(x.nests)).otherwise(nests)
-        closes = F.when(may_close, F.lit(own(x))).otherwise(closes)
-    # a run of signs that begin nothing is neither, which most tokens are
-    dull = ~read | is_token(marks.plain) | (is_token(marks.escapes) if marks.escapes else F.lit(False))
-    unless = lambda value: F.when(~dull, value)
-    cut = cut.withColumns({"_what": unless(what), "_opens": unless(opens), "_closes": unless(closes), "_nests": F.coalesce(unless(nests), F.lit(ONCE))})
-    twin = F.lit(None).cast("int")
+    null = F.lit(None).cast("int")
+    sign, twins = "", ()
     if marks.twins:
         sign, long, short = marks.twins
-        a, b = (families.index(re.escape(sign) * n) for n in (long, short))
-        twin = F.when((before == sign) | (after == sign), F.when(F.col("_closes") == a, F.lit(b)).when(F.col("_closes") == b, F.lit(a)))
-    cut = cut.withColumn("_twin", twin).withColumn("_t", F.col("_t").cast("long")).withColumn("_opened", closed_by("_first", "_t", "_opens", "_closes", "_twin", "_nests"))
-    pair = F.coalesce("_opened", F.when(F.col("_opens").isNotNull(), F.col("_t")), -1 - F.col("_t"))
-    cut = cut.withColumn("_pair", pair)
-    of_pair = Window.partitionBy(*keys, "_pair")
-    cut = cut.withColumn("_closing", F.max(F.when(F.col("_opened").isNotNull(), F.col("_token"))).over(of_pair))
-    is_closer = F.col("_opened").isNotNull()
-    is_opener = ~is_closer & F.col("_closing").isNotNull()
-    whole = ~is_closer & ~is_opener & F.col("_what").isin(*[k for k, x in enumerate(inlines) if x.pattern])
-    groups = [k for k, x in enumerate(inlines) if x.type == "group"]
-    # of a group nothing is left but its signs, as text
-    trace = F.when(is_opener, ~F.col("_what").isin(*groups)) if groups else F.when(is_opener, F.lit(True))
-    cut = cut.withColumn("_trace", F.coalesce(F.max(trace).over(of_pair), F.lit(True)))
-    cut = cut.withColumn("_role", F.when(~F.col("_trace"), "text").when(is_closer, "closer").when(is_opener, "opener").when(F.coalesce(whole, F.lit(False)), "whole").otherwise("text"))
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    opener = F.when(F.col("_role") == "opener", 1).otherwise(0)
-    step = F.when(F.col("_role") == "closer", -1).otherwise(opener)
-    cut = cut.withColumn("_depth", (F.sum(step).over(so_far) - opener).cast("int"))
-    is_text = F.col("_role") == "text"
-    goes_on = is_text & F.coalesce(F.lag("_role").over(order) == "text", F.lit(False))
-    cut = cut.withColumn("_run", F.sum(F.when(goes_on, 0).otherwise(1)).over(so_far))
-
+        twins = tuple(families.index(re.escape(sign) * n) for n in (long, short))
+
+    def role(x: Column) -> Column:
+        """What a token may be; null for a run of signs that begin nothing, which most tokens are."""
+        token, before, after = x["token"], x["before"], x["after"]
+        is_token = lambda p: token.rlike(f"(?s)^(?:{p})$")
+        what = opens = closes = nests = null  # the whole or opening that a token is
+        for k, i in reversed(list(enumerate(inlines))):
+            if i.pattern:
+                what = F.when(is_token(i.pattern), F.lit(k)).otherwise(what)
+                continue
+            may_open = is_token(i.opening) & (after != "") & _allowed(before, i.flank[0]) & _allowed(after, i.flank[1])
+            may_close = is_token(i.closing or i.opening) & (before != "") & _allowed(before, i.flank[2]) & _allowed(after, i.flank[3])
+            what, opens, nests = F.when(may_open, F.lit(k)).otherwise(what), F.when(may_open, F.lit(own(i))).otherwise(opens), F.when(may_open, F.lit(i.nests)).otherwise(nests)
+            closes = F.when(may_close, F.lit(own(i))).otherwise(closes)
+        beside = (before == sign) | (after == sign) if twins else F.lit(False)
+        dull = is_token(marks.plain) | (is_token(marks.escapes) if marks.escapes else F.lit(False))
+        return F.when(~dull, F.struct(what.alias("what"), opens.alias("opens"), closes.alias("closes"), beside.alias("beside"), F.coalesce(nests, F.lit(ONCE)).alias("nests")))
+
+    def paired(x: Column) -> Column:
+        twin = F.when(x["beside"], F.when(x["closes"] == twins[0], F.lit(twins[1])).when(x["closes"] == twins[1], F.lit(twins[0]))) if twins else null
+        return F.when(x.isNotNull(), F.struct(x["what"].alias("what"), x["opens"].alias("opens"), x["closes"].alias("closes"), twin.alias("twin"), x["nests"].alias("nests")))
+
+    end = lambda k, cut: F.coalesce(cut(F.get("_tokens", k), F.lit(1)), F.lit(""))
+    beside = F.transform("_tokens", lambda x, k: F.struct(x.alias("token"), end(k - 1, F.right).alias("before"), end(k + 1, F.left).alias("after")))
+    runs_of = mark_runs(tuple(k for k, x in enumerate(inlines) if x.pattern), tuple(k for k, x in enumerate(inlines) if x.type == "group"))
+    rows = rows.withColumn("_tokens", tokens).withColumn("_runs", runs_of(F.transform(F.transform(beside, role), paired)))
+    joined = lambda start, size: F.array_join(F.slice("_tokens", start, size), "")
     none = F.create_map().cast("map<string,string>")
-    entry = "array<struct<key:string,value:string>>"
-
-    def made(kind: Column | str, content: Column, own_attributes: Column, depth: Column) -> Column:
-        return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("type"), content.cast("string").alias("content"), F.map_entries(own_attributes).cast(entry).alias("entries"), depth.cast("int").alias("depth"))
-
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_t", "_token"))), lambda x: x["_token"]), "")
-    runs = cut.groupBy(*keys, "_run").agg(F.first("_rest", ignorenulls=True).alias("_rest"), *[F.first(c).alias(c) for c in ("_role", "_what", "_depth", "_closing", marked)], F.min("_t").alias("_t"), said.alias("_said"))
-    said, depth = F.col("_said"), F.col("_depth")
-    piece = made("text", F.when(F.col(marked), shown(said)).otherwise(said), none, depth)
-    for k, x in reversed(list(enumerate(inlines))):
-        group = lambda g, x=x: F.regexp_extract(F.col("_closing") if x.behind else said, f"(?s)^(?:{x.pattern or (x.closing if x.behind else x.opening)})$", g)
-        held = {a: F.lit(v) for a, v in x.more} | ({x.key: F.nullif(group(x.target), F.lit(""))} if x.target else {})
-        held = attributes(**held) if held else none
-        body = group(x.text) if x.pattern else F.lit(None)
-        found = made(x.type, body if not x.pattern or x.type in ("code", "math", "raw") else shown(body), held, depth)
-        piece = F.when(F.col("_role").isin("opener", "whole") & (F.col("_what") == k), found).otherwise(piece)
-    piece = F.when(F.col("_role") != "closer", piece)
-    # what a mark holds is its own content if that is one text
-    line = Window.partitionBy(*keys).orderBy("_run")
-    nxt = lambda c, k: F.lead(c, k).over(line)
-    alone = (F.col("_role") == "opener") & (nxt("_role", 1) == "text") & (nxt("_role", 2) == "closer")
-    runs = runs.withColumn("_piece", piece).withColumn("_alone", F.coalesce(alone, F.lit(False)))
-    taken = F.coalesce(F.lag("_alone").over(line), F.lit(False))
-    runs = runs.withColumns({"_inside": nxt("_piece", 1)["content"], "_taken": taken})
-    own_piece = F.col("_piece")
-    filled = F.struct(own_piece["type"].alias("type"), F.col("_inside").alias("content"), own_piece["entries"].alias("entries"), own_piece["depth"].alias("depth"))
-    runs = runs.withColumn("_piece", F.when(F.col("_alone"), filled).when(~F.col("_taken"), own_piece))
-    both = runs.groupBy(*keys).agg(F.first("_rest", ignorenulls=True).alias("_rest"), F.array_sort(F.collect_list(F.struct("_run", "_piece"))).alias("_all"))
-    pieces = F.transform(F.filter(F.transform("_all", lambda x: x["_piece"]), lambda p: p.isNotNull()), lambda p: F.struct(p["type"].alias("type"), p["content"].alias("content"), F.map_from_entries(p["entries"]).alias("attributes"), p["depth"].alias("depth"))).cast(PIECES)
-    return both.select(*keys, "_rest.*", pieces.alias("pieces"))
+
+    def made(kind: str, content: Column, own_attributes: Column, depth: Column) -> Column:
+        return F.struct(F.lit(kind).alias("type"), content.cast("string").alias("content"), own_attributes.alias("attributes"), depth.alias("depth"))
+
+    def piece(r: Column) -> Column:
+        said, depth = r["said"], r["run"]["depth"]
+        out = made("text", shown(said), none, depth)
+        for k, x in reversed(list(enumerate(inlines))):
+            group = lambda g, x=x: F.regexp_extract(r["closing"] if x.behind else said, f"(?s)^(?:{x.pattern or (x.closing if x.behind else x.opening)})$", g)
+            held = {a: F.lit(v) for a, v in x.more} | ({x.key: F.nullif(group(x.target), F.lit(""))} if x.target else {})
+            held = attributes(**held) if held else none
+            # what a mark holds is its own content if that is one text
+            body = group(x.text) if x.pattern else r["inside"]
+            found = made(x.type, body if x.pattern and x.type in ("code", "math", "raw") else shown(body), held, depth)
+            out = F.when(r["run"]["role"].isin(OPENER, WHOLE) & (r["run"]["what"] == k), found).otherwise(out)
+        return out
+
+    left = F.filter("_runs", lambda r: (r["role"] != CLOSER) & ~r["taken"])
+    told = F.transform(left, lambda r: F.struct(
+        r.alias("run"), joined(r["start"], r["size"]).alias("said"), F.when(r["closing"] > 0, F.get("_tokens", r["closing"] - 1)).alias("closing"), F.when(r["inside"] > 0, joined(r["start"] + 1, r["inside"])).alias("inside"),
+    ))
+    pieces = F.when(F.size("_tokens") > 0, F.transform(told, piece).cast(PIECES)).otherwise(plain)
+    return rows.withColumn("pieces", pieces).drop("_tokens", "_runs", text, marked)

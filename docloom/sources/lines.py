@@ -162,7 +162,7 @@ def classify(docs: DataFrame, fmt: LineFormat, by: str = "doc", text: str = "tex
 
 
 def records(docs: DataFrame, fmt: LineFormat, by: str = "doc", text: str = "text") -> DataFrame:
-    """The records of documents in one of the line formats."""
+    """The records of documents in one of the line formats, with texts for pieces: `_text`, and whether it may have marks."""
     rows = classify(docs, fmt, by, text).where("what <> 'gone'")
     order = _along(by)
     same = lambda c: F.coalesce(F.lag(c).over(order) == F.col(c), F.lit(False))
@@ -186,9 +186,8 @@ def records(docs: DataFrame, fmt: LineFormat, by: str = "doc", text: str = "text
     runs = runs.withColumn("more", F.when(F.col("second").isNotNull(), role).otherwise(F.col("more")))
     taken = verbatim | F.col("what").isin("table", "hr", "div", "image")
     runs = runs.drop("_run", "lines", "second").withColumn("_marked", ~taken)
-    runs = with_pieces(runs, [by, "n", "sub"], fmt.marks, fmt.shown)
     depth = fmt.item_depth(F.col("marks")).cast("int")
-    made = runs.select(by, "n", "sub", "what", "pieces", "base", depth.alias("depth"), "kind", F.least(F.greatest("rank", F.lit(1)), F.lit(6)).alias("rank"), "start", "ident", "more")
+    made = runs.select(by, "n", "sub", "what", "_text", "_marked", "base", depth.alias("depth"), "kind", F.least(F.greatest("rank", F.lit(1)), F.lit(6)).alias("rank"), "start", "ident", "more")
     return fmt.ranks(made, by) if fmt.ranks else made
 
 
@@ -198,7 +197,7 @@ def read_lines(docs: DataFrame, fmt: LineFormat | str, by: str = "doc", text: st
         from .markups import FORMATS
 
         fmt = FORMATS[fmt]
-    blocks = assemble(records(docs, fmt, by, text), by, fmt.separator)
+    blocks = assemble(records(docs, fmt, by, text), by, fmt.separator, with_pieces=lambda rows: with_pieces(rows, fmt.marks, fmt.shown))
     blocks = fmt.resolved(blocks, by) if fmt.resolved else blocks
     if fmt.restored is None:
         return blocks

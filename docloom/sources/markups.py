@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import class_slug
 from .assemble import attributes
-from ..functions.stacks import NESTS, closed_by, enclosing, is_first
+from ..functions.stacks import NESTS, enclosing, is_first, mark_runs
 from .inlines import FREE, WORD, Inline, Marks, mark
 from .lines import Fence, LineFormat, LineRule, _along, _so_far
 
@@ -324,22 +324,13 @@ def _balanced(texts: DataFrame, by: str, text: str = "_text") -> DataFrame:
 
     A stack along the pairs of braces of a text finds which close which, at any depth and over any number of lines.
     """
-    cut = F.when(F.contains(text, F.lit("{{")), F.regexp_extract_all(text, F.lit(r"(?s)(\{\{|\}\}|[^{}]++|.)"), F.lit(1))).otherwise(F.array(text))
-    rows = texts.select(by, F.posexplode(cut).alias("_t", "_token"))
-    order = Window.partitionBy(by).orderBy("_t")
-    zero, none = F.lit(0), F.lit(None).cast("int")
-    rows = rows.withColumns({"_first": is_first(order), "_t": F.col("_t").cast("long"), "_opens": F.when(F.col("_token") == "{{", zero), "_closes": F.when(F.col("_token") == "}}", zero)})
-    rows = rows.withColumn("_opened", closed_by("_first", "_t", "_opens", "_closes", none, F.lit(NESTS)))
-    closer = F.col("_opened").isNotNull()
-    rows = rows.withColumn("_pair", F.coalesce("_opened", F.when(F.col("_opens").isNotNull(), F.col("_t")), -1 - F.col("_t")))
-    rows = rows.withColumn("_pairs", F.max(closer).over(Window.partitionBy(by, "_pair")))
-    opener = F.col("_pairs") & ~closer
-    step = F.when(closer, -1).when(opener, 1).otherwise(0)
-    depth = F.sum(step).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("_inside", depth - F.when(opener, 1).otherwise(0) > 0)
-    token = F.when(F.col("_inside"), F.translate("_token", "{}\n", _STAND_INS)).otherwise(F.col("_token"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_t", token.alias("x")))), lambda x: x["x"]), "")
-    return rows.groupBy(by).agg(whole.alias(text))
+    cut = F.when(F.contains(text, F.lit("{{")), F.regexp_extract_all(text, F.lit(r"(?s)(\{\{|\}\}|[^{}]++|.)"), F.lit(1)))
+    none = F.lit(None).cast("int")
+    brace = lambda x: F.when(x.isin("{{", "}}"), F.struct(none.alias("what"), F.when(x == "{{", 0).alias("opens"), F.when(x == "}}", 0).alias("closes"), none.alias("twin"), F.lit(NESTS).alias("nests")))
+    rows = texts.withColumn("_tokens", cut).withColumn("_runs", mark_runs()(F.transform("_tokens", brace)))
+    said = lambda r: F.array_join(F.slice("_tokens", r["start"], r["size"]), "")
+    whole = F.array_join(F.transform("_runs", lambda r: F.when(r["depth"] > 0, F.translate(said(r), "{}\n", _STAND_INS)).otherwise(said(r))), "")
+    return rows.withColumn(text, F.when(F.size("_tokens") > 0, whole).otherwise(F.col(text))).select(*texts.columns)
 
 
 def _wiki(rows: DataFrame, by: str) -> DataFrame:
