@@ -2,7 +2,9 @@
 
 import pytest
 
-from docloom.sources import lines
+from docloom.functions.batches import BATCH_BYTES
+from docloom.sources import interchange, lines
+from pyspark.sql import functions as F
 
 
 @pytest.mark.parametrize("name", ["org", "rst", "mediawiki", "textile", "latex", "markdown"])
@@ -10,3 +12,12 @@ def test_lines_are_shuffled_once_before_the_last_numbering(spark, name):
     docs = spark.createDataFrame([(1, "a *b* c")], "doc long, text string")
     plan = lines.read_lines(docs, name)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= (4 if name == "rst" else 3 if name in ("mediawiki", "latex") else 2)
+
+
+def test_asts_are_taken_apart_one_at_a_time(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    long = '[{"t":"HorizontalRule"}' + ',{"t":"HorizontalRule"}' * 12_000 + "]"
+    found = interchange.read_interchange(spark.createDataFrame([(1, long), (2, None), (3, long)], "doc long, text string"))
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == BATCH_BYTES
+    assert {(r["doc"], r["n"], r["least"], r["most"]) for r in found.groupBy("doc").agg(F.count("*").alias("n"), F.min("element_order").alias("least"), F.max("element_order").alias("most")).collect()} == {(1, 12_001, 0, 12_000), (3, 12_001, 0, 12_000)}
