@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import file_queries, samples
 from .functions import catalog
+from .functions.batches import small_batches
 from .functions.tables import column_types, parse_embedded_blocks, read_table, table_cells
 from .functions.text import slug
 from .operators import structure as st
@@ -101,11 +102,11 @@ def _round_trip_interchange(spark, sf_dir):
 def _inline_texts(spark, sf_dir):
     """The words of each text as an AST's inlines, the first one strong, and back to text in both modes."""
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    plain = lambda w: F.struct(F.lit("Str").alias("t"), w.alias("c"))
-    strong = F.struct(F.lit("Strong").alias("t"), F.array(plain(F.get(words, F.lit(0)))).alias("c"))
-    rest = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1))), lambda w: F.concat(F.lit('{"t":"Space"},'), F.to_json(plain(w))))
-    made = F.concat(F.lit("["), F.array_join(F.concat(F.array(F.to_json(strong)), rest), ","), F.lit("]"))
-    docs = _docs(spark, sf_dir).where(F.size(words) > 0).select("doc", made.alias("json"))
+    inline = lambda t, c: F.struct(F.lit(t).alias("t"), c.alias("c"))
+    strong = inline("Strong", F.array(inline("Str", F.get("words", F.lit(0)))))
+    rest = F.flatten(F.transform(F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(1))), lambda w: F.array(inline("Space", F.lit(None).cast("string")), inline("Str", w))))
+    made = F.concat(F.lit("["), F.to_json(strong), F.when(F.size("words") > 1, F.lit(",")).otherwise(F.lit("")), F.substring(F.to_json(rest), 2, (1 << 31) - 1))
+    docs = small_batches(_docs(spark, sf_dir).withColumn("words", words).where(F.size("words") > 0).select("doc", made.alias("json")))
     back = docs.withColumn("rows", interchange.inlines_to_rows("json"))
     return back.select("doc", interchange.inlines_to_text("json").alias("markdown"), interchange.inlines_to_text("json", "text").alias("plain"), F.size("rows").alias("n_rows"), interchange.inlines_to_text(interchange.rows_to_inlines("rows"), "text").alias("again"))
 

@@ -1,5 +1,7 @@
 """What keeps the work of readers in proportion to their input: shuffles, and what a task holds at once."""
 
+from functools import lru_cache
+
 import pytest
 
 from docloom.functions.batches import BATCH_BYTES
@@ -21,3 +23,10 @@ def test_asts_are_taken_apart_one_at_a_time(spark):
     assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == BATCH_BYTES
     assert {(r["doc"], r["n"], r["least"], r["most"]) for r in found.groupBy("doc").agg(F.count("*").alias("n"), F.min("element_order").alias("least"), F.max("element_order").alias("most")).collect()} == {(1, 12_001, 0, 12_000), (3, 12_001, 0, 12_000)}
+
+
+def test_inlines_asked_for_in_two_modes_are_taken_apart_once(monkeypatch):
+    calls = []
+    monkeypatch.setattr(interchange, "_kept_rows", lru_cache(8)(lambda text: calls.append(text) or [("inline", "text", "a", 1, "text", [], 0)]))
+    assert interchange.inline_rows('[{"t":"Str","c":"a"}]') == interchange.inline_rows('[{"t":"Str","c":"a"}]')
+    assert len(calls) == 1
