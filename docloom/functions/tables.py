@@ -6,11 +6,12 @@ import csv
 import io
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import small_batches
 from .text import CELL_FORMS
 
 _CONTENT = "headers array<string>, rows array<array<string>>"
@@ -70,11 +71,11 @@ def parse_embedded(text: str, format: str) -> tuple[str | None, str | None]:
     return json.dumps({"headers": headers, "rows": rows}, ensure_ascii=False, separators=(",", ":")), None
 
 
-@F.pandas_udf(T.StructType([T.StructField("content", T.StringType()), T.StructField("error", T.StringType())]))
-def embedded_to_table(text: pd.Series, format: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(T.StructType([T.StructField("content", T.StringType()), T.StructField("error", T.StringType())]))
+def embedded_to_table(text: pa.Array, format: pa.Array) -> pa.Array:
     """struct<content, error> of embedded texts; both null for a null text."""
-    made = [(None, None) if t is None else parse_embedded(t, f) for t, f in zip(text, format, strict=True)]
-    return pd.DataFrame(made, columns=["content", "error"])
+    made = (parse_embedded(t.as_py(), f.as_py()) if t.is_valid else (None, None) for t, f in zip(text, format, strict=True))  # one text at a time
+    return pa.array(({"content": content, "error": error} for content, error in made), pa.struct([("content", pa.string()), ("error", pa.string())]))
 
 
 def parse_embedded_blocks(blocks: DataFrame, formats: tuple[str, ...] = EMBEDDED_FORMATS) -> DataFrame:
@@ -85,7 +86,7 @@ def parse_embedded_blocks(blocks: DataFrame, formats: tuple[str, ...] = EMBEDDED
     """
     language = F.lower(F.try_element_at("attributes", F.lit("language")))
     is_one = F.coalesce((F.col("kind") == "block") & (F.col("element_type") == "code") & language.isin(*formats) & ~F.map_contains_key("attributes", F.lit("parse_error")), F.lit(False))
-    rows = blocks.withColumn("_one", is_one).withColumn("_made", embedded_to_table(F.when(F.col("_one"), F.coalesce("content", F.lit(""))), language))
+    rows = small_batches(blocks).withColumn("_one", is_one).withColumn("_made", embedded_to_table(F.when(F.col("_one"), F.coalesce("content", F.lit(""))), language))
     good, bad = F.col("_one") & F.col("_made.content").isNotNull(), F.col("_one") & F.col("_made.content").isNull()
     more = F.when(good, F.create_map(F.lit("source_text"), "content")).when(bad, F.create_map(F.lit("parse_error"), "_made.error")).otherwise(F.create_map().cast("map<string,string>"))
     own = F.map_filter("attributes", lambda k, v: ~k.isin("source_text", "parse_error") | ~F.col("_one"))

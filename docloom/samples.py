@@ -8,6 +8,7 @@ digits and other punctuation stay.
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable
 from xml.sax.saxutils import escape
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .functions.batches import small_batches
+
 HEADING, ITEM, NUMBERED, QUOTE, CODE, TABLE, MARKED = range(7)
 #: Signs that some format gives a meaning to.
 SIGNS = r"[\\|\"{}<>\[\]*_`~^$#&%=+@!:;/]"
@@ -146,11 +149,19 @@ def _epub(lines: list[dict]) -> bytes:
     return _zipped({"META-INF/container.xml": '<container><rootfiles><rootfile full-path="OPS/package.opf"/></rootfiles></container>', "OPS/package.opf": package, "OPS/text/a.xhtml": page(body[:half]), "OPS/text/two b.xhtml": page(body[half:])})
 
 
+#: Signs that RTF has no other way to write.
+_NOT_RTF = re.compile(r"[^ -\x7f]+|[\\{}]+")
+
+
 def _rtf(lines: list[dict]) -> bytes:
     def plain(text: str) -> str:
-        units = text.encode("utf-16-le")
-        points = [int.from_bytes(units[k : k + 2], "little") for k in range(0, len(units), 2)]
-        return "".join(chr(c) if 32 <= c < 128 and chr(c) not in "\\{}" else f"\\{chr(c)}" if c < 128 and chr(c) in "\\{}" else f"\\u{c - 65536 if c > 32767 else c}?" for c in points)
+        return _NOT_RTF.sub(lambda m: "".join(map(escaped, m[0])), text)
+
+    def escaped(sign: str) -> str:
+        if sign in "\\{}":
+            return f"\\{sign}"
+        units = sign.encode("utf-16-le")
+        return "".join(f"\\u{int.from_bytes(units[k : k + 2], 'little', signed=True)}?" for k in range(0, len(units), 2))
 
     body = []
     for x in lines:
@@ -171,9 +182,9 @@ def sample_files(docs: DataFrame, format: str, by: str = "doc") -> DataFrame:
 
     @F.arrow_udf("binary")  # made on the driver, for this format
     def made(lines: pa.Array) -> pa.Array:
-        return pa.array([_FILES[format](x) for x in lines.to_pylist()], pa.binary())
+        return pa.array((_FILES[format](x.as_py()) for x in lines), pa.binary())  # one document at a time
 
-    rows = sample_lines(docs, format, by)
+    rows = small_batches(sample_lines(docs, format, by))
     return rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("n", "k", "rank", "clean", "raw"))).alias("lines")).select(by, made("lines").alias("bytes"))
 
 

@@ -5,7 +5,9 @@ from functools import lru_cache
 import pytest
 
 from docloom.functions.batches import BATCH_BYTES
-from docloom.sources import interchange, lines
+from docloom import samples
+from docloom.functions import tables
+from docloom.sources import archives, interchange, lines, rtf
 from pyspark.sql import functions as F
 
 
@@ -30,3 +32,20 @@ def test_inlines_asked_for_in_two_modes_are_taken_apart_once(monkeypatch):
     monkeypatch.setattr(interchange, "_kept_rows", lru_cache(8)(lambda text: calls.append(text) or [("inline", "text", "a", 1, "text", [], 0)]))
     assert interchange.inline_rows('[{"t":"Str","c":"a"}]') == interchange.inline_rows('[{"t":"Str","c":"a"}]')
     assert len(calls) == 1
+
+
+@pytest.mark.parametrize("format", ["docx", "odt", "epub", "rtf"])
+def test_containers_are_made_and_read_in_small_batches(spark, format):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    files = samples.sample_files(spark.createDataFrame([(1, "Ein \\{Satz} “mit” 𝔸\n\n\n\ncode  x y"), (2, None)], "doc long, text string"), format)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == BATCH_BYTES
+    blocks = rtf.read_rtf(files.select("doc", F.col("bytes").cast("string").alias("text"))) if format == "rtf" else archives.read_archives(files, format)
+    assert "MapInArrow" in blocks._jdf.queryExecution().executedPlan().toString()
+    said = [r["content"] for r in blocks.where("kind = 'block'").orderBy("element_order").collect()]
+    assert said[0] == "Ein Satz “mit” 𝔸" and len(said) == 2 and said[1].split() == ["code", "x", "y"]
+
+
+def test_embedded_tables_are_read_in_small_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    tables.parse_embedded_blocks(spark.createDataFrame([], "doc long, kind string, element_type string, content string, level int, encoding string, attributes map<string,string>, element_order int"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == BATCH_BYTES
