@@ -81,11 +81,13 @@ def mark_runs(wholes: tuple[int, ...] = (), groups: tuple[int, ...] = ()):
     they are one text, whose run is then `taken`. A text is looked at by itself, so rows may come in any order.
     """
 
-    def pairs(opens: list[int], closes: list[int], twin: list[int], nests: list[int], at: list[int]) -> list[tuple[int, int]]:
+    def pairs(row_of: list[int], opens: list[int], closes: list[int], twin: list[int], nests: list[int], at: list[int]) -> list[tuple[int, int]]:
         stack: list[tuple[int, int]] = []
         open_of: dict[int, int] = {}
-        found = []
-        for k, new, own, second, on in zip(at, opens, closes, twin, nests, strict=True):
+        found, last = [], -1
+        for row, k, new, own, second, on in zip(row_of, at, opens, closes, twin, nests, strict=True):
+            if row != last:
+                stack, open_of, last = [], {}, row
             empty = bool(stack) and stack[-1][0] in (own, second) and stack[-1][1] == k - 1
             if own >= 0 and not empty and (open_of.get(own) or open_of.get(second)):
                 while True:
@@ -108,13 +110,11 @@ def mark_runs(wholes: tuple[int, ...] = (), groups: tuple[int, ...] = ()):
         role[np.isin(what, wholes)] = WHOLE
         marks = np.flatnonzero((opens >= 0) | (closes >= 0))
         row_of = np.searchsorted(bounds, marks, "right") - 1
-        cuts = np.flatnonzero(np.diff(row_of)) + 1
-        for some in np.split(marks, cuts) if len(marks) > 1 else ():
-            if len(some) > 1:
-                for opener, closer in pairs(*(x[some].tolist() for x in (opens, closes, twin, np.maximum(nests, 0))), some.tolist()):
-                    grouped = what[opener] in groups
-                    role[opener], role[closer] = (TEXT, TEXT) if grouped else (OPENER, CLOSER)
-                    closing[opener] = closer
+        found = np.array(pairs(*(x.tolist() for x in (row_of, opens[marks], closes[marks], twin[marks], np.maximum(nests[marks], 0), marks))), np.int64).reshape(-1, 2)
+        opener, closer = found[:, 0], found[:, 1]
+        grouped = np.isin(what[opener], groups)
+        role[opener], role[closer] = np.where(grouped, TEXT, OPENER), np.where(grouped, TEXT, CLOSER)
+        closing[opener] = closer
         step = (role == OPENER).astype(np.int64) - (role == CLOSER)
         depth = np.cumsum(step) - (role == OPENER)  # all that is opened in a text is closed in it
         is_text = role == TEXT

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import file_queries, samples
@@ -129,10 +129,14 @@ def _notebooks(spark, sf_dir):
 
 def _expanded(spark, sf_dir):
     """Notebooks whose markdown cells are headings, items and paragraphs, with the blocks of these in their place."""
-    docs = samples.sample_lines(_docs(spark, sf_dir), "markdown")
-    source = F.when(F.col("k") == samples.HEADING, F.concat(F.repeat(F.lit("#"), F.col("rank")), F.lit(" "), "clean")).when(F.col("k") == samples.ITEM, F.concat(F.lit("- "), "clean")).otherwise(F.concat(F.lit("So "), "clean"))
-    cell = F.struct("n", F.struct(F.when(F.col("k") == samples.CODE, "code").otherwise("markdown").alias("cell_type"), F.when(F.col("k") == samples.CODE, F.col("raw")).otherwise(source).alias("source")).alias("cell"))
-    made = docs.groupBy("doc").agg(F.array_sort(F.collect_list(cell)).alias("cells")).select("doc", F.to_json(F.struct(F.transform("cells", lambda x: x["cell"]).alias("cells"))).alias("text"))
+    docs = samples.with_lines(_docs(spark, sf_dir), "markdown")
+
+    def cell(x: Column) -> Column:
+        source = F.when(x["k"] == samples.HEADING, F.concat(F.repeat(F.lit("#"), x["rank"]), F.lit(" "), x["clean"])).when(x["k"] == samples.ITEM, F.concat(F.lit("- "), x["clean"])).otherwise(F.concat(F.lit("So "), x["clean"]))
+        is_code = x["k"] == samples.CODE
+        return F.struct(F.when(is_code, "code").otherwise("markdown").alias("cell_type"), F.when(is_code, x["raw"]).otherwise(source).alias("source"))
+
+    made = docs.select("doc", F.to_json(F.struct(F.transform("lines", cell).alias("cells"))).alias("text"))
     return st.expand_embedded(notebooks.read_notebooks(made)).select("doc", "element_type", "content", "level", "element_order", st.attribute("heading_level").alias("heading_level"))
 
 

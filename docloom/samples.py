@@ -13,8 +13,9 @@ import zipfile
 from collections.abc import Callable
 from xml.sax.saxutils import escape
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.batches import small_batches
@@ -26,67 +27,70 @@ SIGNS = r"[\\|\"{}<>\[\]*_`~^$#&%=+@!:;/]"
 MORE_SIGNS = {"textile": "[-]", "latex": "[-']", "mediawiki": "[']"}
 
 
-def sample_lines(docs: DataFrame, format: str, by: str = "doc", text: str = "text") -> DataFrame:
-    """(doc, n, k, rank, clean, raw): lines that aren't empty, what each becomes, and its text with and without signs."""
-    rows = docs.select(by, F.posexplode(F.split(text, "\n")).alias("n", "raw"))
-    clean = F.regexp_replace("raw", SIGNS, "")
-    if format in MORE_SIGNS:
-        clean = F.regexp_replace(clean, MORE_SIGNS[format], "")
-    rows = rows.withColumn("clean", F.trim(F.regexp_replace(clean, r"\s+", " "))).where("clean <> ''").withColumn("k", (F.col("n") % 7).cast("int"))
-    again = F.lag("k").over(Window.partitionBy(by).orderBy("n")) == F.col("k")
-    k = F.when((F.col("k") == CODE) & F.coalesce(again, F.lit(False)), MARKED).otherwise(F.col("k"))  # two in a row would be one
-    return rows.select(by, "n", k.cast("int").alias("k"), (1 + F.floor(F.col("n") / 7) % 2).cast("int").alias("rank"), "clean", F.trim("raw").alias("raw"))
+def with_lines(docs: DataFrame, format: str, by: str = "doc", text: str = "text") -> DataFrame:
+    """(doc, lines): of each document with a text its lines that aren't empty, array<struct<n, k, rank, clean, raw>>.
 
+    `k` is what a line becomes, `clean` and `raw` are its text without and with signs. A document is cut within its row,
+    so that nothing is shuffled for it.
+    """
+    signs = "[" + MORE_SIGNS.get(format, "[]")[1:-1] + SIGNS[1:]
+    clean = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, signs, ""), r"[^\S ]\s*| \s+", " "))
+    cut = F.transform(F.split(text, "\n"), lambda x, n: F.struct(n.alias("n"), x.alias("raw"), clean(x).alias("clean")))
+    rows = docs.where(F.col(text).isNotNull()).select(by, F.filter(cut, lambda x: x["clean"] != "").alias("_cut"))
 
-def _text(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    def one(x: Column, at: Column) -> Column:
+        k, before = x["n"] % 7, F.get("_cut", at - 1)["n"] % 7
+        k = F.when((k == CODE) & F.coalesce(before == CODE, F.lit(False)), MARKED).otherwise(k)  # two in a row would be one
+        return F.struct(x["n"].alias("n"), k.cast("int").alias("k"), (1 + F.floor(x["n"] / 7) % 2).cast("int").alias("rank"), x["clean"].alias("clean"), F.trim(x["raw"]).alias("raw"))
 
+    return rows.select(by, F.transform("_cut", one).alias("lines"))
 
 
+def _text(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
-def _N() -> Column:
-    return F.col("n").cast("string")
 
 
-_MARKUP: dict[str, Callable[[Column, Column, Column], dict[int, Column]]] = {
-    "org": lambda t, raw, rank: {
+_MARKUP: dict[str, Callable[[Column, Column, Column, Column], dict[int, Column]]] = {
+    "org": lambda t, raw, rank, n: {
         HEADING: _text(F.repeat(F.lit("*"), rank), " ", t), ITEM: _text("- ", t), NUMBERED: _text("3. ", t), QUOTE: _text("#+BEGIN_QUOTE\n", t, "\n#+END_QUOTE"), CODE: _text("#+BEGIN_SRC python\n", raw, "\n#+END_SRC"),
-        TABLE: _text("| key | text |\n|-----+------|\n| ", _N(), " | ", t, " |"), MARKED: _text("So ", t, " *strong* end"),
+        TABLE: _text("| key | text |\n|-----+------|\n| ", n, " | ", t, " |"), MARKED: _text("So ", t, " *strong* end"),
     },
-    "rst": lambda t, raw, rank: {
+    "rst": lambda t, raw, rank, n: {
         HEADING: _text(t, "\n", F.repeat(F.element_at(F.array(F.lit("="), F.lit("-")), rank), F.greatest(F.length(t), F.lit(4)))), ITEM: _text("* ", t), NUMBERED: _text("3. ", t), QUOTE: _text("It says\n\n    ", F.regexp_replace(t, r"^(\w+)([.)]\s)", r"$1\\$2")), CODE: _text(".. code-block:: python\n\n    ", raw),
-        TABLE: _text("===  ====\nkey  text\n===  ====\n", _N(), "  ", t, "\n===  ===="), MARKED: _text("So ", t, " **strong** end"),
+        TABLE: _text("===  ====\nkey  text\n===  ====\n", n, "  ", t, "\n===  ===="), MARKED: _text("So ", t, " **strong** end"),
     },
-    "mediawiki": lambda t, raw, rank: {
+    "mediawiki": lambda t, raw, rank, n: {
         HEADING: _text(F.repeat(F.lit("="), rank), " ", t, " ", F.repeat(F.lit("="), rank)), ITEM: _text("* ", t), NUMBERED: _text("# ", t), QUOTE: _text("<blockquote>\n", t, "\n</blockquote>"), CODE: _text('<syntaxhighlight lang="python">\n', raw, "\n</syntaxhighlight>"),
-        TABLE: _text("{|\n! key !! text\n|-\n| ", _N(), " || ", t, "\n|}"), MARKED: _text("So ", t, " '''strong''' end"),
+        TABLE: _text("{|\n! key !! text\n|-\n| ", n, " || ", t, "\n|}"), MARKED: _text("So ", t, " '''strong''' end"),
     },
-    "textile": lambda t, raw, rank: {
-        HEADING: _text("h", rank.cast("string"), ". ", t), ITEM: _text("* ", t), NUMBERED: _text("# ", t), QUOTE: _text("bq. ", t), CODE: _text("bc(python). ", raw), TABLE: _text("|_. key|_. text|\n|", _N(), "|", t, "|"), MARKED: _text("So ", t, " *strong* end"),
+    "textile": lambda t, raw, rank, n: {
+        HEADING: _text("h", rank.cast("string"), ". ", t), ITEM: _text("* ", t), NUMBERED: _text("# ", t), QUOTE: _text("bq. ", t), CODE: _text("bc(python). ", raw), TABLE: _text("|_. key|_. text|\n|", n, "|", t, "|"), MARKED: _text("So ", t, " *strong* end"),
     },
-    "latex": lambda t, raw, rank: {
+    "latex": lambda t, raw, rank, n: {
         HEADING: _text("\\", F.repeat(F.lit("sub"), rank - 1), "section{", t, "}"), ITEM: _text("\\begin{itemize}\n\\item ", t, "\n\\end{itemize}"), NUMBERED: _text("\\begin{enumerate}\n\\item ", t, "\n\\end{enumerate}"), QUOTE: _text("\\begin{quote}\n", t, "\n\\end{quote}"),
-        CODE: _text("\\begin{lstlisting}[language=python]\n", raw, "\n\\end{lstlisting}"), TABLE: _text("\\begin{tabular}{ll}\n\\hline\nkey & text \\\\\n\\hline\n", _N(), " & ", t, " \\\\\n\\end{tabular}"), MARKED: _text("So ", t, " \\textbf{strong} end"),
+        CODE: _text("\\begin{lstlisting}[language=python]\n", raw, "\n\\end{lstlisting}"), TABLE: _text("\\begin{tabular}{ll}\n\\hline\nkey & text \\\\\n\\hline\n", n, " & ", t, " \\\\\n\\end{tabular}"), MARKED: _text("So ", t, " \\textbf{strong} end"),
     },
-    "markdown": lambda t, raw, rank: {
-        HEADING: _text(F.repeat(F.lit("#"), rank), " ", t), ITEM: _text("- ", t), NUMBERED: _text("3. ", t), QUOTE: _text("> ", t), CODE: _text("```python\n", raw, "\n```"), TABLE: _text("| key | text |\n|-----|------|\n| ", _N(), " | ", t, " |"), MARKED: _text("So ", t, " **strong** end"),
+    "markdown": lambda t, raw, rank, n: {
+        HEADING: _text(F.repeat(F.lit("#"), rank), " ", t), ITEM: _text("- ", t), NUMBERED: _text("3. ", t), QUOTE: _text("> ", t), CODE: _text("```python\n", raw, "\n```"), TABLE: _text("| key | text |\n|-----|------|\n| ", n, " | ", t, " |"), MARKED: _text("So ", t, " **strong** end"),
     },
-    "html": lambda t, raw, rank: {
+    "html": lambda t, raw, rank, n: {
         HEADING: _text("<h", rank.cast("string"), ">", t, "</h", rank.cast("string"), ">"), ITEM: _text("<ul><li>", t, "</li></ul>"), NUMBERED: _text("<ol><li><p>", t, "</p></li></ol>"), QUOTE: _text("<blockquote><p>", t, "</p></blockquote>"),
-        CODE: _text("<pre>", F.replace(F.replace(F.replace(raw, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&#62;")), "</pre>"), TABLE: _text("<table><tr><th>key</th><th>text</th></tr><tr><td>", _N(), "</td><td>", t, "</td></tr></table>"), MARKED: _text("<p>So ", t, " <b>strong</b> end</p>"),
+        CODE: _text("<pre>", F.replace(F.replace(F.replace(raw, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&#62;")), "</pre>"), TABLE: _text("<table><tr><th>key</th><th>text</th></tr><tr><td>", n, "</td><td>", t, "</td></tr></table>"), MARKED: _text("<p>So ", t, " <b>strong</b> end</p>"),
     },
 }
 
 
 def sample_texts(docs: DataFrame, format: str, by: str = "doc") -> DataFrame:
-    """(doc, text): documents in a line format."""
-    rows = sample_lines(docs, format, by)
-    forms = _MARKUP[format](F.col("clean"), F.col("raw"), F.col("rank"))
-    made = F.lit("")
-    for k, form in forms.items():
-        made = F.when(F.col("k") == k, form).otherwise(made)
-    line = rows.select(by, F.struct("n", made.alias("line")).alias("x"))
-    return line.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n\n").alias("text"))
+    """(doc, text): documents in a line format; empty if none of a document's lines has a text."""
+
+    def made(x: Column) -> Column:
+        out = F
+        for k, form in _MARKUP[format](x["clean"], x["raw"], x["rank"], x["n"].cast("string")).items():
+            out = out.when(x["k"] == k, form)
+        return out.otherwise("")
+
+    return with_lines(docs, format, by).select(by, F.array_join(F.transform("lines", made), "\n\n").alias("text"))
 
 
 def _zipped(members: dict[str, str]) -> bytes:
@@ -178,14 +182,17 @@ _FILES = {"docx": _docx, "odt": _odt, "epub": _epub, "rtf": _rtf}
 
 
 def sample_files(docs: DataFrame, format: str, by: str = "doc") -> DataFrame:
-    """(doc, bytes): documents as files of a container format or RTF."""
+    """(doc, bytes): documents as files of a container format or RTF; null if none of a document's lines has a text."""
 
     @F.arrow_udf("binary")  # made on the driver, for this format
     def made(lines: pa.Array) -> pa.Array:
-        return pa.array((_FILES[format](x.as_py()) for x in lines), pa.binary())  # one document at a time
+        cut = lines.flatten()
+        fields = [cut.field(k) for k in range(cut.type.num_fields)]
+        names, bounds = [f.name for f in cut.type], [0, *np.cumsum(lines.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()]
+        of = lambda a, b: [dict(zip(names, x, strict=True)) for x in zip(*(f.slice(a, b - a).to_pylist() for f in fields), strict=True)]
+        return pa.array((_FILES[format](of(a, b)) if b > a else None for a, b in zip(bounds, bounds[1:])), pa.binary())  # one document at a time
 
-    rows = small_batches(sample_lines(docs, format, by))
-    return rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("n", "k", "rank", "clean", "raw"))).alias("lines")).select(by, made("lines").alias("bytes"))
+    return small_batches(with_lines(docs, format, by)).select(by, made("lines").alias("bytes"))
 
 
 # the rows that readers must find, in SQL

@@ -94,7 +94,9 @@ def with_pieces(rows: DataFrame, marks: Marks, shown: Callable[[Column], Column]
     plain = plain_piece(F.when(read, shown(source)).otherwise(source))
     if not inlines:
         return rows.withColumn("pieces", plain).drop(text, marked)
-    tokens = F.when(read & source.isNotNull(), F.regexp_extract_all(source, F.lit(_token_pattern(marks)), F.lit(1)))
+    # most texts have no sign that begins a mark; these aren't cut
+    any_mark = source.isNotNull() & ~source.rlike(f"(?s)^(?:{marks.plain})$")
+    tokens = F.when(read & any_mark, F.regexp_extract_all(source, F.lit(_token_pattern(marks)), F.lit(1)))
     families = list(dict.fromkeys(x.family or x.opening for x in inlines if x.opening))
     own = lambda x: families.index(x.family or x.opening)
     null = F.lit(None).cast("int")

@@ -49,3 +49,15 @@ def test_embedded_tables_are_read_in_small_batches(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     tables.parse_embedded_blocks(spark.createDataFrame([], "doc long, kind string, element_type string, content string, level int, encoding string, attributes map<string,string>, element_order int"))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == BATCH_BYTES
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("format", ["org", "html", "docx"])
+def test_samples_are_made_without_a_shuffle(spark, format):
+    docs = spark.createDataFrame([(1, "a\n\n b  c\n"), (2, None), (3, "  ")], "doc long, text string")
+    made = samples.sample_files(docs, format) if format == "docx" else samples.sample_texts(docs, format)
+    assert "Exchange" not in _plan(made)
+    assert {r["doc"]: bool(r[1]) for r in made.collect()} == {1: True, 3: False}
