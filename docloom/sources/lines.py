@@ -71,17 +71,18 @@ class LineFormat:
     shown: Callable[[Column], Column] = lambda text: text  # a text with escapes undone
     item_depth: Callable[[Column], Column] = lambda marks: F.greatest(marks, F.lit(1))
     continues: bool = False  # indented lines go on with the item before them
+    order: tuple[str, ...] = ("n",)  # the order of prepared lines: that of `n`, after a column that never falls along it and that windows go by, so that lines aren't sorted again
 
 
 MERGED = ("para", "quote", "table", "bar", "code", "raw")
 
 
-def _along(by: str) -> Window:
-    return Window.partitionBy(by).orderBy("n")
+def _along(by: str, order: tuple[str, ...] = ("n",)) -> Window:
+    return Window.partitionBy(by).orderBy(*order)
 
 
-def _so_far(by: str) -> Window:
-    return _along(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _so_far(by: str, order: tuple[str, ...] = ("n",)) -> Window:
+    return _along(by, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def _fenced(rows: DataFrame, fmt: LineFormat, by: str) -> DataFrame:
@@ -94,15 +95,16 @@ def _fenced(rows: DataFrame, fmt: LineFormat, by: str) -> DataFrame:
     if fmt.alternating:
         rows = rows.withColumn("_turn", F.sum(F.when(opens, 1).otherwise(0)).over(_so_far(by)) % 2)
         opens, closes = opens & (F.col("_turn") == 1), opens & (F.col("_turn") == 0)
-    rows = rows.withColumn("_o", F.sum(F.when(opens, 1).otherwise(0)).over(_so_far(by))).withColumn("_c", F.sum(F.when(closes, 1).otherwise(0)).over(_so_far(by)))
+    rows = rows.withColumn("_step", F.when(opens, 1).otherwise(0) - F.when(closes, 1).otherwise(0)).withColumn("_depth", F.sum("_step").over(_so_far(by)))
     # a closing mark too many closes nothing
-    rows = rows.withColumn("_depth", F.col("_o") - F.col("_c")).withColumn("_least", F.least(F.min("_depth").over(_so_far(by)), F.lit(0)))
-    rows = rows.withColumn("_in", (F.col("_depth") - F.col("_least")) > 0).withColumn("_was", F.coalesce(F.lag("_in").over(_along(by)), F.lit(False)))
+    least = lambda end: F.least(F.min("_depth").over(_along(by).rowsBetween(Window.unboundedPreceding, end)), F.lit(0))
+    rows = rows.withColumns({"_least": least(Window.currentRow), "_least_before": least(-1)})
+    rows = rows.withColumn("_in", F.col("_depth") > F.col("_least")).withColumn("_was", F.col("_depth") - F.col("_step") > F.col("_least_before"))
     begins = F.col("_in") & ~F.col("_was")
     rows = rows.withColumn("_region", F.last(F.when(begins, F.struct("n", "line")), ignorenulls=True).over(_so_far(by)))
     rows = rows.withColumn("_edge", F.col("_in") != F.col("_was")).withColumn("_opening", F.col("_region.line"))
     rows = rows.withColumn("_fence", F.when(F.col("_in") | F.col("_was"), F.col("_region.n") + 1).otherwise(0).cast("long"))
-    return rows.drop("_o", "_c", "_depth", "_least", "_in", "_was", "_region", "_turn")
+    return rows.drop("_step", "_depth", "_least", "_least_before", "_in", "_was", "_region", "_turn")
 
 
 def classify(docs: DataFrame, fmt: LineFormat, by: str = "doc", text: str = "text") -> DataFrame:
@@ -164,7 +166,7 @@ def classify(docs: DataFrame, fmt: LineFormat, by: str = "doc", text: str = "tex
 def records(docs: DataFrame, fmt: LineFormat, by: str = "doc", text: str = "text") -> DataFrame:
     """The records of documents in one of the line formats, with texts for pieces: `_text`, and whether it may have marks."""
     rows = classify(docs, fmt, by, text).where("what <> 'gone'")
-    order = _along(by)
+    order = _along(by, fmt.order)
     same = lambda c: F.coalesce(F.lag(c).over(order) == F.col(c), F.lit(False))
     kindred = F.when(F.col("what") == "bar", "table").otherwise(F.col("what"))
     rows = rows.withColumn("_kin", kindred)

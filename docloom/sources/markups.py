@@ -97,10 +97,10 @@ def _org(rows: DataFrame, by: str) -> DataFrame:
     """Quote blocks hold quotes; a heading takes its id from the drawer right below it."""
     # of a drawer, the number of its region says where it begins
     custom = F.nullif(F.regexp_extract("line", r"^\s*:(?i:CUSTOM_ID):\s*(\S+)", 1), F.lit(""))
-    in_drawer = (F.col("fence") > 0) & F.col("_opening").rlike(r"^\s*:(?i:PROPERTIES):\s*$") & custom.isNotNull()
+    in_drawer = (F.col("fence") > 0) & F.col("_opening").rlike(r"^\s*:(?i:PROPERTIES):\s*$")
     rows = rows.withColumn("_of", F.when(in_drawer, F.col("fence") - 2).otherwise(F.col("n"))).withColumn("_custom", F.when(in_drawer, custom))
     named = F.when((F.col("what") == "heading"), F.max("_custom").over(Window.partitionBy(by, "_of")))
-    rows = rows.withColumn("_custom", named).withColumn("ident", F.coalesce("_custom", "ident")).drop("_custom", "_of")
+    rows = rows.withColumn("_custom", named).withColumn("ident", F.coalesce("_custom", "ident")).drop("_custom")
     return rows.withColumn("what", F.when((F.col("_quote") > 0) & (F.col("what") == "para"), "quote").otherwise(F.col("what")))
 
 
@@ -136,7 +136,7 @@ ORG = LineFormat(
         ),
         plain=r"[^\[\]*/_=~+]++",
     ),
-    table=_pipes, prepared=_org, continues=True, item_depth=lambda marks: 1 + F.floor(marks / 2),
+    table=_pipes, prepared=_org, order=("_of", "n"), continues=True, item_depth=lambda marks: 1 + F.floor(marks / 2),
 )
 
 
@@ -144,6 +144,7 @@ ORG = LineFormat(
 
 _ADORNMENT = r"^([=\-~^\"'#*+`:.<>_])\1{2,}\s*$"
 _BORDER = r"^=+\s+=[=\s]*$"
+_HANGING = ("_hang", "n")
 
 
 def _rst(rows: DataFrame, by: str) -> DataFrame:
@@ -158,18 +159,16 @@ def _rst(rows: DataFrame, by: str) -> DataFrame:
     rows = rows.withColumn("_titled", F.coalesce(titled, F.lit(False)) & ~blank).withColumn("_mark", F.when(F.col("_titled"), F.concat(F.substring(below, 1, 1), over.cast("string"))))
     rows = rows.withColumn("_adorns", is_mark(line) & (F.coalesce(F.lag("_titled").over(order), F.lit(False)) | F.coalesce(F.lead("_titled").over(order) & is_mark(after), F.lit(False))))
     # of the marks of a document, the rank is the order of first appearance
-    rows = rows.withColumn("_marks", F.collect_set(F.when(F.col("_mark").isNotNull(), F.col("_mark"))).over(Window.partitionBy(by)))
-    first = F.when(F.col("_mark").isNotNull(), F.min("n").over(Window.partitionBy(by, "_mark")))
-    rows = rows.withColumn("_first", first)
-    rows = rows.withColumn("_rank", F.when(F.col("_mark").isNotNull(), F.size(F.filter(F.collect_set("_first").over(Window.partitionBy(by)), lambda x: x <= F.col("_first")))))
+    seen = F.collect_set("_mark").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_new", F.when(F.col("_mark").isNotNull() & ~F.array_contains(seen, F.col("_mark")), F.col("_mark"))).withColumn("_marks", F.collect_list("_new").over(so_far))
+    rows = rows.withColumn("_rank", F.when(F.col("_mark").isNotNull(), F.array_position("_marks", F.col("_mark")).cast("int"))).drop("_marks", "_new")
     what = F.when(F.col("_titled"), "heading").when(F.col("_adorns"), "skip").when(is_mark(line) & ~blank & ~line.rlike(_BORDER), "hr").otherwise(F.col("what"))
     rows = rows.withColumn("what", what).withColumn("body", F.when(F.col("_titled"), F.trim(line)).otherwise(F.col("body"))).withColumn("rank", F.coalesce("_rank", "rank"))
     # columns between borders
     bordered = F.col("what") == "bar"
     simple = bordered & line.rlike(_BORDER)
-    rows = rows.withColumn("_part", F.sum(F.when(blank, 1).otherwise(0)).over(so_far))
-    part = Window.partitionBy(by, "_part").orderBy("n")
-    rows = rows.withColumn("_borders", F.sum(F.when(simple, 1).otherwise(0)).over(part.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.withColumn("_bars", F.sum(F.when(simple, 1).otherwise(0)).over(so_far))
+    rows = rows.withColumn("_borders", F.col("_bars") - F.coalesce(F.last(F.when(blank, F.col("_bars")), ignorenulls=True).over(so_far), F.lit(0)))
     in_simple = (F.col("_borders") > 0) & ~F.col("what").isin("bar", "blank")
     rows = rows.withColumn("body", F.when(in_simple, line).otherwise(F.col("body"))).withColumn("what", F.when(in_simple, "table").otherwise(F.col("what")))
     # the line that an indented line hangs on
@@ -183,12 +182,16 @@ def _rst(rows: DataFrame, by: str) -> DataFrame:
     )
     own = F.struct("n", kind.alias("kind"), F.regexp_extract(line, directive, 2).alias("argument"))
     rows = rows.withColumn("_indent", F.when(~blank, indent)).withColumn("_owner", F.last(F.when(~blank & (indent == 0), own), ignorenulls=True).over(so_far))
+    # what hangs on one line stands together: from here on windows go by that line first, for one sort more
+    rows = rows.withColumn("_hang", F.coalesce("_owner.n", F.lit(-1)))
+    order, so_far, of_owner = _along(by, _HANGING), _so_far(by, _HANGING), Window.partitionBy(by, "_hang")
+    below = F.lead("line").over(order)
     hangs, owner = ~blank & (F.col("_indent") > 0), F.col("_owner.kind")
     is_code = owner.isin("code-block", "code", "sourcecode", "literal", "parsed-literal", "highlight", "math")
     option = line.rlike(r"^\s+:[\w-]+:(\s|$)")
     is_directive = owner.rlike(r"^[\w:-]+$") & ~owner.isin("text", "item", "literal", "comment", "field")
     top = ~blank & (F.col("_indent") == 0)
-    rows = rows.withColumn("_least", F.min(F.when(hangs, F.col("_indent"))).over(Window.partitionBy(by, F.col("_owner.n"))))
+    rows = rows.withColumn("_least", F.min(F.when(hangs, F.col("_indent"))).over(of_owner))
     dedented = F.expr("substring(line, _least + 1)")
     item_after = F.last(F.when(~hangs | (F.col("what") == "item") | blank, F.col("what")), ignorenulls=True).over(so_far)
     term = top & (F.col("what") == "para") & F.coalesce(below.rlike(r"^\s+\S"), F.lit(False)) & ~line.rlike(r"::\s*$") & ~line.rlike(r"^\.\.")
@@ -216,7 +219,7 @@ def _rst(rows: DataFrame, by: str) -> DataFrame:
     language = F.when(is_code & (F.col("what") == "code"), attributes(language=F.nullif(F.col("_owner.argument"), F.lit(""))))
     target = lambda pattern: F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))
     own_alt = F.when(hangs, F.nullif(F.regexp_extract(line, r"^\s+:alt:\s*(.*)$", 1), F.lit("")))
-    alt = F.min_by(own_alt, F.when(own_alt.isNotNull(), F.col("n"))).over(Window.partitionBy(by, F.col("_owner.n")))
+    alt = F.min_by(own_alt, F.when(own_alt.isNotNull(), F.col("n"))).over(of_owner)
     shown = F.col("what").isin("image", "figure")
     rows = rows.withColumn("_alt", F.when(shown, alt))
     rows = rows.withColumn(
@@ -255,14 +258,18 @@ def _noted(blocks: DataFrame, by: str) -> DataFrame:
     is_ref = (F.col("kind") == "inline") & (F.col("element_type") == "note")
     is_body = F.coalesce((F.col("element_type") == "div") & (has("source_type") == "footnote"), F.lit(False))
     rows = blocks.withColumns({"_role": F.when(is_ref, 1).when(is_body, 2), "_label": has("id")})
-    of_label = Window.partitionBy(by, "_role", "_label").orderBy("element_order")
     auto = F.col("_role").isNotNull() & F.col("_label").isin("#", "*")
-    rows = rows.withColumn("_place", F.row_number().over(of_label)).withColumn("_label", F.when(auto, F.concat("_label", F.col("_place").cast("string"))).otherwise(F.col("_label")))
+    place = F.lit(None).cast("long")
+    for role in (1, 2):
+        for label in ("#", "*"):
+            own = auto & (F.col("_role") == role) & (F.col("_label") == label)
+            place = F.when(own, F.sum(F.when(own, 1).otherwise(0)).over(so_far)).otherwise(place)
+    rows = rows.withColumn("_place", place).withColumn("_label", F.when(auto, F.concat("_label", F.col("_place").cast("string"))).otherwise(F.col("_label")))
     # the footnote that a row stands under, up to the next row that isn't below it
     rows = rows.withColumn("_div", F.last(F.when(F.col("_role") == 2, F.struct("element_order", "level")), ignorenulls=True).over(so_far))
     below = (F.col("element_order") == F.col("_div.element_order")) | (F.col("level") > F.col("_div.level"))
-    of_div = Window.partitionBy(by, "_div.element_order").orderBy("element_order")
-    rows = rows.withColumn("_left", F.max(F.coalesce(~below, F.lit(True))).over(of_div.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.withColumn("_out", F.max(F.when(F.coalesce(~below, F.lit(True)), F.col("element_order"))).over(so_far))
+    rows = rows.withColumn("_left", F.coalesce(F.col("_out") >= F.col("_div.element_order"), F.col("_div").isNull()))
     rows = rows.withColumn("_block", F.sum(F.when(F.col("kind") == "block", 1).otherwise(0)).over(so_far))
     said = F.collect_list(F.when(~F.col("_left") & F.col("content").isNotNull(), F.struct("element_order", "_block", "content")))
     parts = said.over(Window.partitionBy(by, "_div.element_order"))
@@ -308,7 +315,7 @@ RST = LineFormat(
         escapes=r"\\\S",
         twins=("*", 2, 1),
     ),
-    table=_by_columns, prepared=_rst, resolved=_noted, shown=lambda text: F.regexp_replace(text, r"\\(\S)", "$1"), item_depth=lambda marks: 1 + F.floor(marks / 2),
+    table=_by_columns, prepared=_rst, order=_HANGING, resolved=_noted, shown=lambda text: F.regexp_replace(text, r"\\(\S)", "$1"), item_depth=lambda marks: 1 + F.floor(marks / 2),
 )
 
 

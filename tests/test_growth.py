@@ -61,3 +61,13 @@ def test_samples_are_made_without_a_shuffle(spark, format):
     made = samples.sample_files(docs, format) if format == "docx" else samples.sample_texts(docs, format)
     assert "Exchange" not in _plan(made)
     assert {r["doc"]: bool(r[1]) for r in made.collect()} == {1: True, 3: False}
+
+
+def test_rst_lines_are_sorted_by_what_they_hang_on_once(spark):
+    text = "Over\n====\n\nsub\n~~~~\n\nAgain\n=====\n\nIt says::\n\n      deep\n    code\n\nsaid [#]_ and [#]_\n\n.. [#] one\n\n   more\n\n.. [#] two\n"
+    blocks = lines.read_lines(spark.createDataFrame([(1, text)], "doc long, text string"), "rst")
+    assert _plan(blocks).count("Sort [") <= 8
+    rows = blocks.orderBy("element_order").collect()
+    assert [(r["content"], r["attributes"]["heading_level"]) for r in rows if r["element_type"] == "heading"] == [("Over", "1"), ("sub", "2"), ("Again", "1")]
+    assert [r["content"] for r in rows if r["element_type"] == "code"] == ["  deep\ncode"]
+    assert [r["content"] for r in rows if r["element_type"] == "note"] == ["one more", "two"]
