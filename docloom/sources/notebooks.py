@@ -29,7 +29,14 @@ def read_notebooks(docs: DataFrame, by: str = "doc", text: str = "text") -> Data
     """
     parsed = docs.select(by, F.from_json(text, _NOTEBOOK).alias("nb"))
     language = F.coalesce("nb.metadata.kernelspec.language", "nb.metadata.language_info.name")
-    cells = parsed.select(by, language.alias("language"), F.posexplode("nb.cells").alias("n", "cell"))
+    authors = F.filter(F.transform("nb.metadata.authors", lambda a: a["name"]), lambda a: a.isNotNull())
+    field = lambda key, value: F.when(value.isNotNull() & (value != ""), F.array(row("value", "inlines", None, 1, own=attributes(key=F.lit(key))), row("inline", "text", value, 2))).otherwise(F.array())
+    fields = F.concat(field("title", F.col("nb.metadata.title")), field("author", F.array_join(authors, " ")), field("kernel", F.coalesce("nb.metadata.kernelspec.display_name", "nb.metadata.kernelspec.name")))
+    # the fields go after the last cell as one part more, so that a notebook is parsed once
+    part = lambda number, cell, fields: F.struct(F.lit(number).alias("part"), cell.alias("cell"), fields.alias("fields"))
+    listed = F.coalesce(F.transform("nb.cells", lambda c: part(0, c, F.lit(None))), F.array())
+    parts = F.concat(listed, F.array(part(1, F.lit(None), fields)))
+    cells = parsed.select(by, language.alias("language"), F.posexplode(parts).alias("n", "x")).select(by, "language", "n", "x.part", "x.cell", "x.fields")
     source = F.regexp_replace(_text(F.col("cell.source")), r"\n+$", "")
     kind = F.coalesce("cell.cell_type", F.lit("raw"))
     count = F.nullif(F.col("cell.execution_count"), F.lit("null"))
@@ -49,10 +56,7 @@ def read_notebooks(docs: DataFrame, by: str = "doc", text: str = "text") -> Data
             ),
         )
     )
-    blocks = cells.select(by, F.lit(0).alias("part"), "n", F.posexplode(F.concat(head, F.array(body), F.when(kind == "code", outputs).otherwise(F.array()))).alias("sub", "block"))
-    authors = F.filter(F.transform("nb.metadata.authors", lambda a: a["name"]), lambda a: a.isNotNull())
-    field = lambda key, value: F.when(value.isNotNull() & (value != ""), F.array(row("value", "inlines", None, 1, own=attributes(key=F.lit(key))), row("inline", "text", value, 2))).otherwise(F.array())
-    fields = F.concat(field("title", F.col("nb.metadata.title")), field("author", F.array_join(authors, " ")), field("kernel", F.coalesce("nb.metadata.kernelspec.display_name", "nb.metadata.kernelspec.name")))
-    meta = parsed.select(by, F.lit(1).alias("part"), F.lit(0).alias("n"), F.posexplode(fields).alias("sub", "block"))
+    made = F.when(F.col("part") == 1, F.col("fields")).otherwise(F.concat(head, F.array(body), F.when(kind == "code", outputs).otherwise(F.array())))
+    blocks = cells.select(by, "part", "n", F.posexplode(made).alias("sub", "block"))
     place = Window.partitionBy(by).orderBy("part", "n", "sub")
-    return blocks.unionByName(meta).select(by, "block.*", (F.row_number().over(place) - 1).cast("int").alias("element_order")).select(by, *BLOCK_COLUMNS)
+    return blocks.select(by, "block.*", (F.row_number().over(place) - 1).cast("int").alias("element_order")).select(by, *BLOCK_COLUMNS)
