@@ -7,7 +7,7 @@ import pytest
 from docloom.functions.batches import BATCH_BYTES
 from docloom import samples
 from docloom.functions import tables
-from docloom.sources import archives, interchange, lines, rtf
+from docloom.sources import archives, interchange, lines, notebooks, rtf
 from pyspark.sql import functions as F
 
 
@@ -71,3 +71,9 @@ def test_rst_lines_are_sorted_by_what_they_hang_on_once(spark):
     assert [(r["content"], r["attributes"]["heading_level"]) for r in rows if r["element_type"] == "heading"] == [("Over", "1"), ("sub", "2"), ("Again", "1")]
     assert [r["content"] for r in rows if r["element_type"] == "code"] == ["  deep\ncode"]
     assert [r["content"] for r in rows if r["element_type"] == "note"] == ["one more", "two"]
+
+
+def test_notebooks_are_parsed_once(spark):
+    cells = notebooks.read_notebooks(spark.createDataFrame([(1, '{"cells":[{"cell_type":"code","source":"x"}],"metadata":{"title":"T"}}'), (2, "no"), (3, None)], "doc long, text string"))
+    assert _plan(cells).count("from_json(StructField(cells") == 1
+    assert [(r["doc"], r["kind"], r["content"]) for r in cells.orderBy("element_order").collect()] == [(1, "block", None), (1, "block", "x"), (1, "value", None), (1, "inline", "T")]
