@@ -65,7 +65,13 @@ def assemble(records: DataFrame, by: str = "doc", separator: str = "-", meta_kin
     records = records.withColumn("_before", before)
     records = with_pieces(records) if with_pieces else records
     opens = is_item & ~F.col("_before").eqNullSafe(F.col("_list"))
-    rows = records.withColumn("_opens", opens).withColumn("_text", flat())
+    return laid_out(records.withColumn("_opens", opens), by, separator, meta_kind)
+
+
+def laid_out(records: DataFrame, by: str = "doc", separator: str = "-", meta_kind: str = "inlines") -> DataFrame:
+    """The block table of records that know, as `_opens`, whether they are an item that opens a list."""
+    is_item = F.col("what") == "item"
+    rows = records.withColumn("_text", flat())
     level, ordered, what, pieces = F.col("base") + 1, F.col("kind") == "ordered", F.col("what"), F.col("pieces")
     none = F.create_map().cast("map<string,string>")
     more = F.coalesce("more", none)

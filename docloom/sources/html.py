@@ -1,24 +1,22 @@
-"""Web pages as typed blocks, in built-in functions alone: sections, headings, lists, quotes, code, tables, marks.
+"""Web pages as typed blocks: sections, headings, lists, quotes, code, tables, marks.
 
-A page is cut into tags and text; running counts over its tokens say what a text stands in, and the texts between two
-block tags are the pieces of one record. `prose.read_pages` is the plainer reader that has text and sections only.
+A page is cut into tags and text within its row; running counts over its tokens say what a text stands in, and the texts
+between two block tags are the pieces of one record. What a token is goes to Python as a number, and the places of a
+record's tokens come back; texts stay in Spark. `prose.read_pages` is the plainer reader that has text and sections only.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stacks import enclosing, is_first
-from .assemble import PIECES, assemble, attributes
-from .prose import _TOKEN, SECTIONS
+from ..functions import tokens as tk
+from .assemble import PIECES, attributes, laid_out, plain_piece
+from .prose import _TOKEN
 
-# Tags by what they do, and entities by name.
-_MARKS = (("code", "code|kbd|samp|tt"), ("link", "a"), ("bold", "b|strong"), ("italic", "em|i|cite|var"), ("strikethrough", "s|del|strike"), ("underline", "u|ins"), ("superscript", "sup"), ("subscript", "sub"))
-_LISTS = ("ul", "ol", "dl")
-_BLOCKS = "address|p|div|h[1-6]|li|ul|ol|dl|dt|dd|pre|blockquote|table|thead|tbody|tfoot|tr|td|th|caption|hr|br|figure|figcaption|form|fieldset|title|head|body|html|" + "|".join((*SECTIONS, "section"))
+# Entities by name.
 _ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "mdash": "—", "ndash": "–", "hellip": "…", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•", "laquo": "«", "raquo": "»", "euro": "€", "times": "×", "eacute": "é", "uuml": "ü", "ouml": "ö", "auml": "ä", "szlig": "ß"}
 
 
@@ -40,39 +38,64 @@ def unescaped(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), F.replace(named, F.lit("&amp;"), F.lit("&"))).otherwise(text)
 
 
-def _attribute(name: str) -> Column:
+def _attribute(token: Column, name: str) -> Column:
     """The value of an attribute of a tag, quoted or not."""
-    found = F.regexp_extract("token", rf"(?is)[\s\"']{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", 1)
-    single = F.regexp_extract("token", rf"(?is)[\s\"']{name}\s*=\s*'([^']*)'", 1)
-    bare = F.regexp_extract("token", rf"(?is)[\s\"']{name}\s*=\s*([^\s\"'>]+)", 1)
-    return unescaped(F.coalesce(F.nullif(found, F.lit("")), F.nullif(single, F.lit("")), F.nullif(bare, F.lit(""))))
-
-
-def _tokens(pages: DataFrame, by: str, html: str) -> DataFrame:
-    """The tokens of pages with what each stands in."""
-    order = Window.partitionBy(by).orderBy("n")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    raw = pages.select(by, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(_TOKEN), F.lit(1))).alias("n", "token"))
-    rows = raw.withColumn("tag", F.lower(F.regexp_extract("token", r"^</?([A-Za-z][A-Za-z0-9]*)", 1))).withColumn("closes", F.col("token").startswith("</"))
-    tag, closes = F.col("tag"), F.col("closes")
-    alone = F.col("token").rlike(r"/>$")
-    count = lambda names: F.greatest(F.sum(F.when(tag.rlike(f"^(?:{names})$") & ~alone, F.when(closes, -1).otherwise(1)).otherwise(0)).over(so_far), F.lit(0))
-    number = lambda names: F.sum(F.when(tag.rlike(f"^(?:{names})$") & ~closes, 1).otherwise(0)).over(so_far)
-    for name, names in (*_MARKS, ("pre", "pre"), ("list", "ul|ol|dl"), ("quote", "blockquote"), ("table", "table"), ("part", "|".join((*SECTIONS, "section"))), ("head", "head")):
-        rows = rows.withColumn(f"in_{name}", count(names))
-    for name, names in (("table", "table"), ("row", "tr"), ("cell", "td|th"), ("li", "li|dt|dd")):
-        rows = rows.withColumn(f"no_{name}", number(names))
-    rows = rows.withColumn("block", F.sum(F.when(tag.rlike(f"^(?:{_BLOCKS})$") & (tag != "br"), 1).otherwise(0)).over(so_far))
-    last = lambda value: F.last(value, ignorenulls=True).over(so_far)
-    rows = rows.withColumn("within", last(F.when(tag.rlike(f"^(?:{_BLOCKS})$") & (tag != "br"), F.when(closes, "").otherwise(tag))))
-    rows = rows.withColumn("href", last(F.when(tag == "a", _attribute("href")))).withColumn("ident", last(F.when(tag.rlike(f"^(?:{_BLOCKS})$") & ~closes, F.coalesce(_attribute("id"), F.lit("")))))
-    rows = rows.withColumn("item", last(F.when(tag.rlike("^(?:li|dt|dd)$") & ~closes, tag))).withColumn("in_th", last(F.when(tag.rlike("^t[hd]$"), (tag == "th") & ~closes)))
-    # the list that a token stands in, as its place and kind
-    is_list = tag.isin(*_LISTS) & ~alone
-    kind = F.array_position(F.array(*map(F.lit, _LISTS)), tag) - 1
-    step = F.when(is_list, F.when(closes, -1).otherwise(1)).otherwise(0)
-    rows = rows.withColumns({"_first": is_first(order), "_step": step, "_value": F.col("n") * len(_LISTS) + kind})
-    return rows.withColumn("in_which", enclosing("_first", "_step", "_value")).drop("_first", "_step", "_value")
+    found = F.regexp_extract(token, rf"(?is)[\s\"']{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", 1)
+    single = F.regexp_extract(token, rf"(?is)[\s\"']{name}\s*=\s*'([^']*)'", 1)
+    bare = F.regexp_extract(token, rf"(?is)[\s\"']{name}\s*=\s*([^\s\"'>]+)", 1)
+    return F.when(F.contains(token, F.lit("=")), unescaped(F.coalesce(F.nullif(found, F.lit("")), F.nullif(single, F.lit("")), F.nullif(bare, F.lit("")))))
+
+
+def _tag(token: Column) -> Column:
+    return F.lower(F.regexp_extract(token, r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
+
+
+def _blanks_as_one(text: Column) -> Column:
+    return F.when(text.rlike(r"[^\S ]|  "), F.regexp_replace(text, r"\s+", " ")).otherwise(text)
+
+
+def _code(token: Column) -> Column:
+    """The number of a token, as `functions.tokens` reads it."""
+    escapes = F.contains(token, F.lit("&"))
+    blank = F.when(escapes, F.trim(unescaped(_blanks_as_one(token))) == "").otherwise(~token.rlike(r"\S"))
+    spaces = F.trim(F.when(escapes, unescaped(token)).otherwise(token)) == ""
+    text = F.when(blank, F.when(spaces, tk.BLANK + tk.SPACES).otherwise(tk.BLANK)).otherwise(0)
+    name = F.array_position(F.array(*map(F.lit, tk.NAMES)), _tag(token)).cast("int")
+    targeted = F.contains(token, F.lit("=")) & token.rlike(r"^</?[aA](?![A-Za-z0-9])") & _attribute(token, "href").isNotNull()
+    bit = lambda condition, value: F.when(condition, value).otherwise(0)
+    is_tag = token.startswith("<") & (token != "<")
+    return F.when(is_tag, tk.FIRST_TAG + 8 * name + bit(token.startswith("</"), tk.CLOSES) + bit(token.endswith("/>"), tk.ALONE) + bit(targeted, tk.HAS_TARGET)).otherwise(text)
+
+
+def _token(at: Column) -> Column:
+    return F.get("_tokens", at)
+
+
+def _pieces(found: Column) -> Column:
+    """The pieces of a record, blanks at both of its ends, which aren't text, taken off."""
+    empty = F.create_map().cast("map<string,string>")
+    piece = lambda kind, content, own: F.struct(kind.alias("type"), content.alias("content"), own.alias("attributes"), F.lit(0).alias("depth"))
+    cut = lambda x, side: x["p"]["does"].bitwiseAND(F.lit(side)) > 0
+    token = F.transform(found, lambda p: F.struct(p.alias("p"), _token(p["at"]).alias("token")))
+    said = F.transform(token, lambda x: F.struct(x["p"].alias("p"), x["token"].alias("token"), F.when(x["p"]["how"] == tk.BREAK, " ").when(x["p"]["how"] == tk.IMAGE, _attribute(x["token"], "alt")).when(cut(x, tk.RAW), x["token"]).otherwise(_blanks_as_one(x["token"])).alias("said")))
+    said = F.transform(said, lambda x: F.struct(x["p"].alias("p"), x["token"].alias("token"), F.when(x["p"]["how"] == tk.IMAGE, x["said"]).otherwise(unescaped(x["said"])).alias("said")))
+    left = lambda x: F.when(cut(x, tk.LEFT), F.ltrim(x["said"])).otherwise(x["said"])
+    kinds = F.array(F.lit("text"), *[F.lit(k) for k, _ in tk.MARKS], F.lit("image"), F.lit("text"))
+    link = 1 + [k for k, _ in tk.MARKS].index("link")
+
+    def made(x: Column) -> Column:
+        how = x["p"]["how"]
+        own = F.when(how == tk.IMAGE, attributes(src=_attribute(x["token"], "src"), alt=x["said"])).when(how == link, attributes(href=_attribute(_token(x["p"]["target"]), "href"))).otherwise(empty)
+        return piece(F.get(kinds, how), F.when(cut(x, tk.RIGHT), F.rtrim(left(x))).otherwise(left(x)), own)
+
+    return F.transform(said, made).cast(PIECES)
+
+
+def _cell(texts: Column) -> Column:
+    """The text of a cell, from its tokens."""
+    token = F.transform(texts, lambda x: F.struct((x % 2 == 1).alias("raw"), _token((x / 2).cast("int")).alias("token")))
+    said = F.transform(F.transform(token, lambda x: F.when(x["raw"], x["token"]).otherwise(_blanks_as_one(x["token"]))), unescaped)
+    return F.trim(F.regexp_replace(F.array_join(said, ""), r"\s+", " "))
 
 
 def read_html(pages: DataFrame, by: str = "doc", html: str = "html") -> DataFrame:
@@ -82,65 +105,27 @@ def read_html(pages: DataFrame, by: str = "doc", html: str = "html") -> DataFram
     before links, these before bold, and so on. Comments, scripts and styles go; the title is metadata. A null or empty
     page has no blocks.
     """
-    rows = _tokens(pages, by, html)
-    tag, closes = F.col("tag"), F.col("closes")
-    is_text = ~F.col("token").startswith("<") | (F.col("token") == "<")
-    pre = F.col("in_pre") > 0
-    said = unescaped(F.when(pre, F.col("token")).otherwise(F.regexp_replace("token", r"\s+", " ")))
-    kind = F.lit("text")
-    for name, _ in reversed(_MARKS):
-        kind = F.when(F.col(f"in_{name}") > 0, name).otherwise(kind)
-    kind = F.when(pre, "text").otherwise(kind)
-    empty = F.create_map().cast("map<string,string>")
-    piece = lambda t, c, a: F.struct(t.alias("type"), c.alias("content"), a.alias("attributes"), F.lit(0).alias("depth"))
-    image = (tag == "img") & ~closes
-    made = F.when(image, piece(F.lit("image"), _attribute("alt"), attributes(src=_attribute("src"), alt=_attribute("alt")))).when(tag == "br", piece(F.lit("text"), F.lit(" "), empty)).otherwise(piece(kind, said, F.when(kind == "link", attributes(href=F.col("href"))).otherwise(empty)))
-    number = F.col("in_which") % len(_LISTS)
-    own_list = F.when(F.col("in_which").isNotNull(), F.struct(F.get(F.array(*map(F.lit, _LISTS)), number.cast("int")).alias("tag"), F.floor(F.col("in_which") / len(_LISTS)).alias("n")))
-    texts = rows.where((is_text | image | (tag == "br")) & (F.col("in_table") == 0) & ((F.col("in_head") == 0) | (F.col("within") == "title")))
-    context = {
-        "within": F.col("within"), "in_pre": F.col("in_pre"), "in_list": F.col("in_list"), "in_quote": F.col("in_quote"), "base": F.col("in_part"), "no_li": F.col("no_li"), "item": F.col("item"), "own_list": own_list, "ident": F.nullif(F.col("ident"), F.lit("")),
-    }
-    blocks = texts.groupBy(by, "block").agg(F.min("n").cast("long").alias("n"), F.count("*").alias("_count"), *[F.min_by(v, "n").alias(k) for k, v in context.items()], F.array_sort(F.collect_list(F.struct("n", F.struct(made["type"].alias("type"), made["content"].alias("content"), F.map_entries(made["attributes"]).alias("entries"), made["depth"].alias("depth")).alias("p")))).alias("texts"))
-    pieces = F.transform("texts", lambda x: F.struct(x["p"]["type"].alias("type"), x["p"]["content"].alias("content"), F.map_from_entries(x["p"]["entries"]).alias("attributes"), x["p"]["depth"].alias("depth")))
-    # blanks at both ends aren't text; the number of texts is a column of the aggregate, since a lambda would count anew for each
-    whole = lambda p, content: F.struct(p["type"].alias("type"), content.alias("content"), p["attributes"].alias("attributes"), p["depth"].alias("depth"))
-    left = lambda p, k: F.when(k == 0, F.ltrim(p["content"])).otherwise(p["content"])
-    trimmed = F.transform(pieces, lambda p, k: whole(p, F.when((k == F.col("_count") - 1) & (p["type"] != "image"), F.rtrim(left(p, k))).otherwise(left(p, k))))
-    trimmed = F.filter(trimmed, lambda p: (p["type"] == "image") | (F.coalesce(p["content"], F.lit("")) != ""))
-    blocks = blocks.withColumn("pieces", F.when(F.col("in_pre") > 0, pieces).otherwise(trimmed).cast(PIECES))
-    blocks = blocks.where((F.size("pieces") > 0) & (F.trim(F.array_join(F.transform("pieces", lambda p: F.when(p["type"] == "image", "i").otherwise(p["content"])), "")) != ""))
-    first = F.col("n") == F.min("n").over(Window.partitionBy(by, "no_li"))
-    listed = (F.col("in_list") > 0) & (F.col("no_li") > 0)
-    heading = F.col("within").rlike("^h[1-6]$")
-    blocks = blocks.withColumn("_first", first)
-    what = (
-        F.when(F.col("within") == "title", "meta").when(heading, "heading").when(F.col("in_pre") > 0, "code").when(listed & F.col("_first"), "item").when(listed, "paragraph").when(F.col("in_quote") > 0, "quote").otherwise("paragraph")
-    )
-    kind = F.when(F.col("own_list.tag") == "ol", "ordered").when(F.col("own_list.tag") == "dl", "definition").otherwise("bullet")
-    role = F.when(F.col("item") == "dt", "term").when(F.col("item") == "dd", "definition")
-    text = F.array_join(F.transform("pieces", lambda p: p["content"]), "")
-    is_code = what == "code"
-    code = F.array(F.struct(F.lit("text").alias("type"), F.regexp_replace(text, r"^\n+|\s+$", "").alias("content"), empty.alias("attributes"), F.lit(0).alias("depth"))).cast(PIECES)
+    cut = pages.select(by, F.regexp_extract_all(F.col(html), F.lit(_TOKEN), F.lit(1)).alias("_tokens"))
+    found = cut.withColumn("_found", tk.records_of(F.transform("_tokens", _code)))
+    named = lambda names, k: F.get(F.array(*[F.lit(x).cast("string") for x in names]), k)
     nothing = F.lit(None).cast("string")
-    records = blocks.select(
-        by, "n", F.lit(0).alias("sub"), what.alias("what"), F.when(is_code, code).otherwise(F.col("pieces")).alias("pieces"), (F.col("base") + F.when(listed & ~F.col("_first") & ~heading & ~is_code, 2 * F.col("in_list")).otherwise(0)).cast("int").alias("base"),
-        F.greatest("in_list", F.lit(1)).cast("int").alias("depth"), F.when(what == "item", kind).alias("kind"), F.when(heading, F.substring("within", 2, 1).cast("int")).otherwise(1).alias("rank"), F.lit(None).cast("int").alias("start"),
-        F.when(what == "meta", "title").when(what == "item", F.col("own_list.n").cast("string")).otherwise(F.col("ident")).alias("ident"), F.when((what == "item") & role.isNotNull(), F.create_map(F.lit("role"), role)).alias("more"),
-    )
-    # tables: texts to cells, cells to rows, rows to one block
-    opens_cell = tag.rlike("^t[hd]$") & ~closes
-    cell_text = F.when(is_text, said).otherwise("")
-    cells = rows.where((is_text | opens_cell) & (F.col("in_table") > 0) & (F.col("no_cell") > 0)).groupBy(by, "no_table", "no_row", "no_cell").agg(F.min("n").alias("n"), F.max(opens_cell).alias("own"), F.min("in_part").alias("base"), F.max("in_th").alias("th"), F.trim(F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", cell_text.alias("c")))), lambda x: x["c"]), ""), r"\s+", " ")).alias("c"))
-    lines = cells.where(F.col("own")).groupBy(by, "no_table", "no_row").agg(F.min("n").alias("n"), F.min("base").alias("base"), F.bool_and("th").alias("th"), F.transform(F.array_sort(F.collect_list(F.struct("no_cell", "c"))), lambda x: x["c"]).alias("cells"))
-    whole = lines.groupBy(by, "no_table").agg(F.min("n").cast("long").alias("n"), F.min("base").cast("int").alias("base"), F.array_sort(F.collect_list(F.struct("no_row", "th", "cells"))).alias("rows"))
-    headed = F.coalesce(F.get("rows", F.lit(0))["th"], F.lit(False))
-    all_rows = F.transform("rows", lambda r: r["cells"])
-    content = F.to_json(F.struct(F.when(headed, F.get(all_rows, F.lit(0))).otherwise(F.array().cast("array<string>")).alias("headers"), F.when(headed, F.slice(all_rows, 2, F.greatest(F.size(all_rows) - 1, F.lit(1)))).otherwise(all_rows).alias("rows")))
-    one = lambda c: F.array(F.struct(F.lit("text").alias("type"), c.alias("content"), empty.alias("attributes"), F.lit(0).alias("depth"))).cast(PIECES)
-    fixed = lambda kind, base: [F.lit(1).alias("depth"), nothing.alias("kind"), F.lit(1).alias("rank"), F.lit(None).cast("int").alias("start")]
-    tables = whole.select(by, "n", F.lit(0).alias("sub"), F.lit("table").alias("what"), one(content).alias("pieces"), "base", *fixed(None, None), nothing.alias("ident"), F.lit(None).cast("map<string,string>").alias("more"))
-    parts = rows.where(tag.rlike("^(?:" + "|".join((*SECTIONS, "section")) + ")$") & ~closes)
-    sections = parts.select(by, F.col("n").cast("long").alias("n"), F.lit(0).alias("sub"), F.lit("section").alias("what"), one(nothing).alias("pieces"), F.greatest(F.col("in_part") - 1, F.lit(0)).cast("int").alias("base"), *fixed(None, None), F.nullif(F.col("ident"), F.lit("")).alias("ident"), attributes(role=tag, **{"class": _attribute("class")}).alias("more"))
-    rules = rows.where((tag == "hr") & ~closes).select(by, F.col("n").cast("long").alias("n"), F.lit(0).alias("sub"), F.lit("hr").alias("what"), one(nothing).alias("pieces"), F.col("in_part").cast("int").alias("base"), *fixed(None, None), nothing.alias("ident"), F.lit(None).cast("map<string,string>").alias("more"))
-    return assemble(reduce(DataFrame.unionByName, (records, tables, sections, rules)), by, meta_kind="string")
+
+    def record(r: Column) -> Column:
+        what, own = r["what"], _token(r["n"])
+        is_item, is_section = what == tk.ITEM, what == tk.SECTION
+        ident = F.when(what == tk.META, "title").when(is_item, r["list"].cast("string")).when(~what.isin(tk.TABLE, tk.RULE), _attribute(_token(r["ident"]), "id"))
+        more = F.when(is_section, attributes(role=_tag(own), **{"class": _attribute(own, "class")})).when(is_item & (r["role"] > 0), F.create_map(F.lit("role"), named(["term", "definition"], r["role"] - 1)))
+        return F.struct(
+            r["n"].cast("long").alias("n"), F.lit(0).alias("sub"), named(["meta", "heading", "code", "item", "paragraph", "quote", "table", "section", "hr"], what).alias("what"), r["base"].alias("base"), r["depth"].alias("depth"),
+            F.when(is_item, named(["bullet", "ordered", "definition"], r["kind"])).alias("kind"), r["rank"].alias("rank"), F.lit(None).cast("int").alias("start"), ident.alias("ident"), more.alias("more"), r["opens"].alias("_opens"), _pieces(r["pieces"]).alias("pieces"),
+            F.transform(r["rows"], lambda x: F.struct(x["head"].alias("head"), F.transform(x["cells"], _cell).alias("cells"))).alias("_rows"),
+        )
+
+    records = found.select(by, F.explode(F.transform("_found", record)).alias("_r")).select(by, "_r.*")
+    text = F.array_join(F.transform("pieces", lambda p: p["content"]), "")
+    headed = F.coalesce(F.get("_rows", F.lit(0))["head"], F.lit(False))
+    rows = F.transform("_rows", lambda r: r["cells"])
+    table = F.to_json(F.struct(F.when(headed, F.get(rows, F.lit(0))).otherwise(F.array().cast("array<string>")).alias("headers"), F.when(headed, F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(1)))).otherwise(rows).alias("rows")))
+    what = F.col("what")
+    pieces = F.when(what == "code", plain_piece(F.regexp_replace(text, r"^\n+|\s+$", ""))).when(what == "table", plain_piece(table)).when(what.isin("section", "hr"), plain_piece(nothing)).otherwise(F.col("pieces"))
+    return laid_out(records.withColumn("pieces", pieces).drop("_rows"), by, meta_kind="string")

@@ -2,12 +2,13 @@
 
 from functools import lru_cache
 
+import numpy as np
 import pytest
 
 from docloom.functions.batches import BATCH_BYTES
 from docloom import samples
-from docloom.functions import tables
-from docloom.sources import archives, interchange, lines, notebooks, rtf
+from docloom.functions import tables, tokens
+from docloom.sources import archives, html, interchange, lines, notebooks, rtf
 from pyspark.sql import functions as F
 
 
@@ -77,3 +78,22 @@ def test_notebooks_are_parsed_once(spark):
     cells = notebooks.read_notebooks(spark.createDataFrame([(1, '{"cells":[{"cell_type":"code","source":"x"}],"metadata":{"title":"T"}}'), (2, "no"), (3, None)], "doc long, text string"))
     assert _plan(cells).count("from_json(StructField(cells") == 1
     assert [(r["doc"], r["kind"], r["content"]) for r in cells.orderBy("element_order").collect()] == [(1, "block", None), (1, "block", "x"), (1, "value", None), (1, "inline", "T")]
+
+
+def test_pages_are_cut_once_and_laid_out_within_their_rows(spark):
+    odd = "<table><tr><td>1</table></td>x</ul><hr/><nav id=a><li>no list<ul><pre>\n y </pre><br> <li> <li>b <b>c</b> </ul></nav>"
+    blocks = html.read_html(spark.createDataFrame([(1, odd), (2, None), (3, odd)], "doc long, html string"))
+    plan = _plan(blocks)
+    assert plan.count("(?s)(<!--") == 1 and plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+    rows = blocks.orderBy("doc", "element_order").collect()
+    assert [(r["element_type"], r["content"], r["level"]) for r in rows if r["doc"] == 3] == [
+        ("table", '{"headers":[],"rows":[["1"]]}', 1), ("paragraph", "x", 1), ("hr", None, 1), ("section", None, 1), ("paragraph", "no list", 2), ("code", " y", 2), ("paragraph", None, 2), ("text", "b ", 3), ("bold", "c", 3),
+    ]
+    assert [r[1:] for r in rows if r["doc"] == 1] == [r[1:] for r in rows if r["doc"] == 3] and {r["doc"] for r in rows} == {1, 3}
+
+
+def test_records_of_pages_are_those_of_each_page(spark):
+    rng = np.random.default_rng(1)
+    pages = [rng.integers(0, tokens.FIRST_TAG + 8 * (len(tokens.NAMES) + 1), n) for n in (40, 0, 3, 1000)]
+    made = tokens._records(np.concatenate(pages), np.array([len(p) for p in pages])).to_pylist()
+    assert made == [tokens._records(p, np.array([len(p)])).to_pylist()[0] for p in pages] and len(made[3]) > 50 and made[1] == []
