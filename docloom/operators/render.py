@@ -124,12 +124,14 @@ def render(blocks: DataFrame, output: str = "md", by: str = "doc") -> DataFrame:
     order = Window.partitionBy(by).orderBy("element_order")
     level, kind = F.coalesce("level", F.lit(1)).cast("long"), F.col("element_type")
     is_inline = F.coalesce(F.col("kind") == "inline", F.lit(False))
-    rows = body(blocks, by).withColumns({"_level": level, "_inline": is_inline, "_first": is_first(order), "_next": F.lead(F.struct(is_inline.alias("inline"), level.alias("level"))).over(order)})
-    rows = rows.withColumn("_holds", F.coalesce(F.col("_next.inline") & (F.col("_next.level") > F.col("_level")), F.lit(False)))
-    rows = rows.withColumn("_said", F.when(F.col("_holds") & (kind != "image"), "").otherwise(F.coalesce("content", F.lit(""))))
+    # the next row is asked for in the order that the stack backwards needs, so that rows aren't sorted once more for it
+    back = Window.partitionBy(by).orderBy(F.col("element_order").desc())
+    following = F.lag(F.struct(is_inline.alias("inline"), level.alias("level"))).over(back)
+    rows = body(blocks, by).withColumns({"_level": level, "_inline": is_inline})
     if output == "text":
-        rows = rows.withColumn("_end", F.lit(None).cast("long"))
+        rows = rows.withColumns({"_end": F.lit(None).cast("long"), "_next": following})
     else:
+        rows = rows.withColumn("_first", is_first(order))
         is_list, ordered = F.coalesce(kind == "list", F.lit(False)) & ~F.col("_inline"), F.coalesce(attribute("ordered"), F.lit("")) == "true"
         start = F.greatest(F.coalesce(F.expr("try_cast(attributes['start'] as int)"), F.lit(1)), F.lit(0))
         # the low half says which list a row is: none, one of bullets, or one of numbers and its first one
@@ -138,12 +140,13 @@ def render(blocks: DataFrame, output: str = "md", by: str = "doc") -> DataFrame:
         rows = rows.withColumns({"_list": F.col("element_order").cast("long") * _LOW + what, "_weight": width})
         rows = rows.withColumn("_up", ranked("_first", "_level", F.lit(True), "_list", "_weight"))
         rows = rows.withColumns({"_of": F.pmod(F.coalesce("_up.above", F.lit(0)), F.lit(_LOW)), "_width": F.col("_up.total")})
-        back = Window.partitionBy(by).orderBy(F.col("element_order").desc())
-        rows = rows.withColumns({"_last": is_first(back), "_place": F.col("element_order").cast("long")})
+        rows = rows.withColumns({"_last": is_first(back), "_next": following, "_place": F.col("element_order").cast("long")})
         rows = rows.withColumn("_end", ranked_or_equal("_last", "_level", F.lit(True), "_place", F.lit(0).cast("long"))["above"])
         # after the stack: Spark swaps windows that follow one another, and the stack needs the order of its own
         siblings = Window.partitionBy(by, "_up.above", kind == "list_item").orderBy("element_order")
         rows = rows.withColumn("_nth", F.row_number().over(siblings))
+    rows = rows.withColumn("_holds", F.coalesce(F.col("_next.inline") & (F.col("_next.level") > F.col("_level")), F.lit(False)))
+    rows = rows.withColumn("_said", F.when(F.col("_holds") & (kind != "image"), "").otherwise(F.coalesce("content", F.lit(""))))
     gap = F.when(F.col("_inline"), "").when(kind == "list_item", "\n").otherwise("\n\n")
     shown = rows.withColumn("_is", _lines(output))
     opened = F.struct(F.col("element_order").cast("long").alias("at"), F.lit(1).alias("turn"), F.lit(0).cast("long").alias("depth"), gap.alias("gap"), F.col("_is.line").alias("line"), F.col("_holds").alias("holds"))

@@ -8,6 +8,7 @@ import pytest
 from docloom.functions.batches import BATCH_BYTES
 from docloom import samples
 from docloom.functions import tables, tokens
+from docloom.operators.render import render
 from docloom.sources import archives, html, interchange, lines, notebooks, rtf
 from pyspark.sql import functions as F
 
@@ -97,3 +98,12 @@ def test_records_of_pages_are_those_of_each_page(spark):
     pages = [rng.integers(0, tokens.FIRST_TAG + 8 * (len(tokens.NAMES) + 1), n) for n in (40, 0, 3, 1000)]
     made = tokens._records(np.concatenate(pages), np.array([len(p) for p in pages])).to_pylist()
     assert made == [tokens._records(p, np.array([len(p)])).to_pylist()[0] for p in pages] and len(made[3]) > 50 and made[1] == []
+
+
+def test_pages_read_back_are_shuffled_and_sorted_few_times(spark):
+    page = "<h1>a <b>b</b></h1><ol><li>c<ul><li>d</li></ul></li><li>e</li></ol><title>T</title><p>&lt;f</p>"
+    blocks = html.read_html(spark.createDataFrame([(1, page)], "doc long, html string"))
+    again = html.read_html(render(blocks, "html"), html="rendered")
+    assert _plan(render(blocks, "html")).count("Sort [") <= 3 and _plan(again).count("Exchange hashpartitioning") <= 4
+    seen = lambda df: [tuple(r)[1:] for r in df.where("kind <> 'value'").orderBy("element_order").collect()]
+    assert len(seen(blocks)) == 9 and seen(again) == seen(blocks)
