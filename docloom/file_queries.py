@@ -94,10 +94,10 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ast_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks written as files of interchange ASTs and read back."""
+    """Blocks written as compressed files of interchange ASTs and read back."""
     folder = new_folder(spark)
-    interchange.write_interchange_files(prose.read_prose(_bundles(spark, sf_dir)), folder)
-    blocks = read_documents(spark, f"{folder}/doc=*/*.txt", format="pandoc")
+    interchange.write_interchange_files(prose.read_prose(_bundles(spark, sf_dir)), folder, compression="gzip")
+    blocks = read_documents(spark, f"{folder}/doc=*/*.txt.gz", format="pandoc")
     return blocks.withColumn("doc", _number(name="doc"))
 
 

@@ -6,10 +6,10 @@ import numpy as np
 import pytest
 
 from docloom.functions.batches import BATCH_BYTES
-from docloom import samples
+from docloom import file_queries, samples
 from docloom.functions import tables, tokens
 from docloom.operators.render import render
-from docloom.sources import archives, html, interchange, lines, notebooks, rtf
+from docloom.sources import archives, html, interchange, lines, notebooks, prose, rtf
 from pyspark.sql import functions as F
 
 
@@ -107,3 +107,18 @@ def test_pages_read_back_are_shuffled_and_sorted_few_times(spark):
     assert _plan(render(blocks, "html")).count("Sort [") <= 3 and _plan(again).count("Exchange hashpartitioning") <= 4
     seen = lambda df: [tuple(r)[1:] for r in df.where("kind <> 'value'").orderBy("element_order").collect()]
     assert len(seen(blocks)) == 9 and seen(again) == seen(blocks)
+
+
+def test_ast_files_are_smaller_than_their_texts_and_not_sorted(spark, tiny, tmp_path, monkeypatch):
+    monkeypatch.setattr(file_queries, "new_folder", lambda _: str(tmp_path / "asts"))
+    found = file_queries.ast_files(spark, tiny)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plan = next(p for k in reversed(range(runs.size())) if "ArrowEvalPython" in (p := runs.apply(k).physicalPlanDescription()))
+    assert plan.index("WriteFiles") < plan.index("ArrowEvalPython") < plan.index("Sort")
+    written = sum(f.stat().st_size for f in (tmp_path / "asts").glob("doc=*/part-*"))
+    texts = spark.read.parquet(f"{tiny}/documents.parquet").where("text is not null").select("doc_id", "text")
+    assert 0 < written < texts.agg(F.sum(F.octet_length("text"))).first()[0]
+    columns = ["doc", "element_order", "element_type", "content"]
+    want = prose.read_prose(file_queries._bundles(spark, tiny)).select(columns)
+    assert sorted(map(tuple, found.select(columns).collect())) == sorted(map(tuple, want.collect()))
