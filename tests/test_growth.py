@@ -1,5 +1,6 @@
 """What keeps the work of readers in proportion to their input: shuffles, and what a task holds at once."""
 
+import json
 from functools import lru_cache
 
 import numpy as np
@@ -122,3 +123,15 @@ def test_ast_files_are_smaller_than_their_texts_and_not_sorted(spark, tiny, tmp_
     columns = ["doc", "element_order", "element_type", "content"]
     want = prose.read_prose(file_queries._bundles(spark, tiny)).select(columns)
     assert sorted(map(tuple, found.select(columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_paragraphs_of_words_are_written_at_once(monkeypatch):
+    row = lambda what, content, level=1: {"kind": "block", "element_type": what, "content": content, "level": level, "encoding": "text", "attributes": [], "element_order": 0}
+    odd = ["a b", 'q" \\n é\t𝔸', "a  b", " a", "a ", "a\nb", "", None, " "]
+    rows = [*(row("paragraph", x) for x in odd), row("blockquote", None), row("plain", "in it", 2), row("plain", "x y")]
+    trees = json.loads(interchange.ast_parts(rows)["blocks"])
+    assert trees == interchange._block_ast(rows) and [b["t"] for b in trees] == ["Para"] * len(odd) + ["BlockQuote", "Plain"]
+    calls = []
+    monkeypatch.setattr(interchange, "_words", lambda text: calls.append(text) or [])
+    assert interchange.ast_parts([row("paragraph", "a b c")]) == {"meta": "{}", "blocks": '[{"t": "Para", "c": [{"t": "Str", "c": "a"}, {"t": "Space"}, {"t": "Str", "c": "b"}, {"t": "Space"}, {"t": "Str", "c": "c"}]}]'}
+    assert not calls
